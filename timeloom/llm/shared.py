@@ -159,3 +159,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return label
+
+
+# ---------------------------------------------------------------- arrays in the shared folder
+
+
+def write_array(folder: str, name: str, values: np.ndarray) -> None:
+    """One raw array as a file of the shared folder; a repeated task writes the same bytes over it in one move."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store.create_dir(path, recursive=True)
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(np.ascontiguousarray(values).tobytes())
+    store.move(part, f"{path}/{name}")
+
+
+def open_array(folder: str, name: str, dtype) -> np.ndarray:
+    """Memory-mapped where the shared folder is mounted, else read by the store's own client."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    path = f"{path}/{name}"
+    info = store.get_file_info(path)
+    if info.type == fs.FileType.NotFound or not info.size:
+        return np.zeros(0, dtype)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(path, dtype, "r")
+    with store.open_input_file(path) as f:
+        return np.frombuffer(f.read(), dtype)
