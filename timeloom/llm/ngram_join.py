@@ -1,9 +1,9 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents with the same shingle set are one class. The classes' representatives are partitioned into small groups
-of similar documents (same smallest shingle in a global order that puts rare shingles first, at most about
-`GROUP` a group), and each group stores the union of its members' shingle prefixes: that relation (shingle, group)
-is the token-group matrix. An equi-join of the matrix with itself bounds the overlap of groups; pairs of groups
+of similar documents (same smallest shingle in a global order that puts rare ones first, about `GROUP` shingles a
+group), and each group stores the union of its members' prefixes in that order: this relation (shingle, group) is
+the token-group matrix. An equi-join of the matrix with itself bounds the overlap of groups; pairs of groups
 under the bound are never opened. For a qualifying pair, each document of one group is bounded by its overlap with
 the whole union of the other, and only if that suffices are the group's documents compared, exactly.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from timeloom.llm import shared as S
 
 U64 = np.uint64
-GROUP = 64  # documents of a group, about
+GROUP = 50_000  # shingles of a group's documents together, about
 SKETCH_BITS = 18  # the sketch has 2**18 counters whatever the input
 SLICES = 16
 SLACK = 50  # one shingle more is asked to be shared for each so many shingles of a set
@@ -96,7 +96,7 @@ def _setter(width: int):
                 h, row = S.words(buf, off)
                 found = [s.tobytes() for s in S.shingles(h, row, hi - lo, width)]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "block": batch.column("block").slice(lo, hi - lo), "set": pa.array(found, pa.binary())}
+                    {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "bundle": batch.column("bundle").slice(lo, hi - lo), "set": pa.array(found, pa.binary())}
                 )
 
     return sets
@@ -148,6 +148,11 @@ def _opener(percent: int):
     return open_pairs
 
 
+def _part(key: str, member: str, weight: str):
+    """A key's rows dealt into parts of about GROUP shingles; rows without a key stand alone."""
+    return F.when(F.col(key).isNull(), F.xxhash64(member)).otherwise(F.xxhash64(key, F.pmod(F.xxhash64(member), F.ceil(F.col(weight) / GROUP))))
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, rep (smallest doc_id with the same shingle set), component_id, for every document.
 
@@ -163,24 +168,16 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     full = sig.where("n > 0")
     reps = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = S.stored(full.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"]).select("doc_id", "n", "rep"), "classes")
-    first = full.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).select(
-        "doc_id", "n", "head", F.col("head")[0].alias("key"))
-    busy = first.groupBy("key").count().where("count > 1")
-    blocked = S.stored(
-        first.join(busy, "key", "left").select(
-            "doc_id", "n", "head", F.col("count").isNotNull().alias("many"),
-            F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("count", F.lit(1)) / GROUP))).alias("block"),
-        ),
-        "groups",
-    )
-    sizes = lambda lo, hi: F.shiftleft(lo.cast("long"), 32) + hi
-    one = blocked.where("not many").select("block", sizes(F.col("n"), F.col("n")).alias("nn"), F.explode("head").alias("token"))
-    more = (
-        blocked.where("many").groupBy("block")
-        .agg(sizes(F.min("n"), F.max("n")).alias("nn"), F.array_distinct(F.flatten(F.collect_list("head"))).alias("head"))
-        .select("block", "nn", F.explode("head").alias("token"))
-    )
-    matrix = one.unionByName(more).repartition("token")
+    first = full.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    heads = first.select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
+    often = heads.groupBy("token").count().where("count > 1").select("token")
+    shared = S.stored(heads.join(often, "token"), "heads")  # a shingle of one document alone links nothing
+    keyed = shared.groupBy("doc_id", "n").agg(F.max(F.when(F.col("pos") == 0, F.col("token"))).alias("key"))
+    weight = keyed.where("key is not null").groupBy("key").agg(F.sum("n").alias("weight"))
+    blocked = S.stored(keyed.join(weight, "key", "left").select("doc_id", "n", _part("key", "doc_id", "weight").alias("block")), "groups")
+    sizes = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"))
+    sized = blocked.join(sizes, "block").select("doc_id", "block", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("nn"))
+    matrix = shared.select("doc_id", "token").join(sized, "doc_id").select("token", "block", "nn").distinct().repartition("token")
     left, right = matrix.select("token", F.col("block").alias("x"), F.col("nn").alias("p")), matrix.select("token", F.col("block").alias("y"), F.col("nn").alias("q"))
     low, high = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
     fits = (high("p") * 100 >= low("q") * percent) & (high("q") * 100 >= low("p") * percent)
@@ -189,16 +186,27 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .groupBy("x", "y").agg(F.count("*").alias("hits"), F.min(F.least(low("p"), low("q"))).alias("n"))
         .where(F.expr(f"hits >= 1 + n div {SLACK}")).select("x", "y")
     )
-    alone = blocked.where("many").groupBy("block").count().where("count > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
+    alone = sizes.where("docs > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
     pairs = S.stored(pairs.unionByName(alone), "pairs")
-    needed = pairs.select(F.col("x").alias("block")).union(pairs.select("y")).distinct()
-    wanted = blocked.join(needed, "block").select("doc_id", "block")
-    sets = docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_setter(width), "doc_id long, block long, set binary")
-    blocks = S.stored(sets.groupBy("block").agg(F.collect_list(F.struct("doc_id", "set")).alias("docs")), "blocks")
-    opened = pairs.join(blocks.select(F.col("block").alias("x"), F.col("docs").alias("left_docs")), "x").join(
-        blocks.select(F.col("block").alias("y"), F.col("docs").alias("right_docs")), "y"
-    )
-    opened = opened.select("left_docs", F.when(F.col("x") != F.col("y"), F.col("right_docs")).alias("right_docs"))
+    # groups that qualify together are stored together, in bundles of about GROUP shingles, so that each is sent once to where several are opened
+    ends = pairs.select("x", "y").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    family = ends.groupBy(F.col("x").alias("block")).agg(F.least(F.min("y"), F.first("x")).alias("family"))
+    wanted = blocked.join(family, "block")
+    weight = wanted.groupBy("family").agg(F.sum("n").alias("weight"))
+    wanted = S.stored(wanted.join(weight, "family").select("doc_id", "block", _part("family", "block", "weight").alias("bundle")), "bundles")
+    at = wanted.select("block", "bundle").distinct()
+    bundled = (
+        pairs.join(at.select(F.col("block").alias("x"), F.col("bundle").alias("p")), "x").join(at.select(F.col("block").alias("y"), F.col("bundle").alias("q")), "y")
+        .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+    )
+    sets = docs.join(wanted.select("doc_id", "bundle"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_setter(width), "doc_id long, bundle long, set binary")
+    bundles = S.stored(sets.groupBy("bundle").agg(F.collect_list(F.struct("doc_id", "set")).alias("docs")), "sets")
+    inner = bundles.select(F.col("docs").alias("left_docs"), F.lit(None).cast(bundles.schema["docs"].dataType).alias("right_docs")).where("size(left_docs) > 1")
+    outer = (
+        bundled.where("x <> y").join(bundles.select(F.col("bundle").alias("x"), F.col("docs").alias("left_docs")), "x")
+        .join(bundles.select(F.col("bundle").alias("y"), F.col("docs").alias("right_docs")), "y").select("left_docs", "right_docs")
+    )
+    opened = inner.unionByName(outer)
     label = S.components(opened.mapInArrow(_opener(percent), "a long, b long"))
     classes = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), "rep", F.coalesce("component", "rep").alias("component_id"))

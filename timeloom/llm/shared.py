@@ -34,6 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of plans that are done with go at once, not at some later collection
     return spark.read.schema(df.schema).parquet(path)
 
 
