@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from timeloom.llm import shared as S
 
 U64 = np.uint64
-GROUP = 50_000  # shingles of a group's documents together, about
+GROUP = 150_000  # shingles of a group's documents together, about
 SKETCH_BITS = 18  # the sketch has 2**18 counters whatever the input
 SLICES = 16
-SLACK = 50  # one shingle more is asked to be shared for each so many shingles of a set
+SLACK = 20  # one shingle more is asked to be shared for each so many shingles of a set
 
 
 def _counter(width: int):
@@ -95,9 +95,8 @@ def _setter(width: int):
             for lo, hi, buf, off in S.pieces(batch.column("text")):
                 h, row = S.words(buf, off)
                 found = [s.tobytes() for s in S.shingles(h, row, hi - lo, width)]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "bundle": batch.column("bundle").slice(lo, hi - lo), "set": pa.array(found, pa.binary())}
-                )
+                own = {c: batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "bundle", "outward")}
+                yield pa.RecordBatch.from_pydict(own | {"set": pa.array(found, pa.binary())})
 
     return sets
 
@@ -169,10 +168,10 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     reps = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = S.stored(full.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"]).select("doc_id", "n", "rep"), "classes")
     first = full.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    heads = first.select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
+    heads = first.select("doc_id", F.posexplode("head").alias("pos", "token")).select("doc_id", "token", (F.col("pos") == 0).alias("lead"))
     often = heads.groupBy("token").count().where("count > 1").select("token")
     shared = S.stored(heads.join(often, "token"), "heads")  # a shingle of one document alone links nothing
-    keyed = shared.groupBy("doc_id", "n").agg(F.max(F.when(F.col("pos") == 0, F.col("token"))).alias("key"))
+    keyed = shared.groupBy("doc_id").agg(F.max(F.when(F.col("lead"), F.col("token"))).alias("key")).join(first.select("doc_id", "n"), "doc_id")
     weight = keyed.where("key is not null").groupBy("key").agg(F.sum("n").alias("weight"))
     blocked = S.stored(keyed.join(weight, "key", "left").select("doc_id", "n", _part("key", "doc_id", "weight").alias("block")), "groups")
     sizes = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"))
@@ -191,19 +190,24 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # groups that qualify together are stored together, in bundles of about GROUP shingles, so that each is sent once to where several are opened
     ends = pairs.select("x", "y").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     family = ends.groupBy(F.col("x").alias("block")).agg(F.least(F.min("y"), F.first("x")).alias("family"))
-    wanted = blocked.join(family, "block")
+    second = ends.join(family.select(F.col("block").alias("y"), "family"), "y").groupBy(F.col("x").alias("block")).agg(F.min("family").alias("family"))
+    wanted = blocked.join(second, "block")
     weight = wanted.groupBy("family").agg(F.sum("n").alias("weight"))
     wanted = S.stored(wanted.join(weight, "family").select("doc_id", "block", _part("family", "block", "weight").alias("bundle")), "bundles")
     at = wanted.select("block", "bundle").distinct()
-    bundled = (
+    bundled = S.stored(
         pairs.join(at.select(F.col("block").alias("x"), F.col("bundle").alias("p")), "x").join(at.select(F.col("block").alias("y"), F.col("bundle").alias("q")), "y")
-        .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+        .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct().where("x <> y"),
+        "bundle-pairs",
     )
-    sets = docs.join(wanted.select("doc_id", "bundle"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_setter(width), "doc_id long, bundle long, set binary")
-    bundles = S.stored(sets.groupBy("bundle").agg(F.collect_list(F.struct("doc_id", "set")).alias("docs")), "sets")
+    outward = bundled.select(F.col("x").alias("bundle")).union(bundled.select("y")).distinct().withColumn("outward", F.lit(True))
+    wanted = wanted.join(outward, "bundle", "left").select("doc_id", "bundle", F.coalesce("outward", F.lit(False)).alias("outward"))
+    sets = docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_setter(width), "doc_id long, bundle long, outward boolean, set binary")
+    bundles = S.stored(sets.groupBy("bundle", "outward").agg(F.collect_list(F.struct("doc_id", "set")).alias("docs")), "sets")
     inner = bundles.select(F.col("docs").alias("left_docs"), F.lit(None).cast(bundles.schema["docs"].dataType).alias("right_docs")).where("size(left_docs) > 1")
+    bundles = bundles.where("outward")
     outer = (
-        bundled.where("x <> y").join(bundles.select(F.col("bundle").alias("x"), F.col("docs").alias("left_docs")), "x")
+        bundled.join(bundles.select(F.col("bundle").alias("x"), F.col("docs").alias("left_docs")), "x")
         .join(bundles.select(F.col("bundle").alias("y"), F.col("docs").alias("right_docs")), "y").select("left_docs", "right_docs")
     )
     opened = inner.unionByName(outer)
