@@ -5,7 +5,8 @@ equal minimizers, so consecutive windows of one minimizer are cut out together a
 minimizer meet in one shard. A first pass finds the minimizers that two documents share, as sorted hash arrays in
 the shared folder that workers memory-map; only their strings are sent on.
 
-A shard first joins equal strings. Where a minimizer has strings that differ, suffix arrays are built over them:
+A shard first joins equal strings by their digests: all but the earliest document lose them. Only where a minimizer
+has strings that differ are the strings themselves sent, and suffix arrays built over them:
 Larsson-Sadakane refinement (groups of equal prefixes are split by the ranks of what follows, sorted ones are left
 alone), Kasai's common prefixes (compared only where the preceding bytes differ, counted down elsewhere), classes of
 suffixes whose common prefix has 50 bytes. A shard larger than `SHARD` bytes is cut into several arrays, and their
@@ -298,6 +299,43 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c.name, [None] * n), c.type) for c in _CUT], schema=_CUT)
 
 
+def _resolver(folder: str):
+    """Equal strings: gone in all documents but the first. Minimizers with strings that differ go to a file of the shard."""
+
+    def resolve(table: pa.Table) -> pa.Table:
+        minimizer, digest, doc, begin, size = (np.array(table[c]) for c in ("minimizer", "digest", "doc_id", "begin", "size"))
+        order = np.lexsort((doc, digest, minimizer))
+        minimizer, digest, doc, begin, size = (x[order] for x in (minimizer, digest, doc, begin, size))
+        new = np.r_[True, (minimizer[1:] != minimizer[:-1]) | (digest[1:] != digest[:-1])]
+        least = doc[new][np.cumsum(new) - 1]
+        kinds, n = np.unique(minimizer[new], return_counts=True)
+        S.write_array(folder, f"shard-{table['shard'][0].as_py()}", kinds[n > 1])
+        gone = doc > least
+        return pa.table({"doc_id": doc[gone], "begin": begin[gone], "end": begin[gone] + size[gone]})
+
+    return resolve
+
+
+def _mixed(folder: str, shards: int):
+    """The rows whose minimizer has strings that differ."""
+
+    def mixed(batches):
+        arrays: dict[int, np.ndarray] = {}
+        for batch in batches:
+            minimizer, shard = np.array(batch.column("minimizer")), np.array(batch.column("shard"))
+            hit = np.zeros(len(shard), bool)
+            for k in np.unique(shard).tolist():
+                if k not in arrays:
+                    arrays[k] = S.open_array(folder, f"shard-{k}", np.int64)
+                own = np.flatnonzero(shard == k)
+                if len(arrays[k]):
+                    at = np.minimum(np.searchsorted(arrays[k], minimizer[own]), len(arrays[k]) - 1)
+                    hit[own] = arrays[k][at] == minimizer[own]
+            yield batch.filter(pa.array(hit))
+
+    return mixed
+
+
 def _marker(length: int):
     def mark(table: pa.Table) -> pa.Table:
         strings: dict[bytes, int] = {}
@@ -323,9 +361,7 @@ def _marker(length: int):
         windows = dict(zip(some, earliest([texts[k] for k in some], [least[k] for k in some], length), strict=True)) if some else {}
         out: list[tuple[int, int, int]] = []
         for k, doc, at in zip(who, docs, begins, strict=True):
-            if doc > least[k]:
-                out.append((doc, at, at + len(texts[k])))
-            elif k in windows and (windows[k] < doc).any():
+            if doc == least[k] and k in windows and (windows[k] < doc).any():
                 gone = np.r_[False, windows[k] < doc, False]
                 edge = np.flatnonzero(gone[1:] != gone[:-1])
                 out += [(doc, at + a, at + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
@@ -377,11 +413,15 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     found = docs.mapInArrow(_finder(length, shards), "shard int, state int, low binary")
     found.groupBy("shard").applyInArrow(_sharer(folder), "shard int, n long").agg(F.sum("n")).collect()
     cut = S.stored(docs.mapInArrow(_cutter(length, shards, folder), "minimizer long, string binary, doc_id long, begin long, end long"), "strings")
-    far = (
-        cut.where("string is not null").withColumn("shard", F.pmod("minimizer", F.lit(shards)))
-        .groupBy("shard").applyInArrow(_marker(length), "doc_id long, begin long, end long")
-    )
-    return cut.where("string is null").select("doc_id", "begin", "end").unionByName(far)
+    strings = cut.where("string is not null").select(
+        F.pmod("minimizer", F.lit(shards)).cast("int").alias("shard"), "minimizer", "string", "doc_id", "begin")
+    differing = S.table_path(spark, "differing")
+    brief = strings.select("shard", "minimizer", F.xxhash64("string").alias("digest"), "doc_id", "begin", F.length("string").cast("long").alias("size"))
+    spans = "doc_id long, begin long, end long"
+    equal = S.stored(brief.groupBy("shard").applyInArrow(_resolver(differing), spans), "equal")
+    some = strings.mapInArrow(_mixed(differing, shards), "shard int, minimizer long, string binary, doc_id long, begin long")
+    far = S.stored(some.groupBy("shard").applyInArrow(_marker(length), spans), "windows")
+    return cut.where("string is null").select("doc_id", "begin", "end").unionByName(equal).unionByName(far)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
