@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timeloom.llm.decontamination import contaminated
+from timeloom.llm.embedding_dedup import embedding_dedup
 from timeloom.llm.ngram_join import ngram_join
+from timeloom.llm.packing import pack
 from timeloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -16,13 +19,51 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), byte_bpe(), capacity=1024, end=2)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
+OP4_SQL = r"""
+WITH items AS (SELECT DISTINCT item_id AS id, text FROM benchmark), docs AS (SELECT DISTINCT doc_id AS id, text FROM documents),
+words AS (
+  SELECT 'i' AS kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM items
+  UNION ALL
+  SELECT 'd', id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\x{80}-\x{10FFFF}]+') FROM docs),
+shingles AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) > 0),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, z.n AS n_item, count(*) AS n_shared
+FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes z ON z.id = i.id
+GROUP BY d.id, i.id, z.n HAVING 100 * count(*) >= 80 * z.n
+"""
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": OP4_SQL,
+}

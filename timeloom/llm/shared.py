@@ -42,6 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: bytes between words for the operators whose words are letters, digits, underscores and all that is not ASCII
+PUNCTUATION = np.array([not (chr(b).isalnum() or b == 95) for b in range(128)] + [False] * 128)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
@@ -90,12 +92,12 @@ def pieces(column: pa.Array, most: int = 1 << 21):
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and the row of each."""
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, by default `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased, and the row of each."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = ~_SPACE[buf]
+    text = ~gap[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     edge[n] = True
