@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timeloom.llm.decontamination import contaminated
 from timeloom.llm.embedding_dedup import embedding_dedup
 from timeloom.llm.ngram_join import ngram_join
+from timeloom.llm.ngram_lm import lm_scores
 from timeloom.llm.packing import pack
 from timeloom.llm.suffix_dedup import suffix_dedup
 
@@ -52,6 +54,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    return lm_scores(docs.where("not held_out"), docs, ["doc_id", "held_out"])
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -61,6 +68,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
