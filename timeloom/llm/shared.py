@@ -44,9 +44,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: bytes between words for the operators whose words are letters, digits, underscores and all that is not ASCII
 PUNCTUATION = np.array([not (chr(b).isalnum() or b == 95) for b in range(128)] + [False] * 128)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
+LOWER = np.arange(256)
+LOWER[65:91] += 32
+_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)[LOWER]
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 2**64))
 _powers: list[np.ndarray] = []
@@ -92,11 +92,11 @@ def pieces(column: pa.Array, most: int = 1 << 21):
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, by default `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased, and the row of each."""
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the words, by default `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased, and the row of each; spans: begin and end too."""
     n = len(buf)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (3 if spans else 1))
     text = ~gap[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
@@ -111,7 +111,9 @@ def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[n
     total[0] = 0
     np.cumsum(_BYTE[buf] * power[:n], out=total[1:])
     h = (total[b] - total[a]) * inverse[a]
-    return mix(h + (b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(off, a, "right") - 1
+    h = mix(h + (b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    row = np.searchsorted(off, a, "right") - 1
+    return (h, row, a, b) if spans else (h, row)
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> list[np.ndarray]:
