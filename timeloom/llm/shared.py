@@ -147,9 +147,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among the neighbours' and then the label's own label, so paths
     halve. Only grouped minima and equi-joins run; hubs are pre-aggregated or split by skew joins.
     """
-    both = stored(
-        links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges"
-    )
+    links = stored(links.select("a", "b").where("a <> b"), "links")
+    both = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
