@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from timeloom.llm.decontamination import contaminated
 from timeloom.llm.embedding_dedup import embedding_dedup
+from timeloom.llm.html_text import html_text
+from timeloom.llm.language_id import language_id
 from timeloom.llm.ngram_join import ngram_join
 from timeloom.llm.ngram_lm import lm_scores
 from timeloom.llm.packing import pack
 from timeloom.llm.suffix_dedup import suffix_dedup
+from timeloom.llm.toxicity import toxicity
+from timeloom.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -50,6 +58,44 @@ GROUP BY d.id, i.id, z.n HAVING 100 * count(*) >= 80 * z.n
 """
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
+#: the rules that op6 applies: verdict, host, path
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, otherwise="allow")
+
+
+OP6_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT p.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host) DESC, length(r.path) DESC) AS k
+  FROM p JOIN rules r ON ('.' || p.host) LIKE ('%.' || r.host) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
+"""
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: of documents whose crc32(doc_id as text) mod 5 is not 0."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    scored = toxicity(docs, learnable(_table(spark, sf_dir, "labels")), ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -64,9 +110,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
@@ -74,4 +124,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_benchmark_decontamination": OP4_SQL,
+    "op6_url_filter": OP6_SQL,
 }

@@ -131,7 +131,7 @@ def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> list[np
         elif b > a:
             x = U64(b - a)
             for v in h[a:b]:
-                x = mix(np.array([x + v], np.uint64))[0]
+                x = mix(np.array([x], np.uint64) + v)[0]
             out.append(np.array([x], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -56,21 +56,18 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
     rank[sa] = start
     rank[n] = -1
     h = 8
-    while True:
-        single = change & np.r_[change[1:], True]
-        at = np.flatnonzero(~single)
-        if not len(at) or h >= n + 8:
-            return sa
+    at = np.flatnonzero(~(change & np.r_[change[1:], True])) if n else np.zeros(0, np.int64)
+    while len(at) and h < n + 8:
         sub = sa[at]
-        follow = rank[np.minimum(sub + h, n)] + 1
-        group = rank[sub]
-        order = np.lexsort((follow, group))
-        sub, follow, group = sub[order], follow[order], group[order]
+        key = (rank[sub] << 32) | (rank[np.minimum(sub + h, n)] + 1)
+        order = np.argsort(key)
+        sub, key = sub[order], key[order]
         sa[at] = sub
-        change[at] = np.r_[True, (follow[1:] != follow[:-1]) | (group[1:] != group[:-1])]
-        start = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-        rank[sub] = start[at]
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[sub] = np.maximum.accumulate(np.where(new, at, 0))
+        at = at[~(new & np.r_[new[1:], True])]
         h *= 2
+    return sa
 
 
 def common_prefixes(buf: np.ndarray, sa: np.ndarray) -> np.ndarray:
