@@ -1,9 +1,9 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents with the same shingle set are one class. The classes' representatives are partitioned into small groups
-of similar documents (same smallest shingle in a global order that puts rare ones first, about `GROUP` shingles a
-group), and each group stores the union of its members' prefixes in that order: this relation (shingle, group) is
-the token-group matrix. An equi-join of the matrix with itself bounds the overlap of groups; pairs of groups
+of similar documents (same size class and same most shared shingle among the first ones of a global order that puts
+rare shingles first; about `GROUP` shingles a group), and each group stores the union of its members' prefixes in
+that order: this relation (shingle, group) is the token-group matrix. An equi-join of the matrix with itself bounds the overlap of groups; pairs of groups
 under the bound are never opened. For a qualifying pair, each document of one group is bounded by its overlap with
 the whole union of the other, and only if that suffices are the group's documents compared, exactly.
 
@@ -22,6 +22,8 @@ from timeloom.llm import shared as S
 
 U64 = np.uint64
 GROUP = 150_000  # shingles of a group's documents together, about
+FAMILY = 4  # documents that share a prefix shingle before it makes a group
+SIZE_CLASS = 0.2  # sizes of a group are within a factor of exp(0.2)
 SKETCH_BITS = 18  # the sketch has 2**18 counters whatever the input
 SLICES = 16
 SLACK = 20  # one shingle more is asked to be shared for each so many shingles of a set
@@ -169,9 +171,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     member = S.stored(full.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"]).select("doc_id", "n", "rep"), "classes")
     first = full.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
     heads = first.select("doc_id", F.posexplode("head").alias("pos", "token")).select("doc_id", "token", (F.col("pos") == 0).alias("lead"))
-    often = heads.groupBy("token").count().where("count > 1").select("token")
+    often = heads.groupBy("token").count().where("count > 1")
     shared = S.stored(heads.join(often, "token"), "heads")  # a shingle of one document alone links nothing
-    keyed = shared.groupBy("doc_id").agg(F.max(F.when(F.col("lead"), F.col("token"))).alias("key")).join(first.select("doc_id", "n"), "doc_id")
+    # the group of a document: its most shared prefix shingle, if FAMILY documents have it, else its first one; with its size class
+    most = F.max(F.when(F.col("count") >= FAMILY, F.struct("count", "token")))["token"]
+    keyed = shared.groupBy("doc_id").agg(F.coalesce(most, F.max(F.when(F.col("lead"), F.col("token")))).alias("shingle")).join(first.select("doc_id", "n"), "doc_id")
+    keyed = keyed.select("doc_id", "n", F.when(F.col("shingle").isNotNull(), F.xxhash64("shingle", F.floor(F.log("n") / F.lit(SIZE_CLASS)))).alias("key"))
     weight = keyed.where("key is not null").groupBy("key").agg(F.sum("n").alias("weight"))
     blocked = S.stored(keyed.join(weight, "key", "left").select("doc_id", "n", _part("key", "doc_id", "weight").alias("block")), "groups")
     sizes = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"))
