@@ -19,7 +19,7 @@ from timeloom.llm import shared as S
 
 U64 = np.uint64
 WINDOW, STRIDE = 64, 56
-SAMPLE = (2000, 4000)  # toxic and other labelled documents that training sees at most
+SAMPLE = (1200, 2400)  # toxic and other labelled documents that training sees at most
 BITS, DIM, HIDDEN = 15, 8, 8
 GRAMS = (3, 4, 5)
 
@@ -31,7 +31,14 @@ class Words:
     """Distinct words of a run of rows, the word of each token, and the rows' tokens."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
-        h, row, a, b = S.words(buf, off, S.PUNCTUATION, spans=True)
+        parts = []
+        lo = 0
+        while lo < len(off) - 1:  # in pieces: hashing takes some 40 bytes a byte
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), "right")) - 1)
+            h, row, a, b = S.words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], S.PUNCTUATION, spans=True)
+            parts.append((h, row + lo, a + off[lo], b + off[lo]))
+            lo = hi
+        h, row, a, b = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         u, first, self.token = np.unique(h, return_index=True, return_inverse=True)
         self.bucket = (u >> U64(64 - BITS)).astype(np.int64)
         self.size = np.bincount(row, minlength=len(off) - 1)
@@ -139,7 +146,7 @@ def gradients(p: dict, vectors: np.ndarray, index: np.ndarray, mask: np.ndarray,
         dstate = a[:, :, None] * dp[None, :, lo : lo + HIDDEN] + ds[:, :, None] * p["attend"][lo : lo + HIDDEN]
         way = slice(None) if d == "f" else slice(None, None, -1)
         dstate, at, on, u = dstate[way], index[way], mask[way], p[f"u{d}"]
-        dgates = np.zeros((len(vectors), 3 * HIDDEN), np.float32)
+        dx = np.empty((*at.shape, 3 * HIDDEN), np.float32)
         du = np.zeros_like(u)
         dh = np.zeros((index.shape[1], HIDDEN), np.float32)
         for t in range(len(at) - 1, -1, -1):
@@ -150,12 +157,11 @@ def gradients(p: dict, vectors: np.ndarray, index: np.ndarray, mask: np.ndarray,
             dz = dn * (h - c) * z * (1 - z)
             dc = dn * (1 - z) * (1 - c * c)
             dr = dc * y * r * (1 - r)
-            dx = np.concatenate([dz, dr, dc], 1)
+            dx[t] = np.concatenate([dz, dr, dc], 1)
             dy = np.concatenate([dz, dr, dc * r], 1)
             du += h.T @ dy
             dh = np.where(live, dn * z, dh) + dy @ u.T
-            for k in range(3 * HIDDEN):
-                dgates[:, k] += np.bincount(at[t], dx[:, k], len(vectors))
+        dgates = np.stack([np.bincount(at.ravel(), dx[:, :, k].ravel(), len(vectors)) for k in range(3 * HIDDEN)], 1).astype(np.float32)
         g[f"u{d}"], g[f"c{d}"], g[f"w{d}"] = du, dgates.sum(0), vectors.T @ dgates
         dv += dgates @ p[f"w{d}"].T
     return g, dv
@@ -189,7 +195,7 @@ def _worst(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return last
 
 
-def train(texts: list[str], labels: np.ndarray, share: float, rounds: int = 8, seed: int = 7) -> dict[str, np.ndarray]:
+def train(texts: list[str], labels: np.ndarray, share: float, rounds: int = 5, seed: int = 7) -> dict[str, np.ndarray]:
     """share: of label 1 among all labelled documents, to which the scores are calibrated."""
     r = np.random.default_rng(seed)
     buf, off = S.utf8(pa.array(texts, pa.string()))
@@ -197,19 +203,15 @@ def train(texts: list[str], labels: np.ndarray, share: float, rounds: int = 8, s
     row, begin, size = words.windows()
     n = len(texts)
     p = initial(seed)
-    seen = np.repeat(np.arange(n), words.size)
     check = r.random(n) < 0.2  # kept from fitting, for the calibration
     fit = ~check
     for name, bucket, of in (("word", words.bucket, np.arange(words.n)), ("char", words.gram, words.of)):
-        pair = np.unique(seen * words.n + words.token)
-        doc, word = pair // words.n, pair % words.n
-        lo = np.searchsorted(of, word)
-        count = np.searchsorted(of, word, "right") - lo
-        flat = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        pair = np.unique(np.repeat(doc, count) * (1 << BITS) + bucket[flat])
-        doc, b = pair >> BITS, pair & ((1 << BITS) - 1)
-        pos = np.bincount(b[(labels[doc] == 1) & fit[doc]], minlength=1 << BITS)
-        neg = np.bincount(b[(labels[doc] == 0) & fit[doc]], minlength=1 << BITS)
+        pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for d in np.flatnonzero(fit).tolist():
+            word = np.unique(words.token[words.begin[d] : words.begin[d] + words.size[d]])
+            lo, hi = np.searchsorted(of, word), np.searchsorted(of, word, "right")
+            flat = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+            (pos if labels[d] == 1 else neg)[np.unique(bucket[flat])] += 1
         odds = np.log((pos + 0.5) / ((labels[fit] == 1).sum() + 1)) - np.log((neg + 0.5) / ((labels[fit] == 0).sum() + 1))
         p[name][:, 0] += np.clip(odds * (pos + neg) / (pos + neg + 20), -3, 3) * (0.4 if name == "word" else 0.1)
     lexical = words.vectors(p)[:, 0][words.token]
