@@ -63,9 +63,9 @@ def form(codes: list[str] = (), user: str = "", ip: str = "", host: str = "", st
     """Form fields joined by AND; up to 50 event codes by OR; times of minute precision end with the minute."""
     parts = [F.col("event_code").isin(list(codes)[:50])] if codes else []
     parts += [field_contains(k, v) for k, v in (("user", user), ("ip", ip), ("host", host)) if v]
-    pad = lambda t: t[:16] + ":59Z" if re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\dZ?", t) else t
+    pad = lambda t, s: f"{t[:16]}:{s}Z" if re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\dZ?", t) else t
     if start or end:
-        parts.append(time_range(start or None, pad(end) if end else None))
+        parts.append(time_range(pad(start, "00") or None, pad(end, "59") or None))
     if text:
         parts.append(contains(text))
     return reduce(lambda a, b: a & b, parts, F.lit(True))

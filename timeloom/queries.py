@@ -1,5 +1,5 @@
 """All registered queries of the library without the training-data operators."""
 
-from timeloom.operators import aggregates, correlation, findings, filters, graph, heuristics, integrity, ioc, pages, projections, sequences, textindex  # noqa: F401
+from timeloom.operators import aggregates, correlation, findings, filters, graph, heuristics, integrity, ioc, objects, pages, projections, sequences, textindex, triage  # noqa: F401
 from timeloom.registry import ORACLES, QUERIES  # noqa: F401
 from timeloom.streaming import streams  # noqa: F401
