@@ -431,6 +431,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spans = removed_spans(docs, length).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(spans, docs["doc_id"] == spans["__id"], "left").select(*rest, F.col("text").cast("string").alias("text"), "spans")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return joined.mapInArrow(_remover(rest), kind + ", kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own = [f"c{k}" for k in range(len(rest))]  # whatever the columns are called
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, own, strict=True)], F.col("doc_id").cast("long").alias("__key"), F.col("text").cast("string").alias("text"))
+    joined = inner.join(spans, F.col("__key") == F.col("__id"), "left").select(*own, "text", "spans")
+    kind = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(rest, own, strict=True))
+    made = joined.mapInArrow(_remover(own), kind + "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return made.select(*[F.col(n).alias(c) for c, n in zip(rest, own, strict=True)], "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -195,8 +195,8 @@ def _worst(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return last
 
 
-def train(texts: list[str], labels: np.ndarray, share: float, rounds: int = 5, seed: int = 7) -> dict[str, np.ndarray]:
-    """share: of label 1 among all labelled documents, to which the scores are calibrated."""
+def train(texts: list[str], labels: np.ndarray, share: float, updates: int = 120, seed: int = 7) -> dict[str, np.ndarray]:
+    """share: of label 1 among all labelled documents, to which the scores are calibrated. Rounds over the sample go on until `updates` steps are made."""
     r = np.random.default_rng(seed)
     buf, off = S.utf8(pa.array(texts, pa.string()))
     words = Words(buf, off)
@@ -217,14 +217,17 @@ def train(texts: list[str], labels: np.ndarray, share: float, rounds: int = 5, s
     lexical = words.vectors(p)[:, 0][words.token]
     value = np.array([lexical[a : a + s].max() for a, s in zip(begin.tolist(), size.tolist(), strict=True)] or [0.0])
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for round_ in range(rounds):
+    size_of_batch = min(256, max(16, n // 16))
+    while step < updates:
         pick = _worst(value[: len(row)], row, n)
         chosen = [pick[(pick >= 0) & fit]]
         other = np.flatnonzero((labels[row] == 0) & fit[row])
         chosen.append(r.choice(other, min(len(other), n)) if len(other) else other)
         use = r.permutation(np.concatenate(chosen))
-        for lo in range(0, len(use), 256):
-            own = use[lo : lo + 256]
+        if not len(use):
+            break
+        for lo in range(0, len(use), size_of_batch):
+            own = use[lo : lo + size_of_batch]
             index, mask = _batch(words, begin[own], size[own])
             distinct, local = np.unique(index, return_inverse=True)
             part = _Part(words, distinct)
@@ -240,7 +243,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, rounds: int = 5, s
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
                 p[k] = (p[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        if round_ < rounds - 1:
+        if step < updates:
             value = _logits(p, words, begin, size)
     logit = _logits(p, words, begin, size)
     worst = _worst(logit, row, n)
