@@ -72,11 +72,11 @@ def process_forest(nodes: DataFrame, depth: int = 128) -> DataFrame:
 
     at = nodes.select("key", "parent_key").join(nodes.select(F.col("key").alias("parent_key"), F.lit(True).alias("known")), "parent_key", "left")
     at = at.select("key", F.when(F.col("known"), F.col("parent_key")).alias("up")).withColumn("hops", F.when(F.col("up").isNotNull(), 1).otherwise(0))
-    at = at.withColumn("root", F.when(F.col("up").isNull(), F.col("key")).otherwise(F.col("up")))
+    at = at.withColumn("root", F.when(F.col("up").isNull(), F.col("key")).otherwise(F.col("up"))).withColumn("ends", F.col("up").isNull())
     for _ in range(ceil(log2(depth))):
-        above = at.select(F.col("key").alias("root"), F.col("root").alias("top"), F.col("hops").alias("more"))
-        at = at.join(above, "root").select("key", F.col("top").alias("root"), (F.col("hops") + F.col("more")).alias("hops"))
-    return at.where(F.col("hops") <= depth).select("key", "root", F.col("hops").alias("depth"))
+        above = at.select(F.col("key").alias("root"), F.col("root").alias("top"), F.col("hops").alias("more"), "ends")
+        at = at.drop("ends").join(above, "root").select("key", F.col("top").alias("root"), (F.col("hops") + F.col("more")).alias("hops"), "ends")
+    return at.where(F.col("ends") & (F.col("hops") <= depth)).select("key", "root", F.col("hops").alias("depth"))
 
 
 _T = "CAST(epoch(CAST(event_time_utc AS TIMESTAMP)) AS BIGINT)"
