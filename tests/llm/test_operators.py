@@ -167,6 +167,18 @@ def test_visible_text(html, want):
     assert visible_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [("<head><title>t</title><body>Hello<br>World", "Hello\nWorld"), ("<head><title>t</title>Hello<p>World", "Hello\n\nWorld"), ("<head><meta charset=x>\n<img src=a>Hello", "Hello"), ("<title>t</title><body>text", "text"),
+     ("<head><style>x</style><noscript>n</noscript>\n<link><script>y</script><body>a<b>c</b>", "ac"), ("<head><noscript>n<body>text", "text"), ("<head><title>t</title></head>\n<body>a", "a"),
+     ("<svg><title>t</title><desc>d</desc><text>one</text><text>two</text><path/></svg>", "one\ntwo"), ("<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>", "x=1"),
+     ("a<textarea>\nb\n  c</textarea>d", "a\nb\n  c\nd"), ("<p>a<select><optgroup label=g><option>b<option>c<optgroup label=h><option>d</select>", "a\ng\nb\nc\nh\nd"), ("<span aria-hidden=true>x</span> y", "x y"), ("<text>a</text>b", "ab"),
+     ("<textarea><i>a</i> &amp; b</textarea><i>c</i>", "<i>a</i> & b\nc"), ("<textarea>a<b>c", "a<b>c"), ("<textarea/>a</textarea>b", "a\nb")],
+)
+def test_text_that_browsers_show(html, want):
+    assert visible_text(html) == want
+
+
 def test_html_of_deep_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "u", "<div>" * 3000 + "x"), (2, None, None)], "page_id long, url string, html string")
     assert {r[0]: r[1] for r in html_text(pages).collect()} == {1: "x", 2: ""}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -10,11 +11,17 @@ from pyspark.sql import DataFrame
 
 # fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math datalist audio video canvas select textarea title".split())
+HIDDEN = frozenset("head script style template noscript iframe object datalist audio video canvas title".split())
+#: what a head may hold; anything else ends it, as </head> may be omitted
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: parts of drawings and formulas that are never drawn where they stand
+UNDRAWN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset(["annotation", "annotation-xml"])}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup html legend li main menu nav ol p pre search section summary table ul".split()
 )
+#: boxes with lines of their own, which end no paragraph
+BOX = frozenset("textarea select optgroup option".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: an opening tag closes these where they are the innermost open ones, up to a tag of the second set
 CLOSES = {
@@ -22,6 +29,7 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -51,21 +59,44 @@ class Builder(HTMLParser):
         if last:
             self.at = last.parent
 
+    def _inside(self, tags) -> Node | None:
+        """The innermost open element of tags."""
+        node = self.at
+        while node and node.tag not in tags:
+            node = node.parent
+        return node
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" and (head := self._inside({"head"})):
+            self.at = head.parent
         if tag in ("html", "body"):
             return
         if tag in BLOCK:
             self._close({"p"}, {"td", "th", "li", "div", "section", "article", "button"})
-        if tag != "head" and self.at.tag == "head" and tag not in HIDDEN and tag not in VOID:
+        if self.at.tag == "head" and tag not in HEAD:
             self.at = self.at.parent
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         a = dict(attrs)
-        hidden = tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or bool(a.get("style") and _UNSEEN.search(a["style"]))
-        node = Node(tag, self.at, hidden, a.get("start") or "")
+        hidden = tag in HIDDEN or "hidden" in a or bool(a.get("style") and _UNSEEN.search(a["style"]))
+        value = a.get("start") or ""
+        if tag == "text" or tag in UNDRAWN["svg"] or tag in UNDRAWN["math"]:
+            drawing = self._inside(UNDRAWN)
+            hidden = hidden or bool(drawing and tag in UNDRAWN[drawing.tag])
+            value = drawing.tag if drawing else ""
+        node = Node(tag, self.at, hidden, value)
         self.at.children.append(node)
+        if tag == "optgroup" and a.get("label"):
+            node.children.append(a["label"])
         if tag not in VOID:
             self.at = node
+        if tag == "textarea":  # its tags are text
+            self.set_cdata_mode(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag != "textarea":
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         node = self.at
@@ -77,8 +108,19 @@ class Builder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip(" \t\n\r\f"):
+            self.at = self.at.parent
+        if self.at.tag == "textarea":
+            data = unescape(data if self.at.children else data.removeprefix("\n"))
+            if not data.strip():
+                return
         self.at.children.append(data)
 
+    def close(self):
+        super().close()
+        if self.cdata_elem == "textarea" and self.rawdata:  # unclosed: the parser keeps the rest back
+            self.handle_data(self.rawdata)
+
 
 class Renderer:
     """Lines of text; `gap` is how many line ends the next text needs before it."""
@@ -140,7 +182,7 @@ def _render(root: Node) -> str:
                 out.need(1)
             out.need(2)
             continue
-        lines = 2 if tag in PARAGRAPH else 1 if tag in BLOCK else 0
+        lines = 2 if tag in PARAGRAPH else 1 if tag in BLOCK or tag in BOX or (tag == "text" and node.value == "svg") else 0
         if tag in ("ul", "ol") and depth:
             lines = 1
         if lines:
@@ -156,7 +198,7 @@ def _render(root: Node) -> str:
                 children.append((child, inner, count))
                 count += 1
             else:
-                children.append((child, inner, "pre" if tag == "pre" or number == "pre" else None))
+                children.append((child, inner, "pre" if tag in ("pre", "textarea") or number == "pre" else None))
         todo.extend(reversed(children))
     return out.done()
 
