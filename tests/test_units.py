@@ -46,6 +46,18 @@ def test_metacharacters_are_plain_text(spark):
     assert ids(filters.glob("search_text", "50?ya*")) == [2]
 
 
+def test_long_texts_are_searched_whole(spark):
+    from timeloom.plans.read_models import compact_rows
+    from timeloom.sources import fixture
+
+    ef = fixture.events_full(spark, "/root/testdata/sf0.001").limit(1).drop("message_full", "attributes_json")
+    words = "http://one.example/a CVE-2024-11111 http://two.example/b CVE-2024-22222 schtasks /create /tn z lastword"
+    for message, attributes in (("x " * 4000 + words, "{}"), ("m", '{"note":"' + "y " * 4000 + words + '"}')):
+        er = compact_rows(ef.withColumn("message_full", F.lit(message)).withColumn("attributes_json", F.lit(attributes)))
+        assert er.where(filters.contains("CVE-2024-22222") & filters.word("lastword") & F.col("search_text").rlike("schtasks /create")).count() == 1
+        assert {r["ioc"] for r in ioc.ioc_match(er, ["http://two.example/b", "cve-2024-11111", "absent"]).collect()} == {"http://two.example/b", "cve-2024-11111"}
+
+
 def test_bad_times_are_dropped(spark):
     rows = spark.createDataFrame([(1, "2024-01-01T00:00:00Z"), (2, "soon"), (3, None)], "event_id int, event_time_utc string")
     assert [r[0] for r in rows.where(filters.time_range("2023-01-01T00:00:00Z")).collect()] == [1]

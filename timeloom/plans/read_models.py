@@ -20,7 +20,8 @@ def json_text(column: str, key: str) -> Column:
 
 
 def search_text() -> Column:
-    return F.lower(F.concat_ws(" ", *SEARCHED, F.substring("message_full", 1, 2048), F.substring("attributes_json", 1, 4096)))
+    """The whole message and attributes, so no hit lies past a cut."""
+    return F.lower(F.concat_ws(" ", *SEARCHED, "message_full", "attributes_json"))
 
 
 def compact_rows(ef: DataFrame) -> DataFrame:
