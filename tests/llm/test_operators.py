@@ -127,6 +127,19 @@ def test_sequences_hold_the_ids(docs):
     assert sum(len(r["ids"]) for r in sequences(docs, path, 64).collect()) == want
 
 
+def test_added_tokens_in_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\x0b" + BASE * 3, "<|endoftext|", "a\u200b<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(pack(docs, path, 64, keep_ids=True).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        got[r["doc_id"]] += r["ids"]
+    assert got == {d: [*t.encode(x, add_special_tokens=False).ids, 2] for d, x in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, 2]
+
+
 def test_plan_uses_every_piece_once():
     h = np.random.default_rng(1).integers(0, 50, 129)
     h[0] = 0

@@ -23,7 +23,7 @@ class Encoder:
 
     The file's own vocabulary is handed to tiktoken, whose ids are the same (ids rise with the merges, which is
     checked) at a quarter of the time. Texts with control characters, of which the libraries differ on what is
-    white space, go to `tokenizers` itself.
+    white space, and texts that hold an added token go to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -35,14 +35,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.odd = regex.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\u180e\\u200b\\u2060\\ufeff]").search
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in plain)}
         special = {t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
+        self.odd = regex.compile("|".join(["[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\u180e\\u200b\\u2060\\ufeff]", *map(regex.escape, sorted(special))])).search
         ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         ordered = all(x < y for x, y in zip(merged, merged[1:], strict=False)) and len(ranks) == 256 + len(merged)
