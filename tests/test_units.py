@@ -58,6 +58,26 @@ def test_long_texts_are_searched_whole(spark):
         assert {r["ioc"] for r in ioc.ioc_match(er, ["http://two.example/b", "cve-2024-11111", "absent"]).collect()} == {"http://two.example/b", "cve-2024-11111"}
 
 
+def test_no_rows_beyond_a_limit_are_dropped(spark):
+    from timeloom.operators import aggregates, triage
+
+    n = 300_001
+    hour = F.date_format(F.timestamp_seconds(F.col("id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    names = ["event_action", "process_name", "message_full", "attributes_json", "artifact_type", "host", "user_name", "message_short"]
+    rows = spark.range(n).select(F.col("id").cast("string").alias("event_id"), hour.alias("event_time_utc"), F.lit("high").alias("severity"), *[F.lit("powershell").alias(c) for c in names])
+    assert filters.detection_candidates(rows).count() == n and filters.detection_candidates(rows, 5).count() == 5
+    assert triage.export_rows(rows).count() == n
+    assert {r["truncated"] for r in triage.export_rows(rows, 5).collect()} == {True}
+    assert {r["truncated"] for r in triage.export_rows(rows.limit(5), 5).collect()} == {False}
+    bins = aggregates.event_timeline(rows)
+    assert bins.count() == n and bins.agg(F.sum("high")).first()[0] == n
+    got = sorted(map(tuple, aggregates.timeline_columns(bins).collect()))
+    assert [r[0] for r in got] == list(range(200)) and sum(r[3] for r in got) == n and {r[3] for r in got[:-1]} == {1501}
+    assert got[0][1] == "1970-01-01T00:00:00Z" and all(a[2] < b[1] for a, b in zip(got, got[1:], strict=False))
+    codes = spark.createDataFrame([(str(k),) for k in range(60)], "event_code string")
+    assert codes.where(filters.form([str(k) for k in range(60)])).count() == 60
+
+
 def test_bad_times_are_dropped(spark):
     rows = spark.createDataFrame([(1, "2024-01-01T00:00:00Z"), (2, "soon"), (3, None)], "event_id int, event_time_utc string")
     assert [r[0] for r in rows.where(filters.time_range("2023-01-01T00:00:00Z")).collect()] == [1]

@@ -44,18 +44,21 @@ def timeline_bins(er: DataFrame) -> DataFrame:
     return er.groupBy(truncate_bin("event_time_utc", "hour").alias("bin"), "artifact_type").agg(F.count("*").alias("events"), severity_max("severity").alias("max_severity"))
 
 
-def event_timeline(er: DataFrame, unit: str = "hour", newest: int = 20_000) -> DataFrame:
-    """The newest bins in time order, with a count per severity."""
+def event_timeline(er: DataFrame, unit: str = "hour", newest: int | None = None) -> DataFrame:
+    """All bins in time order, or the newest of them, with a count per severity."""
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in RANKS]
     bins = er.groupBy(truncate_bin("event_time_utc", unit).alias("bin")).agg(F.count("*").alias("total"), *counts)
-    return bins.orderBy(F.desc("bin")).limit(newest).orderBy("bin")
+    return (bins if newest is None else bins.orderBy(F.desc("bin")).limit(newest)).orderBy("bin")
 
 
 def timeline_columns(bins: DataFrame, most: int = 200) -> DataFrame:
-    """Consecutive bins merged to at most `most` columns. bins are aggregated and at most 20 000, so one window over all is small."""
-    n = bins.agg(F.count("*").alias("n"))
-    row = bins.select("bin", "total", F.row_number().over(Window.orderBy("bin")).alias("k"))
-    return row.crossJoin(F.broadcast(n)).groupBy(F.expr(f"(k - 1) div ceil(n / {most})").alias("column")).agg(F.min("bin").alias("start"), F.max("bin").alias("end"), F.sum("total").alias("events"))
+    """Consecutive bins merged to at most `most` columns. Bins are numbered within their month, and only the months in one window."""
+    month = F.coalesce(F.substring("bin", 1, 7), F.lit("")).alias("month")
+    before = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    months = bins.groupBy(month).agg(F.count("*").alias("c")).select("month", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(whole).alias("n"))
+    row = bins.select("bin", "total", month).withColumn("k", F.row_number().over(Window.partitionBy("month").orderBy("bin")))
+    return row.join(months, "month").withColumn("k", F.col("k") + F.col("before")).groupBy(F.expr(f"(k - 1) div ceil(n / {most})").alias("column")).agg(F.min("bin").alias("start"), F.max("bin").alias("end"), F.sum("total").alias("events"))
 
 
 FACETS = ["artifact_type", "event_action", "severity", "host", "user_name", "process_name", "ip", "parser_name", "source_file_id"]

@@ -60,8 +60,8 @@ def time_range(after: str | None = None, before: str | None = None, before_exclu
 
 
 def form(codes: list[str] = (), user: str = "", ip: str = "", host: str = "", start: str = "", end: str = "", text: str = "") -> Column:
-    """Form fields joined by AND; up to 50 event codes by OR; times of minute precision end with the minute."""
-    parts = [F.col("event_code").isin(list(codes)[:50])] if codes else []
+    """Form fields joined by AND; event codes by OR; times of minute precision end with the minute."""
+    parts = [F.col("event_code").isin(list(codes))] if codes else []
     parts += [field_contains(k, v) for k, v in (("user", user), ("ip", ip), ("host", host)) if v]
     pad = lambda t, s: f"{t[:16]}:{s}Z" if re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\dZ?", t) else t
     if start or end:
@@ -96,9 +96,11 @@ def suspicious() -> Column:
     return F.col("severity").isin("critical", "high") | ((F.col("severity") == "medium") & F.col("search_text").rlike(SUSPICIOUS))
 
 
-def detection_candidates(ef: DataFrame, limit: int = 300_000) -> DataFrame:
+def detection_candidates(ef: DataFrame, limit: int | None = None) -> DataFrame:
+    """All candidates in time order, or the oldest of them up to a limit."""
     text = F.lower(F.concat_ws(" ", "event_action", "process_name", "message_full", "attributes_json"))
-    return ef.where(text.rlike(SUSPICIOUS)).orderBy("event_time_utc", "event_id").limit(limit)
+    found = ef.where(text.rlike(SUSPICIOUS)).orderBy("event_time_utc", "event_id")
+    return found if limit is None else found.limit(limit)
 
 
 def saved_search_visibility(searches: DataFrame, viewer: str | None) -> DataFrame:

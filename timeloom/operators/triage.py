@@ -29,17 +29,20 @@ def triage_queue(er: DataFrame, limit: int = 100) -> DataFrame:
     return groups.unionByName(chains).orderBy(F.desc("priority"), "kind", "key").limit(limit)
 
 
-def export_rows(er: DataFrame, limit: int = 100_000) -> DataFrame:
-    """The rows of an export in time order; `truncated` tells whether more would follow."""
-    page = er.orderBy("event_time_utc", "event_id").limit(limit + 1)
-    return page.select("event_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "message_short").limit(limit)
+def export_rows(er: DataFrame, limit: int | None = None) -> DataFrame:
+    """All rows of an export in time order. With a limit, the first of them, and `truncated` tells whether more would follow."""
+    rows = er.orderBy("event_time_utc", "event_id").select("event_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "message_short")
+    if limit is None:
+        return rows
+    more = er.select("event_id").limit(limit + 1).agg((F.count("*") > limit).alias("truncated"))
+    return rows.limit(limit).crossJoin(F.broadcast(more)).orderBy("event_time_utc", "event_id")
 
 
-def export_csv(er: DataFrame, path: str, limit: int = 100_000) -> None:
+def export_csv(er: DataFrame, path: str, limit: int | None = None) -> None:
     export_rows(er, limit).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
-def export_jsonl(er: DataFrame, path: str, limit: int = 100_000) -> None:
+def export_jsonl(er: DataFrame, path: str, limit: int | None = None) -> None:
     export_rows(er, limit).write.mode("overwrite").json(path)
 
 
