@@ -78,6 +78,40 @@ def test_no_rows_beyond_a_limit_are_dropped(spark):
     assert codes.where(filters.form([str(k) for k in range(60)])).count() == 60
 
 
+def test_heuristics_of_the_survey(spark):
+    import json
+
+    from timeloom.operators import aggregates, heuristics
+
+    events = [
+        ("c1", "4720", "01", {"TargetUserName": "Bob", "TargetSid": "S-1"}), ("g1", "4732", "02", {"MemberSid": "S-1", "MemberName": "-", "TargetUserName": "Administrators"}),
+        ("g2", "4728", "03", {"MemberName": "CN=bob,OU=x", "TargetUserName": "Domain Admins"}), ("g3", "4756", "04", {"MemberSid": "S-2", "MemberName": "DOM\\bob", "TargetUserName": "Z"}),
+        ("g4", "4756", "28", {"MemberSid": "S-1", "TargetUserName": "late"}),
+        ("l1", "4624", "05", {"LogonType": "3", "AuthenticationPackageName": "NTLM"}), ("l2", "4624", "05", {"LogonType": 9, "LogonProcessName": "NtLmSsp "}), ("l3", "4624", "05", {"LogonType": "2", "AuthenticationPackageName": "NTLM"}),
+        ("l4", "4624", "05", {"LogonType": "3", "AuthenticationPackageName": "Kerberos", "TicketEncryptionType": "0x17"}),
+        ("t1", "4769", "06", {"TargetUserName": "ann@DOM"}), ("t2", "4768", "07", {"TargetUserName": "ann"}), ("t3", "4769", "08", {"TargetUserName": "ann@DOM"}), ("t4", "4769", "08", {"TargetUserName": "eve@DOM"}),
+    ]
+    rows = [(i, c, f"2024-01-{d}T00:00:00Z", json.dumps({"data": a})) for i, c, d, a in events]
+    er = spark.createDataFrame(rows, "event_id string, event_code string, event_time_utc string, attributes_json string").withColumn("user_name", F.lit(None).cast("string"))
+    assert sorted(map(tuple, heuristics.priv_group_added(er).collect())) == [("bob", "administrators", "c1", "g1"), ("bob", "domain admins", "c1", "g2")]
+    assert sorted(r[0] for r in heuristics.ntlm_network_logon(er).collect()) == ["l1", "l2"]
+    assert sorted(r[0] for r in heuristics.tgs_without_tgt(er).collect()) == ["t1", "t4"]
+    logs = spark.createDataFrame([("Microsoft-Windows-Windows Defender/Operational", "threat"), ("Security", "logon")], "channel string, event_action string").withColumn("event_time_utc", F.lit("t")).withColumn("severity", F.lit("high"))
+    logs = logs.withColumn("artifact_type", F.lit("evtx")).withColumn("parser_name", F.lit("p")).withColumn("message_short", F.lit(None).cast("string"))
+    assert [r["event_action"] for r in aggregates.defender_event_summary(logs).collect()] == ["threat"]
+
+
+def test_triage_has_every_source_and_step(spark):
+    from timeloom import queries as library
+
+    got = library.QUERIES["triage_actions"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["category"] for r in got} == {"finding", "correlation", "parser_failure", "review"}
+    assert [r["priority"] for r in got] == sorted((r["priority"] for r in got), reverse=True)
+    assert {r["key"]: r["priority"] for r in got if r["category"] == "review"} == {"retired_rule": 3300} and "service_installed" not in {r["key"] for r in got}
+    steps = library.QUERIES["triage_funnel_steps"](spark, "/root/testdata/sf0.001").collect()
+    assert [r["name"] for r in steps] == ["collected", "detected", "triaged", "incident"] and steps[0]["percent"] is None
+
+
 def test_bad_times_are_dropped(spark):
     rows = spark.createDataFrame([(1, "2024-01-01T00:00:00Z"), (2, "soon"), (3, None)], "event_id int, event_time_utc string")
     assert [r[0] for r in rows.where(filters.time_range("2023-01-01T00:00:00Z")).collect()] == [1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.functions.columns import filled, timestamp
+from timeloom.functions.columns import attr_string, filled, timestamp
 from timeloom.registry import query
 
 #: tools of the system that intruders use; fixed values of ours
@@ -43,6 +43,40 @@ def account_created_then_used(er: DataFrame, seconds: int = 7 * 86_400) -> DataF
     return made.join(used, "user_name").where((F.col("t1") > F.col("t0")) & (F.col("t1") - F.col("t0") <= seconds)).groupBy("user_name").agg(F.count("*").alias("pairs"), F.min("created").alias("created"))
 
 
+def _data(*keys: str):
+    return F.lower(attr_string("attributes_json", *[f"data.{k}" for k in keys]))
+
+
+def priv_group_added(er: DataFrame, seconds: int = 7 * 86_400) -> DataFrame:
+    """Accounts created (4720) and then, within the time, added to a group (4728, 4732, 4756): by SID, or by name where one side has none."""
+    t = F.unix_timestamp(timestamp("event_time_utc"))
+    keys = F.explode(F.filter(F.array(F.struct(F.lit("sid").alias("by"), F.col("sid").alias("key")), F.struct(F.lit("name").alias("by"), F.col("name").alias("key"))), lambda x: x["key"].isNotNull())).alias("k")
+    member = _data("MemberName")
+    cn = F.nullif(F.regexp_extract(member, r"^cn=([^,]+)", 1), F.lit(""))
+    made = er.where("event_code = '4720'").select(F.col("event_id").alias("created"), t.alias("t0"), _data("TargetSid").alias("sid"), _data("TargetUserName").alias("name"))
+    added = er.where("event_code IN ('4728', '4732', '4756')").select(
+        F.col("event_id").alias("added"), t.alias("t1"), _data("MemberSid").alias("sid"), F.coalesce(cn, F.regexp_replace(member, r"^.*\\", "")).alias("name"), _data("TargetUserName").alias("group_name"))
+    made = made.select("created", "t0", F.col("sid").alias("sid0"), F.col("name").alias("account"), keys).select("*", "k.*").drop("k")
+    added = added.select("added", "t1", "group_name", F.col("sid").alias("sid1"), keys).select("*", "k.*").drop("k")
+    pairs = made.join(added, ["by", "key"]).where("t1 >= t0").where(F.col("t1") - F.col("t0") <= seconds).where("by = 'sid' OR sid0 IS NULL OR sid1 IS NULL")
+    return pairs.select("account", "group_name", "created", "added").distinct()
+
+
+def ntlm_network_logon(er: DataFrame) -> DataFrame:
+    """Logons (4624) of type 3 or 9 by NTLM: the shape of a passed hash."""
+    ntlm = [F.startswith(_data(k), F.lit("ntlm")) for k in ("AuthenticationPackageName", "LogonProcessName", "LmPackageName")]
+    return er.where("event_code = '4624'").where(_data("LogonType").isin("3", "9") & F.coalesce(*[F.when(c, F.lit(True)) for c in ntlm], F.lit(False))).select("event_id")
+
+
+def tgs_without_tgt(er: DataFrame) -> DataFrame:
+    """Service tickets (4769) of accounts that got no TGT (4768) before or in the same second."""
+    account = F.substring_index(F.lower(F.coalesce(filled("user_name"), attr_string("attributes_json", "data.TargetUserName"))), "@", 1).alias("account")
+    t = timestamp("event_time_utc")
+    first = er.where("event_code = '4768'").select(account, t.alias("t")).groupBy("account").agg(F.min("t").alias("first"))
+    asked = er.where("event_code = '4769'").select("event_id", account, t.alias("t")).where("account IS NOT NULL")
+    return asked.join(first, "account", "left").where("first IS NULL OR first > t").select("event_id")
+
+
 _T = "CAST(epoch(CAST(event_time_utc AS TIMESTAMP)) AS BIGINT)"
 query("heur_password_spray", """ SELECT ip, substr(event_time_utc, 1, 10) || 'T00:00:00Z' AS start, count(DISTINCT nullif(nullif(user_name, ''), '-')) AS users, count(*) AS failures FROM er
  WHERE event_action = 'logon_failure' AND ip IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT nullif(nullif(user_name, ''), '-')) >= 3""")(password_spray)
@@ -75,6 +109,14 @@ query("heur_forged_ticket", "SELECT e.event_id FROM er e WHERE event_action = 'k
 query("heur_pass_the_hash", "SELECT event_id FROM er WHERE event_code = '4624' AND contains(attributes_json, '\"TicketEncryptionType\":\"0x17\"')")(
     lambda er: er.where("event_code = '4624'").where(F.contains("attributes_json", F.lit('"TicketEncryptionType":"0x17"'))).select("event_id")
 )
+_J = lambda k: f"lower(nullif(nullif(trim(json_extract_string(attributes_json, '$.data.{k}')), ''), '-'))"
+query("heur_priv_group_added", f""", m AS (SELECT event_id AS created, {_T} AS t0, {_J('TargetSid')} AS sid, {_J('TargetUserName')} AS name FROM er WHERE event_code = '4720'),
+ g AS (SELECT event_id AS added, {_T} AS t1, {_J('MemberSid')} AS sid, coalesce(nullif(regexp_extract({_J('MemberName')}, '^cn=([^,]+)', 1), ''), regexp_replace({_J('MemberName')}, '^.*\\\\', '')) AS name,
+ {_J('TargetUserName')} AS group_name FROM er WHERE event_code IN ('4728', '4732', '4756'))
+ SELECT m.name AS account, group_name, created, added FROM m JOIN g ON m.sid = g.sid OR (m.name = g.name AND (m.sid IS NULL OR g.sid IS NULL)) WHERE t1 >= t0 AND t1 - t0 <= 604800""")(priv_group_added)
+query("heur_ntlm_network_logon", f"SELECT event_id FROM er WHERE event_code = '4624' AND {_J('LogonType')} IN ('3', '9') AND regexp_matches(concat_ws('|', {_J('AuthenticationPackageName')}, {_J('LogonProcessName')}, {_J('LmPackageName')}), '(^|\\|)ntlm')")(ntlm_network_logon)
+query("heur_tgs_without_tgt", f""", a AS (SELECT event_id, event_code, {_T} AS t, split_part(coalesce(lower(nullif(nullif(user_name, ''), '-')), {_J('TargetUserName')}), '@', 1) AS account FROM er WHERE event_code IN ('4768', '4769'))
+ SELECT event_id FROM a WHERE event_code = '4769' AND account IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a g WHERE g.event_code = '4768' AND g.account = a.account AND g.t <= a.t)""")(tgs_without_tgt)
 _SIGS = {"encoded_command": "-enc [a-z0-9+/=]{6,}", "download_cradle": "urlcache|downloadstring", "log_clearing": "wevtutil cl|clear-eventlog", "scheduled_task": "schtasks /create"}
 query("signature_scan", " UNION ALL ".join((", " if not k else "") * 0 + f"SELECT '{n}' AS signature, count(*) AS events, min(event_id) AS first_event FROM er WHERE regexp_matches(search_text, '{p}')" for k, (n, p) in enumerate(_SIGS.items())))(
     lambda er: er.select("event_id", F.explode(F.array_compact(F.array(*[F.when(F.col("search_text").rlike(p), F.lit(n)) for n, p in _SIGS.items()]))).alias("signature")).groupBy("signature").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
