@@ -55,7 +55,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack_documents),
 ]
 
-#: no stage but decontamination can be written in SQL; tests/llm compares the stages with brute force
+#: no stage but decontamination can be written in SQL; tests/llm compares ngram_jaccard_join, suffix_array_dedup, decontamination and packing with
+#: brute force on documents given to them; toxicity only as an operator, on held-out documents
 ORACLE_SQL = None
 
 

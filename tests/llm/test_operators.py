@@ -366,3 +366,38 @@ def test_pipeline(spark):
             brute = brute_components([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)
             assert {r["doc_id"] for r in kept.collect()} == {c for _, c in brute.values()}
     assert kept.count() >= 100 and {"doc_id", "sequence_id", "offset"} <= set(kept.columns)
+
+
+def test_stages_against_brute_force(spark, docs):
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(d, t, "en", "s", len(t or "")) for d, t, *_ in docs.collect()]
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows += [(1000 + k, BASE + " " + t, "en", "s", 1) for k, t in enumerate(items[:3])]
+    given = spark.createDataFrame(rows, table.schema)
+    raw = {r[0]: (r[1] or "").encode() for r in rows}
+    first = {}
+    for d in sorted(raw):
+        for p in range(len(raw[d]) - 49):
+            first.setdefault(raw[d][p : p + 50], d)
+    want = {}
+    for d, s in raw.items():
+        gone = bytearray(len(s))
+        for p in range(len(s) - 49):
+            if first[s[p : p + 50]] < d:
+                gone[p : p + 50] = b"\1" * 50
+        want[d] = bytes(x for x, g in zip(s, gone, strict=True) if not g)
+    cut = {r["doc_id"]: (r["text"] or "").encode() for r in stages["suffix_array_dedup"](spark, given, SF).collect()}
+    assert cut == {d: s.decode(errors="replace").encode() for d, s in want.items() if s or not raw[d]}
+    word = re.compile(r"[0-9a-z_\x80-\U0010ffff]+")
+    sets = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(word.findall((t or "").translate(LOW)))
+    banned = [b for b in map(sets, items) if b]
+    clean = {r[0] for r in rows if not any(100 * len(sets(r[1]) & b) >= 80 * len(b) for b in banned)}
+    assert {r["doc_id"] for r in stages["benchmark_decontamination"](spark, given, SF).collect()} == clean and len(clean) == len(rows) - 3
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in rows}
+    pieces = stages["best_fit_packing"](spark, given, SF).collect()
+    assert sum(r["length"] for r in pieces) == sum(map(len, ids.values()))
+    assert all(zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in pieces)
