@@ -2,24 +2,28 @@
 
 A word enters as the sum of a hashed word embedding and of the hashed embeddings of its 3- to 5-byte character grams.
 Two gated recurrent layers read a window of `WINDOW` words in either direction, attention pools their states, and a
-logistic unit scores the window. A document's score is that of its worst window; all windows, which overlap, are
-scored. Training fits on a bounded sample of labelled documents (`SAMPLE` of each class at most, by the hash of their
-ids) and picks the window that speaks for the label anew in each round; embeddings start from the sample's log-odds.
-The model has a fixed size (about 4 MB), so it is broadcast.
+logistic unit scores the window. A document's score is that of its worst window; all windows, which overlap by half, are
+scored. Training fits on a sample of labelled documents (`SAMPLE` of each class at most, by the hash of their ids, and
+`SAMPLE_BYTES` of text together) and picks the window that speaks for the label anew in each round; embeddings start
+from the sample's log-odds. It runs in one task, which a lost executor only repeats: the driver sees neither texts nor
+windows. The model has a fixed size (about 4 MB), so it is broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.llm import shared as S
 
 U64 = np.uint64
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 32
 SAMPLE = (1200, 2400)  # toxic and other labelled documents that training sees at most
+SAMPLE_BYTES = 10 << 20  # of their texts together; a text of more than a 64th of it is not learned from
 BITS, DIM, HIDDEN = 15, 8, 8
 GRAMS = (3, 4, 5)
 
@@ -312,19 +316,35 @@ def _scorer(shared, names: list[str]):
     return score
 
 
+def _trainer(share: float):
+    def fit(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("toxic").to_pylist()
+        y = np.array(labels, np.int64)
+        model = train(texts, y, share) if len(set(labels)) == 2 else float(share)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return fit
+
+
 def fitted(docs: DataFrame, labels: DataFrame):
-    """The model, trained on the driver from a sample bounded by SAMPLE; a number where a class is missing."""
+    """The model, trained in one task from a sample bounded by SAMPLE and SAMPLE_BYTES; a number where a class is missing."""
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((1, SAMPLE[0]), (0, SAMPLE[1]))]
     ids = parts[0].unionByName(parts[1])
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    sample = sorted({r["doc_id"]: r for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))}.values(), key=lambda r: r["doc_id"])
-    y = np.array([r["toxic"] for r in sample], np.int64)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    model = train([r["text"] for r in sample], y, share) if len(set(y.tolist())) == 2 else float(share)
-    return spark.sparkContext.broadcast(model)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    sample = S.stored(texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "toxicity-sample")
+    size = F.octet_length("text")
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's ids, SAMPLE rows at most
+    within = sample.select("doc_id", size.alias("size")).where(F.col("size") <= SAMPLE_BYTES // 64).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
+    chosen = sample.join(F.broadcast(within.select("doc_id")), "doc_id").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id")
+    rows = chosen.mapInArrow(_trainer(share), "model binary").collect()  # one model
+    return spark.sparkContext.broadcast(pickle.loads(rows[0]["model"]) if rows else float(share))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
