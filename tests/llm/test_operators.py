@@ -87,6 +87,56 @@ def test_ngram_join(docs, width, percent):
     assert got == brute_components([(r[0], r[1]) for r in docs.collect()], width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_ngram_join_of_many_documents(spark, width, percent, monkeypatch):
+    """A large group of near copies with drift, small ones, sets at the threshold, short ones, and texts of common lines."""
+    from timeloom.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "GROUP", 20_000)  # many groups to a family
+    r = np.random.default_rng(9)
+    vocabulary = np.array([f"v{k}" for k in range(3000)])
+    rows, d = [], 0
+    for size, n, drift in [(300, 40, 3), *[(int(r.integers(2, 6)), int(r.integers(4, 120)), 2) for _ in range(130)]]:
+        base = list(r.choice(vocabulary, n))
+        for _ in range(size):
+            w = list(base)
+            for _ in range(int(r.integers(0, drift + 1))):
+                w[int(r.integers(len(w)))] = str(r.choice(vocabulary))
+            rows.append((d, " ".join(w[: len(w) - int(r.integers(0, 3))])))
+            d += 1
+    lines = [" ".join(r.choice(vocabulary, 9)) for _ in range(12)]
+    rows += [(d + k, " ".join(r.choice(lines, 6))) for k in range(200)]
+    for n in (9, 10, 18, 19, 20, 27, 60):  # subsets by one shingle
+        w = list(r.choice(vocabulary, n + width))
+        rows += [(5000 + n * 10 + k, " ".join(w[: n + width - 1 - k])) for k in range(4)]
+    frame = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join(frame, width, percent).collect()}
+    want = brute_components(rows, width, percent)
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(rows) - 100
+
+
+def test_signatures_meet():
+    from timeloom.llm.ngram_join import signatures
+
+    r = np.random.default_rng(6)
+    for percent in (80, 90):
+        for n in [*range(4, 60), 100, 333, 1000]:
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            for _ in range(6):
+                less, more = int(r.integers(0, n // 4 + 1)), int(r.integers(0, n // 4 + 1))
+                b = np.unique(np.r_[r.permutation(a)[: n - less], r.integers(0, 2**63, more).astype(np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(signatures(a, percent), signatures(b, percent)))
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    rows = [(1, BASE), (1, "quite another text of seven words here"), (2, BASE), (2, "quite another text of seven words here"), (None, BASE), (3, None)]
+    got = sorted(ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).select("doc_id", "component_id").collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(1, 1), (1, 1), (2, 1), (2, 1), (None, None), (3, 3)], key=lambda t: f"Row(doc_id={t[0]}, component_id={t[1]})")
+
+
 def test_ngram_join_repeated_rows_and_empty(docs):
     twice = ngram_join(docs.union(docs), 3, 90)
     assert twice.count() == 2 * docs.count() and twice.distinct().count() == docs.count()
@@ -244,6 +294,95 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity(docs.limit(0), known.limit(0), ["doc_id"]).count() == 0
 
 
+def window_words(n_rows=6):
+    from timeloom.llm import toxicity as T
+
+    r = np.random.default_rng(11)
+    texts = [" ".join(r.choice(BASE.split(), int(k))) for k in r.integers(3, 90, n_rows)]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    words = T.Words(buf, np.r_[0, np.cumsum([len(t) for t in texts])])
+    _, begin, size = words.windows()
+    return T, words, begin, size
+
+
+def plain_logit(p, x, hidden):
+    """The network's definition, one window, one step at a time, in double precision."""
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    states = {}
+    for d in "fb":
+        h, out = np.zeros(hidden), []
+        for v in x if d == "f" else x[::-1]:
+            g, y = v @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            z, k = sig(g[:hidden] + y[:hidden]), sig(g[hidden : 2 * hidden] + y[hidden : 2 * hidden])
+            c = np.tanh(g[2 * hidden :] + k * y[2 * hidden :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        states[d] = np.array(out if d == "f" else out[::-1])
+    both = np.concatenate([states["f"], states["b"]], 1)
+    a = np.exp(both @ p["attend"])
+    return (a / a.sum()) @ both @ p["out"] + p["bias"][0]
+
+
+def test_the_network_against_its_definition():
+    T, words, begin, size = window_words()
+    p = {k: v.astype(np.float64) for k, v in T.initial(3).items()}
+    vectors = words.vectors(p)
+    got = T.forward(p, vectors, *T._batch(words, begin, size))
+    want = [plain_logit(p, vectors[words.token[b : b + s]], T.HIDDEN) for b, s in zip(begin, size, strict=True)]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_gradients_against_differences():
+    T, words, begin, size = window_words(3)
+    p = {k: v.astype(np.float64) for k, v in T.initial(3).items()}
+    p |= {k: v * 20 for k, v in p.items() if k in ("word", "char")}
+    vectors = words.vectors(p)
+    index, mask = T._batch(words, begin, size)
+    y = np.arange(len(begin)) % 2
+    loss = lambda q, v: float(np.sum(np.logaddexp(0, T.forward(q, v, index, mask)) - y * T.forward(q, v, index, mask)))
+    keep = {}
+    delta = 1 / (1 + np.exp(-T.forward(p, vectors, index, mask, keep))) - y
+    g, dv = T.gradients(p, vectors, index, mask, keep, delta)
+    r = np.random.default_rng(0)
+    for name, grad in [*((k, g[k]) for k in ("wf", "uf", "cf", "wb", "ub", "cb", "attend", "out", "bias")), ("vectors", dv)]:
+        for _ in range(3):
+            at = tuple(int(r.integers(s)) for s in grad.shape)
+            sides = []
+            for e in (1e-2, -1e-2):  # states are single precision
+                q, v = {k: x.copy() for k, x in p.items()}, vectors.copy()
+                (v if name == "vectors" else q[name])[at] += e
+                sides.append(loss(q, v))
+            assert abs((sides[0] - sides[1]) / 2e-2 - grad[at]) < 2e-3 + 0.02 * abs(grad[at]), name
+
+
+def test_the_network_adds_to_the_words(spark):
+    """Label 1 where `not` does not stand before the word: words alone, whatever their weights, can't tell."""
+    from timeloom.llm import toxicity as T
+
+    r = np.random.default_rng(8)
+    texts, y = [], []
+    for k in range(600):
+        w = list(r.choice(BASE.split(), 12))
+        w[5:7] = ["bad", "not"] if k % 2 else ["not", "bad"]
+        texts.append(" ".join(w))
+        y.append(k % 2)
+    p = T.train(texts[:500], np.array(y[:500]), 0.5, updates=400)
+    buf = np.frombuffer("".join(texts[500:]).encode(), np.uint8)
+    words = T.Words(buf, np.r_[0, np.cumsum([len(t) for t in texts[500:]])])
+    _, begin, size = words.windows()
+    logit = p["scale"][0] * T._logits(p, words, begin, size) + p["scale"][1]
+    assert np.mean((logit >= 0) == (np.array(y[500:]) == 1)) > 0.9
+    lexical = words.vectors(p)[:, 0][words.token]
+    bag = np.array([lexical[b : b + s].sum() for b, s in zip(begin, size, strict=True)])
+    assert max(np.mean((bag >= c) == (np.array(y[500:]) == 1)) for c in np.unique(bag)) < 0.7
+
+
+def test_toxic_passages_across_window_edges():
+    from timeloom.llm.toxicity import STRIDE, WINDOW
+
+    assert 2 * STRIDE <= WINDOW  # so that any passage of up to half a window lies whole in one
+
+
 # ---- 8
 
 

@@ -40,8 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    spark.sparkContext._jvm.System.gc()  # and those of collected results, once nothing refers to them
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes stored tables that no frame still to be computed reads."""
+    for df in frames:
+        spark, path = df.sparkSession, df.stored_at
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 # ---------------------------------------------------------------- words of UTF-8 buffers
@@ -147,28 +156,29 @@ def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> list[np
 # ---------------------------------------------------------------- connected components
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over links (a, b). Vertices without links don't appear.
 
     Each round takes the smallest label among the neighbours' and then the label's own label, so paths
-    halve. Only grouped minima and equi-joins run; hubs are pre-aggregated or split by skew joins.
+    halve; rounds go on until no label changes. Only grouped minima and equi-joins run; hubs are pre-aggregated
+    or split by skew joins.
     """
     links = stored(links.select("a", "b").where("a <> b"), "links")
     both = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = label.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jump = label.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = stored(
             low.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "was"), "labels"
         )
+        discard(label)
         label = new.select("id", "component")
+        label.stored_at = new.stored_at
         if not new.where("component <> was").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return label
+            discard(links, both)
+            return label
 
 
 # ---------------------------------------------------------------- arrays in the shared folder
