@@ -465,6 +465,26 @@ def test_suffix_dedup(docs):
     assert suffix_dedup(docs.union(docs)).count() == 2 * docs.count() and suffix_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_suffix_dedup_of_many_documents(spark, hot):
+    """Passages that many documents share in changing company, whole copies, long and periodic texts, all split as hot where hot is 3."""
+    r = np.random.default_rng(12)
+    vocabulary = [f"word{k}" for k in range(400)]
+    passages = [" ".join(r.choice(vocabulary, int(n))) for n in r.integers(8, 90, 15)]
+    rows = []
+    for d in range(500):
+        parts = [" ".join(r.choice(vocabulary, int(r.integers(0, 25))))]
+        for _ in range(int(r.integers(0, 3))):
+            p = passages[int(r.integers(15))]
+            a = int(r.integers(0, len(p) // 2))
+            parts += [p[a : a + int(r.integers(30, 300))], " ".join(r.choice(vocabulary, int(r.integers(0, 9))))]
+        rows.append((d * 7 % 503, " ".join(parts)))
+    rows += [(1000 + k, rows[k][1]) for k in range(40)] + [(2000, "ab" * 300), (2001, "x" * 120 + "ab" * 200), (2002, "\u00e9" * 90), (2003, passages[0] * 200), (2004, "z\u00e9" + passages[0])]
+    frame = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup(frame, hot=hot).collect()}
+    assert got == brute_removed(rows)
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(4)
     for n in (1, 2, 9, 200):

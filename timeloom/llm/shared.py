@@ -74,6 +74,11 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hash's base and of its inverse, n at least."""
+    return _pow(n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))
@@ -209,3 +214,18 @@ def open_array(folder: str, name: str, dtype) -> np.ndarray:
         return np.memmap(path, dtype, "r")
     with store.open_input_file(path) as f:
         return np.frombuffer(f.read(), dtype)
+
+
+class Arrays:
+    """A task's view of a folder's arrays; few stay open, as a process may map only so many."""
+
+    def __init__(self, folder: str, most: int = 4096):
+        self.folder, self.most = folder, most
+        self.open: dict[str, np.ndarray] = {}
+
+    def get(self, name: str, dtype) -> np.ndarray:
+        if name not in self.open:
+            if len(self.open) >= self.most:
+                self.open.clear()
+            self.open[name] = open_array(self.folder, name, dtype)
+        return self.open[name]

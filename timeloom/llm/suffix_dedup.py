@@ -3,14 +3,15 @@
 Every 50-byte window belongs to the smallest hash of a 16-byte gram inside it (its minimizer). Equal windows have
 equal minimizers, so consecutive windows of one minimizer are cut out together as one string, and all strings of a
 minimizer meet in one shard. A first pass finds the minimizers that two documents share, as sorted hash arrays in
-the shared folder that workers memory-map; only their strings are sent on.
-
-A shard first joins equal strings by their digests: all but the earliest document lose them. Only where a minimizer
-has strings that differ are the strings themselves sent, and suffix arrays built over them:
-Larsson-Sadakane refinement (groups of equal prefixes are split by the ranks of what follows, sorted ones are left
-alone), Kasai's common prefixes (compared only where the preceding bytes differ, counted down elsewhere), classes of
-suffixes whose common prefix has 50 bytes. A shard larger than `SHARD` bytes is cut into several arrays, and their
-classes are merged by binary search of each one's windows in the others' sorted windows.
+the shared folder that workers memory-map; only their strings are sent on. A string that a task has sent is named by
+its digest from then on. A minimizer with more than `HOT` runs is split further: its windows by where the gram stands
+in them and by the bytes that windows with such a place have in common, so that equal windows still meet.
+
+A shard's suffix arrays hold each of its different strings once, with the smallest document that has it, and decide
+for every window: Larsson-Sadakane refinement (groups of equal prefixes are split by the ranks of what follows, sorted
+ones are left alone), Kasai's common prefixes (compared only where the preceding bytes differ, counted down
+elsewhere), classes of suffixes whose common prefix has 50 bytes. A shard larger than `SHARD` bytes is cut into
+several arrays, and their classes are merged by binary search of each one's windows in the others' sorted windows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ from timeloom.llm import shared as S
 
 U64 = np.uint64
 GRAM = 16
-SHARD = 4 << 20  # bytes of one suffix array
+SHARD = 2 << 20  # bytes of one suffix array
+HOT = 50_000  # runs of one minimizer that a shard takes without splitting them
+RANGES = 7  # parts of the places that a gram may have in a window
+PIECE = 1 << 20  # bytes of text that a task hashes at once
+FLUSH = 12 << 20  # bytes of strings that a task holds before it sends them
+_RAW = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -48,23 +54,27 @@ def load8(buf: np.ndarray, kind: str) -> np.ndarray:
 def suffix_array(buf: np.ndarray) -> np.ndarray:
     """Larsson-Sadakane: each round doubles the sorted depth and touches only groups that are still unsorted."""
     n = len(buf)
+    if not n:
+        return np.zeros(0, np.int32)
     key = load8(buf, ">u8")
-    sa = np.argsort(key, kind="stable")
-    change = np.r_[True, key[sa][1:] != key[sa][:-1]] if n else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
+    change = np.r_[True, key[1:] != key[:-1]]
+    start = np.maximum.accumulate(np.where(change, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n + 1, np.int32)
     rank[sa] = start
     rank[n] = -1
     h = 8
-    at = np.flatnonzero(~(change & np.r_[change[1:], True])) if n else np.zeros(0, np.int64)
+    at = np.flatnonzero(~(change & np.r_[change[1:], True])).astype(np.int32)
+    del key, change, start
     while len(at) and h < n + 8:
         sub = sa[at]
-        key = (rank[sub] << 32) | (rank[np.minimum(sub + h, n)] + 1)
+        key = (rank[sub].astype(np.int64) << 32) | (rank[np.minimum(sub + h, n)] + 1)
         order = np.argsort(key)
         sub, key = sub[order], key[order]
         sa[at] = sub
         new = np.r_[True, key[1:] != key[:-1]]
-        rank[sub] = np.maximum.accumulate(np.where(new, at, 0))
+        rank[sub] = np.maximum.accumulate(np.where(new, at, np.int32(0)))
         at = at[~(new & np.r_[new[1:], True])]
         h *= 2
     return sa
@@ -73,15 +83,14 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
 def common_prefixes(buf: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Kasai: lcp[k] of suffixes sa[k-1], sa[k]. Where the preceding bytes agree it is the previous position's less one."""
     n = len(buf)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
-    inner = (phi > 0) & (at > 0)
     follows = np.zeros(n, bool)
-    follows[inner] = (buf[at[inner] - 1] == buf[phi[inner] - 1]) & (phi[at[inner] - 1] == phi[inner] - 1)
-    plcp = np.zeros(n, np.int64)
+    at = np.flatnonzero(phi[1:] > 0).astype(np.int32) + 1
+    follows[at] = (buf[at - 1] == buf[phi[at] - 1]) & (phi[at - 1] == phi[at] - 1)
+    plcp = np.zeros(n, np.int32)
     eight = load8(buf, "<u8")
-    i = np.flatnonzero(~follows & (phi >= 0))
+    i = np.flatnonzero(~follows & (phi >= 0)).astype(np.int32)
     j = phi[i]
     depth = 0
     while len(i):
@@ -90,16 +99,18 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray) -> np.ndarray:
         x = np.where(inside, eight[np.minimum(a, n - 1)] ^ eight[np.minimum(b, n - 1)], U64(1))
         same = x == 0
         low = x[~same] & (~x[~same] + U64(1))
-        plcp[i[~same]] = depth + np.where(inside[~same], np.log2(low.astype(np.float64)).astype(np.int64) // 8, 0)
+        plcp[i[~same]] = depth + np.where(inside[~same], np.log2(low.astype(np.float64)).astype(np.int32) // 8, 0)
         i, j, depth = i[same], j[same], depth + 8
+    del eight
+    at = np.arange(n, dtype=np.int32)
     plcp = np.minimum(plcp, n - np.maximum(at, phi))
-    base = np.where(follows, -1, at)
-    head = np.maximum.accumulate(base)
+    head = np.maximum.accumulate(np.where(follows, np.int32(-1), at))
     return np.maximum(plcp[head] - (at - head), 0)[sa]
 
 
-def earliest(strings: list[bytes], docs: list[int], length: int) -> list[np.ndarray]:
+def earliest(strings: list[bytes], docs, length: int) -> list[np.ndarray]:
     """For each string's windows of `length` bytes: the smallest of docs among all strings that hold the window."""
+    docs = np.asarray(docs, np.int64)
     chunks, lo, size = [], 0, 0
     for k, s in enumerate(strings):
         if size and size + len(s) > SHARD:
@@ -109,31 +120,31 @@ def earliest(strings: list[bytes], docs: list[int], length: int) -> list[np.ndar
     chunks.append((lo, len(strings)))
     out: list[np.ndarray] = []
     heads = []
+    most = np.iinfo(np.int64).max
     for lo, hi in chunks:
         part = strings[lo:hi]
         # 0xFF is in no UTF-8 text; the number behind it makes every suffix differ
-        buf = np.frombuffer(b"".join(s + b"\xff" + k.to_bytes(3, "big") for k, s in enumerate(part)), np.uint8)
+        buf = np.frombuffer(b"".join([x for k, s in enumerate(part) for x in (s, b"\xff" + k.to_bytes(3, "big"))]), np.uint8)
         lens = np.array([len(s) for s in part])
         begin = np.r_[0, np.cumsum(lens + 4)[:-1]]
-        owner = np.repeat(np.arange(len(part)), lens + 4)
-        window = np.arange(len(buf)) - begin[owner] <= lens[owner] - length
+        doc = np.full(len(buf), most)
+        window = np.repeat(begin + np.maximum(lens - length + 1, 0), lens + 4) > np.arange(len(buf))
+        doc[window] = np.repeat(docs[lo:hi], lens + 4)[window]
         sa = suffix_array(buf)
         new = common_prefixes(buf, sa) < length
         new[:1] = True
-        cls = np.cumsum(new) - 1
-        least = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
-        doc = np.array(docs[lo:hi], np.int64)[owner]
-        ok = window[sa]
-        np.minimum.at(least, cls[ok], doc[sa[ok]])
-        of = np.empty(len(buf), np.int64)
-        of[sa] = cls
-        heads.append((buf, sa[new], least, of, begin, lens))
+        at = np.flatnonzero(new)
+        least = np.minimum.reduceat(doc[sa], at)
+        of = np.empty(len(buf), np.int32)
+        of[sa] = np.cumsum(new, dtype=np.int32) - 1
+        heads.append((buf, sa[at], least, of, begin, lens))
     if len(heads) > 1:
         texts = []
         for buf, first, least, *_ in heads:
-            keep = np.flatnonzero(least < np.iinfo(np.int64).max)
-            at = first[keep][:, None] + np.arange(length)
-            texts.append((keep, np.hstack([buf[at], np.ones((len(keep), 1), np.uint8)]).copy().view(f"S{length + 1}").ravel()))
+            keep = np.flatnonzero(least < most)
+            wide = np.ones((len(keep), length + 1), np.uint8)  # the last byte keeps zeros at the end from being cut off
+            wide[:, :length] = np.lib.stride_tricks.sliding_window_view(buf, length)[first[keep]]
+            texts.append((keep, wide.view(f"S{length + 1}").ravel()))
         merged = [h[2].copy() for h in heads]
         for a, (ka, ta) in enumerate(texts):
             for b, (kb, tb) in enumerate(texts):
@@ -143,7 +154,8 @@ def earliest(strings: list[bytes], docs: list[int], length: int) -> list[np.ndar
                     merged[a][ka[hit]] = np.minimum(merged[a][ka[hit]], heads[b][2][kb[at[hit]]])
         heads = [(h[0], h[1], m, *h[3:]) for h, m in zip(heads, merged, strict=True)]
     for _, _, least, of, begin, lens in heads:
-        out += [least[of[b : b + n - length + 1]] for b, n in zip(begin.tolist(), lens.tolist(), strict=True)]
+        values = least[of]
+        out += [values[b : b + n - length + 1] for b, n in zip(begin.tolist(), lens.tolist(), strict=True)]
     return out
 
 
@@ -151,14 +163,14 @@ def earliest(strings: list[bytes], docs: list[int], length: int) -> list[np.ndar
 
 
 def _runs(buf: np.ndarray, off: np.ndarray, length: int):
-    """Of maximal runs of windows with one minimizer: begin, end (of starts), row, minimizer."""
+    """Of maximal runs of windows with one minimizer: begin, end (of starts), row, minimizer; and the hash of every gram."""
     n = len(buf) - length + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     eight = load8(buf, "<u8")
     m = len(buf) - GRAM + 1
-    g = S.mix(S.mix(eight[:m]) + eight[8 : 8 + m] * U64(0x9E3779B97F4A7C15))
+    grams = g = S.mix(S.mix(eight[:m]) + eight[8 : 8 + m] * U64(0x9E3779B97F4A7C15))
     width, span = length - GRAM + 1, 1
     while 2 * span <= width:
         g = np.minimum(g[:-span], g[span:])
@@ -175,195 +187,238 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int):
     end = np.r_[begin[1:], n]
     keep = valid[begin]
     begin, end = begin[keep], end[keep]
-    return begin, end, np.searchsorted(off, begin, "right") - 1, f[begin]
+    return begin, end, np.searchsorted(off, begin, "right") - 1, f[begin], grams
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their two counts."""
+    k, x, y = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, kind), *[np.zeros(0, np.int64)] * 2)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return (k[first], np.add.reduceat(x[order], first), np.add.reduceat(y[order], first)) if len(k) else (k, x, y)
 
 
 def _finder(length: int, shards: int):
     bits = shards.bit_length() - 1
 
     def find(batches):
-        found: list[np.ndarray] = []
-        many: list[np.ndarray] = []
-        held = 0
+        """Minimizers with the documents that have them (2: or more) and their runs; a row per shard."""
+        found, held = [], 0
         for batch in batches:
-            ids = np.array(batch.column("doc_id"))
-            for lo, _, buf, off in S.pieces(batch.column("text")):
-                _, _, row, f = _runs(buf, off, length)
-                order = np.lexsort((ids[lo + row], f))
-                f, d = f[order], ids[lo + row][order]
-                once = np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])] if len(f) else np.zeros(0, bool)
-                found.append(f[once])
-                held += int(once.sum())
-            if held > 8_000_000:
-                found, many, held = _settle(found, many)
-        found, many, _ = _settle(found, many)
-        for state, x in ((0, found[0]), (1, many[0])):
-            cut = np.searchsorted(x, np.arange(shards + 1, dtype=np.uint64) << U64(64 - bits)) if bits else np.array([0, len(x)])
-            cut[-1] = len(x)
-            low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
-            at = [k for k in range(shards) if cut[k] < cut[k + 1]]
-            if at:
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(at, pa.int32()), "state": pa.array([state] * len(at), pa.int32()),
-                    "low": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in at], pa.binary()),
-                })
+            for _, _, buf, off in S.pieces(batch.column("text"), PIECE):
+                _, _, row, f, _ = _runs(buf, off, length)
+                order = np.argsort(f, kind="stable")
+                f, d = f[order], row[order]
+                first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
+                last = np.r_[first[1:], len(f)] - 1 if len(f) else first
+                found.append((f[first], 1 + (d[last] != d[first]).astype(np.int64), last - first + 1))
+                held += len(first)
+                if held > 3_000_000:
+                    found = [_sums(found, np.uint64)]
+                    held = len(found[0][0])
+        x, docs, runs = _sums(found, np.uint64)
+        cut = np.searchsorted(x, np.arange(shards, dtype=np.uint64) << U64(64 - bits)) if bits else np.array([0])
+        cut = np.r_[cut, len(x)]
+        low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
+        once = (docs == 1) & (runs == 1)
+        rows = []
+        for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            own, one = slice(cut[k], cut[k + 1]), once[cut[k] : cut[k + 1]]
+            rows.append((k, low[own][one].tobytes(), low[own][~one].tobytes(), np.minimum(docs[own][~one], 2).astype(np.uint8).tobytes(), np.minimum(runs[own][~one], 2**32 - 1).astype(np.uint32).tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "once", "more", "docs", "runs"])
 
     return find
 
 
-def _settle(found: list[np.ndarray], many: list[np.ndarray]):
-    """(values seen, values seen in two documents, how many), each sorted and distinct."""
-    x, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-    twice = np.union1d(np.concatenate(many or [np.zeros(0, np.uint64)]), x[n > 1])
-    return [x], [twice], len(x)
-
-
-def _sharer(folder: str):
+def _sharer(folder: str, hot: int):
     def share(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint32)
-        twice = np.zeros(0, np.uint32)
+        parts: list = []
+        held = 0
         for batch in batches:
-            both = zip(batch.column("low").to_pylist(), batch.column("state").to_pylist(), strict=True)
-            parts = [(np.unique(np.frombuffer(x, np.uint32)), s) for x, s in both]
-            ones = [seen, *(x for x, s in parts if not s)]
-            seen, n = np.unique(np.concatenate(ones), return_counts=True)
-            twice = np.unique(np.concatenate([twice, seen[n > 1], *(x for x, s in parts if s)]))
-        S.write_array(folder, f"shard-{key[0].as_py()}", twice)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(twice)], pa.int64())})
+            for once, more, docs, runs in zip(*(batch.column(c).to_pylist() for c in ("once", "more", "docs", "runs")), strict=True):
+                a, b = np.frombuffer(once, np.uint32), np.frombuffer(more, np.uint32)
+                parts += [(a, *[np.ones(len(a), np.int64)] * 2), (b, np.frombuffer(docs, np.uint8).astype(np.int64), np.frombuffer(runs, np.uint32).astype(np.int64))]
+                held += len(a) + len(b)
+                if held > 6_000_000:
+                    parts = [_sums(parts, np.uint32)]
+                    held = len(parts[0][0])
+        x, docs, runs = _sums(parts, np.uint32)
+        k, twice = key[0].as_py(), docs > 1
+        S.write_array(folder, f"shard-{k}", x[twice])
+        S.write_array(folder, f"hot-{k}", x[twice & (runs > hot)])
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "runs": pa.array([int(runs[twice].sum())], pa.int64())})
 
     return share
 
 
-def _cutter(length: int, shards: int, folder: str):
-    bits = shards.bit_length() - 1
+def _digests(total: np.ndarray, power: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from a to b."""
+    return S.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
-    def cut(batches):
-        arrays: dict[int, np.ndarray] = {}
-        first: dict[bytes, list] = {}
-        gone: list[tuple[int, int, int]] = []
-        for batch in batches:
-            ids = np.array(batch.column("doc_id"))
-            for lo, _, buf, off in S.pieces(batch.column("text")):
-                begin, end, row, f = _runs(buf, off, length)
-                if not len(f):
-                    continue
-                order = np.argsort(f)
-                x = f[order]
-                shard = (x >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
-                hit = np.zeros(len(x), bool)
-                edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(x)]
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    k = int(shard[a])
-                    if k not in arrays:
-                        arrays[k] = S.open_array(folder, f"shard-{k}", np.uint32)
-                    if len(arrays[k]):
-                        at = np.minimum(np.searchsorted(arrays[k], low[a:b]), len(arrays[k]) - 1)
-                        hit[a:b] = arrays[k][at] == low[a:b]
-                pick = np.sort(order[hit])
-                raw = buf.tobytes()
-                rows = row[pick]
-                for p, q, doc, at, v in zip(
-                    begin[pick].tolist(), end[pick].tolist(), ids[lo + rows].tolist(), (begin[pick] - off[rows]).tolist(), f[pick].tolist(), strict=True
-                ):
-                    s = raw[p : q + length - 1]
-                    was = first.get(s)
-                    if was is None:
-                        first[s] = [doc, [at], v]
-                    elif doc == was[0]:
-                        was[1].append(at)
-                    elif doc < was[0]:
-                        gone += [(was[0], y, y + len(s)) for y in was[1]]
-                        first[s] = [doc, [at], v]
-                    else:
-                        gone.append((doc, at, at + len(s)))
-        for k in range(0, len(gone), 100_000):
-            d, a, b = zip(*gone[k : k + 100_000], strict=True)
-            yield _rows(doc_id=d, begin=a, end=b)
-        flat = [(v, s, doc, at) for s, (doc, places, v) in first.items() for at in places]
-        for k in range(0, len(flat), 50_000):
-            v, s, doc, at = zip(*flat[k : k + 50_000], strict=True)
-            yield _rows(minimizer=np.array(v, np.uint64).view(np.int64), string=s, doc_id=doc, begin=at)
 
-    return cut
+def _split(begin, end, f, grams, length: int, digest):
+    """Runs of hot minimizers cut by the gram's place in the window: run, begin, end, key. digest: of bytes a to b."""
+    width = length - GRAM + 1
+    step = -(-width // RANGES)
+    out = []
+    at, most = 0, 0
+    while at < len(begin):  # about 100 000 windows at once
+        most = at + max(1, int(np.searchsorted(np.cumsum(end[at:] - begin[at:]), 100_000)))
+        size = end[at:most] - begin[at:most]
+        run = np.repeat(np.arange(at, min(most, len(begin))), size)
+        s = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + begin[run]
+        place = (grams[np.minimum(s[:, None] + np.arange(width), len(grams) - 1)] == f[run][:, None]).argmax(1)
+        part = place // step
+        gram = s + place
+        new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (part[1:] != part[:-1]) | (gram[1:] != gram[:-1])])
+        until = np.r_[new[1:], len(run)]
+        left = gram[new] - part[new] * step  # windows of a part have `length - step + 1` bytes from here on in common
+        key = digest(left, left + length - step + 1) + (part[new] + 1).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
+        out.append((run[new], s[new], s[until - 1] + 1, S.mix(key ^ f[run[new]])))
+        at = most
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-_CUT = pa.schema([("minimizer", pa.int64()), ("string", pa.binary()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+_SENT = ("keys", "digests", "docs", "begins", "lengths", "fresh", "strings")
+_SENT_SCHEMA = "shard int, " + ", ".join(f"{c} binary" for c in _SENT)
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    n = len(columns["doc_id"])
-    return pa.RecordBatch.from_arrays([pa.array(columns.get(c.name, [None] * n), c.type) for c in _CUT], schema=_CUT)
-
-
-def _resolver(folder: str):
-    """Equal strings: gone in all documents but the first. Minimizers with strings that differ go to a file of the shard."""
-
-    def resolve(table: pa.Table) -> pa.Table:
-        minimizer, digest, doc, begin, size = (np.array(table[c]) for c in ("minimizer", "digest", "doc_id", "begin", "size"))
-        order = np.lexsort((doc, digest, minimizer))
-        minimizer, digest, doc, begin, size = (x[order] for x in (minimizer, digest, doc, begin, size))
-        new = np.r_[True, (minimizer[1:] != minimizer[:-1]) | (digest[1:] != digest[:-1])]
-        least = doc[new][np.cumsum(new) - 1]
-        kinds, n = np.unique(minimizer[new], return_counts=True)
-        S.write_array(folder, f"shard-{table['shard'][0].as_py()}", kinds[n > 1])
-        gone = doc > least
-        return pa.table({"doc_id": doc[gone], "begin": begin[gone], "end": begin[gone] + size[gone]})
+def _cutter(length: int, shards: int, folder: str, targets: int):
+    bits = shards.bit_length() - 1
 
-    return resolve
+    def looked_up(arrays: S.Arrays, name: str, x: np.ndarray) -> np.ndarray:
+        """Which of the sorted minimizers x the folder's arrays hold."""
+        shard = (x >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+        low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
+        hit = np.zeros(len(x), bool)
+        edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(x)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a < b and len(own := arrays.get(f"{name}-{int(shard[a])}", np.uint32)):
+                at = np.minimum(np.searchsorted(own, low[a:b]), len(own) - 1)
+                hit[a:b] = own[at] == low[a:b]
+        return hit
+
+    def sent(held: list[tuple]):
+        """A row per shard."""
+        key, digest, doc, at, size, fresh = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
+        text = np.frombuffer(b"".join(x[6] for x in held), np.uint8)
+        start = np.zeros(len(key), np.int64)
+        start[fresh] = np.cumsum(size[fresh]) - size[fresh]
+        shard = (key % U64(targets)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(targets + 1))
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            own = order[edges[k] : edges[k + 1]]
+            new = own[fresh[own]]
+            n = size[new]
+            bytes_ = text[np.repeat(start[new] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            yield (k, *(x.tobytes() for x in (key[new], digest[own], doc[own], at[own], size[own].astype(np.uint32), fresh[own], bytes_)))
 
+    def cut(batches):
+        arrays = S.Arrays(folder)
+        seen = np.zeros(0, np.uint64)
+        held: list[tuple] = []
+        weight = 0
 
-def _mixed(folder: str, shards: int):
-    """The rows whose minimizer has strings that differ."""
+        def flush():
+            rows = list(sent(held)) if held else []
+            for lo in range(0, len(rows), 256):
+                cols = list(zip(*rows[lo : lo + 256], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", *_SENT])
 
-    def mixed(batches):
-        arrays: dict[int, np.ndarray] = {}
         for batch in batches:
-            minimizer, shard = np.array(batch.column("minimizer")), np.array(batch.column("shard"))
-            hit = np.zeros(len(shard), bool)
-            for k in np.unique(shard).tolist():
-                if k not in arrays:
-                    arrays[k] = S.open_array(folder, f"shard-{k}", np.int64)
-                own = np.flatnonzero(shard == k)
-                if len(arrays[k]):
-                    at = np.minimum(np.searchsorted(arrays[k], minimizer[own]), len(arrays[k]) - 1)
-                    hit[own] = arrays[k][at] == minimizer[own]
-            yield batch.filter(pa.array(hit))
+            ids = np.array(batch.column("doc_id"))
+            for lo, _, buf, off in S.pieces(batch.column("text"), PIECE):
+                begin, end, row, f, grams = _runs(buf, off, length)
+                if not len(f):
+                    continue
+                order = np.argsort(f)
+                hit = looked_up(arrays, "shard", f[order])
+                hot = np.zeros(len(f), bool)
+                hot[order[hit]] = looked_up(arrays, "hot", f[order[hit]])
+                pick = np.sort(order[hit])
+                power, inverse = S.powers(len(buf))
+                total = np.zeros(len(buf) + 1, np.uint64)
+                np.cumsum(_RAW[buf] * power[: len(buf)], out=total[1:])
+                digest = lambda a, b, t=total, p=power, i=inverse: _digests(t, p, i, a, b)
+                plain, much = pick[~hot[pick]], pick[hot[pick]]
+                a, b, r, key = begin[plain], end[plain], row[plain], f[plain]
+                if len(much):
+                    run, c, d, k = _split(begin[much], end[much], f[much], grams, length, digest)
+                    a, b, r, key = np.r_[a, c], np.r_[b, d], np.r_[r, row[much][run]], np.r_[key, k]
+                if not len(a):
+                    continue
+                z = b + length - 1
+                name = digest(a, z) ^ S.mix(key)
+                u, first = np.unique(name, return_index=True)
+                at = np.minimum(np.searchsorted(seen, u), max(len(seen) - 1, 0))
+                new = seen[at] != u if len(seen) else np.ones(len(u), bool)
+                fresh = np.zeros(len(a), bool)
+                fresh[first[new]] = True
+                seen = np.sort(np.r_[seen, u[new]])
+                n = (z - a)[fresh]
+                text = buf[np.repeat(a[fresh] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+                held.append((key, name, ids[lo + r].astype(np.int64), a - off[r], z - a, fresh, text))
+                weight += len(text) + 37 * len(a)
+                if weight > FLUSH:
+                    yield from flush()
+                    held, weight = [], 0
+        yield from flush()
 
-    return mixed
+    return cut
 
 
 def _marker(length: int):
-    def mark(table: pa.Table) -> pa.Table:
-        strings: dict[bytes, int] = {}
-        least: list[int] = []
-        who: list[int] = []
-        minimizer: list[int] = []
-        docs, begins = table["doc_id"].to_pylist(), table["begin"].to_pylist()
-        for v, s, doc in zip(table["minimizer"].to_pylist(), table["string"].to_pylist(), docs, strict=True):
-            k = strings.setdefault(s, len(strings))
-            if k == len(least):
-                least.append(doc)
-                minimizer.append(v)
-            elif doc < least[k]:
-                least[k] = doc
-            who.append(k)
-        texts = list(strings)
-        by = np.argsort(np.array(minimizer, np.int64), kind="stable")
-        m = np.array(minimizer, np.int64)[by]
-        mixed = np.zeros(len(m), bool)
-        mixed[1:] |= m[1:] == m[:-1]
-        mixed[:-1] |= m[1:] == m[:-1]
-        some = by[mixed].tolist()
-        windows = dict(zip(some, earliest([texts[k] for k in some], [least[k] for k in some], length), strict=True)) if some else {}
-        out: list[tuple[int, int, int]] = []
-        for k, doc, at in zip(who, docs, begins, strict=True):
-            if doc == least[k] and k in windows and (windows[k] < doc).any():
-                gone = np.r_[False, windows[k] < doc, False]
-                edge = np.flatnonzero(gone[1:] != gone[:-1])
-                out += [(doc, at + a, at + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        d, a, b = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"doc_id": pa.array(d, pa.int64()), "begin": pa.array(a, pa.int64()), "end": pa.array(b, pa.int64())})
+    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = dict(zip(_SENT, (np.uint64, np.uint64, np.int64, np.int64, np.uint32, bool), strict=False))
+        parts: dict[str, list] = {c: [] for c in kinds}
+        strings: dict[int, bytes] = {}
+        # keys come with the first string of a digest only
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = {c: np.frombuffer(batch.column(c)[r].as_py(), kind) for c, kind in kinds.items()}
+                text, fresh = batch.column("strings")[r].as_py(), own["fresh"]
+                end = np.cumsum(own["lengths"][fresh], dtype=np.int64)
+                for name, a, b in zip(own["digests"][fresh].tolist(), (end - own["lengths"][fresh]).tolist(), end.tolist(), strict=True):
+                    s = text[a:b]
+                    if strings.setdefault(name, s) != s:
+                        raise RuntimeError("two strings have one 64-bit digest")
+                for c in kinds:
+                    parts[c].append(own[c])
+        keys, name, doc, at = (np.concatenate(parts[c]) for c in ("keys", "digests", "docs", "begins"))
+        first = np.concatenate(parts["fresh"])
+        name, back = np.unique(name, return_inverse=True)
+        least = np.full(len(name), np.iinfo(np.int64).max)
+        np.minimum.at(least, back, doc)
+        by = np.empty(len(name), np.uint64)
+        by[back[first]] = keys
+        order = np.argsort(by, kind="stable")  # strings of a minimizer next to each other
+        windows = earliest([strings[k] for k in name[order].tolist()], least[order], length)
+        size = np.array([len(w) for w in windows])
+        flat = np.concatenate(windows)
+        start = np.r_[0, np.cumsum(size)[:-1]]
+        edge = np.zeros(len(flat), bool)
+        edge[start] = True
+        edge[1:] |= flat[1:] != flat[:-1]
+        seg = np.flatnonzero(edge)  # stretches of a string whose windows have one earliest document
+        until = np.r_[seg[1:], len(flat)]
+        of = np.searchsorted(start, seg, "right") - 1
+        place = np.empty(len(name), np.int64)
+        place[order] = np.arange(len(name))
+        own = place[back]
+        lo, hi = np.searchsorted(of, own), np.searchsorted(of, own, "right")
+        n = hi - lo
+        who = np.repeat(np.arange(len(own)), n)
+        k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        gone = flat[seg[k]] < doc[who]
+        who, k = who[gone], k[gone]
+        shift = at[who] - start[of[k]]
+        begin, end = shift + seg[k], shift + until[k] - 1 + length
+        for lo in range(0, len(who), 200_000):
+            cut = slice(lo, lo + 200_000)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[who[cut]]), "begin": pa.array(begin[cut]), "end": pa.array(end[cut])})
 
     return mark
 
@@ -401,35 +456,28 @@ def _remover(columns: list[str]):
     return remove
 
 
-def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """doc_id, begin, end (bytes of the whole text; several rows may overlap or touch)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0 and doc_id is not null")
-    shards = min(65_536, 1 << max(4, (2 * docs.rdd.getNumPartitions()).bit_length()))
+    shards = 1 << max(4, (2 * docs.rdd.getNumPartitions()).bit_length())
     folder = S.table_path(spark, "minimizers")
-    found = docs.mapInArrow(_finder(length, shards), "shard int, state int, low binary")
-    found.groupBy("shard").applyInArrow(_sharer(folder), "shard int, n long").agg(F.sum("n")).collect()
-    cut = S.stored(docs.mapInArrow(_cutter(length, shards, folder), "minimizer long, string binary, doc_id long, begin long, end long"), "strings")
-    strings = cut.where("string is not null").select(
-        F.pmod("minimizer", F.lit(shards)).cast("int").alias("shard"), "minimizer", "string", "doc_id", "begin")
-    differing = S.table_path(spark, "differing")
-    brief = strings.select("shard", "minimizer", F.xxhash64("string").alias("digest"), "doc_id", "begin", F.length("string").cast("long").alias("size"))
-    spans = "doc_id long, begin long, end long"
-    equal = S.stored(brief.groupBy("shard").applyInArrow(_resolver(differing), spans), "equal")
-    some = strings.mapInArrow(_mixed(differing, shards), "shard int, minimizer long, string binary, doc_id long, begin long")
-    far = S.stored(some.groupBy("shard").applyInArrow(_marker(length), spans), "windows")
-    return cut.where("string is null").select("doc_id", "begin", "end").unionByName(equal).unionByName(far)
-
-
-def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+    found = docs.mapInArrow(_finder(length, shards), "shard int, once binary, more binary, docs binary, runs binary")
+    runs = found.groupBy("shard").applyInArrow(_sharer(folder, hot), "shard int, runs long").agg(F.coalesce(F.sum("runs"), F.lit(0))).collect()[0][0]
+    targets = 1 << max(4, (40 * runs // SHARD).bit_length())  # a run's string has about 68 bytes, and half of them differ
+    sent = docs.mapInArrow(_cutter(length, shards, folder, targets), _SENT_SCHEMA)
+    return sent.groupBy("shard").applyInArrow(_marker(length), "doc_id long, begin long, end long")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """All columns of docs but text, then kept_text, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id;
     judged on the input. Null text: empty, n_bytes 0, kept_text null. Rows that repeat a doc_id must repeat its
-    text; none of them is earlier than the others. kept_text drops bytes of a character that was cut in part;
+    text; none of them is earlier than the others. Rows without doc_id keep their text and make nobody else's go. kept_text drops bytes of a character that was cut in part;
     kept_sha256 is of the kept bytes themselves. An empty table gives an empty result.
     """
-    spans = removed_spans(docs, length).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = removed_spans(docs, length, hot).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rest = [c for c in docs.columns if c != "text"]
     own = [f"c{k}" for k in range(len(rest))]  # whatever the columns are called
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, own, strict=True)], F.col("doc_id").cast("long").alias("__key"), F.col("text").cast("string").alias("text"))
