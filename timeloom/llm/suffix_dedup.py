@@ -314,7 +314,7 @@ def _cutter(length: int, shards: int, folder: str, targets: int):
             new = own[fresh[own]]
             n = size[new]
             bytes_ = text[np.repeat(start[new] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            yield (k, *(x.tobytes() for x in (key[new], digest[own], doc[own], at[own], size[own].astype(np.uint32), fresh[own], bytes_)))
+            yield (k, *(x.tobytes() for x in (key[new], digest[own], doc[own], at[own], size[own].astype(np.uint32), fresh[own])), pa.compress(bytes_, "zstd", asbytes=True))
 
     def cut(batches):
         arrays = S.Arrays(folder)
@@ -379,8 +379,9 @@ def _marker(length: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 own = {c: np.frombuffer(batch.column(c)[r].as_py(), kind) for c, kind in kinds.items()}
-                text, fresh = batch.column("strings")[r].as_py(), own["fresh"]
+                fresh = own["fresh"]
                 end = np.cumsum(own["lengths"][fresh], dtype=np.int64)
+                text = pa.decompress(batch.column("strings")[r].as_py(), int(end[-1]), "zstd", asbytes=True) if len(end) else b""
                 for name, a, b in zip(own["digests"][fresh].tolist(), (end - own["lengths"][fresh]).tolist(), end.tolist(), strict=True):
                     s = text[a:b]
                     if strings.setdefault(name, s) != s:
