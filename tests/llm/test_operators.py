@@ -407,6 +407,33 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_at_the_threshold_and_in_many_tiles(spark, monkeypatch):
+    from timeloom.llm import embedding_dedup as E
+
+    monkeypatch.setattr(E, "TILE", 64)
+    r = np.random.default_rng(21)
+    x = r.standard_normal((1500, 24))
+    x[500:900] = x[r.integers(0, 40, 400)] + 0.35 * r.standard_normal((400, 24))
+    x[900:950] = x[900]
+    exact = []
+    for k in range(60):  # cosine 90 / (10 * 10), whatever the order of the axes
+        axes, sign = r.permutation(24), r.choice([-1.0, 1.0], 24)
+        a, b = np.zeros(24), np.zeros(24)
+        a[axes[0]] = 10 * sign[0]
+        b[axes[:4]] = np.array([9, 3, 3, 1]) * np.r_[sign[0], sign[1:4]]
+        exact += [(5000 + 2 * k, a * 2.0 ** (k % 5)), (5001 + 2 * k, b)]
+    rows = [(k, [float(v) for v in y]) for k, y in [*enumerate(x), *exact]]
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)).collect()}
+    y, ids = np.array([v for _, v in rows]), np.array([k for k, _ in rows])
+    hit = (y @ y.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(y, axis=1)) >= 0.9
+    np.fill_diagonal(hit, False)
+    label = ids.copy()
+    for _ in range(100):
+        label = np.array([min([label[k], *label[hit[k]]]) for k in range(len(ids))])
+    assert got == {int(i): (int(h.sum()), int(c)) for i, h, c in zip(ids, hit, label, strict=True)}
+    assert all(got[i][0] >= 1 for i, _ in exact)
+
+
 # ---- 9
 
 

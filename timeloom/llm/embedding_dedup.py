@@ -1,11 +1,13 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison, exact in double precision.
 
 Unit vectors are rotated onto the principal axes of the whole table, so the leading dimensions carry most of a
-product. They are sorted along the first axes and cut into tiles. Two tiles meet only if their boxes in the leading
-axes come near enough (an equi-join on cells of the first three axes finds them). For two tiles the products of the
-leading dimensions are taken first; the rest of a product is at most the product of the suffix norms, and where the
-sum cannot reach the threshold the comparison stops. Equal vectors are one class from the start, links are counted in
-the tile and only a spanning forest of them leaves it, so no group emits its pairs.
+product. They are sorted along the first axes and cut into tiles, which lie in the shared folder. Two tiles meet only
+if their boxes in the leading axes come near enough (an equi-join on cells of the first three axes finds them); only
+the tiles' numbers are shuffled, and a task reads the two tiles it compares. The products of the leading dimensions
+are taken first; the rest of a product is at most the product of the suffix norms, and where the sum cannot reach the
+threshold the comparison stops. Rotation rounds, so products within `NEAR` of the threshold are decided by the
+cosine of the vectors as given: sum of products / (norm * norm), each in double precision. Equal vectors are one class
+from the start, links are counted in the tile and only a spanning forest of them leaves it, so no group emits its pairs.
 """
 
 from __future__ import annotations
@@ -24,23 +26,26 @@ TILE = 1024
 BOX = 8  # leading dimensions of a tile's box
 CELL = 3  # of these, as many make the cells of the join and the order of the tiles
 STEPS = (8, 24)  # dimensions after which a comparison may stop
+NEAR = 1e-9  # far above the rounding of rotated products
 
 
-def _unit(batches):
-    """key: digest of the unit vector, null where the vector can't be linked."""
+def _given(batches):
+    """key: digest of the vector, null where it can't be linked; vector: scaled by a power of two, which rounds nothing."""
     for batch in batches:
-        keys, units = [], []
+        keys, vectors = [], []
         for v in batch.column("embedding").to_pylist():
-            u = None
+            x = None
             if v and None not in v:
                 x = np.array(v, np.float64)
                 top = np.abs(x).max()
-                if np.isfinite(top) and top > 0:
-                    x = x / top
-                    u = (x / np.sqrt((x * x).sum())).tobytes()
-            units.append(u)
-            keys.append(None if u is None else hashlib.blake2b(u, digest_size=16).digest())
-        yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "key": pa.array(keys, pa.binary()), "unit": pa.array(units, pa.binary())})
+                x = np.ldexp(x, -int(np.frexp(top)[1])).tobytes() if np.isfinite(top) and top > 0 else None
+            vectors.append(x)
+            keys.append(None if x is None else hashlib.blake2b(x, digest_size=16).digest())
+        yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "key": pa.array(keys, pa.binary()), "vector": pa.array(vectors, pa.binary())})
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def _moments(batches):
@@ -48,8 +53,9 @@ def _moments(batches):
 
     total = None
     for batch in batches:
-        x = _matrix(batch.column("unit"))
+        x = _matrix(batch.column("vector"))
         if len(x):
+            x = _units(x)
             total = (0 if total is None else total) + x.T @ x
     if total is not None:
         yield pa.RecordBatch.from_pydict({"salt": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "moments": pa.array([total.tobytes()], pa.binary())})
@@ -68,71 +74,87 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _rotator(axes):
     def rotate(batches):
         for batch in batches:
-            y = _matrix(batch.column("unit")) @ axes.value if batch.num_rows else np.zeros((0, CELL))
+            y = _units(_matrix(batch.column("vector"))) @ axes.value if batch.num_rows else np.zeros((0, CELL))
             lead = np.zeros((len(y), CELL))
             lead[:, : min(CELL, y.shape[1])] = y[:, :CELL]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("n"), pa.array([r.tobytes() for r in y], pa.binary()), *(pa.array(lead[:, k]) for k in range(CELL))],
-                ["rep", "n", "y", *(f"y{k}" for k in range(CELL))],
+                [*(batch.column(c) for c in ("rep", "n", "vector")), pa.array([r.tobytes() for r in y], pa.binary()), *(pa.array(lead[:, k]) for k in range(CELL))],
+                ["rep", "n", "vector", "y", *(f"y{k}" for k in range(CELL))],
             )
 
     return rotate
 
 
-def _tiles(batches):
-    from pyspark import TaskContext
+def _tiles(folder: str):
+    def cut(batches):
+        """Writes tiles into the folder; their numbers and boxes."""
+        from pyspark import TaskContext
 
-    part, k = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
+        part, k = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
 
-    def tile(rows):
-        y = np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)
-        lead = np.zeros((len(rows), BOX))
-        lead[:, : min(BOX, y.shape[1])] = y[:, :BOX]
-        return pa.RecordBatch.from_pydict({
-            "tile": pa.array([(part << 32) + k], pa.int64()), "ids": pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
-            "n": pa.array([[r[1] for r in rows]], pa.list_(pa.int64())), "y": pa.array([y.tobytes()], pa.binary()),
-            "lo": pa.array([lead.min(0)], pa.list_(pa.float64())), "hi": pa.array([lead.max(0)], pa.list_(pa.float64())),
-        })
+        def tile(rows):
+            number = (part << 32) + k
+            y = np.frombuffer(b"".join(r[3] for r in rows)).reshape(len(rows), -1)
+            S.write_array(folder, f"y-{number}", y)
+            S.write_array(folder, f"x-{number}", np.frombuffer(b"".join(r[2] for r in rows)))
+            S.write_array(folder, f"ids-{number}", np.array([r[:2] for r in rows], np.int64))
+            lead = np.zeros((len(rows), BOX))
+            lead[:, : min(BOX, y.shape[1])] = y[:, :BOX]
+            return pa.RecordBatch.from_pydict({"tile": pa.array([number], pa.int64()), "lo": pa.array([lead.min(0)], pa.list_(pa.float64())), "hi": pa.array([lead.max(0)], pa.list_(pa.float64()))})
 
-    for batch in batches:
-        held += zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("y").to_pylist(), strict=True)
-        while len(held) >= TILE:
-            yield tile(held[:TILE])
-            held, k = held[TILE:], k + 1
-    if held:
-        yield tile(held)
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "vector", "y")), strict=True)
+            while len(held) >= TILE:
+                yield tile(held[:TILE])
+                held, k = held[TILE:], k + 1
+        if held:
+            yield tile(held)
 
+    return cut
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of a and b have a product of at least threshold."""
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of a and b have a product of at least threshold; rows and columns of those too near to it to tell."""
     d = a.shape[1]
     total, done = np.zeros((len(a), len(b))), 0
     for step in (s for s in STEPS if s < d):
         total += a[:, done:step] @ b[:, done:step].T
         done = step
         rest = np.sqrt((a[:, done:] ** 2).sum(1))[:, None] * np.sqrt((b[:, done:] ** 2).sum(1))
-        open_ = total + rest >= threshold - 1e-9
+        open_ = total + rest >= threshold - NEAR
         n = int(open_.sum())
-        if not n:
-            return open_
         if n < 0.05 * open_.size:
             i, j = np.nonzero(open_)
-            for lo in range(0, n, 65_536):
-                p, q = i[lo : lo + 65_536], j[lo : lo + 65_536]
-                open_[p, q] = np.einsum("kd,kd->k", a[p], b[q]) >= threshold
-            return open_
-    return total + a[:, done:] @ b[:, done:].T >= threshold
+            value = np.concatenate([np.zeros(0), *(np.einsum("kd,kd->k", a[i[lo : lo + 65_536]], b[j[lo : lo + 65_536]]) for lo in range(0, n, 65_536))])
+            open_[i, j] = value >= threshold
+            near = np.abs(value - threshold) < NEAR
+            return open_, i[near], j[near]
+    total += a[:, done:] @ b[:, done:].T
+    return total >= threshold, *np.nonzero(np.abs(total - threshold) < NEAR)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows of x and y: sum of products / (norm * norm)."""
+    dot = lambda p, q: np.array([math.fsum(r) for r in p * q])
+    return dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
 
 
-def _comparer(threshold: float):
+def _comparer(threshold: float, folder: str, d: int):
+    def tile(arrays: S.Arrays, kind: str, number: int) -> np.ndarray:
+        return arrays.get(f"{kind}-{number}", np.int64 if kind == "ids" else np.float64).reshape(-1, 2 if kind == "ids" else d)
+
     def compare(batches):
+        arrays = S.Arrays(folder, 64)
         for batch in batches:
-            for r in range(batch.num_rows):
-                ia, na, ib, nb = (np.array(batch.column(c)[r].as_py(), np.int64) for c in ("ia", "na", "ib", "nb"))
-                a, b = (np.frombuffer(batch.column(c)[r].as_py()).reshape(len(i), -1) for c, i in (("ya", ia), ("yb", ib)))
-                same = batch.column("same")[r].as_py()
-                hit = linked(a, b, threshold)
+            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                ia, na = tile(arrays, "ids", ta).T
+                ib, nb = tile(arrays, "ids", tb).T
+                hit, i, j = linked(tile(arrays, "y", ta), tile(arrays, "y", tb), threshold)
+                for lo in range(0, len(i), 4096):
+                    p, q = i[lo : lo + 4096], j[lo : lo + 4096]
+                    hit[p, q] = cosines(tile(arrays, "x", ta)[p], tile(arrays, "x", tb)[q]) >= threshold
+                same = ta == tb
                 if same:
                     np.fill_diagonal(hit, False)
                 if not hit.any():
@@ -177,18 +199,18 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-    different lengths don't link. Rows that repeat a vec_id must repeat its vector and count once. An empty table
-    gives an empty result; other columns are ignored.
+    different lengths don't link. A cosine of exactly the threshold links. Rows that repeat a vec_id must repeat its
+    vector and count once. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    units = S.stored(vectors.mapInArrow(_unit, "vec_id long, key binary, unit binary"), "units")
+    units = S.stored(vectors.mapInArrow(_given, "vec_id long, key binary, vector binary"), "vectors")
     classes = units.where("key is not null").dropDuplicates(["vec_id", "key"]).groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = S.stored(classes, "classes")
     found = None
-    for size in [r[0] for r in classes.select(F.length("unit").alias("d")).distinct().collect()]:  # the distinct lengths of vectors: one, as a rule
-        part = _links(classes.where(F.length("unit") == size), size // 8, threshold)
+    for size in [r[0] for r in classes.select(F.length("vector").alias("d")).distinct().collect()]:  # the distinct lengths of vectors: one, as a rule
+        part = _links(classes.where(F.length("vector") == size), size // 8, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -206,33 +228,32 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     """a, links: how many vectors link with class a across a pair of tiles; a, b: edges of its components."""
     spark = classes.sparkSession
     kind = "salt int, moments binary"
-    sums = classes.select("unit").mapInArrow(_moments, kind).groupBy("salt").applyInArrow(_sum_moments, kind).groupBy("salt").applyInArrow(_sum_moments, kind)
+    sums = classes.select("vector").mapInArrow(_moments, kind).groupBy("salt").applyInArrow(_sum_moments, kind).groupBy("salt").applyInArrow(_sum_moments, kind)
     moments = np.frombuffer(sums.collect()[0]["moments"]).reshape(d, d)  # d x d, whatever the input
     axes = spark.sparkContext.broadcast(np.ascontiguousarray(np.linalg.eigh(moments)[1][:, ::-1]))
     lead = [f"y{k}" for k in range(CELL)]
-    rotated = classes.select("rep", "n", "unit").mapInArrow(_rotator(axes), "rep long, n long, y binary, " + ", ".join(f"{c} double" for c in lead))
+    rotated = classes.select("rep", "n", "vector").mapInArrow(_rotator(axes), "rep long, n long, vector binary, y binary, " + ", ".join(f"{c} double" for c in lead))
     reach = math.sqrt(2 - 2 * threshold) + 1e-6
     order = [F.floor(F.col(c) / (reach / 2)).alias(f"c{k}") for k, c in enumerate(lead)]
     ordered = rotated.select("*", *order)
     by = [f"c{k}" for k in range(CELL)] + lead[-1:]
-    tiles = S.stored(
-        ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("rep", "n", "y").mapInArrow(
-            _tiles, "tile long, ids array<long>, n array<long>, y binary, lo array<double>, hi array<double>"),
-        "tiles",
-    )
-    boxes = tiles.select("tile", "lo", "hi")
-
-    def cells(more: float):
-        out = boxes
+    folder = S.table_path(spark, "tiles")
+    ranged = ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("rep", "n", "vector", "y")
+    boxes = S.stored(ranged.mapInArrow(_tiles(folder), "tile long, lo array<double>, hi array<double>"), "boxes")
+
+    def cells(more: float, s: str):
+        """A row for each cell that the box, wider by `more`, meets; with the first cell it meets on each axis."""
+        out = boxes.select(F.col("tile").alias(f"t{s}"), F.col("lo").alias(f"l{s}"), F.col("hi").alias(f"h{s}"))
         for k in range(CELL):
-            low, high = F.floor((F.col("lo")[k] - more) / reach), F.floor((F.col("hi")[k] + more) / reach)
-            out = out.withColumn(f"c{k}", F.explode(F.sequence(low, high)))
+            low, high = F.floor((F.col(f"l{s}")[k] - more) / reach), F.floor((F.col(f"h{s}")[k] + more) / reach)
+            out = out.withColumn(f"f{s}{k}", low).withColumn(f"c{k}", F.explode(F.sequence(low, high)))
         return out
 
-    left = cells(reach).select(F.col("tile").alias("ta"), F.col("lo").alias("la"), F.col("hi").alias("ha"), *[f"c{k}" for k in range(CELL)])
-    right = cells(0.0).select(F.col("tile").alias("tb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), *[f"c{k}" for k in range(CELL)])
     gap = sum((F.greatest(F.lit(0.0), F.col("la")[k] - F.col("hb")[k], F.col("lb")[k] - F.col("ha")[k]) ** 2 for k in range(BOX)), F.lit(0.0))
-    near = left.join(right, [f"c{k}" for k in range(CELL)]).where((F.col("ta") <= F.col("tb")) & (gap <= reach**2)).select("ta", "tb").distinct()
-    side = lambda s: tiles.select(F.col("tile").alias(f"t{s}"), F.col("ids").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("y").alias(f"y{s}"))
-    pairs = near.join(side("a"), "ta").join(side("b"), "tb").withColumn("same", F.col("ta") == F.col("tb"))
-    return pairs.mapInArrow(_comparer(threshold), "a long, b long, links long")
+    once = [F.col(f"c{k}") == F.greatest(f"fa{k}", f"fb{k}") for k in range(CELL)]  # of the cells that two boxes share, the first
+    near = cells(reach, "a").join(cells(0.0, "b"), [f"c{k}" for k in range(CELL)])
+    for condition in [F.col("ta") <= F.col("tb"), gap <= reach**2, *once]:
+        near = near.where(condition)
+    # the rows are small and the work behind them is not, so their number of partitions is given
+    pairs = near.select("ta", "tb").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "ta", F.pmod("tb", F.lit(4)))
+    return pairs.mapInArrow(_comparer(threshold, folder, d), "a long, b long, links long")
