@@ -246,6 +246,21 @@ def test_html_of_deep_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "u", "<div>" * 3000 + "x"), (2, None, None)], "page_id long, url string, html string")
     assert {r[0]: r[1] for r in html_text(pages).collect()} == {1: "x", 2: ""}
     assert html_text(pages.limit(0)).count() == 0
+    assert [r[0] for r in html_text(pages.union(pages).withColumn("text", F.lit(3))).orderBy("page_id").collect()] == [1, 1, 2, 2]
+
+
+def test_nested_tables():
+    assert visible_text("<table><tr><td>" * 5000 + "x") == "x"
+    inner = "<table><tr><td>1<td>22<tr><td>333<td>4</table>"
+    assert visible_text(f"<table><tr><td>a<td>{inner}<tr><td>b<td>c</table>") == "a | 1 | 22 333 | 4\nb | c"
+
+
+def test_long_urls_and_clashing_columns(spark):
+    rows = [(1, "http://a.org/" + "x" * 200_000, "r"), (1, "http://a.org/" + "x" * 200_000, "r"), (2, "http://a.example.org/en/1" + "/y" * 50_000, "r"), (None, "http://b.com/de", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
+    began = __import__("time").time()
+    assert sorted((r["rule"] or "") for r in url_filter(pages, Q.URL_RULES).collect()) == ["", "example.org/en/1", "org/", "org/"]
+    assert __import__("time").time() - began < 20
 
 
 @pytest.mark.parametrize("url,want", [(None, ("", "")), ("x/y", ("", "")), ("http://A.b/C?d", ("a.b", "/C")), ("http://a#x", ("a", "")), ("s://a/b#c?d", ("a", "/b"))])

@@ -36,10 +36,10 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "parent", "tag", "value")
+    __slots__ = ("children", "hidden", "lines", "parent", "tag", "value")
 
     def __init__(self, tag: str, parent: Node | None, hidden: bool = False, value: str = ""):
-        self.tag, self.parent, self.hidden, self.value, self.children = tag, parent, hidden, value, []
+        self.tag, self.parent, self.hidden, self.value, self.children, self.lines = tag, parent, hidden, value, [], []
 
 
 class Builder(HTMLParser):
@@ -177,7 +177,7 @@ def _render(root: Node) -> str:
             continue
         if tag == "table":
             out.need(2)
-            for line in _table(node):
+            for line in node.lines:
                 out.text(line, keep=True)
                 out.need(1)
             out.need(2)
@@ -204,7 +204,7 @@ def _render(root: Node) -> str:
 
 
 def _table(table: Node) -> list[str]:
-    """A line per row, cells padded to the width of their column, with ` | ` between them; captions and stray text first."""
+    """A line per row, cells padded to the width of their column, with ` | ` between them; captions and stray text first. Tables inside have their lines."""
     rows: list[list[str]] = []
     lines: list[str] = []
     todo = [*reversed(table.children)]
@@ -235,11 +235,19 @@ def visible_text(html: str | None) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
+    tables, todo = [], [builder.root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "table":
+            tables.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    for table in reversed(tables):  # inner ones before those around them, however deep
+        table.lines = _table(table)
     return _render(builder.root)
 
 
 def html_text(pages: DataFrame) -> DataFrame:
-    """page_id, text for every row of pages; null or empty html gives an empty text. Other columns are ignored."""
+    """page_id, text for every row of pages, repeated rows each; null or empty html gives an empty text. An empty table gives an empty result. Other columns are ignored."""
 
     def extract(batches):
         for batch in batches:

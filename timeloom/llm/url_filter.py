@@ -48,6 +48,7 @@ class Trie:
             old = node["end"].get(last)
             if old is None or verdict == "block":
                 node["end"][last] = (f"{host}{path}", verdict)
+                node["lengths"] = sorted({len(x) for x in node["end"]}, reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """Rule and verdict of the longest rule that fits."""
@@ -66,8 +67,8 @@ class Trie:
         for segment in path.split("/"):
             ends = node["end"]
             if ends:
-                for n in range(len(segment), -1, -1):
-                    if segment[:n] in ends:
+                for n in node["lengths"]:  # of the rules' last segments, not of the url's
+                    if n <= len(segment) and segment[:n] in ends:
                         found = ends[segment[:n]]
                         break
             node = node.get(("segment", segment))
