@@ -81,7 +81,7 @@ def defender() -> Column:
 def chain_key(kind: str, value: str) -> Column:
     from timeloom.functions.columns import basename
 
-    of = {"file_basename": basename(F.coalesce("file_path", "process_name")), "ip": F.lower("ip"), "hash": F.lower("hash"), "url": F.lower("url"), "user": F.lower("user_name")}
+    of = {"file_basename": basename(F.coalesce("file_path", "process_name")), "ip": F.lower("ip"), "hash": F.lower("hash"), "url": F.lower("url"), "user_name": F.lower("user_name")}
     return of[kind] == value.lower()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,11 @@ from timeloom.registry import query
 
 REFERENCES = {"file": "file_path", "process": "process_name", "hash": "hash", "ip": "ip", "url": "url", "user": "user_name"}
 #: most attributes and runs of one record that are listed
-CAPS = {"attributes": 24, "data_runs": 16, "sections": 16, "run_time_entries": 16, "file_metrics": 32, "trace_chains": 32, "extra_data_blocks": 16, "ese_pages": 8}
+CAPS = {"attributes": 24, "data_runs": 16, "sections": 16, "run_time_entries": 16, "file_metrics": 32, "trace_chains": 32, "extra_data_blocks": 16, "properties": 16, "ese_pages": 8}
+
+
+#: a named stretch of bytes
+SPOT = "name string, offset bigint, length bigint"
 
 
 def object_id(kind: Column, key: Column) -> Column:
@@ -24,11 +30,54 @@ def reference_objects(ef: DataFrame) -> DataFrame:
 
 
 def prefetch_objects(ef: DataFrame) -> DataFrame:
-    """An execution per row, and its run count where it is known."""
+    """An execution per row, its run count where it is known, and its sections, volumes and referenced files up to their caps."""
     rows = ef.where("artifact_type = 'prefetch'").withColumn("runs", attr_i64("attributes_json", "run_count"))
-    made = F.explode(F.array_compact(F.array(F.struct(F.lit("prefetch_execution").alias("kind"), F.col("process_name").alias("name")),
-        F.when(F.col("runs").isNotNull(), F.struct(F.lit("prefetch_run_count").alias("kind"), F.col("runs").cast("string").alias("name")))))).alias("o")
-    return rows.select("event_id", made).select("event_id", "o.*")
+    listed = lambda field, kind: F.transform(F.slice(F.coalesce(F.from_json(F.get_json_object("attributes_json", f"$.{field}"), "array<string>"), F.array()), 1, CAPS["sections"]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    single = F.array_compact(F.array(F.struct(F.lit("prefetch_execution").alias("kind"), F.col("process_name").alias("name")),
+        F.when(F.col("runs").isNotNull(), F.struct(F.lit("prefetch_run_count").alias("kind"), F.col("runs").cast("string").alias("name")))))
+    plain = rows.select("event_id", F.explode(F.concat(single, listed("volumes", "prefetch_volume"), listed("referenced_files", "prefetch_file"))).alias("o")).select("event_id", "o.*")
+    return plain.unionByName(nested_objects(rows, "sections", SPOT, "prefetch_section", F.col("e.name")).select("event_id", "kind", "name"))
+
+
+def link_objects(ef: DataFrame) -> DataFrame:
+    """The target of a shell link, its extra blocks and its property values."""
+    rows = ef.where("artifact_type IN ('lnk', 'jump_list')")
+    kind = F.when(F.col("artifact_type") == "lnk", "shell_link_target").otherwise("jumplist_target")
+    target = rows.select("event_id", kind.alias("kind"), attr_string("attributes_json", "target_path", "target").alias("name")).where("name IS NOT NULL")
+    blocks = nested_objects(rows, "extra_data_blocks", "signature string, offset bigint, length bigint", "lnk_extra_block", F.col("e.signature"))
+    values = nested_objects(rows, "properties", "name string, value string", "lnk_property_value", F.concat_ws("=", "e.name", "e.value"))
+    return target.unionByName(blocks.select("event_id", "kind", "name")).unionByName(values.select("event_id", "kind", F.col("name")))
+
+
+def registry_objects(ef: DataFrame) -> DataFrame:
+    kind = F.when(F.col("artifact_type") == "amcache", "amcache_entry").otherwise("registry_value")
+    key = F.coalesce(F.concat_ws("/", attr_string("attributes_json", "key_path"), attr_string("attributes_json", "value_name")), filled("file_path"))
+    return ef.where("artifact_type IN ('registry_hive', 'amcache')").select("event_id", kind.alias("kind"), key.alias("name"))
+
+
+def ese_objects(ef: DataFrame) -> DataFrame:
+    """A signal per row, the table's name, the pages and their tags."""
+    rows = ef.where("artifact_type = 'ese_database'")
+    out = rows.select("event_id", F.lit("ese_row_signal").alias("kind"), F.col("event_action").alias("name"))
+    out = out.unionByName(rows.select("event_id", F.lit("ese_table_hint").alias("kind"), attr_string("attributes_json", "table_hint").alias("name")).where("name IS NOT NULL"))
+    pages = ese_pages(rows)
+    out = out.unionByName(pages.select("event_id", F.lit("ese_page").alias("kind"), F.col("page").cast("string").alias("name")))
+    tags = pages.select("event_id", "page", F.explode("tags.tag").alias("tag"))
+    return out.unionByName(tags.select("event_id", F.lit("ese_page_tag").alias("kind"), F.concat_ws(":", "page", "tag").alias("name")))
+
+
+def ese_pages(ef: DataFrame) -> DataFrame:
+    schema = "array<struct<page bigint, offset bigint, tags array<struct<tag bigint, offset bigint, length bigint>>>>"
+    pages = F.slice(F.from_json(F.get_json_object("attributes_json", "$.pages"), schema), 1, CAPS["ese_pages"])
+    return ef.where("artifact_type = 'ese_database'").select("event_id", F.explode(pages).alias("p")).select("event_id", "p.*")
+
+
+RECOVERED = {"recovered_file": "recovered_file", "credential_store_entry": "credential_store_entry", "pcap_conversation_reconstructed": "reconstructed_network_conversation", "sidecar_output": "sidecar_output"}
+
+
+def recovery_objects(ef: DataFrame) -> DataFrame:
+    kind = F.create_map(*[F.lit(x) for pair in RECOVERED.items() for x in pair])[F.col("event_action")]
+    return ef.select("event_id", kind.alias("kind"), F.coalesce(attr_string("attributes_json", "recovered_name"), filled("file_path"), F.col("event_id")).alias("name")).where("kind IS NOT NULL")
 
 
 def usn_objects(ef: DataFrame) -> DataFrame:
@@ -46,7 +95,8 @@ def windows_event_objects(ef: DataFrame) -> DataFrame:
 def nested_objects(ef: DataFrame, field: str, schema: str, kind: str, name: Column) -> DataFrame:
     """One object per entry of an array of the attributes, up to its cap; entries that can't be read are skipped."""
     entries = F.slice(F.from_json(F.get_json_object("attributes_json", f"$.{field}"), f"array<struct<{schema}>>"), 1, CAPS[field])
-    return ef.select("event_id", F.explode(entries).alias("e")).select("event_id", F.lit(kind).alias("kind"), name.alias("name"), "e.*")
+    rows = ef.select("event_id", F.explode(entries).alias("e")).select("event_id", F.lit(kind).alias("kind"), name.alias("label"), "e.*")
+    return rows.drop("name").withColumnRenamed("label", "name")
 
 
 def mft_attributes(ef: DataFrame) -> DataFrame:
@@ -64,17 +114,129 @@ def offsets(ef: DataFrame) -> DataFrame:
     return ef.select("event_id", "source_file_id", start.alias("offset"), length.alias("length"), F.concat("artifact_type", F.lit("_record")).alias("kind"))
 
 
+def mft_offsets(ef: DataFrame) -> DataFrame:
+    return mft_attributes(ef).select("event_id", "kind", "name", "offset", "length")
+
+
+def prefetch_offsets(ef: DataFrame) -> DataFrame:
+    return nested_objects(ef.where("artifact_type = 'prefetch'"), "sections", SPOT, "prefetch_section", F.col("e.name")).select("event_id", "kind", "name", "offset", "length")
+
+
+def link_offsets(ef: DataFrame) -> DataFrame:
+    rows = ef.where("artifact_type IN ('lnk', 'jump_list')")
+    return nested_objects(rows, "extra_data_blocks", "signature string, offset bigint, length bigint", "lnk_extra_block", F.col("e.signature")).select("event_id", "kind", "name", "offset", "length")
+
+
+def ese_offsets(ef: DataFrame) -> DataFrame:
+    """Pages, and their tags counted from the page's begin."""
+    pages = ese_pages(ef)
+    tags = pages.select("event_id", "page", "offset", F.explode("tags").alias("t"))
+    out = pages.select("event_id", F.lit("ese_page").alias("kind"), F.col("page").cast("string").alias("name"), "offset", F.lit(4096).cast("long").alias("length"))
+    return out.unionByName(tags.select("event_id", F.lit("ese_page_tag").alias("kind"), F.concat_ws(":", "page", "t.tag").alias("name"), (F.col("offset") + F.col("t.offset")).alias("offset"), F.col("t.length").alias("length")))
+
+
+def artifact_objects(ef: DataFrame) -> DataFrame:
+    """All objects: event_id, kind, key (lower-cased, with its kind before it), confidence."""
+    derived = reduce(DataFrame.unionByName, [f(ef).select("event_id", "kind", "name") for f in (prefetch_objects, usn_objects, windows_event_objects, link_objects, registry_objects, ese_objects, recovery_objects, mft_attributes)])
+    both = derived.withColumn("confidence", F.lit(0.9)).unionByName(reference_objects(ef).select("event_id", "kind", "name", "confidence"))
+    return both.select("event_id", "kind", F.lower(F.concat_ws(":", "kind", "name")).alias("key"), "confidence")
+
+
+# fixed values
+#: kinds of objects that make chains
+CHAINED = [
+    "ntfs_file_record", "ntfs_attribute", "ntfs_data_run", "prefetch_section", "prefetch_run_count", "prefetch_run_time", "prefetch_file_metric", "prefetch_trace_chain",
+    "lnk_property_value", "ese_page_tag", "ese_table_hint", "file_reference", "process_reference", "hash_reference", "url_reference",
+]
+COMMON_OBJECTS = [
+    "file_reference:/", "file_reference:c:\\program", "file_reference:c:\\programdata\\microsoft\\windows", "file_reference:c:\\windows\\explorer.exe",
+    "file_reference:\\device\\harddiskvolume3\\program", "process_reference:winlogon.exe", "process_reference:explorer.exe", "process_reference:onedrive.exe",
+    "process_reference:onedrivesetup.exe", "process_reference:onedrivestandaloneupdater.exe", "process_reference:microsoft.sharepoint.exe", "process_reference:filecoauth.exe",
+    "process_reference:filecoauthlib64.dll", "process_reference:explorerframe.dll", "process_reference:tiworker.exe", "process_reference:mmres.dll", "process_reference:svchost.exe",
+]
+#: (test of the kind, title)
+OBJECT_TITLES = [
+    ("kind = 'ntfs_data_run'", "NTFS DATA runlist の横断一致"), ("kind = 'ntfs_attribute'", "NTFS 属性構造の横断一致"), ("kind LIKE 'prefetch_%'", "Prefetch 構造の横断一致"),
+    ("kind = 'lnk_property_value'", "LNK PropertyStore の横断一致"), ("kind IN ('ese_page_tag', 'ese_table_hint')", "ESE 内部構造の横断一致"),
+    ("kind IN ('process_reference', 'file_reference')", "構造抽出された実体の横断一致"), ("true", "構造オブジェクトの横断一致"),
+]
+OBJECT_LEVELS = [
+    ("kind IN ('ntfs_data_run', 'lnk_property_value') AND types >= 2", "high"), ("kind IN ('ese_page_tag', 'ese_table_hint') AND types >= 2", "medium"), ("confidence >= 0.85", "medium"), ("true", "low"),
+]
+OBJECT_REASONS = [
+    ("kind = 'lnk_property_value'", "LNK PropertyStore の同一キー/値候補が複数イベントまたは複数アーティファクトで一致"),
+    ("kind IN ('ese_page_tag', 'ese_table_hint')", "ESE ページタグまたはテーブル名候補が複数イベントまたは複数アーティファクトで一致"),
+    ("kind LIKE 'prefetch_%'", "Prefetch の版別構造/実行時刻/セクションが複数イベントで一致"), ("true", "artifact_objects の構造キーが複数イベントまたは複数アーティファクトで一致"),
+]
+OBJECT_SCORE = (
+    "35 * types + least(events, 25) + 5 * least(step_count, 25) + CASE WHEN kind IN ('ntfs_data_run', 'lnk_property_value') THEN 25 ELSE 0 END"
+    " + CASE WHEN kind IN ('ese_page_tag', 'ese_table_hint') THEN 15 ELSE 0 END"
+)
+
+
+def ladder(steps: list[tuple[str, str]]) -> str:
+    """The value of the first test that holds."""
+    return "CASE " + " ".join(f"WHEN {test} THEN '{value}'" for test, value in steps) + " END"
+
+
+def object_chains(ef: DataFrame) -> DataFrame:
+    """Objects of one kind and key in several events or types of artifact; one partial aggregation, hot keys send one row a task."""
+    rows = artifact_objects(ef).where(F.col("kind").isin(CHAINED) & (F.length("key") >= 3) & ~F.col("key").isin(COMMON_OBJECTS))
+    rows = rows.join(ef.select("event_id", "artifact_type", "event_time_utc"), "event_id")
+    grouped = rows.groupBy("kind", "key").agg(
+        F.countDistinct("artifact_type").alias("types"), F.array_join(F.sort_array(F.collect_set("artifact_type")), ",").alias("artifact_types"), F.count("*").alias("events"),
+        F.countDistinct("event_id").alias("step_count"), F.min("event_time_utc").alias("first_seen"), F.max("event_time_utc").alias("last_seen"), F.max("confidence").alias("confidence"))
+    return grouped.where("step_count >= 2 OR types >= 2").select(
+        F.concat(F.lit("artifact_object:"), "kind").alias("kind"), "key", F.expr(ladder(OBJECT_TITLES)).alias("title"), F.expr(ladder(OBJECT_LEVELS)).alias("severity"), "artifact_types", "events", "step_count",
+        "first_seen", "last_seen", F.expr(OBJECT_SCORE).cast("long").alias("score"), F.expr(ladder(OBJECT_REASONS)).alias("explanation"))
+
+
 _REF = " UNION ALL ".join(f"SELECT event_id, '{k}_reference' AS kind, {c} AS name FROM ef WHERE {c} NOT IN ('', '-')" for k, c in REFERENCES.items())
+_J = lambda k: f"json_extract_string(attributes_json, '$.{k}')"
+_LIST = lambda field, shape: f"unnest(from_json(json_extract(attributes_json, '$.{field}'), '[{shape}]'))"
+_SPOT_SQL = '{"name":"VARCHAR","signature":"VARCHAR","type_name":"VARCHAR","value":"VARCHAR","offset":"BIGINT","length":"BIGINT"}'
+_PAGE_SQL = '{"page":"BIGINT","offset":"BIGINT","tags":[{"tag":"BIGINT","offset":"BIGINT","length":"BIGINT"}]}'
+_ORDINARY = {
+    "prefetch": f"""SELECT event_id, 'prefetch_execution' AS kind, process_name AS name FROM ef WHERE artifact_type = 'prefetch' UNION ALL SELECT event_id, 'prefetch_run_count', {_J('run_count')} FROM ef WHERE artifact_type = 'prefetch'
+ UNION ALL SELECT event_id, 'prefetch_section', e.name FROM (SELECT event_id, {_LIST('sections', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'prefetch')
+ UNION ALL SELECT event_id, 'prefetch_volume', e FROM (SELECT event_id, {_LIST('volumes', '"VARCHAR"')} AS e FROM ef WHERE artifact_type = 'prefetch')
+ UNION ALL SELECT event_id, 'prefetch_file', e FROM (SELECT event_id, {_LIST('referenced_files', '"VARCHAR"')} AS e FROM ef WHERE artifact_type = 'prefetch')""",
+    "usn": f"SELECT event_id, 'usn_record' AS kind, coalesce({_J('usn')}, event_id) AS name FROM ef WHERE artifact_type = 'usn_jrnl'",
+    "windows_event": """SELECT event_id, CASE event_action WHEN 'kerberos_tgs_request' THEN 'kerberos_ticket_request' WHEN 'audit_log_cleared' THEN 'audit_policy_change' WHEN 'logon_success' THEN 'rdp_logon_observation' END AS kind,
+ coalesce(json_extract_string(attributes_json, '$.data.ServiceName'), event_id) AS name FROM ef WHERE artifact_type = 'evtx' AND event_action IN ('kerberos_tgs_request', 'audit_log_cleared', 'logon_success')""",
+    "link": f"""SELECT event_id, 'shell_link_target' AS kind, {_J('target_path')} AS name FROM ef WHERE artifact_type = 'lnk' UNION ALL SELECT event_id, 'lnk_extra_block', e.signature FROM (SELECT event_id, {_LIST('extra_data_blocks', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'lnk')
+ UNION ALL SELECT event_id, 'lnk_property_value', e.name || '=' || e.value FROM (SELECT event_id, {_LIST('properties', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'lnk')""",
+    "registry": f"SELECT event_id, 'registry_value' AS kind, {_J('key_path')} || '/' || {_J('value_name')} AS name FROM ef WHERE artifact_type = 'registry_hive'",
+    "ese": f"""SELECT event_id, 'ese_row_signal' AS kind, event_action AS name FROM ef WHERE artifact_type = 'ese_database' UNION ALL SELECT event_id, 'ese_table_hint', {_J('table_hint')} FROM ef WHERE artifact_type = 'ese_database'
+ UNION ALL SELECT event_id, 'ese_page', CAST(p.page AS VARCHAR) FROM (SELECT event_id, {_LIST('pages', _PAGE_SQL)} AS p FROM ef WHERE artifact_type = 'ese_database')
+ UNION ALL SELECT event_id, 'ese_page_tag', p.page || ':' || t.tag FROM (SELECT event_id, p, unnest(p.tags) AS t FROM (SELECT event_id, {_LIST('pages', _PAGE_SQL)} AS p FROM ef WHERE artifact_type = 'ese_database'))""",
+    "recovery": "SELECT event_id, CASE event_action " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in RECOVERED.items()) + f" END AS kind, coalesce({_J('recovered_name')}, event_id) AS name FROM ef WHERE event_action IN (" + ", ".join(f"'{a}'" for a in RECOVERED) + ")",
+    "mft": f"SELECT event_id, 'ntfs_attribute' AS kind, e.type_name AS name FROM (SELECT event_id, {_LIST('attributes', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'mft')",
+}
+_MAKE = {
+    "prefetch": prefetch_objects, "usn": usn_objects, "windows_event": windows_event_objects, "link": link_objects, "registry": registry_objects, "ese": ese_objects, "recovery": recovery_objects,
+    "mft": lambda ef: mft_attributes(ef).select("event_id", "kind", "name"),
+}
 query("derive_reference_objects", f", r AS ({_REF}) SELECT sha256(event_id || '|' || kind || '|' || name) AS object_id, event_id, kind, name, CAST(0.6 AS DOUBLE) AS confidence FROM r", over="ef")(reference_objects)
-query("derive_prefetch_objects", "SELECT event_id, 'prefetch_execution' AS kind, process_name AS name FROM ef WHERE artifact_type = 'prefetch' UNION ALL SELECT event_id, 'prefetch_run_count', json_extract_string(attributes_json, '$.run_count') FROM ef WHERE artifact_type = 'prefetch'", over="ef")(prefetch_objects)
-query("derive_usn_objects", "SELECT event_id, 'usn_record' AS kind, event_id AS name FROM ef WHERE artifact_type = 'usn_jrnl'", over="ef")(usn_objects)
-query("derive_windows_event_objects", """, w AS (SELECT event_id, CASE event_action WHEN 'kerberos_tgs_request' THEN 'kerberos_ticket_request' WHEN 'audit_log_cleared' THEN 'audit_policy_change' WHEN 'logon_success' THEN 'rdp_logon_observation' END AS kind,
- coalesce(json_extract_string(attributes_json, '$.data.ServiceName'), event_id) AS name FROM ef WHERE artifact_type = 'evtx') SELECT * FROM w WHERE kind IS NOT NULL""", over="ef")(windows_event_objects)
-query("derive_offsets", "SELECT event_id, source_file_id, CAST(0 AS BIGINT) AS \"offset\", CAST(4096 AS BIGINT) AS length, artifact_type || '_record' AS kind FROM ef", over="ef")(offsets)
-query("event_artifact_objects", f", r AS ({_REF}) SELECT event_id, kind, name FROM r WHERE event_id = 'ev00000042' ORDER BY kind, name LIMIT 100", over="ef")(
-    lambda ef: reference_objects(ef.where("event_id = 'ev00000042'")).select("event_id", "kind", "name").orderBy("kind", "name").limit(100)
+for _name, _sql in _ORDINARY.items():
+    query(f"derive_{_name}_objects", f", o AS ({_sql}) SELECT * FROM o", over="ef")(_MAKE[_name])
+_OFFSETS = f"""SELECT event_id, source_file_id, coalesce(CAST({_J('record_offset')} AS BIGINT), 0) AS "offset", least(greatest(coalesce(CAST({_J('record_size')} AS BIGINT), 4096), 1), 65536) AS length, artifact_type || '_record' AS kind FROM ef"""
+query("derive_offsets", _OFFSETS, over="ef")(offsets)
+query("derive_mft_offsets", f"""SELECT event_id, 'ntfs_attribute' AS kind, e.type_name AS name, base + e.offset AS "offset", e.length AS length FROM (SELECT event_id, CAST({_J('record_offset')} AS BIGINT) AS base, {_LIST('attributes', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'mft')""", over="ef")(mft_offsets)
+query("derive_prefetch_offsets", f"""SELECT event_id, 'prefetch_section' AS kind, e.name AS name, e.offset AS "offset", e.length AS length FROM (SELECT event_id, {_LIST('sections', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'prefetch')""", over="ef")(prefetch_offsets)
+query("derive_link_offsets", f"""SELECT event_id, 'lnk_extra_block' AS kind, e.signature AS name, e.offset AS "offset", e.length AS length FROM (SELECT event_id, {_LIST('extra_data_blocks', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'lnk')""", over="ef")(link_offsets)
+query("derive_ese_offsets", f""", p AS (SELECT event_id, {_LIST('pages', _PAGE_SQL)} AS p FROM ef WHERE artifact_type = 'ese_database'), t AS (SELECT event_id, p, unnest(p.tags) AS t FROM p)
+ SELECT event_id, 'ese_page' AS kind, CAST(p.page AS VARCHAR) AS name, p.offset AS "offset", CAST(4096 AS BIGINT) AS length FROM p UNION ALL SELECT event_id, 'ese_page_tag', p.page || ':' || t.tag, p.offset + t.offset, t.length FROM t""", over="ef")(ese_offsets)
+query("event_artifact_objects", f", r AS ({_REF} UNION ALL " + " UNION ALL ".join(f"({q})" for q in _ORDINARY.values()) + ") SELECT kind, lower(kind || ':' || name) AS key FROM r WHERE event_id = 'ev00000042' ORDER BY kind, key LIMIT 100", over="ef")(
+    lambda ef: artifact_objects(ef.where("event_id = 'ev00000042'")).select("kind", "key").orderBy("kind", "key").limit(100)
 )
-query("event_evidence_offsets", "SELECT event_id, CAST(0 AS BIGINT) AS \"offset\" FROM ef WHERE event_id = 'ev00000042'", over="ef")(lambda ef: offsets(ef.where("event_id = 'ev00000042'")).select("event_id", "offset").orderBy("offset").limit(50))
-query("object_chains", f", r AS ({_REF}) SELECT kind, lower(name) AS key, count(*) AS objects, count(DISTINCT event_id) AS events FROM r GROUP BY 1, 2 HAVING count(*) > 1", over="ef")(
-    lambda ef: reference_objects(ef).groupBy("kind", F.lower("name").alias("key")).agg(F.count("*").alias("objects"), F.countDistinct("event_id").alias("events")).where("objects > 1")
+query("event_evidence_offsets", f"SELECT \"offset\", length FROM ({_OFFSETS}) WHERE event_id IN ('ev00000042', 'ev00000043', 'ev00000045')", over="ef")(
+    lambda ef: offsets(ef.where("event_id IN ('ev00000042', 'ev00000043', 'ev00000045')")).select("offset", "length").orderBy("offset").limit(50)
 )
+OBJECT_CHAINS = f""", o0 AS (SELECT *, CAST(0.6 AS DOUBLE) AS confidence FROM ({_REF}) UNION ALL SELECT *, 0.9 FROM ({" UNION ALL ".join(f"({q})" for q in _ORDINARY.values())})),
+ o1 AS (SELECT o0.event_id, kind, lower(kind || ':' || name) AS key, confidence, artifact_type, event_time_utc FROM o0 JOIN ef USING (event_id) WHERE kind IN ({', '.join(f"'{k}'" for k in CHAINED)})),
+ o2 AS (SELECT kind, key, count(DISTINCT artifact_type) AS types, string_agg(DISTINCT artifact_type, ',' ORDER BY artifact_type) AS artifact_types, count(*) AS events, count(DISTINCT event_id) AS step_count, min(event_time_utc) AS first_seen,
+  max(event_time_utc) AS last_seen, max(confidence) AS confidence FROM o1 WHERE key NOT IN ({', '.join(f"'{k}'" for k in COMMON_OBJECTS)}) GROUP BY 1, 2 HAVING count(DISTINCT event_id) >= 2 OR count(DISTINCT artifact_type) >= 2),
+ object_chains AS (SELECT 'artifact_object:' || kind AS kind, key, {ladder(OBJECT_TITLES)} AS title, {ladder(OBJECT_LEVELS)} AS severity, artifact_types, events, step_count, first_seen, last_seen, CAST({OBJECT_SCORE} AS BIGINT) AS score,
+  {ladder(OBJECT_REASONS)} AS explanation FROM o2)"""
+query("object_chains", OBJECT_CHAINS + " SELECT * FROM object_chains", over="ef")(object_chains)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
 from timeloom.registry import query
-from timeloom.sources.fixture import ATTRIBUTES, PLAIN
+from timeloom.plans.read_models import ATTRIBUTES, PLAIN
 
 query("rebuild_event_rows", "SELECT * EXCLUDE (attributes_json, message_full) FROM er")(lambda er: er.drop("attributes_json", "message_full"))
 query("project_event_rows", "SELECT " + ", ".join(PLAIN) + " FROM ef", over="ef")(lambda ef: ef.select(*PLAIN))
@@ -22,7 +22,9 @@ query("haystack_legacy", "SELECT event_id, coalesce(CASE WHEN artifact_type = 'm
     lambda er: er.select("event_id", F.coalesce(F.when(F.col("artifact_type") != "mft", F.col("search_text")), F.lower(F.concat_ws(" ", "event_id", "event_action", "message_short"))).alias("haystack"))
 )
 query("basename", "SELECT event_id, regexp_replace(lower(file_path), '^.*[\\\\/]', '') AS name FROM er")(lambda er: er.select("event_id", C.basename("file_path").alias("name")))
-query("process_basename", "SELECT event_id, process_name AS name FROM er")(lambda er: er.select("event_id", C.process_basename("process_name").alias("name")))
+query("process_basename", "SELECT event_id, process_name AS name FROM er")(
+    lambda er: er.select("event_id", C.process_basename(F.concat(F.lit('"C:/Windows/'), F.upper("process_name"), F.lit('"'))).alias("name"))
+)
 query("event_subject", "SELECT event_id, coalesce(process_name, file_path, ip, hash, user_name, host) AS subject FROM er")(lambda er: er.select("event_id", F.coalesce("process_name", "file_path", "ip", "hash", "user_name", "host").alias("subject")))
 query("command_unescape", "SELECT event_id, replace(replace(command_line, '\\\\', '\\'), '\\\"', '\"') AS command FROM er WHERE command_line IS NOT NULL")(
     lambda er: er.where("command_line IS NOT NULL").select("event_id", F.replace(F.replace("command_line", F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit('"')).alias("command"))
@@ -30,8 +32,12 @@ query("command_unescape", "SELECT event_id, replace(replace(command_line, '\\\\'
 query("normalize_time", "SELECT event_id, strftime(make_timestamp(CAST(epoch_us(CAST(event_time_utc AS TIMESTAMP)) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS t FROM er")(
     lambda er: er.select("event_id", F.date_format(C.normalize_time(F.unix_micros(C.timestamp("event_time_utc")).cast("string")), "yyyy-MM-dd HH:mm:ss").alias("t"))
 )
-query("sanitize_account", "SELECT event_id, user_name FROM er")(lambda er: er.select("event_id", C.sanitize_account("user_name").alias("user_name")))
-query("sanitize_account_in_message", "SELECT event_id, message_short FROM er")(lambda er: er.select("event_id", C.sanitize_account_in_message("message_short").alias("message_short")))
+query("sanitize_account", "SELECT event_id, 'NT AUTHORITY\\' || user_name AS user_name FROM er")(
+    lambda er: er.select("event_id", C.sanitize_account(F.concat("host", F.lit(" NT Authority\\"), "user_name")).alias("user_name")).withColumn("user_name", F.replace("user_name", F.lit("NT Authority"), F.lit("NT AUTHORITY")))
+)
+query("sanitize_account_in_message", "SELECT event_id, message_short || ' user=BUILTIN\\x' AS message_short FROM er")(
+    lambda er: er.select("event_id", C.sanitize_account_in_message(F.concat("message_short", F.lit(" user="), "host", F.lit("BUILTIN\\x"))).alias("message_short"))
+)
 query("sha256_from_hashes", "SELECT event_id, sha256(event_id) AS sha FROM er")(
     lambda er: er.select("event_id", F.regexp_extract(F.concat(F.lit("MD5=x,SHA256="), F.sha2("event_id", 256), F.lit(",IMP=y")), r"SHA256=([0-9A-Fa-f]{64})", 1).alias("sha"))
 )

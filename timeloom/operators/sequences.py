@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeloom.functions.columns import basename, process_basename, timestamp
 from timeloom.operators.aggregates import RANK_SQL
 from timeloom.registry import query
+from timeloom.sources.storage import discard, stored
 
 #: upper bounds of the gap buckets in seconds, the last one open
 BUCKETS = [10, 30, 60, 300, 900, 3600, 21600]
@@ -67,15 +68,24 @@ def process_instances(er: DataFrame) -> DataFrame:
 
 
 def process_forest(nodes: DataFrame, depth: int = 128) -> DataFrame:
-    """key, root, depth: pointers up the tree are doubled, so a path of d takes log2(d) joins; cycles end by the bound and have no root."""
+    """key, root, depth: pointers up the tree are doubled, so a path of d takes log2(d) joins; cycles end by the bound and have no root.
+
+    Each round is stored: it reads the one before, not all before it. Rounds end when every pointer stands at a root.
+    """
     from math import ceil, log2
 
-    at = nodes.select("key", "parent_key").join(nodes.select(F.col("key").alias("parent_key"), F.lit(True).alias("known")), "parent_key", "left")
-    at = at.select("key", F.when(F.col("known"), F.col("parent_key")).alias("up")).withColumn("hops", F.when(F.col("up").isNotNull(), 1).otherwise(0))
-    at = at.withColumn("root", F.when(F.col("up").isNull(), F.col("key")).otherwise(F.col("up"))).withColumn("ends", F.col("up").isNull())
+    nodes = stored(nodes.select("key", "parent_key"), "process-nodes")
+    at = nodes.join(nodes.select(F.col("key").alias("parent_key"), F.lit(True).alias("known")), "parent_key", "left")
+    at = at.select("key", F.when(F.col("known"), F.col("parent_key")).alias("up"))
+    at = stored(at.select("key", F.coalesce("up", "key").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("hops"), F.col("up").isNull().alias("ends")), "process-pointers")
     for _ in range(ceil(log2(depth))):
+        if not at.where("NOT ends").limit(1).count():
+            break
         above = at.select(F.col("key").alias("root"), F.col("root").alias("top"), F.col("hops").alias("more"), "ends")
-        at = at.drop("ends").join(above, "root").select("key", F.col("top").alias("root"), (F.col("hops") + F.col("more")).alias("hops"), "ends")
+        new = stored(at.drop("ends").join(above, "root").select("key", F.col("top").alias("root"), (F.col("hops") + F.col("more")).alias("hops"), "ends"), "process-pointers")
+        discard(at)
+        at = new
+    discard(nodes)
     return at.where(F.col("ends") & (F.col("hops") <= depth)).select("key", "root", F.col("hops").alias("depth"))
 
 

