@@ -5,28 +5,76 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.functions.columns import severity_max, severity_rank
+from timeloom.functions.columns import blank, severity_max, severity_rank
 from timeloom.operators.aggregates import MAX_SQL
+from timeloom.plans.read_models import with_finding_flag
 from timeloom.registry import query
 
 DASHES = "–—―/"
+#: channels of a log source's services
+SERVICES = {
+    "security": "security", "system": "system", "application": "application", "powershell": "microsoft-windows-powershell/operational", "sysmon": "microsoft-windows-sysmon/operational",
+    "windefend": "microsoft-windows-windows defender/operational", "taskscheduler": "microsoft-windows-taskscheduler/operational",
+}
+CATEGORIES = {"process_creation": ["4688", "1"]}
+_PS = ["powershell", "pwsh"]
+_MP = ["set-mppreference", "add-mppreference"]
+
+
+def _rule(id_: str, title: str, level: str, tags: str, selections: dict, condition=None, service: str | None = None) -> dict:
+    names = list(selections)
+    all_of = names[0] if len(names) == 1 else ("and", *names)
+    return {"id": id_, "title": title, "level": level, "tags": [f"attack.{t}" for t in tags.split()], "logsource": {"service": service} if service else {}, "selections": selections, "condition": condition or all_of}
 
-#: rules of ours: title, level, codes (empty: any), selections of field|modifier: values, and how they combine
+
+#: selections: a list is searched for in the message and the data, a dict tests fields (field|modifier: values); condition: how they combine.
+#: The words and codes are fixed values.
 RULES = [
-    {"id": "log_cleared", "title": "Audit log cleared", "level": "high", "codes": ["1102"], "selections": {}, "condition": True, "tags": ["attack.defense_evasion", "attack.t1070.001"]},
-    {"id": "encoded_powershell", "title": "Encoded PowerShell", "level": "high", "codes": ["4688", "1"], "selections": {"s": {"CommandLine|contains|all": ["powershell", " -enc"]}}, "condition": "s", "tags": ["attack.execution", "attack.t1059.001"]},
-    {"id": "certutil_download", "title": "certutil download", "level": "medium", "codes": ["4688", "1"], "selections": {"s": {"CommandLine|startswith": ["certutil"], "CommandLine|contains|windash": ["-urlcache"]}}, "condition": "s", "tags": ["attack.command_and_control", "attack.t1105"]},
-    {"id": "wevtutil_clear", "title": "Event log cleared by tool", "level": "high", "codes": ["4688", "1"], "selections": {"s": {"CommandLine|re": [r"wevtutil(\.exe)?\s+cl\s"]}}, "condition": "s", "tags": ["attack.defense_evasion", "attack.t1070.001"]},
-    {"id": "schtasks_create", "title": "Scheduled task created", "level": "medium", "codes": ["4688", "1"], "selections": {"s": {"CommandLine|contains": ["schtasks"]}, "f": {"CommandLine|endswith": ["/query"]}}, "condition": ("and", "s", ("not", "f")), "tags": ["attack.persistence", "attack.t1053.005"]},
-    {"id": "kerberoast", "title": "Weak ticket encryption", "level": "medium", "codes": ["4769"], "selections": {"s": {"TicketEncryptionType": ["0x17"]}}, "condition": "s", "tags": ["attack.credential_access", "attack.t1558.003"]},
-    {"id": "account_created", "title": "Account created", "level": "low", "codes": ["4720"], "selections": {}, "condition": True, "tags": ["attack.persistence", "attack.t1136.001"]},
-    {"id": "service_installed", "title": "Service installed", "level": "medium", "codes": ["7045"], "selections": {"n": {"ServiceName": [None]}}, "condition": ("not", "n"), "tags": ["attack.persistence", "attack.t1543.003"]},
+    _rule("log_cleared", "Security log cleared", "high", "t1070.001 defense_evasion", {"s": {"EventID": ["1102"]}}, service="security"),
+    _rule("wevtutil_clear", "Event log cleared by wevtutil", "high", "t1070.001 defense_evasion", {"tool": ["wevtutil"], "action": ["cl ", "clear-log", "clearlog"]}),
+    _rule("lsass_minidump", "LSASS dumped through comsvcs", "critical", "t1003.001 credential_access", {"dll": ["comsvcs"], "func": ["minidump"]}),
+    _rule("ntds_extraction", "NTDS.dit taken out", "critical", "t1003.003 credential_access", {"tool": ["ntdsutil"], "file": ["ntds.dit"]}, ("n of", 1, "")),
+    _rule("psexec_service", "Remote execution by a PsExec service", "high", "t1569.002 execution", {"svc": ["psexesvc", "paexec", "remcomsvc"]}),
+    _rule("encoded_powershell", "Encoded PowerShell", "high", "t1059.001 execution", {"ps": _PS, "enc": ["-enc", "-encodedcommand", "frombase64string", "-e jab", "-ec "]}),
+    _rule("rundll32_suspicious", "Unusual rundll32", "medium", "t1218.011 defense_evasion", {"img": ["rundll32"], "susp": ["javascript:", "mshtml", ",#", "url.dll,openurl", "shell32.dll,control_rundll"]}),
+    _rule("kerberoast", "Weak ticket encryption", "high", "t1558.003 credential_access", {"s": {"EventID": ["4769"], "TicketEncryptionType": ["0x17"]}, "f": {"ServiceName|contains": ["krbtgt"]}}, ("and", "s", ("not", "f")), "security"),
+    _rule("asrep_roast", "Ticket without pre-authentication", "high", "t1558.004 credential_access", {"s": {"EventID": ["4768"], "PreAuthType": ["0"]}}, service="security"),
+    _rule("account_created", "Account created", "medium", "t1136.001 persistence", {"s": {"EventID": ["4720"]}}, service="security"),
+    _rule("group_member_added", "Member added to a privileged group", "high", "t1098 persistence", {"s": {"EventID": ["4728", "4732", "4756"]}}, service="security"),
+    _rule("defender_disabled", "Defender switched off", "high", "t1562.001 defense_evasion", {"cmd": _MP, "act": ["disable", "-exclusionpath", "-exclusionextension"]}),
+    _rule("mimikatz", "Traces of Mimikatz", "critical", "t1003 credential_access", {"words": ["sekurlsa", "privilege::debug", "lsadump", "dumpcreds", "kerberos::", "crypto::", "gentilkiwi"]}),
+    _rule("schtasks_create", "Scheduled task created", "high", "t1053.005 execution", {"tool": ["schtasks"], "act": ["/create", "-create"]}),
+    _rule("certutil_download", "Download by certutil", "high", "t1105 command_and_control", {"tool": ["certutil"], "dl": ["urlcache", "-split -f", "verifyctl"]}),
+    _rule("bitsadmin_download", "Download by bitsadmin", "high", "t1197 t1105 defense_evasion", {"tool": ["bitsadmin"], "act": ["/transfer", "/addfile", "/download"]}),
+    _rule("shadow_copies_deleted", "Shadow copies deleted", "critical", "t1490 impact", {"del": ["vssadmin delete shadows", "shadowcopy delete", "wbadmin delete catalog", "win32_shadowcopy", "delete shadows /all"]}),
+    _rule("mshta_remote", "Script run by mshta", "high", "t1218.005 defense_evasion", {"tool": ["mshta"], "susp": ["http://", "https://", "javascript:", "vbscript:", ".hta"]}),
+    _rule("regsvr32_remote", "Script run by regsvr32", "high", "t1218.010 defense_evasion", {"tool": ["regsvr32"], "susp": ["scrobj", "/i:http", "-i:http", "/i:\\\\"]}),
+    _rule("wmic_process", "Process started by wmic", "medium", "t1047 execution", {"tool": ["wmic"], "act": ["process call create", "process call", "/node:"]}),
+    _rule("powershell_cradle", "PowerShell download", "high", "t1059.001 t1105 execution", {"ps": _PS, "dl": ["downloadstring", "downloadfile", "invoke-webrequest", "net.webclient", "start-bitstransfer", "iex(", "invoke-expression"]}),
+    _rule("run_key", "Run key set", "high", "t1547.001 persistence", {"key": ["currentversion\\run", "currentversion\\runonce", "currentversion/run"], "op": ["reg add", "reg.exe add", "new-itemproperty", "set-itemproperty"]}),
+    _rule("defender_exclusion", "Defender exclusion added", "high", "t1562.001 defense_evasion", {"cmd": _MP, "excl": ["exclusionpath", "exclusionextension", "exclusionprocess"]}),
+    _rule("localgroup_admin", "Administrator added by net localgroup", "high", "t1098 persistence", {"tool": ["localgroup"], "grp": ["administrators", "administradores", "administratoren"], "act": ["/add"]}),
+    _rule("service_installed", "Service installed", "medium", "t1543.003 persistence", {"s": {"EventID": ["7045"]}, "n": {"ServiceName": [None]}}, ("and", "s", ("not", "n"))),
 ]
 
 
+def load_rules(path: str) -> list[dict]:
+    """Rules of a JSON list, or of the documents of a YAML file where the library for it is there; conditions are nested lists."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise UnsupportedRule("no YAML library") from e
+        return [r for r in yaml.safe_load_all(f) if r]
+
+
 class UnsupportedRule(ValueError):
     """A rule that can't be compiled is skipped whole and counted."""
 
@@ -34,7 +82,7 @@ class UnsupportedRule(ValueError):
 def field(name: str) -> Column:
     """A value of the event data, its key without regard to case; else the column of that meaning."""
     data = F.transform_keys(F.from_json(F.get_json_object("attributes_json", "$.data"), "map<string,string>"), lambda k, _: F.lower(k))
-    alias = {"commandline": "command_line", "image": "process_name"}.get(name.lower())
+    alias = {"commandline": "command_line", "image": "process_name", "eventid": "event_code", "channel": "channel", "computer": "host", "user": "user_name"}.get(name.lower())
     value = F.element_at(data, name.lower()) if alias is None else F.coalesce(F.element_at(data, name.lower()), F.col(alias))
     return value
 
@@ -53,7 +101,30 @@ def _test(value: Column, how: str, text) -> Column:
     return tests[how]
 
 
-def selection(tests: dict) -> Column:
+def rule_text() -> Column:
+    """What keywords are searched in."""
+    return F.lower(F.concat_ws(" ", "message_full", F.array_join(F.map_values(F.from_json(F.get_json_object("attributes_json", "$.data"), "map<string,string>")), " ")))
+
+
+def log_source(source: dict) -> Column:
+    """service: its channel, without regard to case; category: its event codes."""
+    if unknown := set(source) - {"service", "category", "product"}:
+        raise UnsupportedRule(f"log source {sorted(unknown)}")
+    out = F.lit(True)
+    if service := source.get("service"):
+        if service.lower() not in SERVICES:
+            raise UnsupportedRule(f"service {service}")
+        out = out & (F.lower("channel") == SERVICES[service.lower()])
+    if category := source.get("category"):
+        if category not in CATEGORIES:
+            raise UnsupportedRule(f"category {category}")
+        out = out & F.col("event_code").isin(CATEGORIES[category])
+    return out
+
+
+def selection(tests: dict | list) -> Column:
+    if isinstance(tests, list):
+        return reduce(lambda a, b: a | b, [F.contains("rule_text", F.lit(str(t).lower())) for t in tests])
     parts = []
     for key, values in tests.items():
         name, *mods = key.split("|")
@@ -77,7 +148,7 @@ def compile_rule(rule: dict) -> Column:
             if c not in named:
                 raise UnsupportedRule(f"no selection {c}")
             return named[c]
-        op, *rest = c
+        op, *rest = list(c)
         if op == "not":
             return ~walk(rest[0])
         if op in ("and", "or"):
@@ -89,8 +160,7 @@ def compile_rule(rule: dict) -> Column:
             return sum((F.coalesce(v, F.lit(False)).cast("int") for v in own), F.lit(0)) >= rest[0]
         raise UnsupportedRule(f"condition {op}")
 
-    codes = F.col("event_code").isin(rule["codes"]) if rule["codes"] else F.lit(True)
-    return codes & walk(rule["condition"])
+    return log_source(rule.get("logsource") or {}) & F.coalesce(walk(rule["condition"]), F.lit(False))
 
 
 def tags(rule: dict) -> tuple[list[str], list[str]]:
@@ -118,14 +188,66 @@ def sigma_eval(er: DataFrame, rules: list[dict] = RULES) -> DataFrame:
         techniques, tactics = tags(r)
         values = {"rule_id": F.lit(r["id"]), "title": F.lit(r["title"]), "severity": F.lit(r["level"]), "techniques": F.array(*map(F.lit, techniques)), "tactics": F.array(*map(F.lit, tactics))}
         hits.append(F.when(c, F.struct(*[v.alias(k) for k, v in values.items()])))
-    rows = er.where(F.col("artifact_type").isin("evtx", "hayabusa")).select("event_id", "event_time_utc", "host", "user_name", F.explode(F.array_compact(F.array(*hits))).alias("f"))
-    return rows.select(F.sha2(F.concat_ws("|", F.lit("sigma"), "f.rule_id", "event_id"), 256).alias("finding_id"), "event_id", "event_time_utc", "host", "user_name", "f.*")
+    logs = er.where(F.col("artifact_type").isin("evtx", "hayabusa")).withColumn("rule_text", rule_text())
+    rows = logs.select("event_id", "event_time_utc", "host", "user_name", "process_name", F.explode(F.array_compact(F.array(*hits))).alias("f"))
+    return rows.select(F.sha2(F.concat_ws("|", F.lit("sigma"), "f.rule_id", "event_id"), 256).alias("finding_id"), "event_id", "event_time_utc", "host", "user_name", "process_name", "f.*")
+
+
+ENTITIES = {"host": "host", "user": "user_name", "process": "process_name"}
 
 
-def finding_summary(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("rule_id", "title").agg(
+def finding_summary(findings: DataFrame, entities: int = 24) -> DataFrame:
+    """A row per rule with its affected entities, the first of them in order; highest level first."""
+    groups = findings.groupBy("rule_id", "title").agg(
         severity_max("severity").alias("severity"), F.count("*").alias("findings"), F.countDistinct("event_id").alias("events"), F.min("event_time_utc").alias("first_seen"),
-        F.max("event_time_utc").alias("last_seen"), F.min("event_id").alias("sample"))
+        F.max("event_time_utc").alias("last_seen"), F.min("event_id").alias("sample"), F.first("techniques").alias("techniques"), F.lit("sigma").alias("engine"))
+    named = F.explode(F.array_compact(F.array(*[F.when(~blank(c), F.concat(F.lit(f"{k}:"), c)) for k, c in ENTITIES.items()]))).alias("entity")
+    each = findings.select("rule_id", named).distinct().withColumn("k", F.row_number().over(Window.partitionBy("rule_id").orderBy("entity"))).where(F.col("k") <= entities)
+    listed = each.groupBy("rule_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    out = groups.join(listed, "rule_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    return out.orderBy(severity_rank("severity").desc(), F.desc("findings"), F.desc("last_seen"), "rule_id")
+
+
+def related_findings(groups: DataFrame, most: int = 6) -> DataFrame:
+    """rule_id, related: groups that share a technique or a host, through an equi-join of the keys; the highest `most` of each."""
+    keys = F.explode(F.array_distinct(F.concat("techniques", F.filter("entities", lambda e: F.startswith(e, F.lit("host:")))))).alias("shared")
+    left = groups.select("rule_id", keys)
+    right = groups.select(F.col("rule_id").alias("related"), severity_rank("severity").alias("rank"), "findings", keys)
+    pairs = left.join(right, "shared").where("rule_id <> related").select("rule_id", "related", "rank", "findings").distinct()
+    order = Window.partitionBy("rule_id").orderBy(F.desc("rank"), F.desc("findings"), "related")
+    return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("rule_id", "related")
+
+
+def finding_confidence(engine: Column, described: Column, entities: Column, events: Column) -> Column:
+    """high from four points on, medium from two."""
+    points = F.when(engine.isin("sigma", "ioc", "hayabusa"), 2).when(engine == "correlation", 1).otherwise(0) + described.cast("int") + (entities > 0).cast("int") + (events >= 5).cast("int")
+    return F.when(points >= 4, "high").when(points >= 2, "medium").otherwise("low")
+
+
+def affected_entities(groups: DataFrame) -> DataFrame:
+    """hosts, users and processes of a group's entities."""
+    own = lambda k: F.array_join(F.transform(F.filter("entities", lambda e: F.startswith(e, F.lit(f"{k}:"))), lambda e: F.substring(e, len(k) + 2, 10_000)), ",").alias({"host": "hosts", "user": "users", "process": "processes"}[k])
+    return groups.select("rule_id", *map(own, ENTITIES))
+
+
+# fixed values: names of techniques
+TECHNIQUES = {
+    "T1003": "資格情報ダンプ", "T1003.001": "LSASS メモリ", "T1003.003": "NTDS", "T1027": "難読化", "T1036": "マスカレード", "T1047": "WMI", "T1053": "スケジュールタスク", "T1053.005": "スケジュールタスク",
+    "T1055": "プロセスインジェクション", "T1059": "コマンド/スクリプト実行", "T1059.001": "PowerShell", "T1059.003": "Windows コマンドシェル", "T1070": "痕跡消去", "T1070.001": "Windows イベントログ消去",
+    "T1070.004": "ファイル削除", "T1070.006": "タイムストンプ", "T1071": "アプリ層プロトコル C2", "T1098": "アカウント操作", "T1105": "ツール転送(ダウンロード)", "T1112": "レジストリ改ざん",
+    "T1136": "アカウント作成", "T1136.001": "ローカルアカウント作成", "T1197": "BITS ジョブ", "T1204": "ユーザー実行", "T1218": "署名済バイナリ悪用(LOLBin)", "T1218.005": "Mshta", "T1218.010": "Regsvr32",
+    "T1218.011": "Rundll32", "T1490": "シャドウコピー削除", "T1543": "サービス作成", "T1543.003": "Windows サービス", "T1547": "自動起動(永続化)", "T1547.001": "Run キー / スタートアップ",
+    "T1548": "昇格制御バイパス(UAC)", "T1558.003": "Kerberoasting", "T1558.004": "AS-REP Roasting", "T1562": "防御回避(無効化)", "T1562.001": "防御ツールの無効化", "T1569": "システムサービス",
+    "T1569.002": "サービス実行",
+}
+
+
+def attack_names(rows: DataFrame) -> DataFrame:
+    """technique, name (the id itself where it isn't known) and address of each technique of rows (technique)."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame(list(TECHNIQUES.items()), "technique string, name string")  # 40 rows
+    url = F.concat(F.lit("https://attack.mitre.org/techniques/"), F.replace(F.upper(F.trim("technique")), F.lit("."), F.lit("/")), F.lit("/"))
+    return rows.select("technique").distinct().join(F.broadcast(names), "technique", "left").select("technique", F.coalesce("name", "technique").alias("name"), url.alias("url"))
 
 
 def risk_summary(findings: DataFrame) -> DataFrame:
@@ -157,29 +279,97 @@ def with_overrides(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.withColumn("severity", F.when(F.col("o.action") == "set_severity", F.col("o.severity")).otherwise(F.col("severity"))).drop("o")
 
 
-_D = lambda k: f"coalesce(json_extract_string(attributes_json, '$.data.{k}'), '')"
-_CL = f"lower({_D('CommandLine')})"
-_RULE_SQL = {
-    "log_cleared": "event_code = '1102'", "encoded_powershell": f"event_code IN ('4688', '1') AND contains({_CL}, 'powershell') AND contains({_CL}, ' -enc')",
-    "certutil_download": f"event_code IN ('4688', '1') AND starts_with({_CL}, 'certutil') AND contains({_CL}, '-urlcache')", "wevtutil_clear": f"event_code IN ('4688', '1') AND regexp_matches({_CL}, 'wevtutil(\\.exe)?\\s+cl\\s')",
-    "schtasks_create": f"event_code IN ('4688', '1') AND contains({_CL}, 'schtasks') AND NOT ends_with({_CL}, '/query')", "kerberoast": f"event_code = '4769' AND {_D('TicketEncryptionType')} = '0x17'", "account_created": "event_code = '4720'",
-    "service_installed": f"event_code = '7045' AND {_D('ServiceName')} <> ''",
-}
+def _field_sql(name: str) -> str:
+    data = f"json_extract_string(attributes_json, '$.data.{name}')"
+    alias = {"CommandLine": "command_line", "Image": "process_name", "EventID": "event_code"}.get(name)
+    return f"coalesce({data}, {alias})" if alias else data
+
+
+def _selection_sql(tests) -> str:
+    if isinstance(tests, list):
+        return "(" + " OR ".join(f"contains(rule_text, '{t}')" for t in tests) + ")"
+    forms = {"": "lower({}) = '{}'", "contains": "contains(lower({}), '{}')"}
+    each = lambda key, v: f"coalesce({_field_sql(key.split('|')[0])}, '') = ''" if v is None else forms["".join(key.split("|")[1:])].format(f"coalesce({_field_sql(key.split('|')[0])}, '')", v.lower())
+    return "(" + " AND ".join("(" + " OR ".join(each(k, v) for v in values) + ")" for k, values in tests.items()) + ")"
+
+
+def _rule_sql(rule: dict) -> str:
+    named = {k: _selection_sql(v) for k, v in rule["selections"].items()}
+
+    def walk(c) -> str:
+        if isinstance(c, str):
+            return named[c]
+        if c[0] == "not":
+            return f"NOT {walk(c[1])}"
+        if c[0] == "n of":
+            return "(" + " + ".join(f"CAST({v} AS INTEGER)" for v in named.values()) + f") >= {c[1]}"
+        return "(" + f" {c[0].upper()} ".join(map(walk, c[1:])) + ")"
+
+    source = f"lower(channel) = '{rule['logsource']['service']}' AND " if rule["logsource"] else ""
+    return source + walk(rule["condition"])
+
+
+_RULE_SQL = {r["id"]: _rule_sql(r) for r in RULES}
 _TECH = {r["id"]: tags(r) for r in RULES}
-FINDINGS = ", findings AS (" + " UNION ALL ".join(
-    f"SELECT sha256('sigma|{r['id']}|' || event_id) AS finding_id, event_id, event_time_utc, host, user_name, '{r['id']}' AS rule_id, '{r['title']}' AS title, '{r['level']}' AS severity, {_TECH[r['id']][0]} AS techniques, {_TECH[r['id']][1]} AS tactics FROM er WHERE artifact_type = 'evtx' AND {_RULE_SQL[r['id']]}"
+FINDINGS = ", fr AS (SELECT *, lower(concat_ws(' ', message_full, array_to_string(json_extract_string(attributes_json, '$.data.*'), ' '))) AS rule_text FROM er WHERE artifact_type IN ('evtx', 'hayabusa')), findings AS (" + " UNION ALL ".join(
+    f"SELECT sha256('sigma|{r['id']}|' || event_id) AS finding_id, event_id, event_time_utc, host, user_name, process_name, '{r['id']}' AS rule_id, '{r['title']}' AS title, '{r['level']}' AS severity, {_TECH[r['id']][0]} AS techniques, {_TECH[r['id']][1]} AS tactics FROM fr WHERE {_RULE_SQL[r['id']]}"
     for r in RULES
 ) + ")"
 _F = lambda name, sql: query(name, FINDINGS + sql)
 _F("sigma_eval", " SELECT finding_id, event_id, rule_id, title, severity FROM findings")(lambda er: sigma_eval(er).select("finding_id", "event_id", "rule_id", "title", "severity"))
 _F("sigma_modifiers", " SELECT rule_id, count(*) AS n FROM findings GROUP BY 1")(lambda er: sigma_eval(er).groupBy("rule_id").agg(F.count("*").alias("n")))
 _F("sigma_tags", " SELECT DISTINCT rule_id, array_to_string(techniques, ',') AS techniques, array_to_string(tactics, ',') AS tactics FROM findings")(lambda er: sigma_eval(er).select("rule_id", F.array_join("techniques", ",").alias("techniques"), F.array_join("tactics", ",").alias("tactics")).distinct())
-_F("finding_summary", f" SELECT rule_id, title, {MAX_SQL} AS severity, count(*) AS findings, count(DISTINCT event_id) AS events, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen, min(event_id) AS sample FROM findings GROUP BY 1, 2")(lambda er: finding_summary(sigma_eval(er)))
+SUMMARY = FINDINGS + f""", en AS (SELECT DISTINCT rule_id, unnest([{', '.join(f"CASE WHEN {c} NOT IN ('', '-') THEN '{k}:' || {c} END" for k, c in ENTITIES.items())}]) AS entity FROM findings),
+ el AS (SELECT rule_id, list(entity ORDER BY entity)[1:24] AS entities FROM en WHERE entity IS NOT NULL GROUP BY 1),
+ groups AS (SELECT rule_id, title, {MAX_SQL} AS severity, count(*) AS findings, count(DISTINCT event_id) AS events, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen, min(event_id) AS sample, first(techniques) AS techniques,
+  'sigma' AS engine, coalesce(first(entities), []) AS entities FROM findings LEFT JOIN el USING (rule_id) GROUP BY 1, 2)"""
+_groups = lambda er: finding_summary(sigma_eval(er))
+_flat = lambda: [F.array_join("techniques", ",").alias("techniques"), F.array_join("entities", ",").alias("entities")]
+_S = lambda name, sql: query(name, SUMMARY + sql)
+_S("finding_summary", " SELECT * REPLACE (array_to_string(techniques, ',') AS techniques, array_to_string(entities, ',') AS entities) FROM groups")(lambda er: _groups(er).select("rule_id", "title", "severity", "findings", "events", "first_seen", "last_seen", "sample", "engine", *_flat()))
+_S("related_findings", """, k AS (SELECT DISTINCT rule_id, severity, findings, unnest(list_concat(techniques, list_filter(entities, lambda e: starts_with(e, 'host:')))) AS shared FROM groups),
+ p AS (SELECT DISTINCT a.rule_id, b.rule_id AS related, CASE b.severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank, b.findings FROM k a JOIN k b ON a.shared = b.shared AND a.rule_id <> b.rule_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY rank DESC, findings DESC, related) AS n FROM p) SELECT rule_id, related FROM r WHERE n <= 6""")(lambda er: related_findings(_groups(er)))
+_S("finding_confidence", " SELECT rule_id, CASE WHEN 2 + 1 + CAST(len(entities) > 0 AS INTEGER) + CAST(events >= 5 AS INTEGER) >= 4 THEN 'high' ELSE 'medium' END AS confidence FROM groups")(
+    lambda er: _groups(er).select("rule_id", finding_confidence(F.col("engine"), F.col("title") != "", F.size("entities"), F.col("events")).alias("confidence"))
+)
+_S("affected_entities", " SELECT rule_id, " + ", ".join(f"array_to_string(list_transform(list_filter(entities, lambda e: starts_with(e, '{k}:')), lambda e: substr(e, {len(k) + 2})), ',') AS {n}" for k, n in (("host", "hosts"), ("user", "users"), ("process", "processes"))) + " FROM groups")(lambda er: affected_entities(_groups(er)))
+_S("finding_bucket", " SELECT rule_id, CASE WHEN engine IN ('sigma', 'ioc', 'yara') THEN 'rule' ELSE 'suggest' END AS bucket FROM groups")(lambda er: _groups(er).select("rule_id", finding_bucket(F.col("engine")).alias("bucket")))
+_NAMES = ", ".join(f"('{k}', '{v}')" for k, v in TECHNIQUES.items())
+_F("attack_name_lookup", f", n(technique, name) AS (VALUES {_NAMES}), t AS (SELECT DISTINCT unnest(techniques) AS technique FROM findings) SELECT technique, coalesce(name, technique) AS name, 'https://attack.mitre.org/techniques/' || replace(technique, '.', '/') || '/' AS url FROM t LEFT JOIN n USING (technique)")(
+    lambda er: attack_names(sigma_eval(er).select(F.explode("techniques").alias("technique")))
+)
+_F("sigma_bundled_rules", " SELECT rule_id, title, severity, count(*) AS findings, min(event_id) AS first_event FROM findings GROUP BY 1, 2, 3")(lambda er: sigma_eval(er).groupBy("rule_id", "title", "severity").agg(F.count("*").alias("findings"), F.min("event_id").alias("first_event")))
+_F("sigma_logsource", " SELECT event_id FROM er WHERE lower(channel) = 'security' AND event_code IN ('4688', '1')")(lambda er: er.where(log_source({"service": "Security", "category": "process_creation"})).select("event_id"))
+_F("sigma_keywords", " SELECT event_id FROM fr WHERE contains(rule_text, 'sekurlsa') OR contains(rule_text, 'whoami')")(lambda er: er.where("artifact_type = 'evtx'").withColumn("rule_text", rule_text()).where(selection(["Sekurlsa", "WHOAMI"])).select("event_id"))
+_F("sigma_field_resolve", " SELECT event_id, coalesce(json_extract_string(attributes_json, '$.data.TargetUserName'), '') AS target, command_line AS command, event_code AS code FROM fr")(
+    lambda er: er.where("artifact_type IN ('evtx', 'hayabusa')").select("event_id", F.coalesce(field("targetUSERname"), F.lit("")).alias("target"), F.nullif(F.coalesce(F.when(F.col("command_line").isNotNull(), field("COMMANDLINE")), F.lit("")), F.lit("")).alias("command"), field("EventID").alias("code"))
+)
+_CUSTOM = [
+    {"id": "any_two", "title": "t", "level": "low", "tags": [], "logsource": {}, "selections": {"sel_a": ["powershell"], "sel_b": ["-enc"], "sel_c": ["whoami"]}, "condition": ["n of", 2, "sel_"]},
+    {"id": "all_but", "title": "t", "level": "low", "tags": [], "logsource": {"category": "process_creation"}, "selections": {"k_a": ["cmd"], "k_b": ["whoami"], "f": {"CommandLine|endswith": ["x"]}}, "condition": ["and", ["all of", "k_"], ["not", "f"]]},
+    {"id": "bad_modifier", "title": "t", "level": "low", "tags": [], "logsource": {}, "selections": {"s": {"CommandLine|base64": ["x"]}}, "condition": "s"},
+    {"id": "bad_selection", "title": "t", "level": "low", "tags": [], "logsource": {}, "selections": {"s": ["x"]}, "condition": "z"},
+]
+_TWO = "(CAST(contains(rule_text, 'powershell') AS INTEGER) + CAST(contains(rule_text, '-enc') AS INTEGER) + CAST(contains(rule_text, 'whoami') AS INTEGER)) >= 2"
+_ALL = "event_code IN ('4688', '1') AND contains(rule_text, 'cmd') AND contains(rule_text, 'whoami') AND NOT ends_with(lower(command_line), 'x')"
+for _n in ("sigma_condition", "sigma_custom_rules"):
+    _F(_n, f" SELECT event_id, 'any_two' AS rule_id FROM fr WHERE {_TWO} UNION ALL SELECT event_id, 'all_but' FROM fr WHERE {_ALL}")(lambda er: sigma_eval(er, _CUSTOM).select("event_id", "rule_id"))
+_F("sigma_skip_unsupported", " SELECT r.id AS rule_id, r.reason, count(*) AS rows_kept_from FROM fr, (VALUES ('bad_modifier', 'modifier [''base64'']'), ('bad_selection', 'no selection z')) r(id, reason) GROUP BY 1, 2")(
+    lambda er: er.where("artifact_type IN ('evtx', 'hayabusa')").agg(F.count("*").alias("rows_kept_from")).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(r).alias("reason")) for i, r in compile_rules(_CUSTOM)[1]])), "rows_kept_from")
+)
+_OVERRIDES = [("kerberoast", "suppress", None, "2024-01-01"), ("account_created", "suppress", None, "2024-01-01"), ("account_created", "set_severity", "critical", "2024-01-02")]
+_F("finding_overrides", " SELECT finding_id, rule_id, CASE WHEN rule_id = 'account_created' THEN 'critical' ELSE severity END AS severity FROM findings WHERE rule_id <> 'kerberoast'")(
+    lambda er: with_overrides(sigma_eval(er), er.sparkSession.createDataFrame(_OVERRIDES, "rule_id string, action string, severity string, created_at string")).select("finding_id", "rule_id", "severity")
+)
+_F("rebuild_with_findings", " SELECT event_id, event_time_utc, artifact_type, event_action, severity, event_id IN (SELECT event_id FROM findings) AS has_finding FROM er")(
+    lambda er: with_finding_flag(er, sigma_eval(er)).orderBy("event_time_utc", "event_id").select("event_id", "event_time_utc", "artifact_type", "event_action", "severity", "has_finding")
+)
 _F("risk_summary", f" SELECT technique, count(*) AS findings, count(DISTINCT event_id) AS events, {MAX_SQL} AS max_severity, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen FROM (SELECT *, unnest(techniques) AS technique FROM findings) GROUP BY 1")(lambda er: risk_summary(sigma_eval(er)))
 _F("risk_donut", f", t AS (SELECT technique, {MAX_SQL} AS s FROM (SELECT *, unnest(techniques) AS technique FROM findings) GROUP BY 1) SELECT s AS max_severity, count(*) AS techniques FROM t GROUP BY 1")(lambda er: risk_summary(sigma_eval(er)).groupBy("max_severity").agg(F.count("*").alias("techniques")))
 _F("finding_by_event", f" SELECT event_id, {MAX_SQL} AS max_severity, array_to_string(list_sort(list(DISTINCT title))[1:8], '; ') AS titles FROM findings GROUP BY 1")(lambda er: finding_by_event(sigma_eval(er)))
 _F("has_finding_flag", " SELECT event_id, event_id IN (SELECT event_id FROM findings) AS has_finding FROM er")(
-    lambda er: __import__("timeloom.plans.read_models", fromlist=["x"]).with_finding_flag(er, sigma_eval(er)).select("event_id", "has_finding")
+    lambda er: with_finding_flag(er, sigma_eval(er)).select("event_id", "has_finding")
 )
 _F("finding_event_page", " SELECT event_id FROM er WHERE event_id IN (SELECT event_id FROM findings WHERE rule_id = 'kerberoast') ORDER BY event_time_utc, event_id LIMIT 101")(
     lambda er: er.join(sigma_eval(er).where("rule_id = 'kerberoast'").select("event_id"), "event_id", "left_semi").orderBy("event_time_utc", "event_id").limit(101).select("event_id")
