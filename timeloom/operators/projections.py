@@ -41,7 +41,3 @@ query("sanitize_account_in_message", "SELECT event_id, message_short || ' user=B
 query("sha256_from_hashes", "SELECT event_id, sha256(event_id) AS sha FROM er")(
     lambda er: er.select("event_id", F.regexp_extract(F.concat(F.lit("MD5=x,SHA256="), F.sha2("event_id", 256), F.lit(",IMP=y")), r"SHA256=([0-9A-Fa-f]{64})", 1).alias("sha"))
 )
-query("scan_table", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM er")(lambda er: er.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids")))
-query("scan_evolved", "SELECT event_id, CASE WHEN artifact_type = 'evtx' THEN command_line END AS command_line FROM er")(
-    lambda er: er.where("artifact_type <> 'evtx'").select("event_id").unionByName(er.where("artifact_type = 'evtx'").select("event_id", "command_line"), allowMissingColumns=True)
-)

@@ -111,9 +111,6 @@ query("process_instances", _INST)(process_instances)
 query("process_forest", f""", n AS ({_INST}), t AS (SELECT key, parent_key FROM n),
  w AS (WITH RECURSIVE r AS (SELECT key, key AS root, 0 AS depth FROM t WHERE parent_key IS NULL OR parent_key NOT IN (SELECT key FROM t)
   UNION ALL SELECT t.key, r.root, r.depth + 1 FROM t JOIN r ON t.parent_key = r.key WHERE r.depth < 128) SELECT * FROM r) SELECT key, root, depth FROM w""")(lambda er: process_forest(process_instances(er)))
-query("process_related", "SELECT event_id, event_action FROM er WHERE host = 'HOST1' AND user_name = 'user1' AND event_action <> 'process_created' ORDER BY event_time_utc, event_id LIMIT 200")(
-    lambda er: er.where("host = 'HOST1' AND user_name = 'user1' AND event_action <> 'process_created'").orderBy("event_time_utc", "event_id").limit(200).select("event_id", "event_action")
-)
 _REL = [("network", "network|connection|dns"), ("registry", "registry|run_key"), ("file", "file|usn|mft|download")]
 query("related_category", "SELECT CASE " + " ".join(f"WHEN regexp_matches(event_action, '{p}') THEN '{n}'" for n, p in _REL) + " ELSE 'other' END AS category, count(*) AS n FROM er GROUP BY 1")(
     lambda er: er.groupBy(F.when(F.col("event_action").rlike(_REL[0][1]), "network").when(F.col("event_action").rlike(_REL[1][1]), "registry").when(F.col("event_action").rlike(_REL[2][1]), "file").otherwise("other").alias("category")).agg(F.count("*").alias("n"))
