@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
-from timeloom.operators import filters, findings, graph, integrity, ioc, sequences, textindex
+from timeloom.operators import defender, filters, findings, graph, integrity, ioc, sequences, textindex
 
 
 def one(spark, value, column):
@@ -98,7 +98,7 @@ def test_heuristics_of_the_survey(spark):
     assert sorted(r[0] for r in heuristics.tgs_without_tgt(er).collect()) == ["t1", "t4"]
     logs = spark.createDataFrame([("Microsoft-Windows-Windows Defender/Operational", "threat"), ("Security", "logon")], "channel string, event_action string").withColumn("event_time_utc", F.lit("t")).withColumn("severity", F.lit("high"))
     logs = logs.withColumn("artifact_type", F.lit("evtx")).withColumn("parser_name", F.lit("p")).withColumn("message_short", F.lit(None).cast("string"))
-    assert [r["event_action"] for r in aggregates.defender_event_summary(logs).collect()] == ["threat"]
+    assert [r["event_action"] for r in defender.defender_summary(logs).collect()] == ["threat"]
 
 
 def test_triage_has_every_source_and_step(spark):

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.columns import RANKS, filled, rank_name, severity_max, severity_rank, timestamp, truncate_bin
-from timeloom.operators.filters import defender
 from timeloom.registry import query
 
 RANK_SQL = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
@@ -83,10 +82,6 @@ def action_summary(er: DataFrame) -> DataFrame:
         F.count("*").alias("events"), F.max("event_time_utc").alias("last_seen"), severity_max("severity").alias("max_severity"), joined("artifact_type").alias("types"), F.min("channel").alias("channel"))
 
 
-def defender_event_summary(er: DataFrame) -> DataFrame:
-    return action_summary(er.where(defender())).orderBy(severity_rank("max_severity").desc(), F.desc("events"), F.desc("last_seen"), "event_action")
-
-
 def prefetch_summary(er: DataFrame) -> DataFrame:
     runs = F.regexp_extract("attributes_json", r'"run_count":(\d+)', 1).try_cast("bigint")
     return er.where("artifact_type = 'prefetch'").groupBy("process_name").agg(
@@ -142,13 +137,6 @@ _g("artifact_stats", "SELECT artifact_type, count(*) AS events, count(*) FILTER
 _UA = f"SELECT user_name, count(*) AS events, count(DISTINCT host) AS hosts, string_agg(DISTINCT artifact_type, ',' ORDER BY artifact_type) AS types, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen, {MAX_SQL} AS max_severity FROM er WHERE user_name NOT IN ('', '-') GROUP BY 1"
 _g("user_activity", _UA)(user_activity)
 _g("user_activity_sorted", _UA)(lambda er: user_activity(er).orderBy(severity_rank("max_severity").desc(), F.desc("events"), "user_name"))
-_g("defender_summary", f"SELECT event_action, count(*) AS events, max(event_time_utc) AS last_seen, {MAX_SQL} AS max_severity, string_agg(DISTINCT artifact_type, ',' ORDER BY artifact_type) AS types, min(channel) AS channel FROM er WHERE NOT contains(search_text, 'defender') GROUP BY 1")(
-    lambda er: action_summary(er.where(~defender()))
-)
-_DEFENDER = "contains(lower(concat_ws('|', artifact_type, channel, event_action, parser_name)), 'defender') OR contains(lower(message_short), 'windows defender') OR contains(lower(message_short), 'malware')"
-_g("defender_event_summary", f"SELECT event_action, count(*) AS events, max(event_time_utc) AS last_seen, {MAX_SQL} AS max_severity, string_agg(DISTINCT artifact_type, ',' ORDER BY artifact_type) AS types, min(channel) AS channel FROM er WHERE {_DEFENDER} GROUP BY 1")(
-    lambda er: defender_event_summary(er)
-)
 _g("prefetch_summary", "SELECT process_name, max(try_cast(regexp_extract(attributes_json, '\"run_count\":(\\d+)', 1) AS BIGINT)) AS run_count, count(DISTINCT source_file_id) AS sources, count(DISTINCT event_action) AS actions, max(event_time_utc) AS last_run FROM er WHERE artifact_type = 'prefetch' GROUP BY 1")(prefetch_summary)
 _g("file_op_timeline", "SELECT substr(event_time_utc, 1, 13) || ':00:00Z' AS bin, " + ", ".join(f"count(*) FILTER (event_action = '{o}') AS {o}" for o in ("usn_created", "usn_deleted", "usn_renamed", "usn_modified")) + " FROM er WHERE event_action IN ('usn_created', 'usn_deleted', 'usn_renamed', 'usn_modified') GROUP BY 1 ORDER BY 1 DESC LIMIT 180")(file_op_timeline)
 _g("severity_rank", f"SELECT severity, {RANK_SQL} AS rank, count(*) AS n FROM er GROUP BY 1, 2")(lambda er: er.groupBy("severity", severity_rank("severity").alias("rank")).agg(F.count("*").alias("n")))

@@ -1,13 +1,18 @@
-"""Streaming twins of the batch operators; on the same rows they give the batch answer."""
+"""Streaming twins of the batch operators: on the same rows they give the batch answer, for windows that the watermark has closed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.functions.columns import filled, timestamp
-from timeloom.operators.findings import sigma_eval
+from timeloom.operators.correlation import KEYED, keyed
+from timeloom.operators.findings import FINDINGS, sigma_eval
+from timeloom.operators.textindex import postings
 from timeloom.plans.read_models import compact_rows
+from timeloom.registry import query
+from timeloom.sources import fixture
+from timeloom.sources.storage import table_path
 
 
 def stream_event_rows(ef: DataFrame) -> DataFrame:
@@ -18,18 +23,77 @@ def stream_sigma(er: DataFrame) -> DataFrame:
     return sigma_eval(er)
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    return rows.withColumn("t", timestamp("event_time_utc")).withWatermark("t", late)
+
+
 def stream_timeline(er: DataFrame, late: str = "1 day") -> DataFrame:
     """Hourly counts, emitted once the watermark has passed the hour."""
-    t = er.withColumn("t", timestamp("event_time_utc")).withWatermark("t", late)
-    return t.groupBy(F.window("t", "1 hour")).agg(F.count("*").alias("total")).select(F.col("window.start").alias("bin"), "total")
+    return _timed(er, late).groupBy(F.window("t", "1 hour")).agg(F.count("*").alias("total")).select(F.col("window.start").alias("bin"), "total")
 
 
 def stream_password_spray(er: DataFrame, users: int = 3, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    failed = er.where("event_action = 'logon_failure' AND ip IS NOT NULL").withColumn("t", timestamp("event_time_utc")).withWatermark("t", late)
-    out = failed.groupBy("ip", F.window("t", window)).agg(F.approx_count_distinct(filled("user_name")).alias("users"), F.count("*").alias("failures"))
+    """Addresses from which several users failed to log on within a window; the state of a window holds each user's name once."""
+    failed = _timed(er.where("event_action = 'logon_failure' AND ip IS NOT NULL"), late)
+    out = failed.groupBy("ip", F.window("t", window)).agg(F.size(F.collect_set(filled("user_name"))).alias("users"), F.count("*").alias("failures"))
     return out.where(F.col("users") >= users).select("ip", F.col("window.start").alias("start"), "users", "failures")
 
 
-def stream_sessions(er: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
-    rows = er.where("user_name IS NOT NULL").withColumn("t", timestamp("event_time_utc")).withWatermark("t", late)
-    return rows.groupBy("user_name", F.session_window("t", gap)).agg(F.count("*").alias("events")).select("user_name", F.col("session_window.start").alias("start"), "events")
+def stream_sessions(er: DataFrame, seconds: int = 3600, late: str = "1 day") -> DataFrame:
+    """Sessions of a chain key, as `chain_windowed` has them: a gap of more than so many whole seconds begins a new one."""
+    rows = _timed(keyed(er), late)
+    out = rows.groupBy("kind", "key", F.session_window("t", f"{seconds + 1} seconds")).agg(F.count("*").alias("events"))
+    return out.select("kind", "key", F.col("session_window.start").alias("start"), "events")
+
+
+def run(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there, into a table of the shared folder."""
+    spark = stream.sparkSession
+    folder = table_path(spark, name)
+    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)
+
+
+def index_sync(stream: DataFrame, folder: str, doc: str, body: str) -> None:
+    """Each batch's postings become a part of the index; a batch that is run again writes its own part anew."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        postings(batch, doc, body).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_of(table: DataFrame) -> DataFrame:
+    """A stored table as a stream of its parts."""
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    return table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+def _events(at) -> DataFrame:
+    return stream_event_rows(stream_of(fixture.events_full(*at)))
+
+
+def _indexed(at) -> DataFrame:
+    spark: SparkSession = at[0]
+    folder = table_path(spark, "index")
+    index_sync(stream_of(fixture.events_full(*at)).select("event_id", "message_full"), folder, "event_id", "message_full")
+    return spark.read.parquet(folder).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+
+
+_T = "CAST(event_time_utc AS TIMESTAMP)"
+query("stream_event_rows", "SELECT event_id, event_code, search_text FROM er", over="session")(lambda at: run(_events(at).select("event_id", "event_code", "search_text"), "stream-rows"))
+query("stream_sigma", FINDINGS + " SELECT finding_id, event_id, rule_id FROM findings", over="session")(lambda at: run(stream_sigma(_events(at)).select("finding_id", "event_id", "rule_id"), "stream-sigma"))
+query("stream_timeline", f", b AS (SELECT date_trunc('hour', {_T}) AS bin, count(*) AS total FROM er GROUP BY 1) SELECT strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, total FROM b WHERE bin + INTERVAL 1 HOUR <= (SELECT max({_T}) - INTERVAL 1 DAY FROM er)", over="session")(
+    lambda at: run(stream_timeline(_events(at)), "stream-timeline").select(F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), "total")
+)
+query("stream_password_spray", f""", f AS (SELECT ip, date_trunc('day', {_T}) AS start, {_T} AS t, CASE WHEN user_name NOT IN ('', '-') THEN user_name END AS u FROM er WHERE event_action = 'logon_failure' AND ip IS NOT NULL)
+ SELECT ip, strftime(start, '%Y-%m-%d') AS start, count(DISTINCT u) AS users, count(*) AS failures FROM f GROUP BY ip, f.start HAVING count(DISTINCT u) >= 1 AND f.start + INTERVAL 1 DAY <= (SELECT max(t) - INTERVAL 1 DAY FROM f)""", over="session")(
+    lambda at: run(stream_password_spray(_events(at), users=1), "stream-spray").select("ip", F.date_format("start", "yyyy-MM-dd").alias("start"), "users", "failures")
+)
+query("stream_sessions", KEYED + f""", a AS (SELECT kind, key, event_id, {_T} AS t, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
+ s AS (SELECT *, sum(CASE WHEN gap <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY t, event_id) AS session FROM a),
+ g AS (SELECT kind, key, session, min(t) AS start, max(t) AS last, count(*) AS events FROM s GROUP BY 1, 2, 3)
+ SELECT kind, key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, events FROM g WHERE last + INTERVAL 3601 SECOND <= (SELECT max(t) - INTERVAL 1 DAY FROM a)""", over="session")(
+    lambda at: run(stream_sessions(_events(at)), "stream-sessions").select("kind", "key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+)
+query("stream_index_sync", ", t AS (SELECT event_id AS doc, unnest(list_filter(regexp_split_to_array(lower(message_full), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM ef) SELECT term, count(DISTINCT doc) AS docs, count(*) AS tf FROM t GROUP BY 1", over="session")(_indexed)
