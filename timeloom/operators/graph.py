@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.columns import filled
 from timeloom.registry import query
+from timeloom.sources.storage import stored
 
 ENTITIES = {"host": "host", "user": "user_name", "process": "process_name", "file": "file_path", "ip": "ip", "url": "url", "hash": "hash"}
 EDGES = {"user_logged_on_host": ("user", "host"), "process_touched_file": ("process", "file"), "process_connected_ip": ("process", "ip"), "file_has_hash": ("file", "hash")}
@@ -25,13 +26,14 @@ def extract_entities(er: DataFrame) -> DataFrame:
 
 
 def extract_edges(er: DataFrame) -> DataFrame:
-    """src, dst, kind, events and the 50 smallest evidence ids: kept smallest-first by a sketch-free two-step, so no list grows with a hub."""
+    """src, dst, kind, events and the 50 smallest evidence ids: ranked first within parts of an edge, then among what the parts keep, so no list grows with a hub."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _canonical(ENTITIES[a]).alias("src"), _canonical(ENTITIES[b]).alias("dst")) for k, (a, b) in EDGES.items()])).alias("p")
     rows = er.select("event_id", pairs).select("event_id", "p.*").where("src <> '' AND dst <> ''")
-    part = F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")
-    some = rows.groupBy("kind", "src", "dst", part).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("event_id")), 1, 50).alias("ids"))
-    return some.groupBy("kind", "src", "dst").agg(F.sum("n").alias("events"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 50).alias("ids")).select(
-        "kind", "src", "dst", "events", F.array_join("ids", ",").alias("evidence"))
+    edge = ["kind", "src", "dst"]
+    rank = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("event_id"))).where(F.col("k") <= 50)
+    some = rank(rank(rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(64))), *edge, "part"), *edge)
+    ids = some.groupBy(*edge).agg(F.array_join(F.sort_array(F.collect_list("event_id")), ",").alias("evidence"))
+    return rows.groupBy(*edge).agg(F.count("*").alias("events")).join(ids, edge)
 
 
 def entity_degree(edges: DataFrame) -> DataFrame:
@@ -42,6 +44,7 @@ def entity_degree(edges: DataFrame) -> DataFrame:
 def subgraph(edges: DataFrame, start: str, hops: int = 2, budget: int = 500) -> DataFrame:
     """Edges within `hops` of an entity, nearest first, up to the budget: each hop is a semi-join with a frontier that the budget bounds."""
     spark = edges.sparkSession
+    edges = stored(edges, "edges")  # each hop reads them
     frontier = spark.createDataFrame([(start,)], "entity string")
     seen, out = frontier, None
     for hop in range(1, min(hops, 2) + 1):

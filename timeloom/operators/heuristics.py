@@ -22,11 +22,11 @@ def password_spray(er: DataFrame, users: int = 3, minutes: int = 1440) -> DataFr
 
 
 def bruteforce_success(er: DataFrame, failures: int = 2, seconds: int = 5 * 86_400) -> DataFrame:
-    """Successful logons with at least so many failures of the same host and address in the time before."""
-    rows = er.where("event_action IN ('logon_failure', 'logon_success')").withColumn("t", F.unix_timestamp(timestamp("event_time_utc"))).where("t IS NOT NULL")
-    w = Window.partitionBy("host", "ip").orderBy("t").rangeBetween(-seconds, -1)
+    """Successful logons with at least so many failures of the same user on the same host in the time before."""
+    rows = er.where("event_action IN ('logon_failure', 'logon_success') AND user_name IS NOT NULL").withColumn("t", F.unix_timestamp(timestamp("event_time_utc"))).where("t IS NOT NULL")
+    w = Window.partitionBy("host", "user_name").orderBy("t").rangeBetween(-seconds, -1)
     rows = rows.withColumn("failures", F.count(F.when(F.col("event_action") == "logon_failure", 1)).over(w))
-    return rows.where((F.col("event_action") == "logon_success") & (F.col("failures") >= failures)).select("event_id", "host", "ip", "failures")
+    return rows.where((F.col("event_action") == "logon_success") & (F.col("failures") >= failures)).select("event_id", "host", "user_name", "failures")
 
 
 def mass_exe_delete(er: DataFrame, n: int = 3) -> DataFrame:
@@ -80,10 +80,10 @@ def tgs_without_tgt(er: DataFrame) -> DataFrame:
 _T = "CAST(epoch(CAST(event_time_utc AS TIMESTAMP)) AS BIGINT)"
 query("heur_password_spray", """ SELECT ip, substr(event_time_utc, 1, 10) || 'T00:00:00Z' AS start, count(DISTINCT nullif(nullif(user_name, ''), '-')) AS users, count(*) AS failures FROM er
  WHERE event_action = 'logon_failure' AND ip IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT nullif(nullif(user_name, ''), '-')) >= 3""")(password_spray)
-query("heur_bruteforce_success", f""", r AS (SELECT event_id, host, ip, event_action, count(*) FILTER (event_action = 'logon_failure') OVER (PARTITION BY host, ip ORDER BY {_T} RANGE BETWEEN 432000 PRECEDING AND 1 PRECEDING) AS failures
- FROM er WHERE event_action IN ('logon_failure', 'logon_success')) SELECT event_id, host, ip, failures FROM r WHERE event_action = 'logon_success' AND failures >= 2""")(bruteforce_success)
+query("heur_bruteforce_success", f""", r AS (SELECT event_id, host, user_name, event_action, count(*) FILTER (event_action = 'logon_failure') OVER (PARTITION BY host, user_name ORDER BY {_T} RANGE BETWEEN 432000 PRECEDING AND 1 PRECEDING) AS failures
+ FROM er WHERE event_action IN ('logon_failure', 'logon_success') AND user_name IS NOT NULL) SELECT event_id, host, user_name, failures FROM r WHERE event_action = 'logon_success' AND failures >= 2""")(bruteforce_success)
 query("heur_mass_exe_delete", "SELECT host, substr(event_time_utc, 1, 10) AS day, count(*) AS deleted FROM er WHERE event_action = 'usn_deleted' AND regexp_matches(lower(file_path), '\\.(exe|dll|msi|bat|ps1|js)$') GROUP BY 1, 2 HAVING count(*) >= 3")(mass_exe_delete)
-query("heur_priv_account_created", f""", m AS (SELECT user_name, event_id AS created, {_T} AS t0 FROM er WHERE event_action = 'account_created' AND user_name NOT IN ('', '-')),
+query("heur_account_created_then_used", f""", m AS (SELECT user_name, event_id AS created, {_T} AS t0 FROM er WHERE event_action = 'account_created' AND user_name NOT IN ('', '-')),
  l AS (SELECT user_name, {_T} AS t1 FROM er WHERE event_action = 'logon_success') SELECT user_name, count(*) AS pairs, min(created) AS created FROM m JOIN l USING (user_name) WHERE t1 > t0 AND t1 - t0 <= 604800 GROUP BY 1""")(account_created_then_used)
 _LOL = "|".join(LOLBINS)
 query("heur_lolbin_inventory", f", l AS (SELECT nullif(regexp_extract(lower(command_line), '({_LOL})', 1), '') AS tool, host FROM er WHERE command_line IS NOT NULL) SELECT tool, host, count(*) AS runs FROM l WHERE tool IS NOT NULL GROUP BY 1, 2")(
@@ -96,26 +96,29 @@ query("heur_service_install", "SELECT host, count(*) AS installs FROM er WHERE e
 query("heur_off_hours_logon", "SELECT event_id FROM er WHERE event_action = 'logon_success' AND (hour(CAST(event_time_utc AS TIMESTAMP)) < 7 OR hour(CAST(event_time_utc AS TIMESTAMP)) >= 19)")(
     lambda er: er.where("event_action = 'logon_success'").where((F.hour(timestamp("event_time_utc")) < 7) | (F.hour(timestamp("event_time_utc")) >= 19)).select("event_id")
 )
-query("heur_rdp_sources", "SELECT host, ip, count(*) AS logons, min(event_time_utc) AS first_seen FROM er WHERE event_code = '4624' AND ip IS NOT NULL GROUP BY 1, 2")(
-    lambda er: er.where("event_code = '4624' AND ip IS NOT NULL").groupBy("host", "ip").agg(F.count("*").alias("logons"), F.min("event_time_utc").alias("first_seen"))
+query("heur_rdp_sources", "SELECT host, ip, count(*) AS logons, min(event_time_utc) AS first_seen FROM er WHERE event_code = '4624' AND ip IS NOT NULL AND json_extract_string(attributes_json, '$.data.LogonType') IN ('7', '10') GROUP BY 1, 2")(
+    lambda er: er.where("event_code = '4624' AND ip IS NOT NULL").where(_data("LogonType").isin("7", "10")).groupBy("host", "ip").agg(F.count("*").alias("logons"), F.min("event_time_utc").alias("first_seen"))
 )
 query("heur_updater_masquerade", "SELECT event_id FROM er WHERE regexp_matches(lower(coalesce(file_path, '')), 'users/.*update[^/]*$')")(lambda er: er.where(F.lower(F.coalesce("file_path", F.lit(""))).rlike("users/.*update[^/]*$")).select("event_id"))
 query("heur_user_writable_exec", "SELECT event_id FROM er WHERE event_action = 'prefetch_execution' AND regexp_matches(file_path, '(?i)[\\\\/](users[\\\\/][^\\\\/]+[\\\\/](downloads|appdata|desktop)|temp|programdata|public)[\\\\/]')")(
     lambda er: er.where("event_action = 'prefetch_execution'").where(F.col("file_path").rlike(WRITABLE)).select("event_id")
 )
-query("heur_forged_ticket", "SELECT e.event_id FROM er e WHERE event_action = 'kerberos_tgs_request' AND user_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM er l WHERE l.user_name = e.user_name AND l.event_action = 'logon_success' AND l.event_time_utc < e.event_time_utc)")(
+query("heur_ticket_without_logon", "SELECT e.event_id FROM er e WHERE event_action = 'kerberos_tgs_request' AND user_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM er l WHERE l.user_name = e.user_name AND l.event_action = 'logon_success' AND l.event_time_utc < e.event_time_utc)")(
     lambda er: er.alias("e").where("event_action = 'kerberos_tgs_request' AND user_name IS NOT NULL").join(er.where("event_action = 'logon_success'").groupBy("user_name").agg(F.min("event_time_utc").alias("first")), "user_name", "left").where("first IS NULL OR first >= event_time_utc").select("event_id")
 )
-query("heur_pass_the_hash", "SELECT event_id FROM er WHERE event_code = '4624' AND contains(attributes_json, '\"TicketEncryptionType\":\"0x17\"')")(
+query("heur_weak_cipher_logon", "SELECT event_id FROM er WHERE event_code = '4624' AND contains(attributes_json, '\"TicketEncryptionType\":\"0x17\"')")(
     lambda er: er.where("event_code = '4624'").where(F.contains("attributes_json", F.lit('"TicketEncryptionType":"0x17"'))).select("event_id")
 )
 _J = lambda k: f"lower(nullif(nullif(trim(json_extract_string(attributes_json, '$.data.{k}')), ''), '-'))"
-query("heur_priv_group_added", f""", m AS (SELECT event_id AS created, {_T} AS t0, {_J('TargetSid')} AS sid, {_J('TargetUserName')} AS name FROM er WHERE event_code = '4720'),
+for _n in ("heur_priv_account_created", "heur_priv_group_added"):
+    query(_n, f""", m AS (SELECT event_id AS created, {_T} AS t0, {_J('TargetSid')} AS sid, {_J('TargetUserName')} AS name FROM er WHERE event_code = '4720'),
  g AS (SELECT event_id AS added, {_T} AS t1, {_J('MemberSid')} AS sid, coalesce(nullif(regexp_extract({_J('MemberName')}, '^cn=([^,]+)', 1), ''), regexp_replace({_J('MemberName')}, '^.*\\\\', '')) AS name,
  {_J('TargetUserName')} AS group_name FROM er WHERE event_code IN ('4728', '4732', '4756'))
  SELECT m.name AS account, group_name, created, added FROM m JOIN g ON m.sid = g.sid OR (m.name = g.name AND (m.sid IS NULL OR g.sid IS NULL)) WHERE t1 >= t0 AND t1 - t0 <= 604800""")(priv_group_added)
-query("heur_ntlm_network_logon", f"SELECT event_id FROM er WHERE event_code = '4624' AND {_J('LogonType')} IN ('3', '9') AND regexp_matches(concat_ws('|', {_J('AuthenticationPackageName')}, {_J('LogonProcessName')}, {_J('LmPackageName')}), '(^|\\|)ntlm')")(ntlm_network_logon)
-query("heur_tgs_without_tgt", f""", a AS (SELECT event_id, event_code, {_T} AS t, split_part(coalesce(lower(nullif(nullif(user_name, ''), '-')), {_J('TargetUserName')}), '@', 1) AS account FROM er WHERE event_code IN ('4768', '4769'))
+for _n in ("heur_pass_the_hash", "heur_ntlm_network_logon"):
+    query(_n, f"SELECT event_id FROM er WHERE event_code = '4624' AND {_J('LogonType')} IN ('3', '9') AND regexp_matches(concat_ws('|', {_J('AuthenticationPackageName')}, {_J('LogonProcessName')}, {_J('LmPackageName')}), '(^|\\|)ntlm')")(ntlm_network_logon)
+for _n in ("heur_forged_ticket", "heur_tgs_without_tgt"):
+    query(_n, f""", a AS (SELECT event_id, event_code, {_T} AS t, split_part(coalesce(lower(nullif(nullif(user_name, ''), '-')), {_J('TargetUserName')}), '@', 1) AS account FROM er WHERE event_code IN ('4768', '4769'))
  SELECT event_id FROM a WHERE event_code = '4769' AND account IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a g WHERE g.event_code = '4768' AND g.account = a.account AND g.t <= a.t)""")(tgs_without_tgt)
 _SIGS = {"encoded_command": "-enc [a-z0-9+/=]{6,}", "download_cradle": "urlcache|downloadstring", "log_clearing": "wevtutil cl|clear-eventlog", "scheduled_task": "schtasks /create"}
 query("signature_scan", " UNION ALL ".join((", " if not k else "") * 0 + f"SELECT '{n}' AS signature, count(*) AS events, min(event_id) AS first_event FROM er WHERE regexp_matches(search_text, '{p}')" for k, (n, p) in enumerate(_SIGS.items())))(

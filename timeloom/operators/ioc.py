@@ -13,18 +13,19 @@ KINDS = {"hash": "hash", "ip": "ip", "process": "process_name"}
 
 
 def ioc_match(er: DataFrame, iocs: list[str]) -> DataFrame:
-    """ioc, kind, event_id. Equality with hash, address or process is a hash join; the substring part compares with the short broadcast list.
+    """ioc, kind, event_id. One pass over the rows: each is tested for the short list's values, and no row is joined.
 
     Indicators are lower-cased and distinct; an event matches one indicator once, by the first kind of hash, ip, process, text.
     """
     values = sorted({v.strip().lower() for v in iocs if v.strip()})
     if len(values) > MOST_IOCS:
         raise ValueError(f"{len(values)} indicators; up to {MOST_IOCS} are broadcast")
-    table = er.sparkSession.createDataFrame([(v,) for v in values], "ioc string")
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lower(c).alias("ioc")) for k, c in enumerate(KINDS.values())])).alias("p")
-    exact = er.select("event_id", pairs).select("event_id", "p.rank", "p.ioc").where("ioc IS NOT NULL").join(F.broadcast(table), "ioc")
-    text = er.select("event_id", "search_text").join(F.broadcast(table), F.contains("search_text", "ioc")).select("ioc", "event_id", F.lit(3).alias("rank"))
-    best = exact.select("ioc", "event_id", "rank").unionByName(text).groupBy("ioc", "event_id").agg(F.min("rank").alias("rank"))
+    known = F.array(*map(F.lit, values)).cast("array<string>")
+    fields = [F.lower(F.col(c)) for c in KINDS.values()]
+    rank = lambda v: F.coalesce(*[F.when(f == v, k) for k, f in enumerate(fields)], F.when(F.contains("search_text", v), len(fields)))
+    hits = F.filter(F.transform(known, lambda v: F.struct(v.alias("ioc"), rank(v).alias("rank"))), lambda h: h["rank"].isNotNull())
+    rows = er.select("event_id", F.explode(hits).alias("h")).select("event_id", "h.*")
+    best = rows.groupBy("ioc", "event_id").agg(F.min("rank").alias("rank"))
     return best.select("ioc", F.element_at(F.array(*[F.lit(k) for k in (*KINDS, "text")]), F.col("rank") + 1).alias("kind"), "event_id")
 
 

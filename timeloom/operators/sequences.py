@@ -21,11 +21,17 @@ def _bucket(gap):
     return out
 
 
-def beacon_intervals(er: DataFrame) -> DataFrame:
-    """Gaps between connections to one address, in eight buckets that always come; the address with most gaps, ties to the smallest."""
+def beacon_intervals(er: DataFrame, part: int = 86_400) -> DataFrame:
+    """Gaps between connections to one address, in eight buckets that always come; the address with most gaps, ties to the smallest.
+
+    Gaps are taken within days, so a hot address spreads over tasks; those across days come from each day's first and last time.
+    """
     t = er.where("event_action = 'network_connection' AND ip IS NOT NULL").select("ip", "event_id", F.unix_timestamp(timestamp("event_time_utc")).alias("t")).where("t IS NOT NULL")
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("ip").orderBy("t", "event_id"))
-    per_ip = t.select("ip", gap.alias("gap")).where("gap IS NOT NULL").groupBy(_bucket(F.col("gap")).alias("bucket"), "ip").agg(F.count("*").alias("n"))
+    t = t.withColumn("part", F.floor(F.col("t") / part))
+    inner = t.select("ip", (F.col("t") - F.lag("t").over(Window.partitionBy("ip", "part").orderBy("t", "event_id"))).alias("gap"))
+    days = t.groupBy("ip", "part").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    outer = days.select("ip", (F.col("first") - F.lag("last").over(Window.partitionBy("ip").orderBy("part"))).alias("gap"))
+    per_ip = inner.unionByName(outer).where("gap IS NOT NULL").groupBy(_bucket(F.col("gap")).alias("bucket"), "ip").agg(F.count("*").alias("n"))
     found = per_ip.groupBy("bucket").agg(F.sum("n").alias("gaps"), F.min(F.struct((-F.col("n")).alias("n"), "ip"))["ip"].alias("top_ip"))
     all_ = er.sparkSession.range(len(BUCKETS) + 1).select(F.col("id").cast("int").alias("bucket"))
     return all_.join(found, "bucket", "left").select("bucket", F.coalesce("gaps", F.lit(0)).alias("gaps"), "top_ip")
@@ -39,10 +45,16 @@ def timestomp(er: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def timestomp_sample(er: DataFrame, most: int = 60) -> DataFrame:
-    """Suspects fill up to two thirds, the rest is consistent; each is thinned by a stride over the paths in order."""
-    both = timestomp(er)
-    n = both.groupBy("mismatch").agg(F.count("*").alias("n"))
-    ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("mismatch").orderBy("file_path")) - 1).join(F.broadcast(n), "mismatch")
+    """Suspects fill up to two thirds, the rest is consistent; each is thinned by a stride over the paths in order.
+
+    Paths are dealt by ranges and stored with their partition; a path's place is the count of the partitions before and its row there.
+    """
+    ranged = stored(timestomp(er).repartitionByRange("mismatch", "file_path").withColumn("part", F.spark_partition_id()), "timestomp")
+    parts = ranged.groupBy("mismatch", "part").agg(F.count("*").alias("c"))  # a row per partition
+    over = Window.partitionBy("mismatch").orderBy("part")
+    parts = parts.select("mismatch", "part", (F.sum("c").over(over) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("mismatch")).alias("n"))
+    row = F.row_number().over(Window.partitionBy("mismatch", "part").orderBy("file_path")) - 1
+    ranked = ranged.withColumn("row", row).join(parts, ["mismatch", "part"]).withColumn("k", F.col("row") + F.col("before"))
     budget = F.when(F.col("mismatch"), F.lit(most * 2 // 3)).otherwise(F.lit(most - most * 2 // 3))
     stride = F.greatest(F.lit(1), F.ceil(F.col("n") / budget))
     return ranked.where(F.pmod("k", stride) == 0).select("file_path", "delta", "mismatch")

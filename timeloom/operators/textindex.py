@@ -21,8 +21,10 @@ def _count(words: str, term: str):
 
 
 def search_ranked(docs: DataFrame, terms: list[str], limit: int = 50, offset: int = 0, doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """BM25 of a few terms. Only documents' lengths and the matching terms' counts are computed: no index of the rest is built."""
+    """BM25 of a few terms; without a term all documents, each with score 0. Only documents' lengths and the matching terms' counts are computed: no index of the rest is built."""
     wanted = sorted({t.lower() for t in terms})
+    if not wanted:
+        return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).orderBy("doc").offset(offset).limit(limit)
     words = docs.select(F.col(doc).alias("doc"), F.filter(F.split(F.lower(body), r"[^\p{Alnum}]+"), lambda t: t != "").alias("w"))
     tf = [_count("w", t).alias(f"tf{k}") for k, t in enumerate(wanted)]
     rows = words.select("doc", F.size("w").alias("len"), *tf)

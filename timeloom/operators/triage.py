@@ -86,16 +86,18 @@ def export_jsonl(er: DataFrame, path: str, limit: int | None = None) -> None:
     export_rows(er, limit).write.mode("overwrite").json(path)
 
 
-query("triage_funnel", FINDINGS + " SELECT 0 AS step, 'collected' AS name, count(*) AS events FROM er UNION ALL SELECT 1, 'detected', count(DISTINCT event_id) FROM findings UNION ALL SELECT 2, 'high', count(DISTINCT event_id) FROM findings WHERE severity IN ('high', 'critical')")(triage_funnel)
+query("triage_events", FINDINGS + " SELECT 0 AS step, 'collected' AS name, count(*) AS events FROM er UNION ALL SELECT 1, 'detected', count(DISTINCT event_id) FROM findings UNION ALL SELECT 2, 'high', count(DISTINCT event_id) FROM findings WHERE severity IN ('high', 'critical')")(triage_funnel)
 _R = "CASE {} WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
-query("triage_queue", FINDINGS + CHAINS + f""", q AS (SELECT 'finding' AS kind, rule_id AS key, CAST(1000 * max({_R.format('severity')}) + least(count(DISTINCT event_id), 500) AS BIGINT) AS priority FROM findings GROUP BY rule_id
+query("triage_priorities", FINDINGS + CHAINS + f""", q AS (SELECT 'finding' AS kind, rule_id AS key, CAST(1000 * max({_R.format('severity')}) + least(count(DISTINCT event_id), 500) AS BIGINT) AS priority FROM findings GROUP BY rule_id
  UNION ALL SELECT 'chain', kind || ':' || key, CAST(500 * {_R.format('max_severity')} + score AS BIGINT) FROM chains) SELECT * FROM q ORDER BY priority DESC, kind, key LIMIT 100""")(triage_queue)
-query("triage_funnel_steps", FINDINGS + """, g AS (SELECT rule_id, count(*) AS f, max(CASE WHEN severity IN ('critical', 'high') THEN 1 ELSE 0 END) AS h FROM findings GROUP BY 1),
+for _n in ("triage_funnel", "triage_funnel_steps"):
+    query(_n, FINDINGS + """, g AS (SELECT rule_id, count(*) AS f, max(CASE WHEN severity IN ('critical', 'high') THEN 1 ELSE 0 END) AS h FROM findings GROUP BY 1),
  s AS (SELECT 0 AS step, 'collected' AS name, count(*) AS n FROM er UNION ALL SELECT 1, 'detected', CAST(coalesce(sum(f), 0) AS BIGINT) FROM g UNION ALL SELECT 2, 'triaged', count(*) FROM g UNION ALL SELECT 3, 'incident', count(*) FILTER (h = 1) FROM g),
  p AS (SELECT *, lag(n) OVER (ORDER BY step) AS b FROM s) SELECT step, name, n, CASE WHEN b > 0 THEN round(100.0 * n / b, 6) WHEN b IS NOT NULL THEN 0 END AS percent FROM p""")(triage_funnel_steps)
 _REVIEWS = [("kerberoast", "needs_context", "2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z"), ("service_installed", "benign", None, "2024-01-01T00:00:00Z"), ("retired_rule", "new", "2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z"), ("other_rule", "confirmed", None, "2024-01-01T00:00:00Z")]
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in _REVIEWS)
-query("triage_actions", FINDINGS + CHAINS + f""", rv(rule_id, status, due_at, updated_at) AS (VALUES {_VALUES}), v AS (SELECT *, coalesce(due_at < '2024-02-01T00:00:00Z', false) AS late FROM rv),
+for _n in ("triage_queue", "triage_actions"):
+    query(_n, FINDINGS + CHAINS + f""", rv(rule_id, status, due_at, updated_at) AS (VALUES {_VALUES}), v AS (SELECT *, coalesce(due_at < '2024-02-01T00:00:00Z', false) AS late FROM rv),
  g AS (SELECT rule_id, max({_R.format('severity')}) AS r, min(severity) AS severity, count(DISTINCT event_id) AS events, max(event_time_utc) AS last_seen FROM findings GROUP BY 1),
  p AS (SELECT artifact_type, count(*) AS failed FROM files WHERE parser_status = 'failed' GROUP BY 1)
  SELECT 'finding' AS category, g.rule_id AS key, severity, coalesce(status, 'new') AS status, CAST(r * 1000 + least(events, 500) + CASE WHEN late THEN 700 ELSE 0 END + CASE WHEN status = 'needs_context' THEN 250 ELSE 0 END AS BIGINT) AS priority, events, last_seen
