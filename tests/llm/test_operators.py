@@ -285,9 +285,54 @@ def test_language_id(spark):
     assert {r["lang"] for r in language_id(pages, labelled.limit(0)).collect()} == {None}
 
 
+def test_language_fusion_against_plain_sums(spark):
+    """Host and suffix priors without the page's own share, declared language by counts, all by loops; repeated pages, ties, a long page, clashing columns."""
+    from timeloom.llm import language_id as L
+
+    words = {"de": "der die das und nicht ist ein wir haben", "en": "the and of to is that we have not", "fr": "le la les et des est nous avons pas"}
+    r = np.random.default_rng(13)
+    text = lambda k, n: " ".join(r.choice(words[k].split(), n))
+    labelled = spark.createDataFrame([(k, text(lang, 40), lang) for k, lang in enumerate([*words] * 5)], "doc_id long, text string, lang string")
+    hosts = ["a.de", "b.de", "c.fr", "d.com", "d.com", "d.com", ""]
+    rows = []
+    for k in range(60):
+        h = hosts[int(r.integers(len(hosts)))]
+        lang = {"de": "de", "fr": "fr"}.get(h.split(".")[-1], "en")
+        said = [None, lang, "en", "xx"][int(r.integers(4))]
+        body = "" if k % 9 == 0 else text(lang, int(r.integers(1, 30)))
+        rows.append((k, f"http://{h}/p" if h else None, None if k % 13 == 0 else f"<html{f' lang={said}' if said else ''}><p>{body}</p>", "x"))
+    rows += [rows[7], rows[7], (100, "http://d.com", "<p>" + text("en", 20_000) + "</p>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang string")
+    names, model = L.fit(labelled)
+    p = L.text_posteriors(__import__("pyarrow").array([L._DROP.sub(" ", h or "") for _, _, h, _ in rows]), model)
+    host = [(re.search(r"://([^/?#]*)", u)[1] if u else "") for _, u, _, _ in rows]
+    suffix = [h.split(".")[-1] for h in host]
+    said = [(lambda m: None if not m else m[1].lower() if m[1].lower() in names else "other")(L._DECLARED.search(h or "")) for _, _, h, _ in rows]
+    world = p.sum(0) / p.sum()
+    values = sorted({s for s in said if s})
+    total = {v: sum((p[k] for k in range(len(rows)) if said[k] == v), np.zeros(len(names))) for v in values}
+    like = {v: np.log((total[v] + 0.5) / (sum(total.values()) + 0.5 * len(values))) for v in values}
+    want = []
+    for k in range(len(rows)):
+        wide = sum((p[j] for j in range(len(rows)) if suffix[j] == suffix[k] and j != k), np.zeros(len(names))) + L.STRENGTH * world
+        narrow = sum((p[j] for j in range(len(rows)) if host[j] == host[k] and j != k), np.zeros(len(names))) + L.STRENGTH * wide / wide.sum()
+        score = np.log(np.maximum(p[k], 1e-12)) + np.log(np.maximum(narrow / narrow.sum(), 1e-12)) + (like[said[k]] if said[k] else 0)
+        e = np.exp(score - score.max())
+        want.append((rows[k][0], names[int(score.argmax())], round(float(e.max() / e.sum()), 6)))
+    got = [(x["page_id"], x["lang"], round(x["confidence"], 6)) for x in language_id(pages, labelled).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # ---- 7
 
 
+def test_toxicity_of_repeated_and_clashing(spark):
+    docs = spark.createDataFrame([(1, "idiot words", 5.0), (1, "idiot words", 6.0), (None, "the end", 7.0)], "doc_id long, text string, c0 double")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity(docs, known, ["c0", "doc_id"]).collect()
+    assert sorted(r["c0"] for r in got) == [5.0, 6.0, 7.0] and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_toxicity_on_held_out_documents(spark):
     r = np.random.default_rng(3)
     rows, labels = [], []
@@ -481,6 +526,12 @@ def test_lm_against_brute_force(docs):
     assert lm_scores(train, docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_lm_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b a", 2), (1, "a b a", 2), (2, None, 3)], "doc_id long, text string, shard int")
+    got = lm_scores(docs, docs, ["doc_id", "shard"]).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["shard"], r["n_tokens"]) for r in got] == [(1, 2, 4), (1, 2, 4), (2, 3, 1)] and got[0]["score"] == got[1]["score"]
+
+
 # ---- 10
 
 

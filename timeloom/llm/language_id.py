@@ -47,13 +47,32 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def fit(texts: list[str], langs: list[str], names: list[str]) -> np.ndarray:
-    """log P(gram | lang), add-half smoothed: (2**BITS, languages)."""
-    counts = np.full((1 << BITS, len(names)), 0.5)
-    for k, name in enumerate(names):
-        for _, _, buf, off in S.pieces(pa.array([t for t, x in zip(texts, langs, strict=True) if x == name], pa.string())):
-            counts[:, k] += np.bincount(_grams(buf, off)[0], minlength=1 << BITS)
-    return np.log(counts / counts.sum(0)).astype(np.float32)
+def _gram_counter(batches):
+    """Gram counts of each language among a task's texts."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for lo, hi, buf, off in S.pieces(batch.column("text")):
+            bucket, row = _grams(buf, off)
+            for name in sorted(set(langs[lo:hi])):
+                own = (langs[lo:hi] == name)[row]
+                counts[name] = counts.get(name, 0) + np.bincount(bucket[own], minlength=1 << BITS)
+    yield pa.RecordBatch.from_pydict({"lang": pa.array(list(counts), pa.string()), "counts": pa.array([c.astype(np.int64).tobytes() for c in counts.values()], pa.binary())})
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
+    return pa.table({"lang": table["lang"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def fit(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages of texts (lang, text) and log P(gram | lang), add-half smoothed: (2**BITS, languages). Only counts leave the tasks."""
+    kind = "lang string, counts binary"
+    rows = texts.select("lang", "text").mapInArrow(_gram_counter, kind).groupBy("lang").applyInArrow(_add, kind).collect()  # 256 kB a language
+    found = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows}
+    names = sorted(found)
+    counts = np.stack([found[n] + 0.5 for n in names], 1) if names else np.zeros((1 << BITS, 0))
+    return names, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 def text_posteriors(column: pa.Array, model: np.ndarray) -> np.ndarray:
@@ -100,20 +119,20 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     docs (doc_id, text, lang) are the labelled texts. Pages without html or url keep the evidence that is there: an
     empty text is equally likely in all languages, no `://` gives an empty host. A declared language that no labelled
     text has counts as `other`. Ties: the language that comes first by name. Without labelled texts lang is null.
+    Repeated pages are judged each, an empty table gives an empty result, other columns are ignored.
     """
     spark = pages.sparkSession
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("doc_id").distinct()
-    rows = docs.where("lang is not null and text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").collect()
-    names = sorted({r["lang"] for r in rows})
+    names, model = fit(docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1)).alias("host")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host, F.col("html").cast("string").alias("html"))
     if not names:
         null = F.lit(None).cast("string")
         return base.select("page_id", "host", null.alias("declared"), null.alias("text_lang"), null.alias("lang"), F.lit(0.0).alias("confidence"))
     n = len(names)
-    shared = spark.sparkContext.broadcast((fit([r["text"] for r in rows], [r["lang"] for r in rows], names), set(names)))
+    shared = spark.sparkContext.broadcast((model, set(names)))
     read = S.stored(base.mapInArrow(_reader(shared), "page_id long, host string, declared string, p array<double>"), "pages")
     read = read.withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
     total = read.agg(_sums(n).alias("s")).collect()[0]["s"]  # one number per language

@@ -50,7 +50,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         part = (mixed % U64(m)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, part, mixed)
-        sums = S.mix(sums + (np.arange(m, dtype=np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(c + 1) * U64(0xC2B2AE3D27D4EB4F))
+        sums = S.mix(sums + (np.arange(m, dtype=np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64((c + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
         filled = np.bincount(part, minlength=m) > 0
         # k parts at most differ: with more than k filled ones the k + 1 least signatures of these suffice, otherwise empty parts count too
         out.append(np.sort(sums[filled])[: k + 1] if filled.sum() > k else sums)

@@ -22,10 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page."""
     return language_id(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard of 0.9 or more."""
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
@@ -36,10 +38,12 @@ def byte_bpe() -> str:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 ids."""
     return pack(_table(spark, sf_dir, "documents"), byte_bpe(), capacity=1024, end=2)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain 80 % or more of a test item's 5-word shingles."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, percent=80)
 
 
@@ -59,6 +63,7 @@ GROUP BY d.id, i.id, z.n HAVING 100 * count(*) >= 80 * z.n
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
     return html_text(_table(spark, sf_dir, "pages"))
 
 
@@ -69,6 +74,7 @@ URL_RULES = [
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, otherwise="allow")
 
 
@@ -91,21 +97,25 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     scored = toxicity(docs, learnable(_table(spark, sf_dir, "labels")), ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
     return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of those that are not held out."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
     return lm_scores(docs.where("not held_out"), docs, ["doc_id", "held_out"])
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

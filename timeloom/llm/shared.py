@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
-
-    Only where the setting is unset, as in local tests, a fresh local folder takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="timeloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the shuffle files of this job go when its table is written
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
+from timeloom.sources.storage import discard, shared_dir, stored, table_path  # noqa: F401
 
-
-def discard(*frames: DataFrame) -> None:
-    """Removes stored tables that no frame still to be computed reads."""
-    for df in frames:
-        spark, path = df.sparkSession, df.stored_at
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+U64 = np.uint64
 
 
 # ---------------------------------------------------------------- words of UTF-8 buffers
