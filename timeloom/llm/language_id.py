@@ -123,8 +123,9 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    least = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= SAMPLE)
+    ids = least(least(labelled.withColumn("part", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(32))), "lang", "part"), "lang").select("doc_id").distinct()
     names, model = fit(docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1)).alias("host")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host, F.col("html").cast("string").alias("html"))
