@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.plans.read_models import ATTRIBUTES, PLAIN, compact_rows
-from timeloom.sources.storage import derived
+from timeloom.sources.storage import derived, spread
 
 _BASE = """
 SELECT event_id AS n, ts, user_id AS u, event_type, value, {k} AS k FROM {events}
@@ -125,6 +125,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELATIONS = {
-    "ef": events_full, "er": event_rows, "files": files, "documents": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet"),
+    "ef": events_full, "er": event_rows, "files": files, "documents": lambda spark, sf_dir: spread(spark.read.parquet(f"{sf_dir}/documents.parquet")),
     "session": lambda spark, sf_dir: (spark, sf_dir),
 }

@@ -58,6 +58,12 @@ def discard(*frames: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt to all of them; larger tables stay as they are."""
+    few = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(few) if df.rdd.getNumPartitions() < few else df
+
+
 _derived: dict[tuple, str] = {}
 
 
@@ -67,7 +73,5 @@ def derived(spark: SparkSession, source: str, name: str, make: Callable[[], Data
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, source, name, status.getModificationTime(), fs.getContentSummary(path).getLength())
     if key not in _derived or not exists(spark, _derived[key]):
-        df = make()
-        few = spark.sparkContext.defaultParallelism  # a small source is one partition, which would keep all later work in one task
-        _derived[key] = stored(df.repartition(few) if df.rdd.getNumPartitions() < few else df, name).stored_at
+        _derived[key] = stored(spread(make()), name).stored_at
     return spark.read.parquet(_derived[key])
