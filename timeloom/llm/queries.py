@@ -31,6 +31,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(id, root) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT e.y, r.root FROM reach r JOIN ends e ON e.x = r.id WHERE r.root < e.y),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN roots r ON r.id = d.doc_id
+"""
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -119,6 +132,33 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.y, r.root FROM reach r JOIN ends e ON e.x = r.id WHERE r.root < e.y),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY 1), counts AS (SELECT x, count(*) AS n FROM ends GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN counts ON x = vec_id LEFT JOIN roots ON id = vec_id
+"""
+
+#: bytes as two hexadecimal digits each
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, 256 * b AS since, substr(h, 512 * b + 1, 610) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 512 + 1)) AS b FROM d)),
+w AS (SELECT doc_id, since + p AS p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, since, h, unnest(range(0, least(256, length(h) // 2 - 49))) AS p FROM blocks)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT w.doc_id, w.p FROM w JOIN f ON w.s = f.s AND f.least < w.doc_id),
+marked AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM gone),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY 1, 2),
+cut AS (SELECT s.*, d.h, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY k), 0) AS since FROM spans s JOIN d ON d.doc_id = s.doc_id),
+kept AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY k) || substr(first(h), 2 * max(b) + 1) AS left_over FROM cut GROUP BY 1)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -133,6 +173,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": OP2_SQL,
+    "op8_embedding_near_dedup": OP8_SQL,
+    "op10_suffix_array_dedup": OP10_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op6_url_filter": OP6_SQL,
 }
