@@ -100,9 +100,12 @@ _g("case_summary", "SELECT (SELECT count(*) FROM er) AS events, (SELECT count(DI
 )
 _g("coverage_build", "SELECT artifact_type, count(*) AS files, count(*) FILTER (parser_status = 'parsed') AS parsed, count(*) FILTER (parser_status = 'failed') AS failed, count(*) FILTER (parser_status = 'unsupported') AS unsupported, CAST(sum(event_count) AS BIGINT) AS events FROM files GROUP BY 1", over="files")(coverage)
 _g("coverage_rates", "SELECT artifact_type, round(100.0 * count(*) FILTER (parser_status = 'parsed') / CAST(count(*) AS DOUBLE), 6) AS parsed_percent FROM files GROUP BY 1", over="files")(coverage_rates)
-_g("coverage_summary", "SELECT parser_status, count(*) AS files, CAST(sum(event_count) AS BIGINT) AS events FROM files GROUP BY 1", over="files")(lambda f: f.groupBy("parser_status").agg(F.count("*").alias("files"), F.sum("event_count").alias("events")))
+_COUNTS = "count(*) AS files, " + ", ".join(f"count(*) FILTER (parser_status = '{p}') AS {p}" for p in ("parsed", "failed", "unsupported")) + ", CAST(sum(event_count) AS BIGINT) AS events"
+_g("coverage_summary", f"SELECT artifact_type, {_COUNTS} FROM files GROUP BY 1 ORDER BY files DESC, artifact_type", over="files")(lambda f: coverage(f).orderBy(F.desc("files"), "artifact_type"))
 _g("failed_parser_build", "SELECT artifact_type, count(*) AS failures, max(error) AS last_error FROM files WHERE error IS NOT NULL GROUP BY 1", over="files")(failed_parsers)
-_g("failed_parser_summary", "SELECT error, count(*) AS failures FROM files WHERE error IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1", over="files")(lambda f: f.where("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("failures")).orderBy(F.desc("failures"), "error"))
+_g("failed_parser_summary", "SELECT artifact_type, error, count(*) AS failures, min(file_id) AS sample FROM files WHERE error IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2", over="files")(
+    lambda f: f.where("error IS NOT NULL").groupBy("artifact_type", "error").agg(F.count("*").alias("failures"), F.min("file_id").alias("sample")).orderBy(F.desc("failures"), "artifact_type", "error")
+)
 _g("coverage_matrix", "SELECT host, " + ", ".join(f"count(*) FILTER (artifact_type = '{t}') AS {t}" for t in ("browser", "evtx", "mft", "prefetch", "usn_jrnl")) + " FROM er GROUP BY host")(
     lambda er: er.groupBy("host").pivot("artifact_type", ["browser", "evtx", "mft", "prefetch", "usn_jrnl"]).count().na.fill(0)
 )

@@ -66,6 +66,9 @@ def _sync(er: DataFrame) -> DataFrame:
 
 query("index_sync", f"SELECT event_id, {_SYNC} AS status FROM er")(_sync)
 query("index_metadata", f"SELECT {_SYNC} AS status, count(*) AS n FROM er GROUP BY 1")(lambda er: _sync(er).groupBy("status").agg(F.count("*").alias("n")))
-query("index_body", "SELECT event_id, concat_ws(' ', event_id, artifact_type, event_action, host, user_name, message_full) AS body FROM ef", over="ef")(
-    lambda ef: ef.select("event_id", F.concat_ws(" ", "event_id", "artifact_type", "event_action", "host", "user_name", "message_full").alias("body"))
-)
+#: fields of an event that its index body holds
+BODY = [
+    "event_id", "case_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "process_name", "file_path", "ip", "url", "hash", "message_short", "message_full",
+    "source_file_id", "parser_name", "evidence_ref", "attributes_json",
+]
+query("index_body", "SELECT event_id, concat_ws(' ', " + ", ".join(BODY) + ") AS body FROM ef", over="ef")(lambda ef: ef.select("event_id", F.concat_ws(" ", *BODY).alias("body")))

@@ -9,6 +9,7 @@ from timeloom.functions.columns import severity_rank, timestamp
 from timeloom.operators.aggregates import coverage
 from timeloom.operators.correlation import CHAINS, correlation_chains
 from timeloom.operators.findings import FINDINGS, finding_summary, sigma_eval
+from timeloom.plans.read_models import with_finding_flag
 from timeloom.registry import query
 from timeloom.sources import fixture
 
@@ -69,9 +70,17 @@ def triage_actions(er: DataFrame, files: DataFrame, reviews: DataFrame, now: str
     return out if limit is None else out.limit(limit)
 
 
+# fixed values: the columns of an export, in order
+EXPORTED = [
+    "event_time_utc", "event_id", "artifact_type", "severity", "event_action", "host", "user_name", "process_name", "file_path", "ip", "url", "hash", "event_code", "channel", "level",
+    "source_file_id", "parser_name", "has_finding", "message_short",
+]
+
+
 def export_rows(er: DataFrame, limit: int | None = None) -> DataFrame:
     """All rows of an export in time order. With a limit, the first of them, and `truncated` tells whether more would follow."""
-    rows = er.orderBy("event_time_utc", "event_id").select("event_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "message_short")
+    absent = {c: F.lit(None).cast("string") for c in EXPORTED} | {"has_finding": F.lit(False)}  # columns that rows lack are empty
+    rows = er.orderBy("event_time_utc", "event_id").select(*[F.col(c) if c in er.columns else absent[c].alias(c) for c in EXPORTED])
     if limit is None:
         return rows
     more = er.select("event_id").limit(limit + 1).agg((F.count("*") > limit).alias("truncated"))
@@ -108,4 +117,6 @@ for _n in ("triage_queue", "triage_actions"):
  WHERE status NOT IN ('confirmed', 'false_positive', 'benign') AND rule_id NOT IN (SELECT rule_id FROM g)""", over="session")(
     lambda at: triage_actions(fixture.event_rows(*at), fixture.files(*at), at[0].createDataFrame(_REVIEWS, "rule_id string, status string, due_at string, updated_at string"), "2024-02-01T00:00:00Z")
 )
-query("export_csv", "SELECT event_id, event_time_utc, artifact_type, event_action, severity, host, user_name, message_short FROM er ORDER BY event_time_utc, event_id LIMIT 100000")(export_rows)
+query("export_csv", FINDINGS + " SELECT " + ", ".join({"level": "CAST(NULL AS VARCHAR) AS level", "has_finding": "event_id IN (SELECT event_id FROM findings) AS has_finding"}.get(c, c) for c in EXPORTED) + " FROM er")(
+    lambda er: export_rows(with_finding_flag(er, sigma_eval(er)))
+)
