@@ -497,35 +497,93 @@ def test_embeddings_at_the_threshold_and_in_many_tiles(spark, monkeypatch):
 # ---- 9
 
 
+def brute_lm(train, texts):
+    """log10 probabilities of texts by the definition, with counters; texts are lists of words, END is None."""
+    c, tri = Counter(), Counter()
+    for w in train:
+        c.update(w)
+        tri.update(zip(["<s>", "<s>", *w[:-2]] if len(w) > 1 else ["<s>"], ["<s>", *w[:-1]], w, strict=True))
+    n, v = sum(c.values()), len(c)
+    levels = [Counter(w for _, w in {(y, z) for _, y, z in tri}), Counter((y, z) for _, y, z in tri), tri]
+    d = []
+    for level in levels:
+        coc = Counter(level.values())
+        d.append(discounts(*[coc[i] for i in (1, 2, 3, 4)]))
+    total, back = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for i, level in enumerate(levels):
+        for gram, k in level.items():
+            context = gram[:-1] if i else ()
+            total[i][context] += k
+            back[i][context] += d[i][min(k, 3) - 1]
+
+    def p(i, context, w):
+        if i < 0:
+            return 1 / (v + 1)
+        rest = p(i - 1, context[1:], w)
+        k = levels[i][(*context, w) if i else w]
+        return ((k - d[i][min(k, 3) - 1] if k else 0) + back[i][context] * rest) / total[i][context] if total[i][context] else rest
+
+    for context in [("<s>", "<s>"), ("the", "quick"), ("seven", "never seen")]:
+        assert math.isclose(sum(p(2, context, w) for w in c) + p(2, context, "never seen"), 1)
+    base = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
+    return [
+        (len(w), sum(c[x] > 0 for x in w), n, sum(map(base, w)), sum(math.log10(p(2, (x, y), z)) for x, y, z in zip(["<s>", "<s>", *w[:-2]][-len(w) :], ["<s>", *w[:-1]], w, strict=True)))
+        for w in texts
+    ]
+
+
+def same_scores(train, docs):
+    words = {r["doc_id"]: [*WORD.findall((r["text"] or "").translate(LOW)), None] for r in docs.collect()}
+    learnt = [words[r["doc_id"]] for r in train.select("doc_id").collect()]
+    brute = dict(zip(words, brute_lm(learnt, list(words.values())), strict=True))
+    got = lm_scores(train, docs, ["doc_id"]).collect()
+    assert len(got) == len(words)
+    for r in got:
+        counts, want = brute[r["doc_id"]][:3], brute[r["doc_id"]][3:]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == counts
+        assert math.isclose(r["base_score"], want[0], rel_tol=1e-9) and math.isclose(r["score"], want[1], rel_tol=1e-9), r
+
+
 def test_lm_against_brute_force(docs):
+    """The fox's words are so frequent that all are split; see below for rare ones."""
     train = docs.where("doc_id % 3 <> 0")
-    words = {r[0]: [*WORD.findall((r[1] or "").translate(LOW)), None] for r in docs.collect()}
-    c, b = Counter(), Counter()
-    for d, w in words.items():
-        if d % 3:
-            c.update(w)
-            b.update(zip(["<s>", *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    coc, follow, total, back = Counter(b.values()), Counter(w for _, w in b), Counter(), Counter()
-    d3 = discounts(*[coc[i] for i in (1, 2, 3, 4)])
-    fc = Counter(follow.values())
-    e3 = discounts(*[fc[i] for i in (1, 2, 3, 4)])
-    for (x, _), k in b.items():
-        total[x] += k
-        back[x] += d3[min(k, 3) - 1]
-    g1 = sum(e3[min(k, 3) - 1] for k in follow.values()) / len(b)
-    p1 = lambda w: (follow[w] - e3[min(follow[w], 3) - 1] if follow[w] else 0) / len(b) + g1 / (v + 1)
-    p = lambda x, w: p1(w) if not total[x] else ((b[x, w] - d3[min(b[x, w], 3) - 1] if b[x, w] else 0) + back[x] * p1(w)) / total[x]
-    assert math.isclose(sum(p("the", w) for w in c) + back["the"] / total["the"] * g1 / (v + 1), 1)
-    for r in lm_scores(train, docs, ["doc_id"]).collect():
-        w = words[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(x, y)) for x, y in zip(["<s>", *w[:-1]], w, strict=True)), rel_tol=1e-9)
+    same_scores(train, docs)
     assert {r["score"] for r in lm_scores(train.limit(0), docs, ["doc_id"]).collect()} == {0.0}
     assert lm_scores(train, docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_lm_of_rare_and_frequent_words(spark, monkeypatch):
+    """Some words are over a shard's share and split, most are not; runs of a few tokens, so counts of a trigram meet in the shards."""
+    from timeloom.llm import ngram_lm
+
+    r = np.random.default_rng(3)
+    vocabulary = ["the", "quick", "seven", *(f"w{k}" for k in range(3000))]
+    rows = [(k, " ".join(vocabulary[min(int(x), 3002)] for x in r.zipf(1.25, int(r.integers(0, 60))))) for k in range(600)]
+    rows += [(1000 + k, rows[k][1]) for k in range(50)] + [(2000, "the quick " * 3000), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(ngram_lm, "RUN", 500)
+    same_scores(docs.where("doc_id % 10 <> 0"), docs)
+
+
+def test_lm_files_and_packing():
+    """Columns, gaps and tables of keys come back as they went in; keys whose upper halves agree are told apart."""
+    from timeloom.llm import ngram_lm as M
+
+    r = np.random.default_rng(4)
+    v = np.sort(r.integers(0, 50, 400))
+    u = r.integers(0, 2**40, 400)
+    u = u[np.lexsort((u, v))]
+    dv, du, w = M._unpacked(M._packed(*M._gaps(v, u), u), 400, 3)
+    assert (w == u).all() and all((x == y).all() for x, y in zip(M._ungapped(dv, du), (v, u), strict=True))
+    keys = np.unique(np.r_[r.integers(0, 2**63, 300), np.arange(0, 40 << 16, 1 << 16)]).astype(np.uint64)
+    high, low, more_high, more_low, values = M._table(keys, np.where(np.arange(len(keys)) % 2, 1, 70_000))
+    assert (values == 70_000).all() and len(high) + len(more_high) == len(keys)
+    asked = np.unique(np.r_[keys >> np.uint64(16), np.arange(100, 140).astype(np.uint64)])
+    odd = keys[1::2] >> np.uint64(16)
+    which, at = M._find(high, low, asked)
+    assert sorted(asked[which]) == sorted(odd) and (((high[at].astype(np.uint64) << np.uint64(16)) | low[at]) == asked[which]).all()
+
+
 def test_lm_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b a", 2), (1, "a b a", 2), (2, None, 3)], "doc_id long, text string, shard int")
     got = lm_scores(docs, docs, ["doc_id", "shard"]).orderBy("doc_id").collect()

@@ -1,13 +1,16 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers memory-map.
-
-Two passes count: words, whose sorted hashes become the vocabulary (a word's id is its place), then bigrams of ids.
-Each task sums its own part before anything is shuffled, and sends one row per shard. A frequent context is split
-over several shards in proportion to its count, so no shard holds more than its share. The reducers write sorted
-arrays into the shared folder; a scoring task maps them and looks up whole batches in sorted order.
-
-p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v.) + gamma(v) p1(w), p1 likewise over the number of different words seen
-before w, interpolated with 1 / (V + 1), which the unknown word gets. D has three values per level, estimated from
-counts of counts. Probabilities over the vocabulary and the unknown word sum to 1 in every context.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark, kept as sorted hash arrays that workers memory-map.
+
+Two passes count: words, whose sorted hashes become the vocabulary (a word's id is its place), then trigrams (u, v, w)
+of ids. Tasks sum up runs of two million tokens before anything is shuffled. Trigrams are dealt by their middle word, so
+one shard sees all of a context (u, v) and all words u before a pair (v, w). A frequent middle word is split over a
+grid of shards by both neighbours, in proportion to its count; its contexts and pairs are partial there and are summed
+in a further shuffle of their own. Each shard is one file of the shared folder; a scoring task maps some at a time and
+looks up whole batches in sorted order.
+
+p3(w|uv) = max(c(uvw) - D(c(uvw)), 0) / c(uv.) + gamma(uv) p2(w|v). p2 likewise over the numbers of different words
+seen before vw, p1 over those seen before w, interpolated with 1 / (V + 1), which the unknown word gets; a context
+never seen leaves the next lower level alone. Two start tokens precede a document. D has three values per level,
+estimated from counts of counts. Probabilities over the vocabulary and the unknown word sum to 1 in every context.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from timeloom.llm import shared as S
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)  # hash of the end token
 HOLD = 6_000_000  # entries a task sums up at once
+RUN = 2_000_000  # tokens whose trigrams are counted together: their different words fit 21 bits
+
+
+# ---------------------------------------------------------------- sums of sorted keys
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,45 +55,131 @@ def _counted(chunks) -> tuple[np.ndarray, np.ndarray]:
     return _summed(keys, counts)
 
 
-def _by_shard(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row per shard: keys counted once, then keys and counts of the others."""
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
-    ends = np.r_[at[1:], len(shard)]
-    rows = [(int(shard[a]), *_blobs(keys[a:b], counts[a:b])) for a, b in zip(at.tolist(), ends.tolist(), strict=True)] if len(shard) else []
-    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "once", "more", "counts"])
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, in sorted columns."""
+    n = len(columns[0])
+    change = np.zeros(n, bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
-def _blobs(keys, counts) -> tuple[bytes, bytes, bytes]:
-    one = counts == 1
-    return keys[one].tobytes(), keys[~one].tobytes(), counts[~one].astype(np.int64).tobytes()
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
 
 
-_BLOBS = "shard int, once binary, more binary, counts binary"
+def _kinds(n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Per group: sum, how many are 1, 2 and more."""
+    return [_sums(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
 
 
-def _merged(batches) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts, held = [], [], 0
-    for batch in batches:
-        for once, more, n in zip(*(batch.column(c).to_pylist() for c in ("once", "more", "counts")), strict=True):
-            a, b = np.frombuffer(once, np.uint64), np.frombuffer(more, np.uint64)
-            keys += [a, b]
-            counts += [np.ones(len(a), np.int64), np.frombuffer(n, np.int64)]
-            held += len(a) + len(b)
-            if held > 4 * HOLD:
-                k, c = _summed(keys, counts)
-                keys, counts, held = [k], [c], len(k) // 2
-    return _summed(keys, counts)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers, byte planes apart: the upper ones are nearly all zero."""
+    planes = np.stack([c.astype(np.int64) for c in columns]).view(np.uint8).reshape(-1, 8).T
+    return pa.Codec("zstd").compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, columns: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n * columns), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(columns, n)
+
+
+def _gaps(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by v, then u: steps of v, and of u where v stays."""
+    dv, du = np.diff(v, prepend=0), np.diff(u, prepend=0)
+    return dv, np.where(dv == 0, du, u)
+
+
+def _ungapped(dv: np.ndarray, du: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.r_[True, dv[1:] != 0])
+    total = np.cumsum(du)
+    return np.cumsum(dv), total - np.repeat((total - du)[first], np.diff(np.r_[first, len(dv)]))
+
+
+def _edges(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and its rows."""
+    order = np.argsort(shard, kind="stable")
+    first = _groups(shard[order])
+    for a, b in zip(first.tolist(), np.diff(np.r_[first, len(shard)]).cumsum().tolist(), strict=True):
+        yield int(shard[order[a]]), order[a:b]
 
 
 def _top(x: np.ndarray, shards: int) -> np.ndarray:
     return (x >> U64(64 - (shards.bit_length() - 1))).astype(np.int64)
 
 
+# ---------------------------------------------------------------- files of sorted hash arrays
+
+
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return S.mix(S.mix(a.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+
+
+def _write(folder: str, name: str, sections: list[np.ndarray]) -> None:
+    """One file of several arrays: their number, then length and item size of each, then the arrays at multiples of 8."""
+    head = np.array([len(sections), *(x for s in sections for x in (len(s), s.itemsize))], np.int64)
+    parts = [head.view(np.uint8)]
+    for s in sections:
+        raw = np.ascontiguousarray(s).view(np.uint8)
+        parts += [raw, np.zeros(-len(raw) % 8, np.uint8)]
+    S.write_array(folder, name, np.concatenate(parts))
+
+
+def _sections(data: np.ndarray) -> list[np.ndarray]:
+    if not len(data):
+        return []
+    n = int(data[:8].view(np.int64)[0])
+    head, at, out = data[8 : 8 + 16 * n].view(np.int64).reshape(n, 2).tolist(), 8 + 16 * n, []
+    for length, size in head:
+        out.append(data[at : at + length * size].view(f"u{size}"))
+        at += -(-length * size // 8) * 8
+    return out
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """As the smallest unsigned type that holds the largest value."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _table(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Sections of a table: keys of rows whose first column is 1 (the others then follow), keys of the others, their columns.
+
+    A key is the upper 48 bits of a hash. As a shard holds some million keys at every size of the corpus, a key not in it
+    is taken for another about once in 10^8 lookups.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, columns = keys[order] >> U64(16), [c[order] for c in columns]
+    out = []
+    for rows in (np.flatnonzero(columns[0] == 1), np.flatnonzero(columns[0] != 1)):
+        out += [(keys[rows] >> U64(16)).astype(np.uint32), (keys[rows] & U64(0xFFFF)).astype(np.uint16)]
+    return out + [_least(c[rows]) for c in columns]
+
+
+def _find(high: np.ndarray, low: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the sorted keys are there, where)."""
+    if not len(high):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, lo = (keys >> U64(16)).astype(np.uint32), (keys & U64(0xFFFF)).astype(np.uint16)
+    at = np.searchsorted(high, h)
+    open_ = np.flatnonzero(at < len(high))
+    open_ = open_[high[at[open_]] == h[open_]]
+    hits = []
+    while len(open_):
+        got = low[at[open_]]
+        hits.append(open_[got == lo[open_]])
+        open_ = open_[got < lo[open_]]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(high)]
+        open_ = open_[high[at[open_]] == h[open_]]
+    which = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+    return which, at[which]
+
+
 # ---------------------------------------------------------------- vocabulary
 
+_BLOBS = "shard int, n long, data binary"
+
 
 def _word_counter(shards: int):
     def count(batches):
@@ -97,60 +190,113 @@ def _word_counter(shards: int):
                     yield np.r_[h, np.full(hi - lo, END)]
 
         k, n = _counted(chunks())
-        yield _by_shard(_top(k, shards), k, n)
+        rows = [(s, len(own), k[own].tobytes() + n[own].astype(np.int64).tobytes()) for s, own in _edges(_top(k, shards))]
+        yield _batch(_BLOBS, rows)
 
     return count
 
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [f for f, _ in fields])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
 def _word_writer(folder: str):
     def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n = _merged(batches)
-        S.write_array(folder, f"words-{key[0].as_py()}", k)
-        S.write_array(folder, f"counts-{key[0].as_py()}", n.astype(np.int64))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([len(k)], pa.int64()), "n": pa.array([int(n.sum())], pa.int64())})
+        keys, counts, held = [], [], 0
+        for n, data in _rows(batches, "n", "data"):
+            keys.append(np.frombuffer(data, np.uint64, n))
+            counts.append(np.frombuffer(data, np.int64, n, 8 * n))
+            held += n
+            if held > 4 * HOLD:
+                k, c = _summed(keys, counts)
+                keys, counts, held = [k], [c], len(k) // 2
+        k, n = _summed(keys, counts)
+        _write(folder, f"words-{key[0].as_py()}", [k, n])
+        yield _batch("shard int, v long, n long", [(key[0].as_py(), len(k), int(n.sum()))])
 
     return write
 
 
 class Model:
-    """A worker's view of the arrays; opened on first use, mapped, never copied whole."""
+    """A task's view of the files: mapped on first use, some thousand at a time."""
 
     def __init__(self, meta: dict):
         self.m = meta
-        self.open_: dict[str, np.ndarray] = {}
+        self.files = S.Arrays(meta["folder"])
         self.v, self.n, self.shards = meta["v"], meta["n"], meta["shards"]
         self.docs = int(self.ids(np.array([END]))[1][0])  # every document has one end, and so one start
 
-    def array(self, name: str, shard: int, dtype) -> np.ndarray:
-        key = f"{name}-{shard}"
-        if key not in self.open_:
-            self.open_[key] = S.open_array(self.m["folder"], key, dtype)
-        return self.open_[key]
+    def sections(self, name: str, shard: int) -> list[np.ndarray]:
+        return _sections(self.files.get(f"{name}-{shard}", np.uint8))
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts."""
         u, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
         edges = np.searchsorted(_top(u, self.shards), np.arange(self.shards + 1))
-        for k in range(self.shards):
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             a, b = edges[k], edges[k + 1]
-            words = self.array("words", k, np.uint64) if a < b else ()
-            if len(words):
-                at = np.minimum(np.searchsorted(words, u[a:b]), len(words) - 1)
-                hit = np.flatnonzero(words[at] == u[a:b])
+            found = self.sections("words", k)
+            if found:
+                at = np.minimum(np.searchsorted(found[0], u[a:b]), len(found[0]) - 1)
+                hit = np.flatnonzero(found[0][at] == u[a:b])
                 ids[a + hit] = self.m["offsets"][k] + at[hit]
-                counts[a + hit] = self.array("counts", k, np.int64)[at[hit]]
+                counts[a + hit] = found[1][at[hit]]
         return ids[back], counts[back]
 
-    def shard_of(self, v: np.ndarray, w: np.ndarray, count_v: np.ndarray) -> np.ndarray:
-        """A context whose count is beyond a shard's share is split by the following word."""
-        split = 1 + count_v * self.shards // max(self.n, 1)
-        part = (S.mix(w.astype(np.uint64)) % split.astype(np.uint64)).astype(np.uint64)
-        return _top(S.mix(v.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + part), self.shards)
-
-    def pairs(self, batch_texts: pa.Array):
-        """Per run of rows: row of each token, its id and count, the id and count of the token before (start: id v)."""
-        for lo, hi, buf, off in S.pieces(batch_texts):
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training counts of sorted ids; the start's is that of documents."""
+        out = np.full(len(ids), self.docs, np.int64)
+        offsets = np.array([*self.m["offsets"], self.v])
+        edges = np.searchsorted(ids, offsets)
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            out[edges[k] : edges[k + 1]] = self.sections("words", k)[1][ids[edges[k] : edges[k + 1]] - offsets[k]]
+        return out
+
+    def sides(self, count: np.ndarray) -> np.ndarray:
+        """Into how many parts either neighbour splits the trigrams of a middle word: 1 up to a shard's share of the tokens."""
+        return np.ceil(np.sqrt(1 + count * self.shards // max(self.n, 1))).astype(np.int64)
+
+    def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
+        side = self.sides(count).astype(np.uint64)
+        part = S.mix(u.astype(np.uint64)) % side * side + S.mix(w.astype(np.uint64) + U64(77)) % side
+        return _top(_pair_key(part, v), self.shards)
+
+    def spot(self, a: np.ndarray, b: np.ndarray, v: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key of the pair (a, b), one of which is the middle word v; whether v is split; the shard that has the pair's sums."""
+        key, split = _pair_key(a, b), self.sides(count) > 1
+        zero = np.zeros(len(v), np.uint64)
+        return key, split, np.where(split, (key & U64(self.shards - 1)).astype(np.int64), _top(_pair_key(zero, v), self.shards))
+
+    def look(self, name: str, place: int, columns: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """A table's columns at the keys; zeros where a key is absent."""
+        u, back = np.unique((shard.astype(np.uint64) << U64(48)) | (keys >> U64(16)), return_inverse=True)
+        out = np.zeros((columns, len(u)), np.int64)
+        edges = np.searchsorted(u >> U64(48), np.arange(self.shards + 1))
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            found = self.sections(name, k)
+            if not found:
+                continue
+            a, own = edges[k], u[edges[k] : edges[k + 1]] & U64(2**48 - 1)
+            one_high, one_low, high, low, *values = found[place : place + 4 + columns]
+            which, _ = _find(one_high, one_low, own)
+            out[: min(columns, 2), a + which] = 1
+            which, at = _find(high, low, own)
+            for j, x in enumerate(values):
+                out[j, a + which] = x[at]
+        return out[:, back]
+
+    def grams(self, texts: pa.Array):
+        """Per run of rows: first and end row, row of each token, ids (u, v, w; start: the vocabulary's size), counts of v and w."""
+        for lo, hi, buf, off in S.pieces(texts):
             h, row = S.words(buf, off)
             size = np.bincount(row, minlength=hi - lo)
             ends = np.cumsum(size + 1) - 1
@@ -159,71 +305,144 @@ class Model:
             inner = np.ones(len(tokens), bool)
             inner[ends] = False
             tokens[inner] = h
-            ids, counts = self.ids(tokens)
-            before, count_before = np.r_[self.v, ids[:-1]], np.r_[self.docs, counts[:-1]]
+            w, count_w = self.ids(tokens)
             starts = np.r_[0, ends[:-1] + 1]
-            before[starts], count_before[starts] = self.v, self.docs
-            yield lo, hi, np.repeat(np.arange(hi - lo), size + 1), ids, counts, before, count_before
+            v, count_v = np.r_[self.v, w[:-1]], np.r_[self.docs, count_w[:-1]]
+            v[starts], count_v[starts] = self.v, self.docs
+            u = np.r_[self.v, v[:-1]]
+            u[starts] = self.v
+            yield lo, hi, np.repeat(np.arange(hi - lo), size + 1), u, v, w, count_v, count_w
 
 
-# ---------------------------------------------------------------- bigrams
+# ---------------------------------------------------------------- trigrams
 
 
-def _pair_counter(meta):
+def _gram_counter(meta):
     def count(batches):
         model = Model(meta.value)
-        base = U64(model.v + 1)
+        held: list[np.ndarray] = []
 
-        def chunks():
-            for batch in batches:
-                for _, _, _, w, _, v, _ in model.pairs(batch.column("text")):
-                    yield v.astype(np.uint64) * base + w.astype(np.uint64)
+        def flush():
+            u, v, w = np.concatenate(held, axis=1)
+            held.clear()
+            for a in range(0, len(u), RUN):
+                yield _gram_rows(model, u[a : a + RUN], v[a : a + RUN], w[a : a + RUN])
 
-        k, n = _counted(chunks())
-        v, w = (k // base).astype(np.int64), (k % base).astype(np.int64)
-        yield _by_shard(model.shard_of(v, w, _counts_of(model, v)), k, n)
+        for batch in batches:
+            for _, _, _, u, v, w, _, _ in model.grams(batch.column("text")):
+                held.append(np.stack([u, v, w]))
+                if sum(x.shape[1] for x in held) + len(u) > RUN:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return count
 
 
-def _counts_of(model: Model, ids: np.ndarray) -> np.ndarray:
-    """Training counts by id, for sorted ids."""
-    out = np.full(len(ids), model.docs, np.int64)
-    offsets = np.array([*model.m["offsets"], model.v])
-    edges = np.searchsorted(ids, offsets)
-    for k in range(model.shards):
-        a, b = edges[k], edges[k + 1]
-        if a < b:
-            out[a:b] = model.array("counts", k, np.int64)[ids[a:b] - offsets[k]]
-    return out
+def _gram_rows(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """Counts of a run's trigrams, a row per shard."""
+    ids, local = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+    u, v, w = local.astype(np.uint64).reshape(3, -1)
+    keys, n = np.unique((v << U64(42)) | (u << U64(21)) | w, return_counts=True)
+    mask = U64(2**21 - 1)
+    middle = (keys >> U64(42)).astype(np.int64)
+    u, v, w = ids[(keys >> U64(21) & mask).astype(np.int64)], ids[middle], ids[(keys & mask).astype(np.int64)]
+    rows = []
+    for s, own in _edges(model.shard(u, v, w, model.counts(ids)[middle])):
+        rows.append((s, len(own), _packed(*_gaps(v[own], u[own]), w[own], n[own])))
+    return _batch(_BLOBS, rows)
+
+
+def _merged(batches) -> tuple[np.ndarray, ...]:
+    """u, v, w and counts, sorted by v, u, w."""
+    held, size = [np.zeros((4, 0), np.int64)], 0
+
+    def merge():
+        v, u, w, n = np.concatenate(held, axis=1)
+        order = np.lexsort((w, u, v))
+        v, u, w = v[order], u[order], w[order]
+        first = _groups(v, u, w)
+        return np.stack([v[first], u[first], w[first], _sums(n[order], first)])
+
+    for n, data in _rows(batches, "n", "data"):
+        dv, du, w, c = _unpacked(data, n, 4)
+        held.append(np.stack([*_ungapped(dv, du), w, c]))
+        size += n
+        if size > HOLD:
+            held = [merge()]
+            size = held[0].shape[1] // 2
+    v, u, w, n = merge()
+    return u, v, w, n
+
+
+_PARTS = "kind string, shard int, n long, data binary, n1 long, n2 long, n3 long, n4 long"
+
+
+def _counts_of_counts(kind: str, n: np.ndarray) -> tuple:
+    return (kind, 0, len(n), b"", *(int((n == i).sum()) for i in (1, 2, 3, 4)))
+
+
+def _dealt(kind: str, shard: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    return [(kind, s, len(own), _packed(*(c[own] for c in columns)), 0, 0, 0, 0) for s, own in _edges(shard)]
+
+
+def _lower(model: Model, v: np.ndarray, w: np.ndarray, before: np.ndarray) -> list[tuple]:
+    """Rows of the two lower levels from whole pairs (v, w), sorted, and how many different words came before each."""
+    step = model.m["step"]
+    first = _groups(v)
+    ids, different = np.unique(w, return_counts=True)
+    return [
+        _counts_of_counts("pairs", before),
+        *_dealt("second", v[first] // step, v[first] % step, *_kinds(before, first)),
+        *_dealt("first", ids // step, ids % step, different),
+    ]
+
 
+def _gram_writer(meta):
+    def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(meta.value)
+        u, v, w, n = _merged(batches)
+        grams = _table(_pair_key(_pair_key(u, v), w), n)
+        first = _groups(v, u)
+        cu, cv, sums = u[first], v[first], _kinds(n, first)
+        order = np.lexsort((w, v))
+        first = _groups(v[order], w[order])
+        fv, fw, before = v[order][first], w[order][first], np.diff(np.r_[first, len(v)])
+        middle = np.unique(v)
+        split = model.sides(model.counts(middle)) > 1
+        hot_c, hot_f = (split[np.searchsorted(middle, x)] for x in (cv, fv))
+        contexts = _table(_pair_key(cu, cv)[~hot_c], *(x[~hot_c] for x in sums))
+        pairs = _table(_pair_key(fv, fw)[~hot_f], before[~hot_f])
+        _write(model.m["folder"], f"grams-{key[0].as_py()}", grams + contexts + pairs)
+        rows = [_counts_of_counts("grams", n), *_lower(model, fv[~hot_f], fw[~hot_f], before[~hot_f])]
+        low = U64(model.shards - 1)
+        cu, cv, fv, fw = cu[hot_c], cv[hot_c], fv[hot_f], fw[hot_f]
+        rows += _dealt("context", (_pair_key(cu, cv) & low).astype(np.int64), cu, cv, *(x[hot_c] for x in sums))
+        rows += _dealt("pair", (_pair_key(fv, fw) & low).astype(np.int64), fv, fw, before[hot_f])
+        yield _batch(_PARTS, rows)
+
+    return write
+
+
+def _split_writer(meta):
+    """Sums the partial contexts and pairs of split middle words."""
 
-def _pair_writer(meta, stat_shards: int):
     def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = meta.value
-        k, n = _merged(batches)
-        S.write_array(m["folder"], f"pairs-{key[0].as_py()}", k)
-        S.write_array(m["folder"], f"pair-counts-{key[0].as_py()}", np.minimum(n, 2**32 - 1).astype(np.uint32))
-        base = U64(m["v"] + 1)
-        v, w = (k // base).astype(np.int64), (k % base).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-        sums = [np.add.reduceat(x, first) if len(v) else np.zeros(0, np.int64) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
-        before, different = np.unique(w, return_counts=True)
-        step = -(-(m["v"] + 1) // stat_shards)
-        coc = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-        rows = []
-        for s in range(stat_shards):
-            a, b = np.searchsorted(v[first], [s * step, (s + 1) * step])
-            c, d = np.searchsorted(before, [s * step, (s + 1) * step])
-            if a < b or c < d or not s:
-                context = np.stack([v[first][a:b] - s * step, *(x[a:b] for x in sums)]).astype(np.int64)
-                follow = np.stack([before[c:d] - s * step, different[c:d]]).astype(np.int32)
-                wide = context.max(initial=0) >= 2**31
-                narrow = b"" if wide else context.astype(np.int32).tobytes()
-                rows.append((s, narrow, context.tobytes() if wide else b"", follow.tobytes(), *(coc if not s else (0, 0, 0, 0)), 0 if s else len(k)))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 5]
-        names = ["shard", "context", "context_wide", "follow", "n1", "n2", "n3", "n4", "pairs"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        model = Model(meta.value)
+        width = {"context": 6, "pair": 3}
+        held = {k: [np.zeros((c, 0), np.int64)] for k, c in width.items()}
+        for kind, n, data in _rows(batches, "kind", "n", "data"):
+            held[kind].append(_unpacked(data, n, width[kind]))
+        whole = {}
+        for kind, parts in held.items():
+            x = np.concatenate(parts, axis=1)
+            x = x[:, np.lexsort((x[1], x[0]))]
+            first = _groups(x[0], x[1])
+            whole[kind] = [x[0][first], x[1][first], *(_sums(y, first) for y in x[2:])]
+        u, v, *sums = whole["context"]
+        a, b, before = whole["pair"]
+        _write(model.m["folder"], f"split-{key[0].as_py()}", _table(_pair_key(u, v), *sums) + _table(_pair_key(a, b), before))
+        yield _batch(_PARTS, _lower(model, a, b, before))
 
     return write
 
@@ -239,22 +458,19 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return min(max(d1, 0.05), 1), min(max(d2, 0.05), 2), min(max(d3, 0.05), 3)
 
 
-def _stat_writer(meta, stat_shards: int, d: tuple[float, float, float]):
+def _stat_writer(meta, d: tuple[float, float, float]):
     def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, s = meta.value, key[0].as_py()
-        step = -(-(m["v"] + 1) // stat_shards)
-        total, follow = np.zeros((4, step), np.int64), np.zeros(step, np.int64)
-        for batch in batches:
-            for narrow, wide, f in zip(*(batch.column(c).to_pylist() for c in ("context", "context_wide", "follow")), strict=True):
-                x = (np.frombuffer(wide, np.int64) if wide else np.frombuffer(narrow, np.int32)).reshape(5, -1)
-                total[:, x[0]] += x[1:]
-                y = np.frombuffer(f, np.int32).reshape(2, -1)
-                follow[y[0]] += y[1]
+        total, follow = np.zeros((4, m["step"]), np.int64), np.zeros(m["step"], np.int64)
+        for kind, n, data in _rows(batches, "kind", "n", "data"):
+            at, *x = _unpacked(data, n, 5 if kind == "second" else 2)
+            if kind == "second":
+                total[:, at] += x
+            else:
+                follow[at] += x[0]
         share = np.array(d) @ total[1:] / np.maximum(total[0], 1)
-        S.write_array(m["folder"], f"totals-{s}", total[0].astype(np.float64))
-        S.write_array(m["folder"], f"gammas-{s}", share.astype(np.float64))
-        S.write_array(m["folder"], f"follows-{s}", follow.astype(np.float64))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), **{f"n{i}": pa.array([int((follow == i).sum())], pa.int64()) for i in (1, 2, 3, 4)}, "more": pa.array([int((follow > 2).sum())], pa.int64())})
+        _write(m["folder"], f"stats-{s}", [_least(total[0]), share.view(np.uint64), _least(follow)])
+        yield _batch("n1 long, n2 long, n3 long, n4 long, more long", [(*(int((follow == i).sum()) for i in (1, 2, 3, 4)), int((follow > 2).sum()))])
 
     return write
 
@@ -262,32 +478,65 @@ def _stat_writer(meta, stat_shards: int, d: tuple[float, float, float]):
 # ---------------------------------------------------------------- scoring
 
 
+def _by_id(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per id: number of different trigrams around it, share of their discounts, number of different words before it; unknown: zeros."""
+    u, back = np.unique(ids, return_inverse=True)
+    out = np.zeros((3, len(u)))
+    step = model.m["step"]
+    edges = np.searchsorted(u, np.arange(model.shards + 1) * step)
+    for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        found = model.sections("stats", s)
+        if found:
+            at = u[edges[s] : edges[s + 1]] - s * step
+            out[:, edges[s] : edges[s + 1]] = found[0][at], found[1].view(np.float64)[at], found[2][at]
+    return tuple(out[:, back])
+
+
+def _left(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.maximum(count - np.array([0, *d])[np.minimum(count, 3).astype(np.int64)], 0)
+
+
+def _pair_sums(model: Model, place: dict[str, int], columns: int, known: np.ndarray, a, b, v, count) -> np.ndarray:
+    """Columns of the pairs (a, b) around the middle word v, from the shard of v or, where v is split, from that of the pair."""
+    out = np.zeros((columns, len(a)), np.int64)
+    rows = np.flatnonzero(known)
+    key, split, shard = model.spot(a[rows], b[rows], v[rows], count[rows])
+    for name, own in (("grams", np.flatnonzero(~split)), ("split", np.flatnonzero(split))):
+        if len(own):
+            out[:, rows[own]] = model.look(name, place[name], columns, key[own], shard[own])
+    return out
+
+
+def _log10(model: Model, u, v, w, count_v) -> np.ndarray:
+    m = model.m
+    follow = _by_id(model, w)[2]
+    p = np.full(len(w), 1 / (model.v + 1))
+    if m["pairs"]:
+        p = _left(follow, m["d1"]) / m["pairs"] + m["gamma1"] * p
+    around, share, _ = _by_id(model, v)
+    before = _pair_sums(model, {"grams": 13, "split": 8}, 1, (v >= 0) & (w >= 0), v, w, v, count_v)[0]
+    p = np.where(around > 0, _left(before, m["d2"]) / np.maximum(around, 1) + share * p, p)
+    total, *kinds = _pair_sums(model, {"grams": 5, "split": 0}, 4, (u >= 0) & (v >= 0), u, v, v, count_v)
+    c = np.zeros(len(w), np.int64)
+    rows = np.flatnonzero((total > 0) & (w >= 0))
+    key = _pair_key(_pair_key(u[rows], v[rows]), w[rows])
+    c[rows] = model.look("grams", 0, 1, key, model.shard(u[rows], v[rows], w[rows], count_v[rows]))[0]
+    upper = (_left(c, m["d3"]) + np.array(m["d3"]) @ np.array(kinds) * p) / np.maximum(total, 1)
+    return np.log10(np.where(total > 0, upper, p))
+
+
 def _scorer(meta):
     def score(batches):
         model = Model(meta.value)
-        m = model.m
-        base = U64(model.v + 1)
-        d, low = np.array([0, *m["d"]]), np.array([0, *m["low"]])
-        names = [c for c in m["keep"]]
+        names = [c for c in model.m["keep"]]
         for batch in batches:
             out = np.zeros((4, batch.num_rows))
-            for lo, hi, row, w, count, v, count_v in model.pairs(batch.column("text")):
+            for lo, hi, row, u, v, w, count_v, count in model.grams(batch.column("text")):
                 n = hi - lo
                 out[0, lo:hi] = np.bincount(row, minlength=n)
                 out[1, lo:hi] = np.bincount(row, count > 0, n)
                 out[2, lo:hi] = np.bincount(row, np.log10((count + 0.1) / (model.n + 0.1 * (model.v + 1))), n)
-                follow = _stat(model, "follows", w)
-                p = np.full(len(w), 1 / (model.v + 1))
-                if m["pairs"]:
-                    p = np.maximum(follow - low[np.minimum(follow, 3).astype(np.int64)], 0) / m["pairs"] + m["low_gamma"] * p
-                known = v >= 0
-                total = _stat(model, "totals", v)
-                seen = known & (total > 0)
-                c = np.zeros(len(w))
-                both = np.flatnonzero(seen & (w >= 0))
-                c[both] = _pair_counts(model, v[both], w[both], count_v[both], base)
-                upper = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / np.maximum(total, 1) + _stat(model, "gammas", v) * p
-                out[3, lo:hi] = np.bincount(row, np.log10(np.where(seen, upper, p)), n)
+                out[3, lo:hi] = np.bincount(row, _log10(model, u, v, w, count_v), n)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)),
                  pa.array(np.full(batch.num_rows, model.n, np.int64)), pa.array(out[2]), pa.array(out[3])],
@@ -297,39 +546,6 @@ def _scorer(meta):
     return score
 
 
-def _stat(model: Model, name: str, ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids))
-    shards, step = model.m["stat_shards"], model.m["step"]
-    u, back = np.unique(ids, return_inverse=True)
-    value = np.zeros(len(u))
-    edges = np.searchsorted(u, np.arange(shards + 1) * step)
-    for s in range(shards):
-        a, b = edges[s], edges[s + 1]
-        if a < b:
-            values = model.array(name, s, np.float64)
-            if len(values):
-                value[a:b] = values[u[a:b] - s * step]
-    out[:] = value[back]
-    return out
-
-
-def _pair_counts(model: Model, v, w, count_v, base) -> np.ndarray:
-    key = v.astype(np.uint64) * base + w.astype(np.uint64)
-    u, at, back = np.unique(key, return_index=True, return_inverse=True)
-    shard = model.shard_of(v[at], w[at], count_v[at])
-    value = np.zeros(len(u))
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(model.shards + 1))
-    for k in range(model.shards):
-        own = order[edges[k] : edges[k + 1]]
-        pairs = model.array("pairs", k, np.uint64) if len(own) else ()
-        if len(pairs):
-            place = np.minimum(np.searchsorted(pairs, u[own]), len(pairs) - 1)
-            hit = pairs[place] == u[own]
-            value[own[hit]] = model.array("pair-counts", k, np.uint32)[place[hit]]
-    return value[back]
-
-
 def lm_scores(train: DataFrame, docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep's columns of docs, then n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -342,27 +558,24 @@ def lm_scores(train: DataFrame, docs: DataFrame, keep: list[str]) -> DataFrame:
     train = train.select(text)
     shards = min(65_536, 1 << max(4, (2 * train.rdd.getNumPartitions() - 1).bit_length()))
     folder = S.table_path(spark, "ngrams")
-    words = train.mapInArrow(_word_counter(shards), _BLOBS).groupBy("shard").applyInArrow(_word_writer(folder), "shard int, v long, n long")
+    words = S.stored(train.mapInArrow(_word_counter(shards), _BLOBS).groupBy("shard").applyInArrow(_word_writer(folder), "shard int, v long, n long"), "words")
     sizes = {r["shard"]: r for r in words.collect()}  # one row per shard
     vs = [sizes[k]["v"] if k in sizes else 0 for k in range(shards)]
     v, n = sum(vs), sum(r["n"] for r in sizes.values())
-    if (v + 1) ** 2 >= 2**64:
-        raise ValueError(f"{v} different words: bigram keys of 64 bits hold 4294967294")
-    meta = {"folder": folder, "shards": shards, "v": v, "n": n, "offsets": [int(x) for x in np.cumsum([0, *vs[:-1]])]}
-    stat_shards = shards
+    meta = {"folder": folder, "shards": shards, "v": v, "n": n, "offsets": [int(x) for x in np.cumsum([0, *vs[:-1]])], "step": -(-(v + 1) // shards)}
     share = spark.sparkContext.broadcast(meta)
-    counted = train.mapInArrow(_pair_counter(share), _BLOBS)
-    kind = "shard int, context binary, context_wide binary, follow binary, n1 long, n2 long, n3 long, n4 long, pairs long"
-    partial = S.stored(counted.groupBy("shard").applyInArrow(_pair_writer(share, stat_shards), kind), "bigram-stats")
-    r = partial.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "pairs"))).collect()[0]
-    d = discounts(r["n1"], r["n2"], r["n3"], r["n4"])
-    kind = "shard int, n1 long, n2 long, n3 long, n4 long, more long"
-    stats = partial.groupBy("shard").applyInArrow(_stat_writer(share, stat_shards, d), kind)
-    t = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more"))).collect()[0]
-    low = discounts(t["n1"], t["n2"], t["n3"], t["n4"])
-    pairs = r["pairs"]
-    gamma = (low[0] * t["n1"] + low[1] * t["n2"] + low[2] * t["more"]) / pairs if pairs else 1.0
-    full = meta | {"d": d, "low": low, "low_gamma": gamma, "pairs": pairs, "stat_shards": stat_shards, "step": -(-(v + 1) // stat_shards), "keep": keep}
-    share = spark.sparkContext.broadcast(full)
+    grams = S.stored(train.mapInArrow(_gram_counter(share), _BLOBS).groupBy("shard").applyInArrow(_gram_writer(share), _PARTS), "grams")
+    split = S.stored(grams.where("kind in ('context', 'pair')").groupBy("shard").applyInArrow(_split_writer(share), _PARTS), "split")
+    parts = grams.union(split)
+    seen = {r["kind"]: r for r in parts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4"))).collect()}
+    d3, d2 = (discounts(*(seen[k][c] for c in ("n1", "n2", "n3", "n4"))) if k in seen else discounts(0, 0, 0, 0) for k in ("grams", "pairs"))
+    pairs = seen["pairs"]["n"] if "pairs" in seen else 0
+    kind = "n1 long, n2 long, n3 long, n4 long, more long"
+    stats = parts.where("kind in ('first', 'second')").groupBy("shard").applyInArrow(_stat_writer(share, d2), kind)
+    t = S.stored(stats, "stats").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more"))).collect()[0]
+    S.discard(words, grams, split)
+    d1 = discounts(t["n1"], t["n2"], t["n3"], t["n4"])
+    gamma = (d1[0] * t["n1"] + d1[1] * t["n2"] + d1[2] * t["more"]) / pairs if pairs else 1.0
+    share = spark.sparkContext.broadcast(meta | {"d1": d1, "d2": d2, "d3": d3, "gamma1": gamma, "pairs": pairs, "keep": keep})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep, text).mapInArrow(_scorer(share), kinds + ", n_tokens long, n_known long, train_tokens long, base_score double, score double")
