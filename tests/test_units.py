@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
-from timeloom.operators import defender, filters, findings, graph, integrity, ioc, sequences, textindex
+from timeloom.operators import defender, filters, findings, graph, integrity, ioc, sequences, summaries, textindex
 
 
 def one(spark, value, column):
@@ -63,9 +63,9 @@ def test_no_rows_beyond_a_limit_are_dropped(spark):
 
     n = 300_001
     hour = F.date_format(F.timestamp_seconds(F.col("id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    names = ["event_action", "process_name", "message_full", "attributes_json", "artifact_type", "host", "user_name", "message_short"]
+    names = ["event_action", "process_name", "message_full", "attributes_json", "artifact_type", "host", "user_name", "message_short", "file_path", "ip", "url", "hash", "source_file_id", "parser_name"]
     rows = spark.range(n).select(F.col("id").cast("string").alias("event_id"), hour.alias("event_time_utc"), F.lit("high").alias("severity"), *[F.lit("powershell").alias(c) for c in names])
-    assert filters.detection_candidates(rows).count() == n and filters.detection_candidates(rows, 5).count() == 5
+    assert summaries.detection_candidates(rows).count() == n and summaries.detection_candidates(rows, 5).count() == 5
     assert triage.export_rows(rows).count() == n
     assert {r["truncated"] for r in triage.export_rows(rows, 5).collect()} == {True}
     assert {r["truncated"] for r in triage.export_rows(rows.limit(5), 5).collect()} == {False}
@@ -187,3 +187,33 @@ def test_streams_equal_batch(spark, tmp_path):
     batch = findings.sigma_eval(fixture.event_rows(spark, "/root/testdata/sf0.001"))
     ids = lambda df: sorted(r[0] for r in df.select("finding_id").collect())
     assert ids(spark.table("sigma")) == ids(batch)
+
+
+def test_quick_filters_of_each_type(spark):
+    """Paths match with either slash, patterns and processes as given, nulls match nothing; unknown types have the common presets."""
+    rows = [
+        ("amcache", r"C:\\Users\\a\\x.txt", "CMD.exe", "info", "setup aabbccddeeff00112233445566778899", False), ("srum", None, "curl.exe", "info", "to 10.1.2.3", False),
+        ("text_observation", None, "mshta.exe", "info", "failed: run x.bat from http://a", False), ("other", None, None, "high", "", True), ("prefetch", None, None, None, None, True),
+    ]
+    er = spark.createDataFrame(rows, "artifact_type string, file_path string, process_name string, severity string, search_text string, has_finding boolean")
+    assert {(r["artifact_type"], r["preset"]) for r in summaries.quick_filter_counts(er).collect()} == {
+        ("amcache", "amcache-user-program"), ("amcache", "amcache-lolbin"), ("amcache", "amcache-hash-present"), ("amcache", "amcache-installer-updater"), ("srum", "srum-network"), ("srum", "srum-browser"),
+        ("text_observation", "text-errors"), ("text_observation", "text-network"), ("text_observation", "text-exec"), ("text_observation", "text-transfer"),
+        ("other", "artifact-finding"), ("other", "artifact-high"), ("prefetch", "pf-finding"),
+    }
+
+
+def test_summaries_of_parts_and_of_groups(spark):
+    parts = spark.createDataFrame([("a", "ip", "1", 2, "t1", "t2"), ("a", "ip", "1", 3, "t0", "t1"), ("b", "ip", "2", 9, "t0", "t9")], "entity_id string, type string, canonical string, events long, first_seen string, last_seen string")
+    assert [tuple(r) for r in summaries.entity_summary(parts).select("entity_id", "events", "first_seen", "last_seen").collect()] == [("b", 9, "t0", "t9"), ("a", 5, "t0", "t2")]
+    assert summaries.entity_summary(parts, 1).count() == 1 and summaries.entity_summary(parts.limit(0)).count() == 0
+    found = spark.createDataFrame([("r", "t", "2024-01-01T05:10:00Z", []), ("r", "t", "2024-01-01T09:00:00Z", []), ("s", "t", "2024-01-01T05:00:00Z", ["mitre", "x"]), ("n", "t", None, ["x"])], "rule_id string, title string, event_time_utc string, tactics array<string>")
+    assert {tuple(r)[:3] for r in summaries.attack_heatmap(found).collect()} == {("none", "05", 2), ("x", "05", 1)}
+    rows = [("medium", "mft", "quiet", False), ("medium", "mft", "lsass_read", False), ("info", "evtx", "  ", True), ("high", "evtx", "plain", False), ("low", "evtx", "mimikatz", False)]
+    er = spark.createDataFrame([("c", "2024", "m", *r) for r in rows], "case_id string, event_time_utc string, message_short string, severity string, artifact_type string, event_action string, has_finding boolean")
+    er = er.withColumns({c: F.lit(None).cast("string") for c in summaries.ROW_TEXT if c not in er.columns})
+    got = {r["title"]: (r["rule_id"], r["attack_json"]) for r in summaries.finding_fallback_summary(er).collect()}
+    assert got == {
+        "lsass_read (mft)": ('event_row:["medium","mft","lsass_read"]', '["T1003 Credential Access","T1070 Indicator Removal"]'),
+        "suspicious_event (evtx)": ('event_row:["info","evtx","  "]', '["event_rows:fallback"]'), "plain (evtx)": ('event_row:["high","evtx","plain"]', '["event_rows:fallback"]'),
+    }

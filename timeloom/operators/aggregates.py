@@ -95,7 +95,7 @@ def file_op_timeline(er: DataFrame) -> DataFrame:
 
 
 _g = query
-_g("case_summary", "SELECT (SELECT count(*) FROM er) AS events, (SELECT count(DISTINCT source_file_id) FROM er) AS sources, (SELECT count(DISTINCT host) FROM er) AS hosts, (SELECT count(*) FROM er WHERE severity IN ('critical', 'high')) AS high")(
+_g("case_totals", "SELECT (SELECT count(*) FROM er) AS events, (SELECT count(DISTINCT source_file_id) FROM er) AS sources, (SELECT count(DISTINCT host) FROM er) AS hosts, (SELECT count(*) FROM er WHERE severity IN ('critical', 'high')) AS high")(
     lambda er: er.agg(F.count("*").alias("events"), F.countDistinct("source_file_id").alias("sources"), F.countDistinct("host").alias("hosts"), F.count_if(F.col("severity").isin("critical", "high")).alias("high"))
 )
 _g("coverage_build", "SELECT artifact_type, count(*) AS files, count(*) FILTER (parser_status = 'parsed') AS parsed, count(*) FILTER (parser_status = 'failed') AS failed, count(*) FILTER (parser_status = 'unsupported') AS unsupported, CAST(sum(event_count) AS BIGINT) AS events FROM files GROUP BY 1", over="files")(coverage)

@@ -96,11 +96,9 @@ def suspicious() -> Column:
     return F.col("severity").isin("critical", "high") | ((F.col("severity") == "medium") & F.col("search_text").rlike(SUSPICIOUS))
 
 
-def detection_candidates(ef: DataFrame, limit: int | None = None) -> DataFrame:
-    """All candidates in time order, or the oldest of them up to a limit."""
-    text = F.lower(F.concat_ws(" ", "event_action", "process_name", "message_full", "attributes_json"))
-    found = ef.where(text.rlike(SUSPICIOUS)).orderBy("event_time_utc", "event_id")
-    return found if limit is None else found.limit(limit)
+def suspicious_words(ef: DataFrame) -> DataFrame:
+    """Events with a word of interest in action, process, message or attributes."""
+    return ef.where(F.lower(F.concat_ws(" ", "event_action", "process_name", "message_full", "attributes_json")).rlike(SUSPICIOUS))
 
 
 def saved_search_visibility(searches: DataFrame, viewer: str | None) -> DataFrame:
@@ -149,8 +147,8 @@ _filter("defender_filter", defender, "contains(lower(concat_ws('|', artifact_typ
 _filter("ioc_event_filter", lambda: (F.lower("ip") == "10.0.0.3") | (F.lower("process_name") == "evil1.exe"), "lower(ip) = '10.0.0.3' OR lower(process_name) = 'evil1.exe'")
 _filter("chain_key_filter", lambda: chain_key("file_basename", "evil2.exe"), "regexp_replace(lower(coalesce(file_path, process_name)), '^.*[\\\\/]', '') = 'evil2.exe'")
 _filter("suspicious_row_filter", suspicious, f"severity IN ('critical', 'high') OR (severity = 'medium' AND regexp_matches(search_text, '{SUSPICIOUS}'))")
-_filter("artifact_quick_filters", lambda: (F.col("artifact_type") == "usn_jrnl") & PRESETS["usn_jrnl"]["scripts"](),
+_filter("usn_script_filter", lambda: (F.col("artifact_type") == "usn_jrnl") & PRESETS["usn_jrnl"]["scripts"](),
         "artifact_type = 'usn_jrnl' AND regexp_matches(lower(concat_ws(' ', file_path, process_name, message_short)), '\\.(ps1|js)($|[^[:alnum:]_])')")
-query("detection_candidate_filter", f"SELECT event_id FROM ef WHERE regexp_matches(lower(concat_ws(' ', event_action, process_name, message_full, attributes_json)), '{SUSPICIOUS}') ORDER BY event_time_utc, event_id LIMIT 300000", over="ef")(
-    lambda ef: detection_candidates(ef).select("event_id")
+query("suspicious_word_filter", f"SELECT event_id FROM ef WHERE regexp_matches(lower(concat_ws(' ', event_action, process_name, message_full, attributes_json)), '{SUSPICIOUS}')", over="ef")(
+    lambda ef: suspicious_words(ef).select("event_id")
 )

@@ -381,7 +381,7 @@ _F("findings_by_severity", " SELECT severity, count(*) AS findings FROM findings
 _F("next_action", " SELECT DISTINCT rule_id, CASE WHEN list_contains(tactics, 'credential_access') THEN 'reset credentials' WHEN list_contains(tactics, 'persistence') THEN 'remove persistence' WHEN list_contains(tactics, 'command_and_control') THEN 'block traffic' WHEN list_contains(tactics, 'defense_evasion') THEN 'collect logs' ELSE 'review' END AS action FROM findings")(
     lambda er: sigma_eval(er).select("rule_id", next_action(F.col("tactics")).alias("action")).distinct()
 )
-_F("attack_heatmap", " SELECT tactic, substr(event_time_utc, 12, 2) AS hour, count(*) AS findings FROM (SELECT *, unnest(tactics) AS tactic FROM findings) GROUP BY 1, 2")(
+_F("tactic_hours", " SELECT tactic, substr(event_time_utc, 12, 2) AS hour, count(*) AS findings FROM (SELECT *, unnest(tactics) AS tactic FROM findings) GROUP BY 1, 2")(
     lambda er: sigma_eval(er).select(F.explode("tactics").alias("tactic"), F.substring("event_time_utc", 12, 2).alias("hour")).groupBy("tactic", "hour").agg(F.count("*").alias("findings"))
 )
-_F("finding_fallback_summary", f" SELECT event_action, {MAX_SQL} AS severity, count(*) AS events FROM er WHERE severity IN ('critical', 'high') GROUP BY 1")(lambda er: er.where("severity IN ('critical', 'high')").groupBy("event_action").agg(severity_max("severity").alias("severity"), F.count("*").alias("events")))
+_F("suspicious_actions", f" SELECT event_action, {MAX_SQL} AS severity, count(*) AS events FROM er WHERE severity IN ('critical', 'high') GROUP BY 1")(lambda er: er.where("severity IN ('critical', 'high')").groupBy("event_action").agg(severity_max("severity").alias("severity"), F.count("*").alias("events")))

@@ -63,7 +63,7 @@ def subgraph(edges: DataFrame, start: str, hops: int = 2, budget: int = 500) ->
 _ENT = " UNION ALL ".join(f"SELECT event_id, event_time_utc, '{k}' AS type, lower(trim({c})) AS canonical FROM er WHERE {c} NOT IN ('', '-')" for k, c in ENTITIES.items())
 _ENTITIES = f"SELECT type, canonical, sha256(type || '|' || canonical) AS entity_id, count(*) AS events, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen FROM x GROUP BY 1, 2"
 query("extract_entities", f", x AS ({_ENT}) {_ENTITIES}")(extract_entities)
-query("entity_summary", f", x AS ({_ENT}), s AS ({_ENTITIES}) SELECT type, count(*) AS entities, CAST(sum(events) AS BIGINT) AS events FROM s GROUP BY 1")(
+query("entity_types", f", x AS ({_ENT}), s AS ({_ENTITIES}) SELECT type, count(*) AS entities, CAST(sum(events) AS BIGINT) AS events FROM s GROUP BY 1")(
     lambda er: extract_entities(er).groupBy("type").agg(F.count("*").alias("entities"), F.sum("events").alias("events"))
 )
 _E = " UNION ALL ".join(f"SELECT event_id, '{k}' AS kind, lower(trim({ENTITIES[a]})) AS src, lower(trim({ENTITIES[b]})) AS dst FROM er WHERE {ENTITIES[a]} NOT IN ('', '-') AND {ENTITIES[b]} NOT IN ('', '-')" for k, (a, b) in EDGES.items())

@@ -119,7 +119,7 @@ query("process_tree_edges", _EDGE)(process_tree_edges)
 query("process_icicle", f", e AS ({_EDGE}), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY parent) AS BIGINT) AS total FROM e), d AS (SELECT *, dense_rank() OVER (ORDER BY total DESC, parent) AS k FROM t) SELECT parent, child, n, total FROM d WHERE k <= 8")(process_icicle)
 _INST = """SELECT 'guid:' || process_guid AS key, event_time_utc, event_id, process_name, command_line, severity, 'guid:' || parent_process_guid AS parent_key, host, user_name FROM
  (SELECT *, row_number() OVER (PARTITION BY process_guid ORDER BY event_time_utc, event_id) AS k FROM er WHERE event_action = 'process_created') WHERE k = 1"""
-query("process_instances", _INST)(process_instances)
+query("process_nodes", _INST)(process_instances)
 query("process_forest", f""", n AS ({_INST}), t AS (SELECT key, parent_key FROM n),
  w AS (WITH RECURSIVE r AS (SELECT key, key AS root, 0 AS depth FROM t WHERE parent_key IS NULL OR parent_key NOT IN (SELECT key FROM t)
   UNION ALL SELECT t.key, r.root, r.depth + 1 FROM t JOIN r ON t.parent_key = r.key WHERE r.depth < 128) SELECT * FROM r) SELECT key, root, depth FROM w""")(lambda er: process_forest(process_instances(er)))
