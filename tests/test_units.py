@@ -171,8 +171,23 @@ def test_index_sync(spark):
 
 
 def test_subgraph_keeps_the_budget(spark):
-    edges = spark.createDataFrame([("k", "a", f"b{i}", 1) for i in range(20)], "kind string, src string, dst string, events int")
-    assert graph.subgraph(edges, "a", budget=7).count() == 7
+    edges = spark.createDataFrame([("k", "a", f"b{i}", 1, f"2024-01-{i + 10}") for i in range(20)], "kind string, src string, dst string, events int, last_seen string")
+    assert {r["dst"] for r in graph.subgraph(edges, "a", budget=7).collect()} == {f"b{i}" for i in range(13, 20)}
+
+
+def test_edges_of_parts_are_united(spark):
+    """Evidence ids that two parts share count once; at most 50 stay; empty tables give none."""
+    ids = [f"e{i:03}" for i in range(60)]
+    parts = spark.createDataFrame(
+        [("k", "a", "b", 3, "t1", "t2", "e2,e1,e3"), ("k", "a", "b", 2, "t0", "t1", "e3,e4"), ("k", "a", "c", 60, "t0", "t1", ",".join(ids)), ("k", "a", "c", 1, "t0", "t9", "e000")],
+        "kind string, src string, dst string, events long, first_seen string, last_seen string, evidence string",
+    )
+    got = {r["dst"]: tuple(r)[3:] for r in graph.compact_edges(parts).collect()}
+    assert got == {"b": (5, "t0", "t2", "e1,e2,e3,e4"), "c": (61, "t0", "t9", ",".join(ids[:50]))}
+    assert graph.compact_edges(parts.limit(0)).count() == 0
+    columns = ["event_id", "event_time_utc", *graph.ENTITIES.values()]
+    er = spark.createDataFrame([("e1", "t1", "H", None, "P.exe", None, " ", "http://U", None), ("e2", None, None, None, "p.exe", None, None, "http://u ", None)], ", ".join(f"{c} string" for c in columns))
+    assert [tuple(r) for r in graph.extract_edges(er).select(*graph.EDGE, "events", "first_seen", "evidence").collect()] == [("event_mentions_entity", "p.exe", "http://u", 2, "t1", "e1,e2")]
 
 
 def test_streams_equal_batch(spark, tmp_path):
