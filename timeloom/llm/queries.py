@@ -12,6 +12,7 @@ from timeloom.llm.language_id import language_id
 from timeloom.llm.ngram_join import ngram_join
 from timeloom.llm.ngram_lm import lm_scores
 from timeloom.llm.packing import pack
+from timeloom.llm.resampling import resample
 from timeloom.llm.suffix_dedup import suffix_dedup
 from timeloom.llm.toxicity import toxicity
 from timeloom.llm.url_filter import url_filter
@@ -132,6 +133,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents against the benchmark's texts, and the tenth of them that is drawn."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+
+
 OP8_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -159,6 +165,27 @@ kept AS (
 SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+#: CRC-32 of a word: its bytes folded over a table that is made from the polynomial
+OP13_SQL = r"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+texts AS (SELECT 's' AS kind, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+words AS (SELECT kind, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM texts),
+bytes AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+keyed AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) % 10000 AS k FROM bytes, crc),
+counts AS (SELECT k, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM words JOIN keyed USING (w) GROUP BY 1),
+sums AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM counts),
+gains AS (SELECT k, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS g FROM counts, sums),
+means AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM words JOIN keyed USING (w) JOIN gains USING (k) WHERE kind = 's' GROUP BY 1),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN means USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS most FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -170,12 +197,14 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op8_embedding_near_dedup": OP8_SQL,
     "op10_suffix_array_dedup": OP10_SQL,
+    "op13_importance_resampling": OP13_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op6_url_filter": OP6_SQL,
 }

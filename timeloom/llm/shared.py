@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.sources.storage import discard, shared_dir, stored, table_path  # noqa: F401
@@ -119,6 +119,19 @@ def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> list[np
     return out
 
 
+# ---------------------------------------------------------------- ranks over all rows
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in the given order, from 1, as column `name`: sorted in ranges, each counted from where those before it end."""
+    kept = df.columns
+    ranged = df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_range"))
+    parts = stored(ranged, "ranges")
+    before = parts.groupBy("_range").agg(F.count("*").alias("n")).selectExpr("_range", "sum(n) over (order by _range) - n AS before")  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return parts.withColumn("_place", place).join(before, "_range").select(*kept, (F.col("before") + F.col("_place")).alias(name))
+
+
 # ---------------------------------------------------------------- connected components
 
 
