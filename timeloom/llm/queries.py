@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timeloom.llm.decontamination import contaminated
 from timeloom.llm.embedding_dedup import embedding_dedup
+from timeloom.llm.hard_negatives import hard_negatives
 from timeloom.llm.html_text import html_text
 from timeloom.llm.language_id import language_id
 from timeloom.llm.ngram_join import ngram_join
@@ -133,6 +134,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive over all rows; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, scale=256, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents against the benchmark's texts, and the tenth of them that is drawn."""
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024, percent=10, least_words=20)
@@ -165,6 +172,19 @@ kept AS (
 SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
 #: CRC-32 of a word: its bytes folded over a table that is made from the polynomial
 OP13_SQL = r"""
 WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
@@ -197,6 +217,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -204,6 +225,7 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op8_embedding_near_dedup": OP8_SQL,
     "op10_suffix_array_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op13_importance_resampling": OP13_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op6_url_filter": OP6_SQL,
