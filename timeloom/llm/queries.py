@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timeloom.llm.decontamination import contaminated
 from timeloom.llm.embedding_dedup import embedding_dedup
+from timeloom.llm.fingerprints import document_fingerprints, near_copies
 from timeloom.llm.hard_negatives import hard_negatives
 from timeloom.llm.html_text import html_text
 from timeloom.llm.language_id import language_id
@@ -14,6 +15,7 @@ from timeloom.llm.ngram_join import ngram_join
 from timeloom.llm.ngram_lm import lm_scores
 from timeloom.llm.packing import pack
 from timeloom.llm.resampling import resample
+from timeloom.llm.shared import stored
 from timeloom.llm.suffix_dedup import suffix_dedup
 from timeloom.llm.toxicity import toxicity
 from timeloom.llm.url_filter import url_filter
@@ -140,6 +142,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, scale=256, positives=5, negatives=10, low=30, high=90)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and the components of near copies that their bands find."""
+    prints = stored(document_fingerprints(_table(spark, sf_dir, "documents")), "prints")
+    component = near_copies(prints).distinct()
+    return prints.join(component, "doc_id", "left")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents against the benchmark's texts, and the tenth of them that is drawn."""
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024, percent=10, least_words=20)
@@ -218,6 +227,7 @@ QUERIES = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
