@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timeloom.llm.decontamination import contaminated
 from timeloom.llm.embedding_dedup import embedding_dedup
-from timeloom.llm.fingerprints import document_fingerprints, near_copies
+from timeloom.llm.fingerprints import document_fingerprints
 from timeloom.llm.hard_negatives import hard_negatives
 from timeloom.llm.html_text import html_text
 from timeloom.llm.language_id import language_id
@@ -15,7 +15,6 @@ from timeloom.llm.ngram_join import ngram_join
 from timeloom.llm.ngram_lm import lm_scores
 from timeloom.llm.packing import pack
 from timeloom.llm.resampling import resample
-from timeloom.llm.shared import stored
 from timeloom.llm.suffix_dedup import suffix_dedup
 from timeloom.llm.toxicity import toxicity
 from timeloom.llm.url_filter import url_filter
@@ -143,10 +142,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and their edited texts, and the components of near copies that their bands find."""
-    prints = stored(document_fingerprints(_table(spark, sf_dir, "documents")), "prints")
-    component = near_copies(prints).distinct()
-    return prints.join(component, "doc_id", "left")
+    """Fingerprints of all documents and of their edited texts, and how alike they and the next documents' are."""
+    return document_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
