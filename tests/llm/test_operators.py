@@ -304,10 +304,10 @@ def test_language_fusion_against_plain_sums(spark):
     rows += [rows[7], rows[7], (100, "http://d.com", "<p>" + text("en", 20_000) + "</p>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang string")
     names, model = L.fit(labelled)
-    p = L.text_posteriors(__import__("pyarrow").array([L._DROP.sub(" ", h or "") for _, _, h, _ in rows]), model)
+    p = L.text_posteriors(__import__("pyarrow").array([L.plain(h or "") for _, _, h, _ in rows]), model)
     host = [(re.search(r"://([^/?#]*)", u)[1] if u else "") for _, u, _, _ in rows]
     suffix = [h.split(".")[-1] for h in host]
-    said = [(lambda m: None if not m else m[1].lower() if m[1].lower() in names else "other")(L._DECLARED.search(h or "")) for _, _, h, _ in rows]
+    said = [(lambda d: d if d is None or d in names else "other")(L.declared(h or "")) for _, _, h, _ in rows]
     world = p.sum(0) / p.sum()
     values = sorted({s for s in said if s})
     total = {v: sum((p[k] for k in range(len(rows)) if said[k] == v), np.zeros(len(names))) for v in values}

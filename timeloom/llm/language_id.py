@@ -25,8 +25,49 @@ GRAMS = (1, 2, 3, 4)
 EVIDENCE = 60  # so many independent grams at most does a text count for: grams of one text depend on each other
 STRENGTH = 4.0  # pages' worth of the wider prior in a narrower one
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|head|template|noscript)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+MOST_LANGUAGES = 200  # languages that are modelled, those with the most labelled documents: a model of one takes 256 kB of the driver
+
+_OPEN = re.compile(r"(?i)<(?:!--|(script|style|head|template|noscript)\b)?")
+_END = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "head", "template", "noscript")}
+_ENTITY = re.compile(r"&[#\w]+;")
+_HTML_TAG = re.compile(r"(?i)<html\b[^>]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+
+
+def plain(html: str) -> str:
+    """Text without comments, elements that show nothing, tags and entities, a space for each, in one pass.
+
+    What is opened and never closed is read as a tag, a `<` without `>` behind it as text. An end that was looked for in vain
+    is not looked for again, so the pass is linear.
+    """
+    out, at, missing = [], 0, set()
+    while (m := _OPEN.search(html, at)) and ">" not in missing:
+        end, name = -1, "-->" if m[0] == "<!--" else (m[1] or "").lower()
+        if name and name not in missing:
+            if name == "-->":
+                found = html.find(name, m.end())
+                end = found + 3 if found >= 0 else -1
+            elif close := _END[name].search(html, m.end()):
+                end = close.end()
+            if end < 0:
+                missing.add(name)
+        if end < 0:
+            end = html.find(">", m.start()) + 1
+            if not end:
+                missing.add(">")
+                break
+        out += [html[at : m.start()], " "]
+        at = end
+    out.append(html[at:])
+    return _ENTITY.sub(" ", "".join(out))
+
+
+def declared(html: str) -> str | None:
+    """Language that the first <html> tag with one declares."""
+    for tag in _HTML_TAG.finditer(html):
+        if m := _LANG.search(tag[0]):
+            return m[1].lower()
+    return None
 
 
 def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +133,10 @@ def _reader(shared):
         model, names = shared.value
         for batch in batches:
             html = batch.column("html").to_pylist()
-            declared = [m[1].lower() if (m := _DECLARED.search(h or "")) else None for h in html]
-            p = text_posteriors(pa.array([_DROP.sub(" ", h or "") for h in html], pa.string()), model)
+            said = [declared(h or "") for h in html]
+            p = text_posteriors(pa.array([plain(h or "") for h in html], pa.string()), model)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("host"), pa.array([d if d is None or d in names else "other" for d in declared], pa.string()),
+                [batch.column("page_id"), batch.column("host"), pa.array([d if d is None or d in names else "other" for d in said], pa.string()),
                  pa.array(list(p), pa.list_(pa.float64()))],
                 ["page_id", "host", "declared", "p"],
             )
@@ -118,15 +159,18 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     docs (doc_id, text, lang) are the labelled texts. Pages without html or url keep the evidence that is there: an
     empty text is equally likely in all languages, no `://` gives an empty host. A declared language that no labelled
-    text has counts as `other`. Ties: the language that comes first by name. Without labelled texts lang is null.
+    text has counts as `other`; beyond the `MOST_LANGUAGES` most frequent languages none is modelled. Ties: the language that comes first by name. Without labelled texts lang is null.
     Repeated pages are judged each, an empty table gives an empty result, other columns are ignored.
     """
     spark = pages.sparkSession
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"))
+    modelled = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()]
+    labelled = labelled.where(F.col("lang").isin(modelled))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     least = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= SAMPLE)
     ids = least(least(labelled.withColumn("part", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(32))), "lang", "part"), "lang").select("doc_id").distinct()
-    names, model = fit(docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi"))
+    texts = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    names, model = fit(texts.where(F.col("lang").isin(modelled)).join(F.broadcast(ids), "doc_id", "left_semi"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1)).alias("host")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host, F.col("html").cast("string").alias("html"))
     if not names:

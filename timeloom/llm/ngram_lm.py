@@ -241,9 +241,10 @@ class Model:
         """Ids (-1: unknown) and training counts."""
         u, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
-        edges = np.searchsorted(_top(u, self.shards), np.arange(self.shards + 1))
-        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            a, b = edges[k], edges[k + 1]
+        shard = _top(u, self.shards)
+        first = _groups(shard)
+        for a, b in zip(first.tolist(), np.r_[first[1:], len(u)].tolist(), strict=True):
+            k = int(shard[a])
             found = self.sections("words", k)
             if found:
                 at = np.minimum(np.searchsorted(found[0], u[a:b]), len(found[0]) - 1)
@@ -278,21 +279,25 @@ class Model:
 
     def look(self, name: str, place: int, columns: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """A table's columns at the keys; zeros where a key is absent."""
-        u, back = np.unique((shard.astype(np.uint64) << U64(48)) | (keys >> U64(16)), return_inverse=True)
-        out = np.zeros((columns, len(u)), np.int64)
-        edges = np.searchsorted(u >> U64(48), np.arange(self.shards + 1))
-        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            found = self.sections(name, k)
-            if not found:
-                continue
-            a, own = edges[k], u[edges[k] : edges[k + 1]] & U64(2**48 - 1)
-            one_high, one_low, high, low, *values = found[place : place + 4 + columns]
-            which, _ = _find(one_high, one_low, own)
-            out[: min(columns, 2), a + which] = 1
-            which, at = _find(high, low, own)
-            for j, x in enumerate(values):
-                out[j, a + which] = x[at]
-        return out[:, back]
+        result = np.zeros((columns, len(keys)), np.int64)
+        for base in range(0, self.shards, 1 << 16):  # a number of a shard and a key share 64 bits
+            rows = np.flatnonzero((shard >= base) & (shard < base + (1 << 16))) if self.shards > 1 << 16 else slice(None)
+            u, back = np.unique(((shard[rows] - base).astype(np.uint64) << U64(48)) | (keys[rows] >> U64(16)), return_inverse=True)
+            out = np.zeros((columns, len(u)), np.int64)
+            first = _groups(u >> U64(48))
+            for a, b in zip(first.tolist(), np.r_[first[1:], len(u)].tolist(), strict=True):
+                found = self.sections(name, base + int(u[a] >> U64(48)))
+                if not found:
+                    continue
+                own = u[a:b] & U64(2**48 - 1)
+                one_high, one_low, high, low, *values = found[place : place + 4 + columns]
+                which, _ = _find(one_high, one_low, own)
+                out[: min(columns, 2), a + which] = 1
+                which, at = _find(high, low, own)
+                for j, x in enumerate(values):
+                    out[j, a + which] = x[at]
+            result[:, rows] = out[:, back]
+        return result
 
     def grams(self, texts: pa.Array):
         """Per run of rows: first and end row, row of each token, ids (u, v, w; start: the vocabulary's size), counts of v and w."""
@@ -556,7 +561,7 @@ def lm_scores(train: DataFrame, docs: DataFrame, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     train = train.select(text)
-    shards = min(65_536, 1 << max(4, (2 * train.rdd.getNumPartitions() - 1).bit_length()))
+    shards = 1 << max(4, (2 * train.rdd.getNumPartitions() - 1).bit_length())
     folder = S.table_path(spark, "ngrams")
     words = S.stored(train.mapInArrow(_word_counter(shards), _BLOBS).groupBy("shard").applyInArrow(_word_writer(folder), "shard int, v long, n long"), "words")
     sizes = {r["shard"]: r for r in words.collect()}  # one row per shard

@@ -22,7 +22,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([not (chr(b).isalnum() or b == 95) for b in range(128)] + [False] * 128)
 LOWER = np.arange(256)
 LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)[LOWER]
+#: a random number for each byte at each of the first places of a word
+_PLACES = 64
+_AT = np.random.default_rng(20240607).integers(0, 2**64, (_PLACES, 256), dtype=np.uint64).ravel()
+_FAR = U64(0x632BE59BD9B4E019)
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 2**64))
 _powers: list[np.ndarray] = []
@@ -74,7 +77,10 @@ def pieces(column: pa.Array, most: int = 1 << 21):
 
 
 def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE, spans: bool = False) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of the words, by default `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased, and the row of each; spans: begin and end too."""
+    """64-bit hashes of the words, by default `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased, and the row of each; spans: begin and end too.
+
+    A hash is a sum of independent random numbers, one for each place and byte, so words differ in some term whatever their pattern.
+    """
     n = len(buf)
     if not n:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (3 if spans else 1))
@@ -87,12 +93,17 @@ def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE, spans: boo
     last = text.copy()
     last[:-1] &= ~text[1:] | edge[1:n]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _pow(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[buf] * power[:n], out=total[1:])
-    h = (total[b] - total[a]) * inverse[a]
-    h = mix(h + (b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    if not len(a):
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (3 if spans else 1))
+    size = b - a
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
+    low = LOWER[buf[text]].astype(np.int32)
+    value = _AT[np.minimum(place, _PLACES - 1) << 8 | low]
+    if int(size.max()) > _PLACES:  # beyond the table: a mixed number of place and byte
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = mix(mix(place[far].astype(np.uint64) + _FAR) + low[far].astype(np.uint64))
+    h = mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
     row = np.searchsorted(off, a, "right") - 1
     return (h, row, a, b) if spans else (h, row)
 

@@ -33,7 +33,6 @@ HOT = 50_000  # runs of one minimizer that a shard takes without splitting them
 RANGES = 7  # parts of the places that a gram may have in a window
 PIECE = 1 << 20  # bytes of text that a task hashes at once
 FLUSH = 12 << 20  # bytes of strings that a task holds before it sends them
-_RAW = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -254,8 +253,8 @@ def _sharer(folder: str, hot: int):
 
 
 def _digests(total: np.ndarray, power: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes from a to b."""
-    return S.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hashes of the bytes from a to b: of all their grams, which are mixed, so no pattern of bytes cancels out."""
+    return S.mix((total[b - GRAM + 1] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
 def _split(begin, end, f, grams, length: int, digest):
@@ -340,8 +339,8 @@ def _cutter(length: int, shards: int, folder: str, targets: int):
                 hot[order[hit]] = looked_up(arrays, "hot", f[order[hit]])
                 pick = np.sort(order[hit])
                 power, inverse = S.powers(len(buf))
-                total = np.zeros(len(buf) + 1, np.uint64)
-                np.cumsum(_RAW[buf] * power[: len(buf)], out=total[1:])
+                total = np.zeros(len(grams) + 1, np.uint64)
+                np.cumsum(grams * power[: len(grams)], out=total[1:])
                 digest = lambda a, b, t=total, p=power, i=inverse: _digests(t, p, i, a, b)
                 plain, much = pick[~hot[pick]], pick[hot[pick]]
                 a, b, r, key = begin[plain], end[plain], row[plain], f[plain]
