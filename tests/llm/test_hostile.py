@@ -172,7 +172,7 @@ def test_tree_is_that_of_climbing():
         ("<table><tr><th colspan=2>ab<th>c<tr><td>1<td>2<td>3</table>", "ab |   | c\n1  | 2 | 3"),
         ("<table><tr><td rowspan=2>long<td>x<tr><td>y</table>", "long | x\n     | y"),
         ("<table><tr><td colspan=900>a<td>b</table>", "a |  | b"),
-        ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes</table>", "| yes"),
+        ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes</table>", " | yes"),
     ],
 )
 def test_numbers_visibility_and_spans(html, text):

@@ -65,6 +65,12 @@ def _groups(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _spans(column: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end row of each run of equal values."""
+    first = _groups(column)
+    return zip(first.tolist(), np.r_[first, len(column)][1:].tolist(), strict=True)
+
+
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
 
@@ -242,8 +248,7 @@ class Model:
         u, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
         shard = _top(u, self.shards)
-        first = _groups(shard)
-        for a, b in zip(first.tolist(), np.r_[first[1:], len(u)].tolist(), strict=True):
+        for a, b in _spans(shard):
             k = int(shard[a])
             found = self.sections("words", k)
             if found:
@@ -284,8 +289,7 @@ class Model:
             rows = np.flatnonzero((shard >= base) & (shard < base + (1 << 16))) if self.shards > 1 << 16 else slice(None)
             u, back = np.unique(((shard[rows] - base).astype(np.uint64) << U64(48)) | (keys[rows] >> U64(16)), return_inverse=True)
             out = np.zeros((columns, len(u)), np.int64)
-            first = _groups(u >> U64(48))
-            for a, b in zip(first.tolist(), np.r_[first[1:], len(u)].tolist(), strict=True):
+            for a, b in _spans(u >> U64(48)):
                 found = self.sections(name, base + int(u[a] >> U64(48)))
                 if not found:
                     continue
