@@ -1,13 +1,22 @@
-"""Full-text search: postings as a DataFrame, BM25 by joins."""
+"""Full-text search: a stored index of postings in blocks, BM25 that reads the blocks which can matter."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import zlib
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.registry import query
+from timeloom.sources import fixture
+from timeloom.sources.storage import derived_folder, discard, stored
 
 K1, B = 1.2, 0.75
+BUCKETS = 64  # folders of terms
+BLOCK = 128  # postings of a block
+PART = 1 << 16  # documents of a part, about
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
@@ -16,24 +25,90 @@ def postings(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFr
     return terms.groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
 
-def _count(words: str, term: str):
-    return F.size(F.filter(words, lambda x: x == term))
-
-
-def search_ranked(docs: DataFrame, terms: list[str], limit: int = 50, offset: int = 0, doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """BM25 of a few terms; without a term all documents, each with score 0. Only documents' lengths and the matching terms' counts are computed: no index of the rest is built."""
+def words_of(body: str) -> Column:
+    return F.filter(F.split(F.lower(body), r"[^\p{Alnum}]+"), lambda t: t != "")
+
+
+def _impact(tf: Column, length: Column, avg: float) -> Column:
+    """What a posting adds to a score, without the term's idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
+def build_index(docs: DataFrame, folder: str, doc: str = "doc_id", body: str = "text", exact: tuple[str, ...] = ()) -> None:
+    """Writes an index of docs into a folder of the store; texts are split once.
+
+    `lengths` (doc, len), `stats` (n, avg), `terms` (bucket, term, df, cf, top) and `postings` (bucket, term, part, best, n, postings): blocks of up to `BLOCK` postings of
+    a term, those with the highest impact first, with the best impact of each block. Terms are dealt to folders by their CRC-32; within
+    one they are sorted by term and best impact, so a reader's filters on both skip row groups and pages. A term's postings are
+    gathered by parts of `PART` documents at most, so a word of all documents fills no group. exact: columns whose whole value is a
+    term of its own, `column=value`, which has no share in the length. Null bodies are empty; documents must have distinct ids.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(words_of(body), F.array().cast("array<string>")).alias("w"), *[F.concat(F.lit(f"{c}="), F.lower(c)).alias(f"x{k}") for k, c in enumerate(exact)])
+    rows = rows.select("doc", F.size("w").alias("len"), F.concat("w", F.array_compact(F.array(*[f"x{k}" for k in range(len(exact))]).cast("array<string>"))).alias("w"))
+    held = stored(rows, "tokens")
+    held.select("doc", "len").write.parquet(f"{folder}/lengths")
+    held.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg")).write.parquet(f"{folder}/stats")
+    n, avg = spark.read.parquet(f"{folder}/stats").collect()[0]
+    counted = stored(held.select("doc", "len", F.explode("w").alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf")), "counted")
+    discard(held)
+    impact = _impact(F.col("tf"), F.col("len"), avg or 1.0)
+    bucket = (F.crc32("term") % BUCKETS).cast("int").alias("bucket")
+    counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(impact).alias("top")).select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    parts = counted.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(-(-n // PART) or 1)))
+    lists = parts.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct((-impact).alias("low"), "doc", "tf", "len"))).alias("p"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda k: F.slice("p", k * BLOCK + 1, BLOCK))
+    blocks = lists.select("term", "part", bucket, F.explode(cut).alias("p"))
+    blocks = blocks.select("bucket", "term", "part", (-F.col("p")[0]["low"]).alias("best"), F.size("p").alias("n"), F.transform("p", lambda x: F.struct(x["doc"].alias("doc"), x["tf"].alias("tf"), x["len"].alias("len"))).alias("postings"))
+    blocks.repartition("bucket", F.pmod(F.xxhash64("term", "best"), F.lit(4))).sortWithinPartitions("bucket", "term", F.desc("best")).write.option("parquet.block.size", 1 << 22).partitionBy("bucket").parquet(f"{folder}/postings")
+    discard(counted)
+
+
+def _pruned(spark: SparkSession, folder: str, table: str, terms: list[str]) -> DataFrame:
+    """Rows of the terms; only their buckets' files are listed and read."""
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+    return spark.read.parquet(f"{folder}/{table}").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+
+def search_plan(spark: SparkSession, folder: str, terms: list[str], k: int | None) -> DataFrame:
+    """doc, score of all documents that may be among the k best of the terms: blocks whose best posting, with the best of
+    all other terms (in the index: the scan skips them; in the block's part of the documents), stays below what k documents are known to reach are left out. k None: of all documents with a term."""
     wanted = sorted({t.lower() for t in terms})
-    if not wanted:
-        return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).orderBy("doc").offset(offset).limit(limit)
-    words = docs.select(F.col(doc).alias("doc"), F.filter(F.split(F.lower(body), r"[^\p{Alnum}]+"), lambda t: t != "").alias("w"))
-    tf = [_count("w", t).alias(f"tf{k}") for k, t in enumerate(wanted)]
-    rows = words.select("doc", F.size("w").alias("len"), *tf)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))])
-    hits = rows.where(" OR ".join(f"tf{k} > 0" for k in range(len(wanted)))).crossJoin(F.broadcast(stats))  # stats is one row
-    norm = 1 - B + B * F.col("len") / F.col("avg")
-    idf = lambda k: F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
-    score = sum((idf(k) * F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * norm) for k in range(len(wanted))), F.lit(0.0))
-    return hits.select("doc", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc").offset(offset).limit(limit)
+    n, avg = spark.read.parquet(f"{folder}/stats").collect()[0]
+    known = {r["term"]: (math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5)), r["top"]) for r in _pruned(spark, folder, "terms", wanted).collect()}  # a row a term of the search
+    wanted = [t for t in wanted if t in known]
+    blocks = _pruned(spark, folder, "postings", wanted)
+    idf = F.coalesce(*[F.when(F.col("term") == t, known[t][0]) for t in wanted]) if wanted else F.lit(0.0)
+
+    def scored(some: DataFrame) -> DataFrame:
+        rows = some.select(idf.alias("idf"), F.explode("postings").alias("p")).select("p.*", "idf")
+        return rows.groupBy("doc").agg(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("len"), avg or 1.0)).alias("score"))
+
+    if k is None or not wanted:
+        return scored(blocks)
+    first = [blocks.where(F.col("term") == t).orderBy(F.desc("best")).limit(k // BLOCK + 2) for t in wanted]
+    seeds = scored(reduce(DataFrame.unionByName, first)).orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("least")).collect()[0]
+    reached = seeds["least"] - 1e-6 if seeds["n"] >= k else 0.0  # scores are rounded to six places
+    most = sum(i * top for i, top in known.values())
+    keep = [(F.col("term") == t) & (F.col("best") >= (reached - (most - i * top)) / i) for t, (i, top) in known.items()]
+    here = lambda k: F.coalesce(f"top{k}", F.lit(0.0))  # noqa: E731; the best of a term within a part of the documents
+    tops = blocks.groupBy("part").agg(*[F.max(F.when(F.col("term") == t, idf * F.col("best"))).alias(f"top{k}") for k, t in enumerate(wanted)])
+    rest = sum((F.when(F.col("term") != t, here(k)).otherwise(0.0) for k, t in enumerate(wanted)), F.lit(0.0))
+    return scored(blocks.where(reduce(lambda a, b: a | b, keep)).join(tops, "part").where(idf * F.col("best") + rest >= reached))
+
+
+def search_ranked(spark: SparkSession, folder: str, terms: list[str], limit: int = 50, offset: int = 0, exact: dict[str, str] | None = None) -> DataFrame:
+    """doc, score: the best documents of an index by BM25 over a few terms, ties by doc; without terms all documents with score 0.
+
+    exact: values that the index's exact columns must have. Terms that no document has add nothing.
+    """
+    if not terms:
+        hits = spark.read.parquet(f"{folder}/lengths").select("doc", F.lit(0.0).alias("score"))
+    else:
+        hits = search_plan(spark, folder, terms, None if exact else offset + limit)  # a filter decides behind the scores
+    for column, value in (exact or {}).items():
+        hits = hits.join(_pruned(spark, folder, "postings", [f"{column}={value.lower()}"]).select(F.explode("postings.doc").alias("doc")), "doc", "left_semi")
+    return hits.select("doc", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc").offset(offset).limit(limit)
 
 
 def index_sync(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -44,16 +119,47 @@ def index_sync(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, status.alias("status"))
 
 
+MODES = ["full_rebuild", "noop", "incremental_append", "incremental_sync"]
+
+
+def sync_metadata(statuses: DataFrame, indexed: bool = True) -> DataFrame:
+    """One row: how many keys are new, changed, deleted and same, and what the index needs. indexed: whether there is one yet."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "deleted", "same")]
+    return statuses.agg(*counts).withColumn("mode", F.when(F.lit(not indexed), MODES[0]).when(F.col("changed") + F.col("deleted") > 0, MODES[3]).when(F.col("new") > 0, MODES[2]).otherwise(MODES[1]))
+
+
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
-query("index_build", f"WITH t AS (SELECT doc_id AS doc, unnest({_TOK}) AS term FROM documents) SELECT term, count(DISTINCT doc) AS docs, count(*) AS tf FROM t GROUP BY 1", over="documents")(
-    lambda d: postings(d).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> str:
+    return derived_folder(spark, f"{sf_dir}/documents.parquet", "document-index", lambda folder: build_index(fixture.RELATIONS["documents"](spark, sf_dir), folder))
+
+
+def event_index(spark: SparkSession, sf_dir: str) -> str:
+    return derived_folder(spark, f"{sf_dir}/events.parquet", "event-index", lambda folder: build_index(fixture.events_full(spark, sf_dir), folder, "event_id", "message_full", EXACT))
+
+
+EXACT = ("artifact_type", "severity", "event_action", "hash")
+query("index_build", f"WITH t AS (SELECT doc_id AS doc, unnest({_TOK}) AS term FROM documents) SELECT term, count(DISTINCT doc) AS docs, count(*) AS tf, count(DISTINCT doc) AS in_blocks FROM t GROUP BY 1", over="documents_at")(
+    lambda at: at[0].read.parquet(f"{document_index(*at)}/terms").select("term", F.col("df").alias("docs"), F.col("cf").alias("tf"))
+    .join(at[0].read.parquet(f"{document_index(*at)}/postings").groupBy("term").agg(F.sum("n").alias("in_blocks")), "term", "left")
+)
+
+
+def _bm25(source: str, terms: list[str], rest: str, where: str = "true") -> str:
+    """The same scores by splitting every text. source: a relation doc, w (words), keep."""
+    counts = ", ".join(f"len(list_filter(w, lambda t: t = '{t}')) AS c{k}" for k, t in enumerate(terms))
+    dfs = ", ".join(f"count(*) FILTER (c{k} > 0) AS d{k}" for k in range(len(terms)))
+    score = " + ".join(f"ln(1 + (c - d{k} + 0.5) / (d{k} + 0.5)) * c{k} * 2.2 / (c{k} + 1.2 * (0.25 + 0.75 * n / avg))" for k in range(len(terms)))
+    return f"d AS ({source}), r AS (SELECT *, len(w) AS n, {counts} FROM d), s AS (SELECT count(*) AS c, avg(n) AS avg, {dfs} FROM r) SELECT doc, round({score}, 6) AS score FROM r, s WHERE ({' OR '.join(f'c{k} > 0' for k in range(len(terms)))}) AND {where} ORDER BY score DESC, doc {rest}"
+
+
+_DOCS = f"SELECT doc_id AS doc, {_TOK} AS w FROM documents"
+query("search_ranked", "WITH " + _bm25(_DOCS, ["idiot", "the"], "LIMIT 50"), over="documents_at")(lambda at: search_ranked(at[0], document_index(*at), ["idiot", "the"]))
+query("documents_search", "WITH " + _bm25(_DOCS, ["water", "house", "und"], "LIMIT 30 OFFSET 20"), over="documents_at")(lambda at: search_ranked(at[0], document_index(*at), ["und", "house", "Water"], limit=30, offset=20))
+query("events_search", ", " + _bm25("SELECT event_id AS doc, list_filter(regexp_split_to_array(lower(message_full), '[^a-z0-9]+'), lambda t: t <> '') AS w, severity = 'high' AS keep FROM ef", ["certutil", "http", "exe"], "LIMIT 40", "keep"), over="session")(
+    lambda at: search_ranked(at[0], event_index(*at), ["certutil", "http", "exe"], limit=40, exact={"severity": "HIGH"})
 )
-_SEARCH = f"""WITH d AS (SELECT doc_id AS doc, {_TOK} AS w FROM documents), r AS (SELECT doc, len(w) AS n, len(list_filter(w, lambda t: t = 'the')) AS a, len(list_filter(w, lambda t: t = 'idiot')) AS b FROM d),
- s AS (SELECT count(*) AS c, avg(n) AS avg, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM r)
- SELECT doc, round(ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / avg)) + ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / avg)), 6) AS score
- FROM r, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc LIMIT 50"""
-for _n in ("search_ranked", "documents_search"):
-    query(_n, _SEARCH, over="documents")(lambda d: search_ranked(d, ["idiot", "the"]))
 _SYNC = "CASE WHEN event_id LIKE '%7' THEN 'deleted' WHEN event_id LIKE '%3' THEN 'changed' WHEN event_id LIKE '%5' THEN 'new' ELSE 'same' END"
 
 
@@ -65,7 +171,18 @@ def _sync(er: DataFrame) -> DataFrame:
 
 
 query("index_sync", f"SELECT event_id, {_SYNC} AS status FROM er")(_sync)
-query("index_metadata", f"SELECT {_SYNC} AS status, count(*) AS n FROM er GROUP BY 1")(lambda er: _sync(er).groupBy("status").agg(F.count("*").alias("n")))
+
+
+def _metadata(er: DataFrame) -> DataFrame:
+    rows, less = er.select("event_id", "severity", "host"), er.where("event_id NOT LIKE '%5'").select("event_id", "severity", "host")
+    runs = {"built": index_sync(rows.limit(0), rows, "event_id"), "again": index_sync(rows, rows, "event_id"), "appended": index_sync(less, rows, "event_id"), "edited": _sync(er)}
+    return reduce(DataFrame.unionByName, [sync_metadata(r, name != "built").withColumn("run", F.lit(name)) for name, r in runs.items()])
+
+
+_LIKE = lambda d: f"count(*) FILTER (event_id LIKE '%{d}')"
+query("index_metadata", f"""SELECT 'built' AS run, count(*) AS new, 0 AS changed, 0 AS deleted, 0 AS same, 'full_rebuild' AS mode FROM er UNION ALL
+ SELECT 'again', 0, 0, 0, count(*), 'noop' FROM er UNION ALL SELECT 'appended', {_LIKE(5)}, 0, 0, count(*) - {_LIKE(5)}, 'incremental_append' FROM er UNION ALL
+ SELECT 'edited', {_LIKE(5)}, {_LIKE(3)}, {_LIKE(7)}, count(*) - {_LIKE(5)} - {_LIKE(3)} - {_LIKE(7)}, 'incremental_sync' FROM er""")(_metadata)
 #: fields of an event that its index body holds
 BODY = [
     "event_id", "case_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "process_name", "file_path", "ip", "url", "hash", "message_short", "message_full",

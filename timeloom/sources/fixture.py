@@ -94,7 +94,7 @@ FILES = (
     " 'unsupported' ELSE 'parsed' END AS parser_status, n_chars % 50 AS event_count, CASE WHEN doc_id % 10 = 0 THEN concat('error ', doc_id % 3) END AS error,"
     " concat('/evidence/', source, '/doc_', doc_id, '.txt') AS normalized_path FROM documents)"
 )
-WITH = {"ef": f"WITH {EF} ", "er": f"WITH {EF}, {ER} ", "files": f"WITH {FILES} ", "documents": "", "session": f"WITH {EF}, {ER}, {FILES} "}
+WITH = {"ef": f"WITH {EF} ", "er": f"WITH {EF}, {ER} ", "files": f"WITH {FILES} ", "documents": "", "documents_at": "", "session": f"WITH {EF}, {ER}, {FILES} "}
 
 
 def events_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,5 +126,5 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RELATIONS = {
     "ef": events_full, "er": event_rows, "files": files, "documents": lambda spark, sf_dir: spread(spark.read.parquet(f"{sf_dir}/documents.parquet")),
-    "session": lambda spark, sf_dir: (spark, sf_dir),
+    "session": lambda spark, sf_dir: (spark, sf_dir), "documents_at": lambda spark, sf_dir: (spark, sf_dir),
 }

@@ -75,3 +75,15 @@ def derived(spark: SparkSession, source: str, name: str, make: Callable[[], Data
     if key not in _derived or not exists(spark, _derived[key]):
         _derived[key] = stored(spread(make()), name).stored_at
     return spark.read.parquet(_derived[key])
+
+
+def derived_folder(spark: SparkSession, source: str, name: str, make: Callable[[str], None]) -> str:
+    """As `derived`, for what is more than one table: make writes into the folder it is given."""
+    fs, path = _hadoop(spark, source)
+    status = fs.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, source, name, status.getModificationTime(), fs.getContentSummary(path).getLength())
+    if key not in _derived or not exists(spark, _derived[key]):
+        folder = table_path(spark, name)
+        make(folder)
+        _derived[key] = folder
+    return _derived[key]
