@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.functions.columns import attr_i64, attr_string, filled
+from timeloom.functions.columns import attr_i64, filled
 from timeloom.registry import query
 
 REFERENCES = {"file": "file_path", "process": "process_name", "hash": "hash", "ip": "ip", "url": "url", "user": "user_name"}
-#: most attributes and runs of one record that are listed
-CAPS = {"attributes": 24, "data_runs": 16, "sections": 16, "run_time_entries": 16, "file_metrics": 32, "trace_chains": 32, "extra_data_blocks": 16, "properties": 16, "ese_pages": 8}
-
-
-#: a named stretch of bytes
-SPOT = "name string, offset bigint, length bigint"
 
 
 def object_id(kind: Column, key: Column) -> Column:
@@ -29,117 +24,231 @@ def reference_objects(ef: DataFrame) -> DataFrame:
     return rows.select(object_id(F.col("kind"), F.col("name")).alias("object_id"), "event_id", "kind", "name", F.lit(0.6).alias("confidence"))
 
 
-def prefetch_objects(ef: DataFrame) -> DataFrame:
-    """An execution per row, its run count where it is known, and its sections, volumes and referenced files up to their caps."""
-    rows = ef.where("artifact_type = 'prefetch'").withColumn("runs", attr_i64("attributes_json", "run_count"))
-    listed = lambda field, kind: F.transform(F.slice(F.coalesce(F.from_json(F.get_json_object("attributes_json", f"$.{field}"), "array<string>"), F.array()), 1, CAPS["sections"]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    single = F.array_compact(F.array(F.struct(F.lit("prefetch_execution").alias("kind"), F.col("process_name").alias("name")),
-        F.when(F.col("runs").isNotNull(), F.struct(F.lit("prefetch_run_count").alias("kind"), F.col("runs").cast("string").alias("name")))))
-    plain = rows.select("event_id", F.explode(F.concat(single, listed("volumes", "prefetch_volume"), listed("referenced_files", "prefetch_file"))).alias("o")).select("event_id", "o.*")
-    return plain.unionByName(nested_objects(rows, "sections", SPOT, "prefetch_section", F.col("e.name")).select("event_id", "kind", "name"))
+# Objects are rules over the attributes' JSON, in SQL that Spark and the oracle share but for how a value is taken out of the JSON:
+# {scope.kind:path}, scope r the row's attributes, e an entry of an array, p the entry around it; kind s text, a text that is not blank,
+# i integer, f double, j any, t its JSON text, x the entry itself as text.
+_MARK = re.compile(r"\{([rep])\.([saifjtx]):([\w.$]*)\}")
+_TYPES = {"s": "string", "a": "string", "i": "bigint", "f": "double", "j": "variant", "x": "string"}
 
 
-def link_objects(ef: DataFrame) -> DataFrame:
-    """The target of a shell link, its extra blocks and its property values."""
-    rows = ef.where("artifact_type IN ('lnk', 'jump_list')")
-    kind = F.when(F.col("artifact_type") == "lnk", "shell_link_target").otherwise("jumplist_target")
-    target = rows.select("event_id", kind.alias("kind"), attr_string("attributes_json", "target_path", "target").alias("name")).where("name IS NOT NULL")
-    blocks = nested_objects(rows, "extra_data_blocks", "signature string, offset bigint, length bigint", "lnk_extra_block", F.col("e.signature"))
-    values = nested_objects(rows, "properties", "name string, value string", "lnk_property_value", F.concat_ws("=", "e.name", "e.value"))
-    return target.unionByName(blocks.select("event_id", "kind", "name")).unionByName(values.select("event_id", "kind", F.col("name")))
+def _in_spark(text: str) -> str:
+    def value(m: re.Match) -> str:
+        scope, kind, path = m[1].replace("r", "v"), m[2], f"$.{m[3]}" if m[3] else "$"
+        if kind == "t":
+            return f"get_json_object(attributes_json, '{path}')"
+        got = f"try_variant_get({scope}, '{path}', '{_TYPES[kind]}')"
+        return f"nullif(nullif(trim({got}), ''), '-')" if kind == "a" else got
 
+    return _MARK.sub(value, text)
 
-def registry_objects(ef: DataFrame) -> DataFrame:
-    kind = F.when(F.col("artifact_type") == "amcache", "amcache_entry").otherwise("registry_value")
-    key = F.coalesce(F.concat_ws("/", attr_string("attributes_json", "key_path"), attr_string("attributes_json", "value_name")), filled("file_path"))
-    return ef.where("artifact_type IN ('registry_hive', 'amcache')").select("event_id", kind.alias("kind"), key.alias("name"))
 
+def _in_duck(text: str) -> str:
+    def value(m: re.Match) -> str:
+        scope, kind, path = m[1].replace("r", "attributes_json"), m[2], f"$.{m[3]}" if m[3] else "$"
+        if kind in "jt":
+            return f"CAST(json_extract({scope}, '{path}') AS VARCHAR)"
+        got = f"json_extract_string({scope}, '{path}')"
+        if kind in "if":
+            return f"TRY_CAST({got} AS {'BIGINT' if kind == 'i' else 'DOUBLE'})"
+        return f"nullif(nullif(trim({got}), ''), '-')" if kind == "a" else got
 
-def ese_objects(ef: DataFrame) -> DataFrame:
-    """A signal per row, the table's name, the pages and their tags."""
-    rows = ef.where("artifact_type = 'ese_database'")
-    out = rows.select("event_id", F.lit("ese_row_signal").alias("kind"), F.col("event_action").alias("name"))
-    out = out.unionByName(rows.select("event_id", F.lit("ese_table_hint").alias("kind"), attr_string("attributes_json", "table_hint").alias("name")).where("name IS NOT NULL"))
-    pages = ese_pages(rows)
-    out = out.unionByName(pages.select("event_id", F.lit("ese_page").alias("kind"), F.col("page").cast("string").alias("name")))
-    tags = pages.select("event_id", "page", F.explode("tags.tag").alias("tag"))
-    return out.unionByName(tags.select("event_id", F.lit("ese_page_tag").alias("kind"), F.concat_ws(":", "page", "tag").alias("name")))
+    return _MARK.sub(value, text)
 
 
-def ese_pages(ef: DataFrame) -> DataFrame:
-    schema = "array<struct<page bigint, offset bigint, tags array<struct<tag bigint, offset bigint, length bigint>>>>"
-    pages = F.slice(F.from_json(F.get_json_object("attributes_json", "$.pages"), schema), 1, CAPS["ese_pages"])
-    return ef.where("artifact_type = 'ese_database'").select("event_id", F.explode(pages).alias("p")).select("event_id", "p.*")
+class Rule(NamedTuple):
+    """One kind of object. path: the array whose entries are objects ('': the row is one), parent: the array around it, cap and parent_cap: how
+    many entries of each count. spot: kind, condition, label, default length and longest length of the object's place in the source."""
 
+    group: str
+    kind: str
+    key: str
+    name: str
+    confidence: str
+    path: str = ""
+    cap: int = 0
+    parent: str = ""
+    parent_cap: int = 0
+    when: str = "true"
+    offset: str = "cast(null as bigint)"
+    length: str = "cast(null as bigint)"
+    spot: tuple[str, str, str, str, int] | None = None
 
-RECOVERED = {"recovered_file": "recovered_file", "credential_store_entry": "credential_store_entry", "pcap_conversation_reconstructed": "reconstructed_network_conversation", "sidecar_output": "sidecar_output"}
 
+TYPES = {
+    "mft": ["mft"], "prefetch": ["prefetch"], "usn": ["usn_jrnl"], "link": ["lnk", "jump_list"], "registry": ["registry_hive", "amcache"], "ese": ["ese_database"], "windows_event": ["evtx", "hayabusa"],
+    "recovery": [],
+}
+_REC, _SEQ = "coalesce({r.i:record_number}, {r.i:entry_number})", "coalesce(cast({r.i:sequence_number} as string), '-')"
+_BASE, _SIZE = "{r.i:record_offset}", "coalesce({r.i:record_size}, {r.i:length})"
+_ID, _TYPE = "coalesce(cast({e.i:id} as string), '-')", "coalesce({e.s:type_name}, 'UNKNOWN')"
+_STREAM = "'mft_resident:' || " + _REC + " || ':' || " + _SEQ + " || ':' || coalesce({r.a:stream_name}, '$DATA') || ':' || coalesce({r.a:resident_sha256}, {r.a:sha256}, '-')"
+_ADS = "lower(coalesce({r.a:stream_kind}, 'resident_data')) = 'ads'"
+_PROC, _PF = "coalesce({r.s:executable_name_header}, {r.s:prefetch_file_name}, 'prefetch')", "coalesce({r.s:prefetch_hash}, '-')"
+_RUN = "coalesce(process_name, {r.a:process_name}, {r.a:executable_name})"
+_PFKEY = lambda kind, rest="": f"'{kind}:' || lower({_PROC}) || ':' || {_PF}{rest}"
+_KIND = "{r.s:semantics.event_kind}"
+_USER, _ADDRESS = "coalesce({r.s:data.TargetUserName}, {r.s:data.User}, '-')", "coalesce({r.s:data.IpAddress}, {r.s:data.ClientAddress}, '-')"
+_HINT = "{e.x:}"
+RULES = [
+    Rule("mft", "ntfs_file_record", f"'mft:' || {_REC} || ':' || {_SEQ}", f"coalesce(file_path, 'MFT record ' || {_REC})", "0.95", when=f"{_REC} is not null", offset=_BASE, length=_SIZE),
+    Rule("mft", "ntfs_attribute", f"'mft_attr:' || {_REC} || ':' || {_SEQ} || ':' || {_ID} || ':' || {_TYPE}", f"'MFT ' || {_REC} || ' ' || {_TYPE} || ' attr#' || {_ID}", "0.88", "attributes", 24, when=f"{_REC} is not null",
+         offset=f"coalesce({_BASE} + {{e.i:offset}}, {_BASE})", length=f"coalesce({{e.i:length}}, {_SIZE})", spot=("mft_attribute", f"{_BASE} + {{e.i:offset}} is not null", f"'MFT ' || {_TYPE} || ' attr#' || {_ID}", "coalesce({e.i:length}, 64)", 65_536)),
+    Rule("mft", "ntfs_data_run", f"'mft_run:' || {_REC} || ':' || {_SEQ} || ':' || coalesce(cast({{e.i:attribute_id}} as string), '-') || ':' || coalesce({{e.i:run_index}}, 0)",
+         f"'MFT ' || {_REC} || ' DATA run#' || coalesce({{e.i:run_index}}, 0) || ' LCN ' || coalesce(cast({{e.i:lcn}} as string), 'sparse') || ' clusters ' || coalesce({{e.i:cluster_count}}, 0)", "0.8", "data_runs", 16,
+         when=f"{_REC} is not null and {{r.j:attributes}} is not null", offset=f"coalesce({_BASE} + {{e.i:runlist_record_offset}}, {_BASE})", length="16",
+         spot=("mft_data_runlist", f"{_BASE} + {{e.i:runlist_record_offset}} is not null", "'MFT DATA runlist #' || coalesce({e.i:run_index}, 0)", "16", 16)),
+    Rule("mft", f"case when {_ADS} then 'ntfs_ads_resident_content' else 'ntfs_resident_content' end", f"lower({_STREAM})",
+         f"coalesce(file_path, 'MFT record ' || {_REC} || coalesce(':' || {{r.a:stream_name}}, '')) || coalesce(' HostUrl=' || coalesce({{r.a:HostUrl}}, {{r.a:host_url}}), '')", f"case when {_ADS} then 0.9 else 0.78 end",
+         when=f"{_REC} is not null and {{r.i:resident_value_offset}} is not null and {{r.i:resident_value_length}} is not null", offset=f"{_BASE} + {{r.i:resident_value_offset}}", length="least(greatest({r.i:resident_value_length}, 1), 65536)",
+         spot=(f"case when {_ADS} then 'mft_ads_resident_content' else 'mft_resident_content' end", f"{_BASE} is not null", f"'MFT resident ' || coalesce({{r.a:stream_kind}}, 'resident_data') || ' ' || coalesce({{r.a:stream_name}}, '$DATA') || ' record ' || {_REC}", "{r.i:resident_value_length}", 65_536)),
+    Rule("prefetch", "prefetch_execution", f"'prefetch:' || lower({_RUN}) || ':' || coalesce({{r.a:prefetch_hash}}, '-')", _RUN, "0.9", when=f"{_RUN} is not null", offset=_BASE, length=_SIZE),
+    Rule("prefetch", "prefetch_section", _PFKEY("prefetch_section", " || ':' || coalesce({e.s:name}, 'section')"), f"'Prefetch ' || {_PROC} || ' ' || coalesce({{e.s:name}}, 'section')", "coalesce({e.f:confidence}, 0.7)", "sections", 16,
+         offset="{e.i:offset}", length="{e.i:length}", spot=("prefetch_section", "{e.i:offset} is not null", "'Prefetch ' || coalesce({e.s:name}, 'section') || ' section'", "coalesce({e.i:length}, 256)", 65_536)),
+    Rule("prefetch", "prefetch_run_count", _PFKEY("prefetch_run_count"), f"'Prefetch ' || {_PROC} || ' run count'", "0.8", when="{r.i:run_count_offset} is not null", offset="{r.i:run_count_offset}", length="4",
+         spot=("prefetch_run_count", "true", "'Prefetch run count'", "4", 4)),
+    Rule("prefetch", "prefetch_run_time", _PFKEY("prefetch_run_time", " || ':' || coalesce({e.s:timestamp}, '-')"), f"'Prefetch ' || {_PROC} || ' run time ' || coalesce({{e.s:timestamp}}, '-')", "coalesce({e.f:confidence}, 0.8)", "run_time_entries", 16,
+         when="{e.i:offset} is not null", offset="{e.i:offset}", length="8", spot=("prefetch_run_time", "true", "'Prefetch run time ' || coalesce({e.s:timestamp}, '-')", "8", 8)),
+    Rule("prefetch", "prefetch_file_metric", _PFKEY("prefetch_file_metric", " || ':' || coalesce({e.i:index}, 0) || ':' || coalesce({e.s:filename}, '-')"),
+         f"'Prefetch ' || {_PROC} || ' file metric #' || coalesce({{e.i:index}}, 0) || ' ' || coalesce({{e.s:filename}}, '-')", "coalesce({e.f:confidence}, 0.78)", "file_metrics", 32, when="{e.i:offset} is not null", offset="{e.i:offset}",
+         length="coalesce({e.i:length}, 32)", spot=("prefetch_file_metric", "true", "'Prefetch file metric #' || coalesce({e.i:index}, 0)", "coalesce({e.i:length}, 32)", 256)),
+    Rule("prefetch", "prefetch_trace_chain", _PFKEY("prefetch_trace_chain", " || ':' || coalesce({e.i:index}, 0)"), f"'Prefetch ' || {_PROC} || ' trace chain #' || coalesce({{e.i:index}}, 0) || ' blocks ' || coalesce({{e.i:block_load_count}}, 0)",
+         "coalesce({e.f:confidence}, 0.74)", "trace_chains", 32, when="{e.i:offset} is not null", offset="{e.i:offset}", length="coalesce({e.i:length}, 8)",
+         spot=("prefetch_trace_chain", "true", "'Prefetch trace chain #' || coalesce({e.i:index}, 0)", "coalesce({e.i:length}, 8)", 256)),
+    Rule("usn", "usn_record", "'usn:' || coalesce({r.a:usn}, {r.a:record_offset}, event_id)", "coalesce({r.a:usn}, {r.a:record_offset}, event_id)", "0.9", offset=_BASE, length=_SIZE),
+    Rule("link", "case when artifact_type = 'lnk' then 'shell_link_target' else 'jumplist_target' end", "artifact_type || ':' || lower(coalesce({r.a:target_path}, {r.a:target}))", "coalesce({r.a:target_path}, {r.a:target})", "0.9",
+         when="coalesce({r.a:target_path}, {r.a:target}) is not null", offset=_BASE, length=_SIZE),
+    Rule("link", "lnk_extra_block", "'lnk_extra:' || event_id || ':' || coalesce({e.s:signature}, 'unknown') || ':' || coalesce(cast({e.i:offset} as string), '-')", "'LNK ' || coalesce({e.s:signature_name}, 'UnknownExtraDataBlock')",
+         "coalesce({e.f:confidence}, 0.75)", "extra_data_blocks", 16, offset="{e.i:offset}", length="{e.i:length}",
+         spot=("lnk_extra_block", "{e.i:offset} is not null", "'LNK ' || coalesce({e.s:signature_name}, 'UnknownExtraDataBlock')", "coalesce({e.i:length}, 64)", 65_536)),
+    Rule("link", "lnk_property_value", "'lnk_property:' || lower({e.s:key}) || ':' || lower(coalesce({e.s:value_hint}, '-'))", "'LNK property ' || {e.s:key} || case when coalesce({e.s:value_hint}, '-') = '-' then '' else '=' || {e.s:value_hint} end",
+         "coalesce({e.f:confidence}, 0.6)", "property_entries", 32, "extra_data_blocks", 16, "trim({e.s:key}) <> ''", "coalesce({e.i:value_offset}, {p.i:offset})", "coalesce({e.i:value_length}, 32)",
+         ("lnk_property_value", "{p.i:offset} is not null and {e.i:value_offset} is not null", "'LNK property ' || {e.s:key}", "coalesce({e.i:value_length}, 32)", 4096)),
+    Rule("registry", "case when artifact_type = 'amcache' then 'amcache_entry' else 'registry_value' end", "artifact_type || ':' || lower(coalesce({r.a:key_path} || '/' || {r.a:value_name}, {r.a:key_path}, {r.a:value_name}, file_path, event_id))",
+         "coalesce({r.a:key_path} || '/' || {r.a:value_name}, {r.a:key_path}, {r.a:value_name}, file_path, event_id)", "0.9", offset=_BASE, length=_SIZE),
+    Rule("ese", "ese_row_signal", "'ese_row:' || event_id", "event_action", "0.9", offset=_BASE, length=_SIZE),
+    Rule("ese", "ese_database_header", "'ese_header:' || source_file_id", "'ESE database header'", "0.75", when="{r.j:ese_header} is not null", offset="coalesce({r.i:ese_header.offset}, 0)", length="coalesce({r.i:ese_header.length}, 4096)",
+         spot=("ese_database_header", "true", "'ESE database header'", "coalesce({r.i:ese_header.length}, 4096)", 65_536)),
+    Rule("ese", "ese_database_page", "'ese_page:' || source_file_id || ':' || coalesce({e.i:page_number}, 0)", "'ESE page ' || coalesce({e.i:page_number}, 0)", "coalesce({e.f:confidence}, 0.55)", "ese_pages", 8, offset="{e.i:offset}",
+         length="{e.i:length}", spot=("ese_database_page", "{e.i:offset} is not null", "'ESE page ' || coalesce({e.i:page_number}, 0)", "coalesce({e.i:length}, 4096)", 65_536)),
+    Rule("ese", "ese_page_tag", "'ese_tag:' || source_file_id || ':' || coalesce({p.i:page_number}, 0) || ':' || coalesce({e.i:tag_index}, 0)", "'ESE page ' || coalesce({p.i:page_number}, 0) || ' tag ' || coalesce({e.i:tag_index}, 0)",
+         "coalesce({e.f:confidence}, 0.6)", "tags", 64, "ese_pages", 8, offset="coalesce({e.i:absolute_offset}, {p.i:offset} + {e.i:offset})", length="coalesce({e.i:length}, 16)",
+         spot=("ese_page_tag", "{p.i:offset} is not null and coalesce({e.i:absolute_offset}, {p.i:offset} + {e.i:offset}) is not null", "'ESE page ' || coalesce({p.i:page_number}, 0) || ' tag ' || coalesce({e.i:tag_index}, 0)", "coalesce({e.i:length}, 16)", 65_536)),
+    Rule("ese", "ese_table_hint", f"'ese_table:' || artifact_type || ':' || lower({_HINT})", f"'ESE table hint ' || {_HINT}", "0.5", "table_name_hints", 12, "ese_pages", 8, f"{_HINT} is not null", "{p.i:offset}", "{p.i:length}"),
+    Rule("windows_event", "kerberos_ticket_request", "lower('kerberos:' || coalesce({r.s:event_id}, '-') || ':' || coalesce({r.s:data.TargetUserName}, {r.s:data.AccountName}, '-') || ':' || coalesce({r.s:semantics.service_name}, '-') || ':' || coalesce({r.s:semantics.ticket_encryption_name}, '-'))",
+         f"'Kerberos ' || {_KIND} || ' user=' || coalesce({{r.s:data.TargetUserName}}, {{r.s:data.AccountName}}, '-') || ' service=' || coalesce({{r.s:semantics.service_name}}, '-') || ' enc=' || coalesce({{r.s:semantics.ticket_encryption_name}}, '-')",
+         "case when {r.t:semantics.labels} like '%\"kerberoast_candidate\"%' or {r.t:semantics.labels} like '%\"asrep_roast_candidate\"%' then 0.9 else 0.75 end", when=f"{_KIND} in ('kerberos_as_request', 'kerberos_tgs_request', 'kerberos_preauth_failed')"),
+    Rule("windows_event", "firewall_rule_or_flow", f"lower('firewall:' || {_KIND} || ':' || coalesce({{r.s:semantics.rule_name}}, {{r.s:data.RuleName}}, '-') || ':' || coalesce({{r.s:semantics.firewall_direction}}, '-'))",
+         f"'Firewall ' || {_KIND} || ' rule=' || coalesce({{r.s:semantics.rule_name}}, {{r.s:data.RuleName}}, '-') || ' direction=' || coalesce({{r.s:semantics.firewall_direction}}, '-')", "0.74", when=f"left({_KIND}, 9) = 'firewall_'"),
+    Rule("windows_event", "audit_policy_change", f"lower('audit_policy:' || {_KIND} || ':' || coalesce({{r.s:semantics.audit_subcategory}}, '-'))", f"'Audit policy ' || {_KIND} || ' ' || coalesce({{r.s:semantics.audit_subcategory}}, '-')", "0.76",
+         when=f"contains({_KIND}, 'audit_policy') or {_KIND} = 'privilege_rights_changed'"),
+    Rule("windows_event", "rdp_logon_observation", f"lower('rdp:' || {_USER} || ':' || {_ADDRESS} || ':' || event_time_utc)", f"'RDP ' || {_KIND} || ' user=' || {_USER} || ' ip=' || {_ADDRESS}", "0.82", when=f"left({_KIND}, 4) = 'rdp_'"),
+    Rule("windows_event", "named_pipe_observation", "lower('named_pipe:' || {r.s:semantics.pipe_name})", "'Named pipe ' || {r.s:semantics.pipe_name}", "case when contains(lower({r.s:semantics.pipe_name}), 'psexesvc') then 0.88 else 0.68 end",
+         when="{r.s:semantics.pipe_name} is not null"),
+    Rule("recovery", "case event_action when 'recovered_file' then 'recovered_file' when 'credential_store_entry' then 'credential_store_entry' when 'pcap_conversation_reconstructed' then 'reconstructed_network_conversation' else 'sidecar_output' end",
+         "'recovery:' || lower(coalesce({r.a:recovered_name}, file_path, event_id))", "coalesce({r.a:recovered_name}, file_path, event_id)", "0.9",
+         when="event_action in ('recovered_file', 'credential_store_entry', 'pcap_conversation_reconstructed', 'sidecar_output')", offset=_BASE, length=_SIZE),
+]
 
-def recovery_objects(ef: DataFrame) -> DataFrame:
-    kind = F.create_map(*[F.lit(x) for pair in RECOVERED.items() for x in pair])[F.col("event_action")]
-    return ef.select("event_id", kind.alias("kind"), F.coalesce(attr_string("attributes_json", "recovered_name"), filled("file_path"), F.col("event_id")).alias("name")).where("kind IS NOT NULL")
 
+def _kind(text: str) -> str:
+    return text if text.startswith("case") else f"'{text}'"
 
-def usn_objects(ef: DataFrame) -> DataFrame:
-    key = F.coalesce(attr_string("attributes_json", "usn"), attr_string("attributes_json", "record_offset"), F.col("event_id"))
-    return ef.where("artifact_type = 'usn_jrnl'").select("event_id", F.lit("usn_record").alias("kind"), key.alias("name"))
 
+def _entries(rule: Rule, when: str, fields: str) -> str:
+    """The array of a rule's structs of one row, in Spark's SQL."""
+    def listed(scope: str, path: str, cap: int) -> str:
+        return f"slice(coalesce(try_variant_get({scope}, '$.{path}', 'array<variant>'), array()), 1, {cap})"
 
-def windows_event_objects(ef: DataFrame) -> DataFrame:
-    kind = F.when(F.col("event_action") == "kerberos_tgs_request", "kerberos_ticket_request").when(F.col("event_action") == "audit_log_cleared", "audit_policy_change").when(
-        F.col("event_action") == "logon_success", "rdp_logon_observation")
-    name = F.coalesce(attr_string("attributes_json", "data.ServiceName"), F.col("event_id"))
-    return ef.where("artifact_type = 'evtx'").select("event_id", kind.alias("kind"), name.alias("name")).where("kind IS NOT NULL")
+    if not rule.path:
+        return f"case when {when} then array({fields}) else array() end"
+    inner = lambda scope: f"transform(filter({listed(scope, rule.path, rule.cap)}, e -> {when}), e -> {fields})"
+    return f"flatten(transform({listed('v', rule.parent, rule.parent_cap)}, p -> {inner('p')}))" if rule.parent else inner("v")
 
 
-def nested_objects(ef: DataFrame, field: str, schema: str, kind: str, name: Column) -> DataFrame:
-    """One object per entry of an array of the attributes, up to its cap; entries that can't be read are skipped."""
-    entries = F.slice(F.from_json(F.get_json_object("attributes_json", f"$.{field}"), f"array<struct<{schema}>>"), 1, CAPS[field])
-    rows = ef.select("event_id", F.explode(entries).alias("e")).select("event_id", F.lit(kind).alias("kind"), name.alias("label"), "e.*")
-    return rows.drop("name").withColumnRenamed("label", "name")
+_OBJECT = "named_struct('kind', {kind}, 'key', {key}, 'name', {name}, 'offset', cast({offset} as bigint), 'length', cast({length} as bigint), 'confidence', cast({confidence} as double))"
+_SPOT = "named_struct('kind', {kind}, 'name', {name}, 'offset', cast({offset} as bigint), 'length', cast({length} as bigint))"
 
 
-def mft_attributes(ef: DataFrame) -> DataFrame:
-    """Attributes of file records, their offsets counted from the record's."""
-    base = F.coalesce(attr_i64("attributes_json", "record_offset"), F.lit(0)).alias("base")
-    entries = F.slice(F.from_json(F.get_json_object("attributes_json", "$.attributes"), "array<struct<type_name string, offset bigint, length bigint, id int>>"), 1, CAPS["attributes"])
-    return ef.where("artifact_type = 'mft'").select("event_id", base, F.explode(entries).alias("e")).select(
-        "event_id", F.lit("ntfs_attribute").alias("kind"), F.col("e.type_name").alias("name"), (F.col("base") + F.col("e.offset")).alias("offset"), F.col("e.length").alias("length"))
+def _clamped(text: str, most: int) -> str:
+    return f"least(greatest({text}, 1), {most})"
 
 
-def offsets(ef: DataFrame) -> DataFrame:
-    """The row's own place in its source, a length of 4096 where none is known, 1 to 65 536."""
-    start = F.coalesce(attr_i64("attributes_json", "record_offset", "offset"), F.lit(0))
-    length = F.least(F.greatest(F.coalesce(attr_i64("attributes_json", "record_size", "length"), F.lit(4096)), F.lit(1)), F.lit(65_536))
-    return ef.select("event_id", "source_file_id", start.alias("offset"), length.alias("length"), F.concat("artifact_type", F.lit("_record")).alias("kind"))
+def _arrays(group: str, spots: bool) -> str:
+    """All rules of a group as one array."""
+    out = []
+    for r in RULES:
+        if r.group != group or (spots and not r.spot):
+            continue
+        if spots:
+            kind, placed, label, length, most = r.spot
+            fields, when = _SPOT.format(kind=_kind(kind), name=label, offset=r.offset, length=_clamped(length, most)), f"({r.when}) and ({placed})"
+        else:
+            fields, when = _OBJECT.format(kind=_kind(r.kind), key=r.key, name=r.name, offset=r.offset, length=r.length, confidence=r.confidence), r.when
+        out.append(_in_spark(_entries(r, when, fields)))
+    return f"concat({', '.join(out)})"
 
 
-def mft_offsets(ef: DataFrame) -> DataFrame:
-    return mft_attributes(ef).select("event_id", "kind", "name", "offset", "length")
+def _of_group(group: str) -> str:
+    return f"artifact_type in ({', '.join(repr(t) for t in TYPES[group])})" if TYPES[group] else "event_action in ('recovered_file', 'credential_store_entry', 'pcap_conversation_reconstructed', 'sidecar_output')"
 
 
-def prefetch_offsets(ef: DataFrame) -> DataFrame:
-    return nested_objects(ef.where("artifact_type = 'prefetch'"), "sections", SPOT, "prefetch_section", F.col("e.name")).select("event_id", "kind", "name", "offset", "length")
+def _derived(ef: DataFrame, groups: list[str], spots: bool = False, more: str = "") -> DataFrame:
+    """One scan, one parse of the JSON a row; each row's objects are one array that is inlined."""
+    parsed = ef.where(" or ".join(_of_group(g) for g in groups)) if not more else ef
+    parsed = parsed.select("event_id", "artifact_type", "event_time_utc", "event_action", "source_file_id", "process_name", "file_path", "attributes_json", *[c for c in REFERENCES.values() if c not in ("process_name", "file_path")])
+    parsed = parsed.withColumn("v", F.expr("try_parse_json(attributes_json)"))
+    arrays = [f"case when {_of_group(g)} then {_arrays(g, spots)} else array() end" for g in groups] + ([more] if more else [])
+    return parsed.selectExpr("event_id", "artifact_type", "event_time_utc", f"inline(concat({', '.join(arrays)}))")
 
 
-def link_offsets(ef: DataFrame) -> DataFrame:
-    rows = ef.where("artifact_type IN ('lnk', 'jump_list')")
-    return nested_objects(rows, "extra_data_blocks", "signature string, offset bigint, length bigint", "lnk_extra_block", F.col("e.signature")).select("event_id", "kind", "name", "offset", "length")
+def derive_objects(ef: DataFrame, group: str) -> DataFrame:
+    """event_id, artifact_type, event_time_utc, kind, key, name, offset, length, confidence of the objects of one group of artifacts.
 
+    Attributes that are no JSON, and entries without the fields a kind needs, give no objects; arrays count up to their caps.
+    """
+    return _derived(ef, [group])
 
-def ese_offsets(ef: DataFrame) -> DataFrame:
-    """Pages, and their tags counted from the page's begin."""
-    pages = ese_pages(ef)
-    tags = pages.select("event_id", "page", "offset", F.explode("tags").alias("t"))
-    out = pages.select("event_id", F.lit("ese_page").alias("kind"), F.col("page").cast("string").alias("name"), "offset", F.lit(4096).cast("long").alias("length"))
-    return out.unionByName(tags.select("event_id", F.lit("ese_page_tag").alias("kind"), F.concat_ws(":", "page", "t.tag").alias("name"), (F.col("offset") + F.col("t.offset")).alias("offset"), F.col("t.length").alias("length")))
+
+def derive_spots(ef: DataFrame, group: str) -> DataFrame:
+    """event_id, kind, name, offset, length: where the objects of a group lie in their source; those without a known place are left out."""
+    return _derived(ef, [group], spots=True).select("event_id", "kind", "name", "offset", "length")
 
 
 def artifact_objects(ef: DataFrame) -> DataFrame:
-    """All objects: event_id, kind, key (lower-cased, with its kind before it), confidence."""
-    derived = reduce(DataFrame.unionByName, [f(ef).select("event_id", "kind", "name") for f in (prefetch_objects, usn_objects, windows_event_objects, link_objects, registry_objects, ese_objects, recovery_objects, mft_attributes)])
-    both = derived.withColumn("confidence", F.lit(0.9)).unionByName(reference_objects(ef).select("event_id", "kind", "name", "confidence"))
-    return both.select("event_id", "kind", F.lower(F.concat_ws(":", "kind", "name")).alias("key"), "confidence")
+    """All objects of all events, references to other things included, from one scan."""
+    references = ", ".join(
+        f"case when {c} not in ('', '-') then " + _OBJECT.format(kind=f"'{k}_reference'", key=f"lower('{k}_reference:' || {c})", name=c, offset="null", length="null", confidence="0.6") + " end" for k, c in REFERENCES.items()
+    )
+    return _derived(ef, list(TYPES), more=f"array_compact(array({references}))")
+
+
+def offsets(ef: DataFrame) -> DataFrame:
+    """The row's own place in its source, a length of 4096 where none is known, 1 to 65 536."""
+    start = F.coalesce(attr_i64("attributes_json", "record_offset", "offset"), F.lit(0))
+    length = F.least(F.greatest(F.coalesce(attr_i64("attributes_json", "record_size", "length"), F.lit(4096)), F.lit(1)), F.lit(65_536))
+    return ef.select("event_id", "source_file_id", start.alias("offset"), length.alias("length"), F.concat("artifact_type", F.lit("_record")).alias("kind"))
+
+
+def _duck(groups: list[str], spots: bool = False) -> str:
+    """The same rows for the oracle: one select a rule."""
+    out = []
+    for r in RULES:
+        if r.group not in groups or (spots and not r.spot):
+            continue
+        source = f"(SELECT * FROM ef WHERE {_of_group(r.group)})"
+        if r.parent:
+            source = f"(SELECT *, unnest(json_extract(attributes_json, '$.{r.parent}[*]')[1:{r.parent_cap}]) AS p FROM {source})"
+        if r.path:
+            source = f"(SELECT *, unnest(json_extract({'p' if r.parent else 'attributes_json'}, '$.{r.path}[*]')[1:{r.cap}]) AS e FROM {source})"
+        if spots:
+            kind, placed, label, length, most = r.spot
+            fields = f"{_kind(kind)} AS kind, {label} AS name, CAST({r.offset} AS BIGINT) AS \"offset\", CAST({_clamped(length, most)} AS BIGINT) AS length"
+            where = f"({r.when}) AND ({placed})"
+        else:
+            fields = f"artifact_type, event_time_utc, {_kind(r.kind)} AS kind, {r.key} AS key, {r.name} AS name, CAST({r.offset} AS BIGINT) AS \"offset\", CAST({r.length} AS BIGINT) AS length, CAST({r.confidence} AS DOUBLE) AS confidence"
+            where = r.when
+        out.append(_in_duck(f"SELECT event_id, {fields} FROM {source} WHERE {where}"))
+    return " UNION ALL ".join(out)
 
 
 # fixed values
@@ -182,7 +291,6 @@ def ladder(steps: list[tuple[str, str]]) -> str:
 def object_chains(ef: DataFrame) -> DataFrame:
     """Objects of one kind and key in several events or types of artifact; one partial aggregation, hot keys send one row a task."""
     rows = artifact_objects(ef).where(F.col("kind").isin(CHAINED) & (F.length("key") >= 3) & ~F.col("key").isin(COMMON_OBJECTS))
-    rows = rows.join(ef.select("event_id", "artifact_type", "event_time_utc"), "event_id")
     grouped = rows.groupBy("kind", "key").agg(
         F.countDistinct("artifact_type").alias("types"), F.array_join(F.sort_array(F.collect_set("artifact_type")), ",").alias("artifact_types"), F.count("*").alias("events"),
         F.countDistinct("event_id").alias("step_count"), F.min("event_time_utc").alias("first_seen"), F.max("event_time_utc").alias("last_seen"), F.max("confidence").alias("confidence"))
@@ -193,48 +301,21 @@ def object_chains(ef: DataFrame) -> DataFrame:
 
 _REF = " UNION ALL ".join(f"SELECT event_id, '{k}_reference' AS kind, {c} AS name FROM ef WHERE {c} NOT IN ('', '-')" for k, c in REFERENCES.items())
 _J = lambda k: f"json_extract_string(attributes_json, '$.{k}')"
-_LIST = lambda field, shape: f"unnest(from_json(json_extract(attributes_json, '$.{field}'), '[{shape}]'))"
-_SPOT_SQL = '{"name":"VARCHAR","signature":"VARCHAR","type_name":"VARCHAR","value":"VARCHAR","offset":"BIGINT","length":"BIGINT"}'
-_PAGE_SQL = '{"page":"BIGINT","offset":"BIGINT","tags":[{"tag":"BIGINT","offset":"BIGINT","length":"BIGINT"}]}'
-_ORDINARY = {
-    "prefetch": f"""SELECT event_id, 'prefetch_execution' AS kind, process_name AS name FROM ef WHERE artifact_type = 'prefetch' UNION ALL SELECT event_id, 'prefetch_run_count', {_J('run_count')} FROM ef WHERE artifact_type = 'prefetch'
- UNION ALL SELECT event_id, 'prefetch_section', e.name FROM (SELECT event_id, {_LIST('sections', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'prefetch')
- UNION ALL SELECT event_id, 'prefetch_volume', e FROM (SELECT event_id, {_LIST('volumes', '"VARCHAR"')} AS e FROM ef WHERE artifact_type = 'prefetch')
- UNION ALL SELECT event_id, 'prefetch_file', e FROM (SELECT event_id, {_LIST('referenced_files', '"VARCHAR"')} AS e FROM ef WHERE artifact_type = 'prefetch')""",
-    "usn": f"SELECT event_id, 'usn_record' AS kind, coalesce({_J('usn')}, event_id) AS name FROM ef WHERE artifact_type = 'usn_jrnl'",
-    "windows_event": """SELECT event_id, CASE event_action WHEN 'kerberos_tgs_request' THEN 'kerberos_ticket_request' WHEN 'audit_log_cleared' THEN 'audit_policy_change' WHEN 'logon_success' THEN 'rdp_logon_observation' END AS kind,
- coalesce(json_extract_string(attributes_json, '$.data.ServiceName'), event_id) AS name FROM ef WHERE artifact_type = 'evtx' AND event_action IN ('kerberos_tgs_request', 'audit_log_cleared', 'logon_success')""",
-    "link": f"""SELECT event_id, 'shell_link_target' AS kind, {_J('target_path')} AS name FROM ef WHERE artifact_type = 'lnk' UNION ALL SELECT event_id, 'lnk_extra_block', e.signature FROM (SELECT event_id, {_LIST('extra_data_blocks', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'lnk')
- UNION ALL SELECT event_id, 'lnk_property_value', e.name || '=' || e.value FROM (SELECT event_id, {_LIST('properties', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'lnk')""",
-    "registry": f"SELECT event_id, 'registry_value' AS kind, {_J('key_path')} || '/' || {_J('value_name')} AS name FROM ef WHERE artifact_type = 'registry_hive'",
-    "ese": f"""SELECT event_id, 'ese_row_signal' AS kind, event_action AS name FROM ef WHERE artifact_type = 'ese_database' UNION ALL SELECT event_id, 'ese_table_hint', {_J('table_hint')} FROM ef WHERE artifact_type = 'ese_database'
- UNION ALL SELECT event_id, 'ese_page', CAST(p.page AS VARCHAR) FROM (SELECT event_id, {_LIST('pages', _PAGE_SQL)} AS p FROM ef WHERE artifact_type = 'ese_database')
- UNION ALL SELECT event_id, 'ese_page_tag', p.page || ':' || t.tag FROM (SELECT event_id, p, unnest(p.tags) AS t FROM (SELECT event_id, {_LIST('pages', _PAGE_SQL)} AS p FROM ef WHERE artifact_type = 'ese_database'))""",
-    "recovery": "SELECT event_id, CASE event_action " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in RECOVERED.items()) + f" END AS kind, coalesce({_J('recovered_name')}, event_id) AS name FROM ef WHERE event_action IN (" + ", ".join(f"'{a}'" for a in RECOVERED) + ")",
-    "mft": f"SELECT event_id, 'ntfs_attribute' AS kind, e.type_name AS name FROM (SELECT event_id, {_LIST('attributes', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'mft')",
-}
-_MAKE = {
-    "prefetch": prefetch_objects, "usn": usn_objects, "windows_event": windows_event_objects, "link": link_objects, "registry": registry_objects, "ese": ese_objects, "recovery": recovery_objects,
-    "mft": lambda ef: mft_attributes(ef).select("event_id", "kind", "name"),
-}
 query("derive_reference_objects", f", r AS ({_REF}) SELECT sha256(event_id || '|' || kind || '|' || name) AS object_id, event_id, kind, name, CAST(0.6 AS DOUBLE) AS confidence FROM r", over="ef")(reference_objects)
-for _name, _sql in _ORDINARY.items():
-    query(f"derive_{_name}_objects", f", o AS ({_sql}) SELECT * FROM o", over="ef")(_MAKE[_name])
+for _name in TYPES:
+    query(f"derive_{_name}_objects", f", o AS ({_duck([_name])}) SELECT * FROM o", over="ef")(lambda ef, g=_name: derive_objects(ef, g))
 _OFFSETS = f"""SELECT event_id, source_file_id, coalesce(CAST({_J('record_offset')} AS BIGINT), 0) AS "offset", least(greatest(coalesce(CAST({_J('record_size')} AS BIGINT), 4096), 1), 65536) AS length, artifact_type || '_record' AS kind FROM ef"""
 query("derive_offsets", _OFFSETS, over="ef")(offsets)
-query("derive_mft_offsets", f"""SELECT event_id, 'ntfs_attribute' AS kind, e.type_name AS name, base + e.offset AS "offset", e.length AS length FROM (SELECT event_id, CAST({_J('record_offset')} AS BIGINT) AS base, {_LIST('attributes', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'mft')""", over="ef")(mft_offsets)
-query("derive_prefetch_offsets", f"""SELECT event_id, 'prefetch_section' AS kind, e.name AS name, e.offset AS "offset", e.length AS length FROM (SELECT event_id, {_LIST('sections', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'prefetch')""", over="ef")(prefetch_offsets)
-query("derive_link_offsets", f"""SELECT event_id, 'lnk_extra_block' AS kind, e.signature AS name, e.offset AS "offset", e.length AS length FROM (SELECT event_id, {_LIST('extra_data_blocks', _SPOT_SQL)} AS e FROM ef WHERE artifact_type = 'lnk')""", over="ef")(link_offsets)
-query("derive_ese_offsets", f""", p AS (SELECT event_id, {_LIST('pages', _PAGE_SQL)} AS p FROM ef WHERE artifact_type = 'ese_database'), t AS (SELECT event_id, p, unnest(p.tags) AS t FROM p)
- SELECT event_id, 'ese_page' AS kind, CAST(p.page AS VARCHAR) AS name, p.offset AS "offset", CAST(4096 AS BIGINT) AS length FROM p UNION ALL SELECT event_id, 'ese_page_tag', p.page || ':' || t.tag, p.offset + t.offset, t.length FROM t""", over="ef")(ese_offsets)
-query("event_artifact_objects", f", r AS ({_REF} UNION ALL " + " UNION ALL ".join(f"({q})" for q in _ORDINARY.values()) + ") SELECT kind, lower(kind || ':' || name) AS key FROM r WHERE event_id = 'ev00000042' ORDER BY kind, key LIMIT 100", over="ef")(
-    lambda ef: artifact_objects(ef.where("event_id = 'ev00000042'")).select("kind", "key").orderBy("kind", "key").limit(100)
+for _name in ("mft", "prefetch", "link", "ese"):
+    query(f"derive_{_name}_offsets", f", o AS ({_duck([_name], spots=True)}) SELECT * FROM o", over="ef")(lambda ef, g=_name: derive_spots(ef, g))
+_ALL = f"SELECT event_id, artifact_type, event_time_utc, kind, lower(kind || ':' || name) AS key, name, CAST(NULL AS BIGINT) AS \"offset\", CAST(NULL AS BIGINT) AS length, CAST(0.6 AS DOUBLE) AS confidence FROM ({_REF}) JOIN ef USING (event_id) UNION ALL {_duck(list(TYPES))}"
+query("event_artifact_objects", f", r AS ({_ALL}) SELECT kind, key, name, confidence FROM r WHERE event_id = 'ev00000042' ORDER BY confidence DESC, kind, key LIMIT 100", over="ef")(
+    lambda ef: artifact_objects(ef.where("event_id = 'ev00000042'")).select("kind", "key", "name", "confidence").orderBy(F.desc("confidence"), "kind", "key").limit(100)
 )
 query("event_evidence_offsets", f"SELECT \"offset\", length FROM ({_OFFSETS}) WHERE event_id IN ('ev00000042', 'ev00000043', 'ev00000045')", over="ef")(
     lambda ef: offsets(ef.where("event_id IN ('ev00000042', 'ev00000043', 'ev00000045')")).select("offset", "length").orderBy("offset").limit(50)
 )
-OBJECT_CHAINS = f""", o0 AS (SELECT *, CAST(0.6 AS DOUBLE) AS confidence FROM ({_REF}) UNION ALL SELECT *, 0.9 FROM ({" UNION ALL ".join(f"({q})" for q in _ORDINARY.values())})),
- o1 AS (SELECT o0.event_id, kind, lower(kind || ':' || name) AS key, confidence, artifact_type, event_time_utc FROM o0 JOIN ef USING (event_id) WHERE kind IN ({', '.join(f"'{k}'" for k in CHAINED)})),
+OBJECT_CHAINS = f""", o0 AS ({_ALL}), o1 AS (SELECT * FROM o0 WHERE kind IN ({', '.join(f"'{k}'" for k in CHAINED)})),
  o2 AS (SELECT kind, key, count(DISTINCT artifact_type) AS types, string_agg(DISTINCT artifact_type, ',' ORDER BY artifact_type) AS artifact_types, count(*) AS events, count(DISTINCT event_id) AS step_count, min(event_time_utc) AS first_seen,
   max(event_time_utc) AS last_seen, max(confidence) AS confidence FROM o1 WHERE key NOT IN ({', '.join(f"'{k}'" for k in COMMON_OBJECTS)}) GROUP BY 1, 2 HAVING count(DISTINCT event_id) >= 2 OR count(DISTINCT artifact_type) >= 2),
  object_chains AS (SELECT 'artifact_object:' || kind AS kind, key, {ladder(OBJECT_TITLES)} AS title, {ladder(OBJECT_LEVELS)} AS severity, artifact_types, events, step_count, first_seen, last_seen, CAST({OBJECT_SCORE} AS BIGINT) AS score,

@@ -61,14 +61,23 @@ SELECT concat('ev', lpad(cast(n AS {str}), 8, '0')) AS event_id, 'case_demo' AS
         CASE WHEN k >= 4 THEN concat(',"parent_process_guid":"g', u, '-', k - 4, '","parent_process":"C:/Windows/explorer.exe"') ELSE '' END,
         ',"command_line":"', cmd, '"') ELSE '' END,
       ',"data":{{"TargetUserName":"user', u, CASE event_code WHEN '4624' THEN concat('","LogonType":"', CASE k % 3 WHEN 0 THEN '3' WHEN 1 THEN '10' ELSE '2' END, '","AuthenticationPackageName":"', CASE WHEN u % 2 = 0 THEN 'NTLM' ELSE 'Kerberos' END)
-        WHEN '4732' THEN concat('","MemberName":"user', u - 3) WHEN '4768' THEN concat('","PreAuthType":"', CASE WHEN k % 8 = 3 THEN '0' ELSE '2' END) ELSE '' END, '","TicketEncryptionType":"', CASE WHEN u % 8 = 3 THEN '0x17' ELSE '0x12' END, '","ServiceName":"svc', u, '","CommandLine":"', cmd, '"}}}}')
-    WHEN 'prefetch' THEN concat('{{"sections":[{{"name":"A","offset":', 152 + k, ',"length":320}},{{"name":"B","offset":600,"length":', 24 + k, '}}],"volumes":["V', u, '"],"referenced_files":["F', k, '","G', u, '"],"run_count":', k, ',"referenced_file_count":', 2 * k, ',"prefetch_hash":"', md5(base), '"}}')
+        WHEN '4732' THEN concat('","MemberName":"user', u - 3) WHEN '4768' THEN concat('","PreAuthType":"', CASE WHEN k % 8 = 3 THEN '0' ELSE '2' END) ELSE '' END, '","TicketEncryptionType":"', CASE WHEN u % 8 = 3 THEN '0x17' ELSE '0x12' END, '","ServiceName":"svc', u, '","CommandLine":"', cmd, '"}}', CASE event_code
+        WHEN '4769' THEN concat(',"semantics":{{"event_kind":"kerberos_tgs_request","service_name":"svc', u, '","ticket_encryption_name":"', CASE WHEN u % 8 = 3 THEN 'RC4' ELSE 'AES' END, '","labels":[', CASE WHEN u % 8 = 3 THEN '"kerberoast_candidate"' ELSE '' END, ']}}')
+        WHEN '4768' THEN ',"semantics":{{"event_kind":"kerberos_as_request","labels":[]}}' WHEN '4732' THEN ',"semantics":{{"event_kind":"privilege_rights_changed","audit_subcategory":"Groups"}}'
+        WHEN '4624' THEN CASE WHEN k % 3 = 1 THEN concat(',"semantics":{{"event_kind":"rdp_logon"}}') ELSE '' END WHEN '7045' THEN concat(',"semantics":{{"event_kind":"service_installed","pipe_name":"', CASE WHEN k % 2 = 0 THEN 'x' ELSE 'PSEXESVC-1' END, '"}}')
+        WHEN '3' THEN CASE WHEN u % 4 = 0 THEN concat(',"semantics":{{"event_kind":"firewall_connection_allowed","rule_name":"r', u, '","firewall_direction":"out"}}') ELSE '' END ELSE '' END, '}}')
+    WHEN 'prefetch' THEN concat('{{"executable_name_header":"', upper(base), '","run_count_offset":208,"run_time_entries":[{{"execution_index":0,"offset":128,"timestamp":"2024-01-', lpad(cast(k % 28 + 1 AS {str}), 2, '0'), 'T00:00:00Z","confidence":0.85}},{{"execution_index":1}}],',
+      '"file_metrics":[{{"index":0,"offset":304,"length":32,"filename":"F', k % 40, '"}},{{"index":1}}],"trace_chains":[{{"index":0,"offset":', 360 + k, ',"block_load_count":', k % 5, '}}],',
+      '"sections":[{{"name":"A","offset":', 152 + k, ',"length":320,"confidence":0.9}},{{"name":"B","offset":600,"length":', 24 + k, '}}],"volumes":["V', u, '"],"referenced_files":["F', k, '","G', u, '"],"run_count":', k, ',"referenced_file_count":', 2 * k, ',"prefetch_hash":"', md5(base), '"}}')
     WHEN 'defender' THEN concat('{{"event_id":"', event_code, '","channel":"Microsoft-Windows-Windows Defender/Operational"}}')
     WHEN 'scheduled_task' THEN '{{"event_id":"106","channel":"Microsoft-Windows-TaskScheduler/Operational"}}'
     WHEN 'registry_hive' THEN concat('{{"key_path":"HKCU/Software/Run","value_name":"v', k, '","record_offset":', 512 * k, ',"record_size":', 64 + k, '}}')
-    WHEN 'mft' THEN concat('{{"record_offset":', 1024 * k, ',"record_size":1024,"attributes":[{{"type_name":"STANDARD_INFORMATION","offset":56,"length":96,"id":0}},{{"type_name":"FILE_NAME","offset":152,"length":', 104 + k, ',"id":1}}]}}')
-    WHEN 'lnk' THEN concat('{{"record_offset":0,"target_path":"C:/Users/t', k, '.exe","extra_data_blocks":[{{"signature":"TrackerDataBlock","offset":', 300 + k, ',"length":96}},{{"signature":"KnownFolderDataBlock","offset":500,"length":28}}],"properties":[{{"name":"Comment","value":"c', k, '"}}]}}')
-    WHEN 'ese_database' THEN concat('{{"table_hint":"UrlHistory","pages":[{{"page":', k, ',"offset":', 4096 * k, ',"tags":[{{"tag":0,"offset":40,"length":16}},{{"tag":1,"offset":56,"length":', 8 + k, '}}]}}]}}')
+    WHEN 'mft' THEN concat('{{"record_number":', k % 97, ',"sequence_number":', u % 3, ',"record_offset":', 1024 * k, ',"record_size":1024,"attributes":[{{"type_name":"STANDARD_INFORMATION","offset":56,"length":96,"id":0}},{{"type_name":"FILE_NAME","offset":152,"length":', 104 + k, ',"id":1}},{{"id":3}}],',
+      '"data_runs":[{{"attribute_id":3,"run_index":0,"runlist_record_offset":', 300 + k % 7, ',"cluster_count":', k, ',"lcn":', 17 * k, '}},{{"run_index":1,"cluster_count":2,"sparse":true}}]',
+      CASE WHEN k % 5 = 0 THEN concat(',"resident_value_offset":400,"resident_value_length":', 10 + k, ',"stream_kind":"', CASE WHEN u % 2 = 0 THEN 'ADS' ELSE 'resident_data' END, '","stream_name":"Zone.Identifier","resident_sha256":"', md5(base), '","HostUrl":"http://dl.example.com/', base, '"') ELSE '' END, '}}')
+    WHEN 'lnk' THEN concat('{{"record_offset":0,"target_path":"C:/Users/t', k, '.exe","extra_data_blocks":[{{"signature":"0xa0000003","signature_name":"TrackerDataBlock","offset":', 300 + k, ',"length":96}},{{"signature":"0xa000000b","offset":500,"length":28,"confidence":0.7,',
+      '"property_entries":[{{"key":"MachineID","value_hint":"WS', u % 4, '-', k % 6, '","value_offset":', 510 + k, ',"value_length":24,"confidence":0.65}},{{"key":" "}},{{"key":"Comment"}}]}}]}}')
+    WHEN 'ese_database' THEN concat('{{"ese_header":{{"offset":0,"length":4096}},"ese_pages":[{{"page_number":', k % 50, ',"offset":', 4096 * k, ',"length":4096,"confidence":0.6,"tags":[{{"tag_index":0,"absolute_offset":', 4096 * k + 40, ',"length":16}},{{"tag_index":1,"offset":56,"length":', 8 + k, '}}],"table_name_hints":["UrlHistory","Container_', k % 9, '"]}},{{"page_number":0}}]}}')
     WHEN 'recovery' THEN concat('{{"record_offset":', 4096 * k, ',"record_size":', 100 + k, ',"recovered_name":"r', k, '.bin"}}')
     WHEN 'usn_jrnl' THEN concat('{{"usn":"', 96 * k, '","record_offset":', 96 * k, ',"record_size":96}}')
     ELSE '{{}}' END AS attributes_json
@@ -87,7 +96,7 @@ EF = f"{_chain(_DUCK)}, ef AS ({_EF.format(**_DUCK)})"
 ER = (
     "er AS (SELECT " + ", ".join(PLAIN) + ", " + ", ".join(f"nullif(regexp_extract(attributes_json, '\"{k}\":\"([^\"]*)\"', 1), '') AS {n}" for n, k in ATTRIBUTES.items())
     + ", lower(concat_ws(' ', event_id, event_time_utc, artifact_type, event_action, severity, host, user_name, process_name, file_path, ip, url, hash, message_short,"
-    + " parser_name, left(message_full, 2048), left(attributes_json, 4096))) AS search_text, attributes_json, message_full FROM ef)"
+    + " parser_name, message_full, attributes_json)) AS search_text, attributes_json, message_full FROM ef)"
 )
 FILES = (
     "files AS (SELECT concat('doc_', doc_id) AS file_id, source AS artifact_type, sha256(text) AS sha256, n_chars AS size, CASE doc_id % 10 WHEN 0 THEN 'failed' WHEN 1 THEN"
