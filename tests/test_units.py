@@ -139,15 +139,35 @@ def test_forest_with_a_cycle_and_a_missing_parent(spark):
     assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("d", 0)}
 
 
-def test_ioc_list_is_bounded(spark):
-    with pytest.raises(ValueError):
-        ioc.ioc_match(spark.createDataFrame([], "event_id string, search_text string, hash string, ip string, process_name string"), [str(k) for k in range(501)])
+def test_ioc_lists_of_any_length(spark, monkeypatch):
+    texts = ["abcd she hers", "his abc", None, "", "10.0.0.9 x"]
+    er = spark.createDataFrame([(f"e{k}", t, "AB" if k == 2 else None, "10.0.0.9" if k == 4 else None, None) for k, t in enumerate(texts)], "event_id string, search_text string, hash string, ip string, process_name string")
+    iocs = ["abc", "ABCD", "he", "she", "hers", "ab", "10.0.0.9", " ", "absent"] + [f"indicator-{k}" for k in range(3000)]
+    want = {(v, f"e{k}") for v in ("abc", "abcd", "he", "she", "hers", "ab", "10.0.0.9") for k, t in enumerate(texts) if t and v in t} | {("ab", "e2")}
+    for size in (8 << 20, 1000):
+        monkeypatch.setattr(ioc, "BLOCK_BYTES", size)
+        got = {(r.ioc, r.event_id): r.kind for r in ioc.ioc_match(er, iocs).collect()}
+        assert set(got) == want and got["10.0.0.9", "e4"] == "ip" and got["ab", "e2"] == "hash" and got["he", "e0"] == "text"
+    assert not ioc.ioc_match(er, []).count()
+    assert [r.severity for r in ioc.ioc_findings(er.selectExpr("*", "'t' AS event_time_utc", "'h' AS host", "'u' AS user_name"), ["10.0.0.9"]).collect()] == ["high"]
 
 
 def test_overrides(spark):
-    f = spark.createDataFrame([("r1", "low"), ("r2", "low"), ("r3", "low")], "rule_id string, severity string")
-    o = spark.createDataFrame([("r1", "suppress", None, 1), ("r2", "suppress", None, 1), ("r2", "set_severity", "high", 2)], "rule_id string, action string, severity string, created_at int")
-    assert sorted(map(tuple, findings.with_overrides(f, o).collect())) == [("r2", "high"), ("r3", "low")]
+    f = spark.createDataFrame([(f"f{k}", "sigma" if k < 6 else "ioc", f"r{k % 6}", "T" if k % 2 else "U", "low") for k in range(12)], "finding_id string, engine string, rule_id string, title string, severity string")
+    rows = [
+        ("a", None, None, "T", "set_severity", "high", True, 1), ("b", "sigma", "r1", None, "suppress", None, True, 2), ("c", "sigma", "r1", "T", "set_severity", "info", False, 9), ("d", None, "r3", None, "suppress", None, True, 1),
+        ("e", "ioc", None, "T", "set_severity", "medium", True, 5), ("f", None, None, None, "set_severity", "critical", True, 0), ("g", "ioc", "r2", "U", "suppress", None, True, 3), ("h", "sigma", None, None, "note", None, True, 0),
+    ]
+    o = spark.createDataFrame(rows, "override_id string, engine string, rule_id string, title string, action string, severity string, enabled boolean, created_at int")
+    want = {}
+    for r in f.collect():
+        fits = [x for x in rows if x[6] and all(a is None or a == b for a, b in zip(x[1:4], (r.engine, r.rule_id, r.title), strict=True))]
+        last = max(fits, key=lambda x: (x[7], x[0]), default=None)
+        if last is None or last[4] != "suppress":
+            want[r.finding_id] = last[5] if last and last[4] == "set_severity" else r.severity
+    got = findings.with_overrides(f, o)
+    assert {r.finding_id: r.severity for r in got.collect()} == want and "critical" in want.values() and len(want) < 12
+    assert {r.severity for r in findings.with_overrides(f, o.limit(0)).collect()} == {"low"}
 
 
 def test_evidence_and_fingerprint(spark, tmp_path):

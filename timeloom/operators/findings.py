@@ -256,7 +256,10 @@ def risk_summary(findings: DataFrame) -> DataFrame:
 
 
 def finding_by_event(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("event_id").agg(severity_max("severity").alias("max_severity"), F.array_join(F.slice(F.sort_array(F.collect_set("title")), 1, 8), "; ").alias("titles"))
+    """Of each event: the highest severity, up to 8 titles and up to 10 techniques of its findings, in order."""
+    titles = F.slice(F.sort_array(F.collect_set("title")), 1, 8)
+    techniques = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set("techniques")))), 1, 10)
+    return findings.groupBy("event_id").agg(severity_max("severity").alias("max_severity"), F.array_join(titles, "; ").alias("titles"), F.array_join(techniques, ",").alias("techniques"))
 
 
 def finding_score(rank: Column, techniques: Column, events: Column) -> Column:
@@ -273,10 +276,27 @@ def next_action(tactics: Column) -> Column:
 
 
 def with_overrides(findings: DataFrame, overrides: DataFrame) -> DataFrame:
-    """overrides (rule_id, action, severity, created_at): the last enabled one of a rule suppresses or sets the severity."""
-    last = overrides.groupBy("rule_id").agg(F.max_by(F.struct("action", "severity"), "created_at").alias("o"))
-    joined = findings.join(last, "rule_id", "left").where("o IS NULL OR o.action <> 'suppress'")
-    return joined.withColumn("severity", F.when(F.col("o.action") == "set_severity", F.col("o.severity")).otherwise(F.col("severity"))).drop("o")
+    """findings (finding_id, engine, rule_id, title, severity, ...) after overrides (override_id, engine, rule_id, title, action, severity, enabled, created_at).
+
+    An override applies where its engine, rule and title equal the finding's, a null one to all. Of the enabled ones that apply the last
+    decides (by created_at, then override_id): it suppresses the finding or sets its severity; other actions change nothing. Overrides
+    are joined once for each set of columns that some of them leave null, on those they name, so no wildcard is a cross join.
+    """
+    names = ["engine", "rule_id", "title"]
+    order = F.struct("created_at", "override_id").alias("at")
+    live = overrides.where("enabled").select(*names, F.struct(order, "action", F.col("severity").alias("level")).alias("o"))
+    found = []
+    for mask in range(1 << len(names)):
+        own = [n for k, n in enumerate(names) if mask >> k & 1]
+        some = live.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() if n in own else F.col(n).isNull() for n in names]))
+        if own:
+            last = some.groupBy(*own).agg(F.max("o").alias("o"))
+            found.append(findings.select("finding_id", *own).join(last, own).select("finding_id", "o"))
+        else:
+            found.append(findings.select("finding_id").crossJoin(F.broadcast(some.agg(F.max("o").alias("o")))).where("o IS NOT NULL"))  # one row
+    last = reduce(DataFrame.unionByName, found).groupBy("finding_id").agg(F.max("o").alias("o"))
+    joined = findings.join(last, "finding_id", "left").where("o IS NULL OR o.action <> 'suppress'")
+    return joined.withColumn("severity", F.when(F.col("o.action") == "set_severity", F.coalesce("o.level", "severity")).otherwise(F.col("severity"))).drop("o")
 
 
 def _field_sql(name: str) -> str:
@@ -358,16 +378,26 @@ for _n in ("sigma_condition", "sigma_custom_rules"):
 _F("sigma_skip_unsupported", " SELECT r.id AS rule_id, r.reason, count(*) AS rows_kept_from FROM fr, (VALUES ('bad_modifier', 'modifier [''base64'']'), ('bad_selection', 'no selection z')) r(id, reason) GROUP BY 1, 2")(
     lambda er: er.where("artifact_type IN ('evtx', 'hayabusa')").agg(F.count("*").alias("rows_kept_from")).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(r).alias("reason")) for i, r in compile_rules(_CUSTOM)[1]])), "rows_kept_from")
 )
-_OVERRIDES = [("kerberoast", "suppress", None, "2024-01-01"), ("account_created", "suppress", None, "2024-01-01"), ("account_created", "set_severity", "critical", "2024-01-02")]
-_F("finding_overrides", " SELECT finding_id, rule_id, CASE WHEN rule_id = 'account_created' THEN 'critical' ELSE severity END AS severity FROM findings WHERE rule_id <> 'kerberoast'")(
-    lambda er: with_overrides(sigma_eval(er), er.sparkSession.createDataFrame(_OVERRIDES, "rule_id string, action string, severity string, created_at string")).select("finding_id", "rule_id", "severity")
+#: id, engine, rule, title, action, severity, enabled, time
+_OVERRIDES = [
+    ("o1", "sigma", "kerberoast", None, "suppress", None, True, "2024-01-01"), ("o2", None, "account_created", None, "suppress", None, True, "2024-01-01"), ("o3", None, "account_created", None, "set_severity", "critical", True, "2024-01-02"),
+    ("o4", None, None, "Service installed", "set_severity", "low", True, "2024-01-03"), ("o5", "sigma", None, None, "set_severity", "info", True, "2023-01-01"), ("o6", None, None, None, "suppress", None, False, "2025-01-01"),
+    ("o7", "ioc", None, None, "suppress", None, True, "2025-01-01"), ("o8", "sigma", "log_cleared", "Other title", "suppress", None, True, "2025-01-01"), ("o9", "sigma", "service_installed", "Service installed", "note", None, True, "2024-01-04"),
+]
+_OVERRIDE_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in o) + ")" for o in _OVERRIDES)
+_F("finding_overrides", f""", o(override_id, engine, rule_id, title, action, level, enabled, created_at) AS (VALUES {_OVERRIDE_ROWS}),
+ m AS (SELECT f.*, o.action, o.level, row_number() OVER (PARTITION BY f.finding_id ORDER BY o.created_at DESC, o.override_id DESC) AS n
+  FROM findings f LEFT JOIN o ON o.enabled AND coalesce(o.engine, 'sigma') = 'sigma' AND coalesce(o.rule_id, f.rule_id) = f.rule_id AND coalesce(o.title, f.title) = f.title)
+ SELECT finding_id, rule_id, CASE WHEN action = 'set_severity' THEN coalesce(level, severity) ELSE severity END AS severity FROM m WHERE n = 1 AND coalesce(action, '') <> 'suppress'""")(
+    lambda er: with_overrides(sigma_eval(er).withColumn("engine", F.lit("sigma")), er.sparkSession.createDataFrame(_OVERRIDES, "override_id string, engine string, rule_id string, title string, action string, severity string, enabled boolean, created_at string")).select("finding_id", "rule_id", "severity")
 )
 _F("rebuild_with_findings", " SELECT event_id, event_time_utc, artifact_type, event_action, severity, event_id IN (SELECT event_id FROM findings) AS has_finding FROM er")(
     lambda er: with_finding_flag(er, sigma_eval(er)).orderBy("event_time_utc", "event_id").select("event_id", "event_time_utc", "artifact_type", "event_action", "severity", "has_finding")
 )
 _F("risk_summary", f" SELECT technique, count(*) AS findings, count(DISTINCT event_id) AS events, {MAX_SQL} AS max_severity, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen FROM (SELECT *, unnest(techniques) AS technique FROM findings) GROUP BY 1")(lambda er: risk_summary(sigma_eval(er)))
 _F("risk_donut", f", t AS (SELECT technique, {MAX_SQL} AS s FROM (SELECT *, unnest(techniques) AS technique FROM findings) GROUP BY 1) SELECT s AS max_severity, count(*) AS techniques FROM t GROUP BY 1")(lambda er: risk_summary(sigma_eval(er)).groupBy("max_severity").agg(F.count("*").alias("techniques")))
-_F("finding_by_event", f" SELECT event_id, {MAX_SQL} AS max_severity, array_to_string(list_sort(list(DISTINCT title))[1:8], '; ') AS titles FROM findings GROUP BY 1")(lambda er: finding_by_event(sigma_eval(er)))
+_F("finding_by_event", f""" SELECT event_id, {MAX_SQL} AS max_severity, array_to_string(list_sort(list(DISTINCT title))[1:8], '; ') AS titles,
+ coalesce(array_to_string(list_sort(list_distinct(flatten(list(techniques))))[1:10], ','), '') AS techniques FROM findings GROUP BY 1""")(lambda er: finding_by_event(sigma_eval(er)))
 _F("has_finding_flag", " SELECT event_id, event_id IN (SELECT event_id FROM findings) AS has_finding FROM er")(
     lambda er: with_finding_flag(er, sigma_eval(er)).select("event_id", "has_finding")
 )
