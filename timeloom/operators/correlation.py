@@ -193,8 +193,8 @@ def ordered_pair(er: DataFrame, first: str, then: str) -> DataFrame:
     )
 
 
-def chain_windowed(er: DataFrame, seconds: int = 3600, part: int = 7 * 86_400) -> DataFrame:
-    """Sessions of a key: a gap beyond the window begins a new one; those of several types stay.
+def chain_rows(er: DataFrame, seconds: int = 3600, part: int = 7 * 86_400) -> DataFrame:
+    """Rows of keys with the number of their session: a gap beyond the window begins a new one.
 
     Gaps are taken within parts of time, so a hot key spreads over tasks; the gap before a part's first event comes
     from the last event of the parts before, and a session's number from the parts' counts.
@@ -207,8 +207,49 @@ def chain_windowed(er: DataFrame, seconds: int = 3600, part: int = 7 * 86_400) -
     parts = parts.withColumn("opens", F.coalesce((F.col("first") - F.lag("last").over(over) > seconds).cast("int"), F.lit(1)))
     parts = parts.withColumn("before", F.sum(F.col("opens") + F.col("inner")).over(over) - F.col("inner"))
     session = F.col("before") + F.count_if(F.col("gap") > seconds).over(within)
-    rows = rows.join(parts.select("kind", "key", "part", "before"), ["kind", "key", "part"]).withColumn("session", session)
-    return rows.groupBy("kind", "key", "session").agg(F.count("*").alias("events"), F.countDistinct("artifact_type").alias("types"), F.min("event_time_utc").alias("first_seen")).where("types >= 2")
+    return rows.join(parts.select("kind", "key", "part", "before"), ["kind", "key", "part"]).withColumn("session", session)
+
+
+def chain_sessions(er: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Sessions of a key with events of several types."""
+    return chain_rows(er, seconds).groupBy("kind", "key", "session").agg(
+        F.count("*").alias("events"), F.countDistinct("artifact_type").alias("types"), F.min("event_time_utc").alias("first_seen")).where("types >= 2")
+
+
+#: stages of an attack in their order
+STAGES = {
+    "downloaded": "artifact_type = 'browser'", "created": "event_action IN ('usn_created', 'mft_created')", "executed": "event_action IN ('prefetch_execution', 'process_created')",
+    "persisted": "artifact_type IN ('registry_hive', 'scheduled_task') OR event_action = 'service_installed'", "deleted": "event_action = 'usn_deleted'",
+}
+
+
+def stage_of() -> Column:
+    """Number of the first stage that an event belongs to, from 1; null for others."""
+    return F.coalesce(*[F.when(F.expr(c), k + 1) for k, c in enumerate(STAGES.values())])
+
+
+def stage_names(path: Column) -> Column:
+    return F.concat_ws(">", *[F.when(path.bitwiseAND(1 << k) != 0, name) for k, name in enumerate(STAGES)])
+
+
+def chain_windowed(er: DataFrame, seconds: int = 3600, least: int = 2) -> DataFrame:
+    """kind, key, session, events, types, first_seen, stages: sessions that go through at least so many stages in their order.
+
+    stages: the longest way through stages of rising number by events one after the other (of equally long ones that with the latest stages). A stage
+    that comes before an earlier one's only event is no part of it. For each event and stage the best way so far is a running maximum
+    over one sorted session; before that, runs of one stage within a part of time shrink to their first event, so a hot session is small.
+    """
+    rows = chain_rows(er, seconds).withColumn("stage", stage_of())
+    whole = rows.groupBy("kind", "key", "session").agg(F.count("*").alias("events"), F.countDistinct("artifact_type").alias("types"), F.min("event_time_utc").alias("first_seen"))
+    run = Window.partitionBy("kind", "key", "session", "part").orderBy("t", "event_id")
+    steps = rows.where("stage IS NOT NULL").withColumn("was", F.lag("stage").over(run)).where("was IS NULL OR was <> stage")
+    before = Window.partitionBy("kind", "key", "session").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    wide = 1 << len(STAGES)  # a way is its length times `wide` plus a bit for each stage
+    for k in range(len(STAGES)):
+        best = F.greatest(F.lit(0), *[F.coalesce(F.max(f"way{j}").over(before), F.lit(0)) for j in range(k)]) if k else F.lit(0)
+        steps = steps.withColumn(f"way{k}", F.when(F.col("stage") == k + 1, best + wide + (1 << k)))
+    ways = steps.groupBy("kind", "key", "session").agg(F.max(F.coalesce(*[f"way{k}" for k in range(len(STAGES))])).alias("way")).where(F.col("way") >= least * wide)
+    return whole.join(ways, ["kind", "key", "session"]).select("kind", "key", "session", "events", "types", "first_seen", stage_names(F.col("way")).alias("stages"))
 
 
 #: techniques of chains that became findings
@@ -278,9 +319,19 @@ query("chain_event_page", KEYED + " SELECT event_id FROM keyed WHERE kind = 'fil
     lambda er: keyed(er).where("kind = 'file_basename' AND key = 'evil2.exe'").orderBy("event_time_utc", "event_id").limit(101).select("event_id")
 )
 _T = "CAST(epoch(CAST(event_time_utc AS TIMESTAMP)) AS BIGINT)"
-query("chain_windowed", KEYED + f""", a AS (SELECT *, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
+query("chain_sessions", KEYED + f""", a AS (SELECT *, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
  s AS (SELECT *, sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS session FROM a)
- SELECT kind, key, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT artifact_type) AS types, min(event_time_utc) AS first_seen FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT artifact_type) >= 2""")(chain_windowed)
+ SELECT kind, key, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT artifact_type) AS types, min(event_time_utc) AS first_seen FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT artifact_type) >= 2""")(chain_sessions)
+_WIDE = 1 << len(STAGES)
+_STAGE = "CASE " + " ".join(f"WHEN {c} THEN {k + 1}" for k, c in enumerate(STAGES.values())) + " END"
+_PRIOR = "(PARTITION BY kind, key, session ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_WAYS = ", ".join(
+    f"w{k + 1} AS (SELECT *, CASE WHEN stage = {k + 1} THEN {_WIDE + (1 << k)} + greatest(0" + "".join(f", coalesce(max(way{j}) OVER {_PRIOR}, 0)" for j in range(k)) + f") END AS way{k} FROM w{k})" for k in range(len(STAGES))
+)
+query("chain_windowed", KEYED + f""", a AS (SELECT *, {_T} AS t, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
+ w0 AS (SELECT *, {_STAGE} AS stage, sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY t, event_id) AS session FROM a), {_WAYS},
+ g AS (SELECT kind, key, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT artifact_type) AS types, min(event_time_utc) AS first_seen, max(coalesce({', '.join(f'way{k}' for k in range(len(STAGES)))})) AS way FROM w{len(STAGES)} GROUP BY 1, 2, 3)
+ SELECT * EXCLUDE (way), concat_ws('>', {', '.join(f"CASE WHEN way & {1 << k} <> 0 THEN '{n}' END" for k, n in enumerate(STAGES))}) AS stages FROM g WHERE way >= {2 * _WIDE}""")(chain_windowed)
 _PAIRS = {
     "chain_download_execute": ("artifact_type = 'browser'", "event_action IN ('prefetch_execution', 'process_created')"), "chain_create_execute": ("event_action IN ('usn_created', 'mft_created')", "event_action IN ('prefetch_execution', 'process_created')"),
     "chain_persist_execute": ("artifact_type IN ('registry_hive', 'scheduled_task') OR event_action = 'service_installed'", "event_action IN ('prefetch_execution', 'process_created')"), "chain_defender_execute": ("artifact_type = 'defender'", "event_action IN ('prefetch_execution', 'process_created')"), "chain_execute_delete": ("event_action IN ('prefetch_execution', 'process_created')", "event_action = 'usn_deleted'"), "heur_exec_then_delete": ("event_action = 'prefetch_execution'", "event_action = 'usn_deleted'"),

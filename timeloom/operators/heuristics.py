@@ -21,12 +21,24 @@ def password_spray(er: DataFrame, users: int = 3, minutes: int = 1440) -> DataFr
     return out.select("ip", F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), "users", "failures")
 
 
-def bruteforce_success(er: DataFrame, failures: int = 2, seconds: int = 5 * 86_400) -> DataFrame:
-    """Successful logons with at least so many failures of the same user on the same host in the time before."""
+def bruteforce_success(er: DataFrame, failures: int = 2, seconds: int = 5 * 86_400, bucket: int = 7_200) -> DataFrame:
+    """Successful logons with at least so many failures of the same user on the same host in the time before.
+
+    The failures between two times are a difference of two prefix sums, each the sum of whole buckets of time before it and an exact
+    count within its own bucket; so rows of a user are ordered within a bucket only, and what is summed over a user is a row a bucket.
+    """
     rows = er.where("event_action IN ('logon_failure', 'logon_success') AND user_name IS NOT NULL").withColumn("t", F.unix_timestamp(timestamp("event_time_utc"))).where("t IS NOT NULL")
-    w = Window.partitionBy("host", "user_name").orderBy("t").rangeBetween(-seconds, -1)
-    rows = rows.withColumn("failures", F.count(F.when(F.col("event_action") == "logon_failure", 1)).over(w))
-    return rows.where((F.col("event_action") == "logon_success") & (F.col("failures") >= failures)).select("event_id", "host", "user_name", "failures")
+    rows = rows.select(F.coalesce("host", F.lit("")).alias("at"), "host", "user_name", "event_id", "event_action", "t")
+    failed = rows.where("event_action = 'logon_failure'").select("at", "host", "user_name", F.lit(None).cast("string").alias("event_id"), F.col("t").alias("x"), F.lit(0).alias("sign"), F.lit(1).alias("hit"))
+    ends = F.explode(F.array(F.struct((F.col("t") - 1).alias("x"), F.lit(1).alias("sign")), F.struct((F.col("t") - seconds - 1).alias("x"), F.lit(-1).alias("sign")))).alias("e")
+    asked = rows.where("event_action = 'logon_success'").select("at", "host", "user_name", "event_id", ends).select("at", "host", "user_name", "event_id", "e.x", "e.sign", F.lit(0).alias("hit"))
+    both = failed.unionByName(asked).withColumn("bucket", F.floor(F.col("x") / bucket))
+    inside = F.sum("hit").over(Window.partitionBy("at", "user_name", "bucket").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = both.groupBy("at", "user_name", "bucket").agg(F.sum("hit").alias("n"))
+    sums = sums.select("at", "user_name", "bucket", (F.sum("n").over(Window.partitionBy("at", "user_name").orderBy("bucket")) - F.col("n")).alias("before"))
+    counted = both.withColumn("inside", inside).where("event_id IS NOT NULL").join(sums, ["at", "user_name", "bucket"])
+    out = counted.groupBy("event_id", "host", "user_name").agg(F.sum(F.col("sign") * (F.col("before") + F.col("inside"))).alias("failures"))
+    return out.where(F.col("failures") >= failures).select("event_id", "host", "user_name", "failures")
 
 
 def mass_exe_delete(er: DataFrame, n: int = 3) -> DataFrame:

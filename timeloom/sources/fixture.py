@@ -108,7 +108,7 @@ WITH = {"ef": f"WITH {EF} ", "er": f"WITH {EF}, {ER} ", "files": f"WITH {FILES}
 
 def events_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full events, stored, as a lake table is."""
-    return derived(spark, f"{sf_dir}/events.parquet", "events-full", lambda: project(spark, sf_dir))
+    return derived(spark, f"{sf_dir}/events.parquet", "events-full", lambda: project(spark, sf_dir), ["event_time_utc", "event_id"], ("event_id", "raw_record_ref"))
 
 
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The read model, stored: later filters and columns reach its scan."""
-    return derived(spark, f"{sf_dir}/events.parquet", "event-rows", lambda: compact_rows(events_full(spark, sf_dir)))
+    return derived(spark, f"{sf_dir}/events.parquet", "event-rows", lambda: compact_rows(events_full(spark, sf_dir)), ["event_time_utc", "event_id"], ("event_id", "ip", "hash"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

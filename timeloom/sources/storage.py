@@ -36,14 +36,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(found)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back."""
+def clustered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt in ranges of the order and sorted, so that statistics of files, row groups and pages tell ranges apart."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def stored(df: DataFrame, name: str, ids: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back. ids: columns that are looked up by value get bloom filters."""
     spark = df.sparkSession
     path = table_path(spark, name)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # the shuffle files of this job go when its table is written
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        for c in ids:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.option("parquet.page.row.count.limit", 5000).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,13 +75,17 @@ def spread(df: DataFrame) -> DataFrame:
 _derived: dict[tuple, str] = {}
 
 
-def derived(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the file or folder `source`, written once in a session and read from then on, as long as the source stays as it is."""
+def derived(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], order: list[str] | None = None, ids: tuple[str, ...] = ()) -> DataFrame:
+    """A table derived from the file or folder `source`, written once in a session and read from then on, as long as the source stays as it is.
+
+    order: columns by which it is clustered; ids: columns with bloom filters.
+    """
     fs, path = _hadoop(spark, source)
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, source, name, status.getModificationTime(), fs.getContentSummary(path).getLength())
     if key not in _derived or not exists(spark, _derived[key]):
-        _derived[key] = stored(spread(make()), name).stored_at
+        rows = spread(make())
+        _derived[key] = stored(clustered(rows, order) if order else rows, name, ids).stored_at
     return spark.read.parquet(_derived[key])
 
 
