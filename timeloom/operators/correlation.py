@@ -323,13 +323,13 @@ query("chain_sessions", KEYED + f""", a AS (SELECT *, {_T} - lag({_T}) OVER (PAR
  s AS (SELECT *, sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS session FROM a)
  SELECT kind, key, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT artifact_type) AS types, min(event_time_utc) AS first_seen FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT artifact_type) >= 2""")(chain_sessions)
 _WIDE = 1 << len(STAGES)
-_STAGE = "CASE " + " ".join(f"WHEN {c} THEN {k + 1}" for k, c in enumerate(STAGES.values())) + " END"
+STAGE_SQL = "CASE " + " ".join(f"WHEN {c} THEN {k + 1}" for k, c in enumerate(STAGES.values())) + " END"
 _PRIOR = "(PARTITION BY kind, key, session ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_WAYS = ", ".join(
+WAYS_SQL = ", ".join(
     f"w{k + 1} AS (SELECT *, CASE WHEN stage = {k + 1} THEN {_WIDE + (1 << k)} + greatest(0" + "".join(f", coalesce(max(way{j}) OVER {_PRIOR}, 0)" for j in range(k)) + f") END AS way{k} FROM w{k})" for k in range(len(STAGES))
 )
 query("chain_windowed", KEYED + f""", a AS (SELECT *, {_T} AS t, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
- w0 AS (SELECT *, {_STAGE} AS stage, sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY t, event_id) AS session FROM a), {_WAYS},
+ w0 AS (SELECT *, {STAGE_SQL} AS stage, sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY t, event_id) AS session FROM a), {WAYS_SQL},
  g AS (SELECT kind, key, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT artifact_type) AS types, min(event_time_utc) AS first_seen, max(coalesce({', '.join(f'way{k}' for k in range(len(STAGES)))})) AS way FROM w{len(STAGES)} GROUP BY 1, 2, 3)
  SELECT * EXCLUDE (way), concat_ws('>', {', '.join(f"CASE WHEN way & {1 << k} <> 0 THEN '{n}' END" for k, n in enumerate(STAGES))}) AS stages FROM g WHERE way >= {2 * _WIDE}""")(chain_windowed)
 _PAIRS = {

@@ -19,12 +19,6 @@ BLOCK = 128  # postings of a block
 PART = 1 << 16  # documents of a part, about
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """term, doc, tf: summed per document before anything else is shuffled."""
-    terms = docs.select(F.col(doc).alias("doc"), F.explode(F.split(F.lower(body), r"[^\p{Alnum}]+")).alias("term")).where("term <> ''")
-    return terms.groupBy("term", "doc").agg(F.count("*").alias("tf"))
-
-
 def words_of(body: str) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{Alnum}]+"), lambda t: t != "")
 

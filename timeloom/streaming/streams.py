@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from timeloom.functions.columns import filled, timestamp
-from timeloom.operators.correlation import KEYED, keyed
+from timeloom.operators.correlation import KEYED, STAGE_SQL, STAGES, WAYS_SQL, keyed, stage_of
 from timeloom.operators.findings import FINDINGS, sigma_eval
-from timeloom.operators.textindex import postings
+from timeloom.operators.textindex import words_of
 from timeloom.plans.read_models import compact_rows
 from timeloom.registry import query
 from timeloom.sources import fixture
-from timeloom.sources.storage import table_path
+from timeloom.sources.storage import stored, table_path
 
 
 def stream_event_rows(ef: DataFrame) -> DataFrame:
@@ -28,22 +32,129 @@ def _timed(rows: DataFrame, late: str) -> DataFrame:
 
 
 def stream_timeline(er: DataFrame, late: str = "1 day") -> DataFrame:
-    """Hourly counts, emitted once the watermark has passed the hour."""
-    return _timed(er, late).groupBy(F.window("t", "1 hour")).agg(F.count("*").alias("total")).select(F.col("window.start").alias("bin"), "total")
+    """Hourly counts, in all and of each severity, emitted once the watermark has passed the hour."""
+    levels = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")]
+    return _timed(er, late).groupBy(F.window("t", "1 hour")).agg(F.count("*").alias("total"), *levels).select(F.col("window.start").alias("bin"), "total", *[F.col(s) for s in ("critical", "high", "medium", "low", "info")])
 
 
 def stream_password_spray(er: DataFrame, users: int = 3, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Addresses from which several users failed to log on within a window; the state of a window holds each user's name once."""
+    """Addresses from which several users failed to log on within a window.
+
+    Two stateful steps, one behind the other: failures of each user of an address and window, then the users of the address and window.
+    The state has a count a user and a row a window, and no list of names.
+    """
     failed = _timed(er.where("event_action = 'logon_failure' AND ip IS NOT NULL"), late)
-    out = failed.groupBy("ip", F.window("t", window)).agg(F.size(F.collect_set(filled("user_name"))).alias("users"), F.count("*").alias("failures"))
-    return out.where(F.col("users") >= users).select("ip", F.col("window.start").alias("start"), "users", "failures")
+    each = failed.groupBy("ip", filled("user_name").alias("user"), F.window("t", window).alias("w")).agg(F.count("*").alias("n"))
+    each = each.select("ip", "user", "n", F.window_time("w").alias("at"))
+    out = each.groupBy("ip", F.window("at", window).alias("w")).agg(F.count("user").alias("users"), F.sum("n").alias("failures"))
+    return out.where(F.col("users") >= users).select("ip", F.col("w.start").alias("start"), "users", "failures")
 
 
 def stream_sessions(er: DataFrame, seconds: int = 3600, late: str = "1 day") -> DataFrame:
-    """Sessions of a chain key, as `chain_windowed` has them: a gap of more than so many whole seconds begins a new one."""
+    """Sessions of a chain key with events of several types, as `chain_sessions` has them: a gap of more than so many whole seconds begins a
+    new one. The state of a session has its types (some twenty at most), not its events."""
     rows = _timed(keyed(er), late)
-    out = rows.groupBy("kind", "key", F.session_window("t", f"{seconds + 1} seconds")).agg(F.count("*").alias("events"))
-    return out.select("kind", "key", F.col("session_window.start").alias("start"), "events")
+    out = rows.groupBy("kind", "key", F.session_window("t", f"{seconds + 1} seconds")).agg(F.count("*").alias("events"), F.size(F.collect_set("artifact_type")).alias("types"))
+    return out.where("types >= 2").select("kind", "key", F.col("session_window.start").alias("start"), "events", "types")
+
+
+STAGED = "kind string, key string, start long, last long, events long, stages string"
+_HELD = "last long, start long, events long, ways array<long>, ids array<string>, times array<long>, steps array<int>"
+
+
+def stream_chains(er: DataFrame, seconds: int = 3600, late: str = "1 day", least: int = 2) -> DataFrame:
+    """kind, key, start, last, events, stages of sessions that go through at least so many stages in their order, as `chain_windowed` has them.
+
+    Keyed state with timers in event time: events are held until the watermark has passed them, then taken in their order by the
+    automaton, whose state is the best way to each stage. A timer at the session's end (its last event and the gap) emits it. Held
+    events are those of the time of lateness, so the state of a key doesn't grow with its history.
+    """
+    rows = _timed(keyed(er), late).withColumn("stage", F.coalesce(stage_of(), F.lit(0)))
+    rows = rows.select("kind", "key", "t", "event_id", "stage")
+    wide = 1 << len(STAGES)
+
+    def taken(state: list, t: int, stage: int) -> None:
+        """One event in its order: state is [last, start, events, ways]."""
+        state[0], state[2] = t, state[2] + 1
+        if stage:
+            state[3][stage - 1] = max(state[3][stage - 1], max([0, *state[3][: stage - 1]]) + wide + (1 << (stage - 1)))
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        last, start, events, ways, ids, times, steps = group.get if group.exists else (None, None, 0, [0] * len(STAGES), [], [], [])
+        session = None if last is None else [last, start, events, list(ways)]
+        held = list(zip(times, ids, steps, strict=True))
+        if not group.hasTimedOut:
+            for frame in frames:
+                seconds_of = (frame["t"].astype("int64") // 10**9 if str(frame["t"].dtype).endswith("[ns]") else frame["t"].astype("datetime64[s]").astype("int64")).tolist()
+                held += zip(seconds_of, frame["event_id"].tolist(), frame["stage"].tolist(), strict=True)
+        mark = group.getCurrentWatermarkMs() // 1000
+        held.sort()
+        out, k = [], 0
+
+        def close() -> None:
+            if max(session[3]) >= least * wide:
+                path = max(session[3]) % wide
+                names = ">".join(n for j, n in enumerate(STAGES) if path >> j & 1)
+                out.append((*key, session[1], session[0], session[2], names))
+
+        while k < len(held) and held[k][0] < mark:
+            t, _, stage = held[k]
+            if session is not None and t - session[0] > seconds:
+                close()
+                session = None
+            session = session or [t, t, 0, [0] * len(STAGES)]
+            taken(session, t, stage)
+            k += 1
+        held = held[k:]
+        if session is not None and session[0] + seconds < mark and not (held and held[0][0] - session[0] <= seconds):
+            close()
+            session = None
+        if session is None and not held:
+            group.remove()
+        else:
+            columns = [list(c) for c in zip(*held, strict=True)] or [[], [], []]
+            group.update((session[0] if session else None, session[1] if session else None, session[2] if session else 0, session[3] if session else [0] * len(STAGES), columns[1], columns[0], columns[2]))
+            ends = [held[0][0] + 1] if held else []
+            ends += [session[0] + seconds + 1] if session else []
+            group.setTimeoutTimestamp(max(1000 * min(ends), group.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STAGED.split(", ")])
+
+    return rows.groupBy("kind", "key").applyInPandasWithState(update, STAGED, _HELD, "append", "EventTimeTimeout")
+
+
+CHANGES = "term string, doc string, tf long, version long"
+
+
+def stream_postings(rows: DataFrame) -> DataFrame:
+    """term, doc, tf, version of rows (doc, version, body; body null: deleted): what each version of a document changes in the index.
+
+    Keyed state holds a document's version and terms. A newer version gives its terms' counts and a tombstone (tf 0) for each term that it
+    no longer has; one that comes late, after a newer one, gives nothing.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        version, terms, counts = group.get if group.exists else (None, [], [])
+        known, out = dict(zip(terms, counts, strict=True)), []
+        arrived = sorted((row for frame in frames for row in zip(frame["version"].tolist(), frame["terms"].tolist(), frame["counts"].tolist(), strict=True)), key=lambda r: r[0])
+        for number, words, n in arrived:
+            if version is not None and number <= version:
+                continue
+            now = dict(zip(words, (int(x) for x in n), strict=True)) if words is not None else {}
+            out += [(t, key[0], now.get(t, 0), number) for t in {**known, **now} if known.get(t) != now.get(t)]
+            known, version = now, number
+        group.update((version, list(known), list(known.values())))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    split = rows.select("doc", "version", words_of("body").alias("w"))
+    terms = F.array_distinct("w")
+    counted = split.select("doc", "version", terms.alias("terms"), F.transform(terms, lambda t: F.size(F.filter("w", lambda x: x == t)).cast("long")).alias("counts"))
+    return counted.groupBy("doc").applyInPandasWithState(update, CHANGES, "version long, terms array<string>, counts array<long>", "append", "NoTimeout")
+
+
+def current_postings(changes: DataFrame) -> DataFrame:
+    """term, doc, tf as the last versions have them."""
+    last = changes.groupBy("term", "doc").agg(F.max_by("tf", "version").alias("tf"))
+    return last.where("tf > 0")
 
 
 def run(stream: DataFrame, name: str) -> DataFrame:
@@ -54,15 +165,6 @@ def run(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(folder)
 
 
-def index_sync(stream: DataFrame, folder: str, doc: str, body: str) -> None:
-    """Each batch's postings become a part of the index; a batch that is run again writes its own part anew."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        postings(batch, doc, body).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
-
-
 def stream_of(table: DataFrame) -> DataFrame:
     """A stored table as a stream of its parts."""
     folder = table.inputFiles()[0].rsplit("/", 1)[0]
@@ -74,26 +176,37 @@ def _events(at) -> DataFrame:
 
 
 def _indexed(at) -> DataFrame:
-    spark: SparkSession = at[0]
-    folder = table_path(spark, "index")
-    index_sync(stream_of(fixture.events_full(*at)).select("event_id", "message_full"), folder, "event_id", "message_full")
-    return spark.read.parquet(folder).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    """Events in up to three versions that arrive in any order: some change, some are deleted; the index of the last versions."""
+    spark = at[0]
+    base = fixture.events_full(*at).select(F.col("event_id").alias("doc"), F.col("message_full").alias("body"))
+    versions = base.withColumn("version", F.lit(1).cast("long"))
+    versions = versions.unionByName(base.where("doc LIKE '%3'").select("doc", F.concat("body", F.lit(" edited twice twice")).alias("body"), F.lit(3).cast("long").alias("version")))
+    versions = versions.unionByName(base.where("doc LIKE '%3'").select("doc", F.lit("stale words").alias("body"), F.lit(2).cast("long").alias("version")))
+    versions = versions.unionByName(base.where("doc LIKE '%7'").select("doc", F.lit(None).cast("string").alias("body"), F.lit(2).cast("long").alias("version")))
+    changes = run(stream_postings(stream_of(stored(versions.repartition(16), "versions"))), "stream-postings")
+    return current_postings(changes).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
 _T = "CAST(event_time_utc AS TIMESTAMP)"
 query("stream_event_rows", "SELECT event_id, event_code, search_text FROM er", over="session")(lambda at: run(_events(at).select("event_id", "event_code", "search_text"), "stream-rows"))
 query("stream_sigma", FINDINGS + " SELECT finding_id, event_id, rule_id FROM findings", over="session")(lambda at: run(stream_sigma(_events(at)).select("finding_id", "event_id", "rule_id"), "stream-sigma"))
-query("stream_timeline", f", b AS (SELECT date_trunc('hour', {_T}) AS bin, count(*) AS total FROM er GROUP BY 1) SELECT strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, total FROM b WHERE bin + INTERVAL 1 HOUR <= (SELECT max({_T}) - INTERVAL 1 DAY FROM er)", over="session")(
-    lambda at: run(stream_timeline(_events(at)), "stream-timeline").select(F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), "total")
+_BY = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info"))
+query("stream_timeline", f", b AS (SELECT date_trunc('hour', {_T}) AS bin, count(*) AS total, {_BY} FROM er GROUP BY 1) SELECT * REPLACE (strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin) FROM b WHERE bin + INTERVAL 1 HOUR <= (SELECT max({_T}) - INTERVAL 1 DAY FROM er)", over="session")(
+    lambda at: run(stream_timeline(_events(at)), "stream-timeline").withColumn("bin", F.date_format("bin", "yyyy-MM-dd HH:mm:ss"))
 )
 query("stream_password_spray", f""", f AS (SELECT ip, date_trunc('day', {_T}) AS start, {_T} AS t, CASE WHEN user_name NOT IN ('', '-') THEN user_name END AS u FROM er WHERE event_action = 'logon_failure' AND ip IS NOT NULL)
  SELECT ip, strftime(start, '%Y-%m-%d') AS start, count(DISTINCT u) AS users, count(*) AS failures FROM f GROUP BY ip, f.start HAVING count(DISTINCT u) >= 1 AND f.start + INTERVAL 1 DAY <= (SELECT max(t) - INTERVAL 1 DAY FROM f)""", over="session")(
     lambda at: run(stream_password_spray(_events(at), users=1), "stream-spray").select("ip", F.date_format("start", "yyyy-MM-dd").alias("start"), "users", "failures")
 )
-query("stream_sessions", KEYED + f""", a AS (SELECT kind, key, event_id, {_T} AS t, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
- s AS (SELECT *, sum(CASE WHEN gap <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY t, event_id) AS session FROM a),
- g AS (SELECT kind, key, session, min(t) AS start, max(t) AS last, count(*) AS events FROM s GROUP BY 1, 2, 3)
- SELECT kind, key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, events FROM g WHERE last + INTERVAL 3601 SECOND <= (SELECT max(t) - INTERVAL 1 DAY FROM a)""", over="session")(
-    lambda at: run(stream_sessions(_events(at)), "stream-sessions").select("kind", "key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+_SESSIONS = KEYED + f""", a AS (SELECT *, {_T} AS t, {_T} - lag({_T}) OVER (PARTITION BY kind, key ORDER BY {_T}, event_id) AS gap FROM keyed),
+ s AS (SELECT *, sum(CASE WHEN gap <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY kind, key ORDER BY t, event_id) AS session FROM a)"""
+query("stream_sessions", _SESSIONS + """, g AS (SELECT kind, key, session, min(t) AS start, max(t) AS last, count(*) AS events, CAST(count(DISTINCT artifact_type) AS INTEGER) AS types FROM s GROUP BY 1, 2, 3)
+ SELECT kind, key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, events, types FROM g WHERE types >= 2 AND last + INTERVAL 3601 SECOND <= (SELECT max(t) - INTERVAL 1 DAY FROM a)""", over="session")(
+    lambda at: run(stream_sessions(_events(at)), "stream-sessions").select("kind", "key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "types")
 )
-query("stream_index_sync", ", t AS (SELECT event_id AS doc, unnest(list_filter(regexp_split_to_array(lower(message_full), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM ef) SELECT term, count(DISTINCT doc) AS docs, count(*) AS tf FROM t GROUP BY 1", over="session")(_indexed)
+query("stream_chains", _SESSIONS + f""", w0 AS (SELECT *, {STAGE_SQL} AS stage FROM s), {WAYS_SQL},
+ g AS (SELECT kind, key, session, min(t) AS start, max(t) AS last, count(*) AS events, max(coalesce({', '.join(f'way{k}' for k in range(len(STAGES)))})) AS way FROM w{len(STAGES)} GROUP BY 1, 2, 3)
+ SELECT kind, key, CAST(epoch(start) AS BIGINT) AS start, CAST(epoch(last) AS BIGINT) AS last, events, concat_ws('>', {', '.join(f"CASE WHEN way & {1 << k} <> 0 THEN '{n}' END" for k, n in enumerate(STAGES))}) AS stages
+ FROM g WHERE way >= {2 << len(STAGES)} AND last + INTERVAL 3600 SECOND < (SELECT max(t) - INTERVAL 1 DAY FROM a)""", over="session")(lambda at: run(stream_chains(_events(at)), "stream-chains"))
+query("stream_index_sync", """, b AS (SELECT event_id AS doc, CASE WHEN event_id LIKE '%3' THEN message_full || ' edited twice twice' ELSE message_full END AS body FROM ef WHERE event_id NOT LIKE '%7'),
+ t AS (SELECT doc, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM b) SELECT term, count(DISTINCT doc) AS docs, count(*) AS tf FROM t GROUP BY 1""", over="session")(_indexed)
