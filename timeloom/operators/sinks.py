@@ -133,7 +133,7 @@ def _custody(at) -> DataFrame:
 _FOLD = "list_reduce(list_concat([''], list(digest ORDER BY seq)), lambda a, b: sha256(a || b))"
 query("custody_counts", f""", l0 AS (SELECT CAST(substr(event_id, 3) AS BIGINT) AS seq, sha256(concat_ws('|', event_id, event_action, severity)) AS digest FROM er),
  l1 AS (SELECT seq // {SEGMENT} AS seq, {_FOLD} AS digest FROM l0 GROUP BY 1), l2 AS (SELECT seq // {SEGMENT} AS seq, {_FOLD} AS digest FROM l1 GROUP BY 1),
- root AS (SELECT CASE WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT digest FROM l1) ELSE (SELECT min(digest) FROM l2) END AS root),
+ root AS (SELECT CASE WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT min(digest) FROM l1) ELSE (SELECT min(digest) FROM l2) END AS root),
  s(status, n) AS (SELECT 'ok', count(*) - 5 FROM l0 UNION ALL VALUES ('changed', 1), ('removed', 2), ('moved', 2), ('added', 1)) SELECT status, CAST(n AS BIGINT) AS n, root, '0:33' AS forged_at, CAST(0 AS BIGINT) AS breaks FROM s, root""", over="session")(_custody)
 
 
