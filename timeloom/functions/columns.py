@@ -84,6 +84,11 @@ def sanitize_account_in_message(c: Column | str) -> Column:
     return F.regexp_replace(c, rf"(?i)^((?s:.*?)user=)[^ ]*?{ACCOUNTS}\\", r"$1$2\\")
 
 
+def sha256_from_hashes(c: Column | str) -> Column:
+    """The SHA-256 of a list of named hashes, empty without one."""
+    return F.regexp_extract(c, "SHA256=([0-9A-Fa-f]{64})", 1)
+
+
 def normalize_time(c: Column | str) -> Column:
     """Epoch numbers by their digits (FILETIME, WebKit, micro-, milli-, seconds) within 1990-2100, else an ISO text; else null."""
     c = F.trim(F.col(c) if isinstance(c, str) else c)

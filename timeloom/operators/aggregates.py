@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,35 @@ def coverage_rates(files: DataFrame) -> DataFrame:
     return coverage(files).select("artifact_type", F.round(F.try_divide(F.col("parsed") * 100.0, F.col("files")), 6).alias("parsed_percent"))
 
 
-def failed_parsers(files: DataFrame) -> DataFrame:
-    return files.where("error IS NOT NULL").groupBy("artifact_type").agg(F.count("*").alias("failures"), F.max("error").alias("last_error"))
+#: supported types of artifact; a matrix has a column for each, and one for all others
+ARTIFACT_TYPES = [
+    "amcache", "browser", "defender", "ese_database", "evtx", "hayabusa", "jump_list", "lnk", "mft", "pcap", "prefetch", "recovery", "recycle_bin", "registry_hive", "scheduled_task", "srum", "usn_jrnl", "wmi",
+]
+
+
+def coverage_matrix(er: DataFrame) -> DataFrame:
+    """host x type of artifact: counts, 0 where there is nothing; `other` has the types that the list doesn't name."""
+    kind = F.when(F.col("artifact_type").isin(ARTIFACT_TYPES), F.col("artifact_type")).otherwise("other")
+    return er.groupBy("host").agg(*[F.count_if(kind == t).alias(t) for t in (*ARTIFACT_TYPES, "other")])
+
+
+def failed_parsers(runs: DataFrame) -> DataFrame:
+    """parser_name, artifact_type, failures, the last error and its time, of runs (parser_name, artifact_type, error, finished_at)."""
+    last = F.max(F.struct("finished_at", "error")).alias("last")
+    return runs.where("error IS NOT NULL").groupBy("parser_name", "artifact_type").agg(F.count("*").alias("failures"), last).select(
+        "parser_name", "artifact_type", "failures", F.col("last.error").alias("last_error"), F.col("last.finished_at").alias("last_seen"))
+
+
+def coverage_summary(parts: DataFrame) -> DataFrame:
+    """Coverage rows of several parts summed by case and type, the most files first."""
+    sums = [F.sum(c).alias(c) for c in ("files", "parsed", "failed", "unsupported", "events")]
+    return parts.groupBy("case_id", "artifact_type").agg(*sums).orderBy(F.desc("files"), "case_id", "artifact_type")
+
+
+def failed_parser_summary(parts: DataFrame) -> DataFrame:
+    """Failures of several parts summed by parser and type, with the greatest error and last time, the most failures first."""
+    return parts.groupBy("parser_name", "artifact_type").agg(F.sum("failures").alias("failures"), F.max("last_error").alias("last_error"), F.max("last_seen").alias("last_seen")).orderBy(
+        F.desc("failures"), "parser_name", "artifact_type")
 
 
 def timeline_bins(er: DataFrame) -> DataFrame:
@@ -88,10 +117,12 @@ def prefetch_summary(er: DataFrame) -> DataFrame:
         F.max(runs).alias("run_count"), F.countDistinct("source_file_id").alias("sources"), F.countDistinct("event_action").alias("actions"), F.max("event_time_utc").alias("last_run"))
 
 
-def file_op_timeline(er: DataFrame) -> DataFrame:
+def file_op_timeline(er: DataFrame, newest: int | None = None) -> DataFrame:
+    """Hours with their file operations, the last first; all of them, or the newest."""
     ops = ["usn_created", "usn_deleted", "usn_renamed", "usn_modified"]
     counts = [F.count_if(F.col("event_action") == o).alias(o) for o in ops]
-    return er.where(F.col("event_action").isin(ops)).groupBy(truncate_bin("event_time_utc", "hour").alias("bin")).agg(*counts).orderBy(F.desc("bin")).limit(180)
+    out = er.where(F.col("event_action").isin(ops)).groupBy(truncate_bin("event_time_utc", "hour").alias("bin")).agg(*counts).orderBy(F.desc("bin"))
+    return out if newest is None else out.limit(newest)
 
 
 _g = query
@@ -101,14 +132,36 @@ _g("case_totals", "SELECT (SELECT count(*) FROM er) AS events, (SELECT count(DIS
 _g("coverage_build", "SELECT artifact_type, count(*) AS files, count(*) FILTER (parser_status = 'parsed') AS parsed, count(*) FILTER (parser_status = 'failed') AS failed, count(*) FILTER (parser_status = 'unsupported') AS unsupported, CAST(sum(event_count) AS BIGINT) AS events FROM files GROUP BY 1", over="files")(coverage)
 _g("coverage_rates", "SELECT artifact_type, round(100.0 * count(*) FILTER (parser_status = 'parsed') / CAST(count(*) AS DOUBLE), 6) AS parsed_percent FROM files GROUP BY 1", over="files")(coverage_rates)
 _COUNTS = "count(*) AS files, " + ", ".join(f"count(*) FILTER (parser_status = '{p}') AS {p}" for p in ("parsed", "failed", "unsupported")) + ", CAST(sum(event_count) AS BIGINT) AS events"
-_g("coverage_summary", f"SELECT artifact_type, {_COUNTS} FROM files GROUP BY 1 ORDER BY files DESC, artifact_type", over="files")(lambda f: coverage(f).orderBy(F.desc("files"), "artifact_type"))
-_g("failed_parser_build", "SELECT artifact_type, count(*) AS failures, max(error) AS last_error FROM files WHERE error IS NOT NULL GROUP BY 1", over="files")(failed_parsers)
-_g("failed_parser_summary", "SELECT artifact_type, error, count(*) AS failures, min(file_id) AS sample FROM files WHERE error IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2", over="files")(
-    lambda f: f.where("error IS NOT NULL").groupBy("artifact_type", "error").agg(F.count("*").alias("failures"), F.min("file_id").alias("sample")).orderBy(F.desc("failures"), "artifact_type", "error")
+#: files in three parts of two cases; runs with the parser of their type and a time from the file's number, for Spark and the oracle
+_CASED = "SELECT *, CASE WHEN size % 3 = 0 THEN 'case_b' ELSE 'case_a' END AS case_id FROM files"
+_RUNS = "SELECT concat('parser_', artifact_type, CASE WHEN size % 2 = 0 THEN '_v2' ELSE '' END) AS parser_name, artifact_type, error, concat('2024-01-', lpad(cast(size % 28 + 1 AS {str}), 2, '0'), 'T', file_id) AS finished_at, size FROM files"
+
+
+def _cased(f: DataFrame) -> DataFrame:
+    return f.sparkSession.sql(_CASED.replace("files", "{files}"), files=f)
+
+
+def _runs(f: DataFrame) -> DataFrame:
+    return f.sparkSession.sql(_RUNS.replace("files", "{files}").replace("{str}", "STRING"), files=f)
+
+
+def _in_parts(rows: DataFrame, build, n: int = 3) -> DataFrame:
+    return reduce(DataFrame.unionByName, [build(rows.where(f"size % 7 % {n} = {k}")) for k in range(n)])
+
+
+_g("coverage_summary", f"SELECT case_id, artifact_type, {_COUNTS} FROM ({_CASED}) GROUP BY 1, 2", over="files")(
+    lambda f: coverage_summary(_in_parts(_cased(f), lambda p: reduce(DataFrame.unionByName, [coverage(p.where(F.col("case_id") == c)).withColumn("case_id", F.lit(c)) for c in ("case_a", "case_b")])))
+)
+_DUCK_RUNS = _RUNS.format(str="VARCHAR")
+_g("failed_parser_build", f"SELECT parser_name, artifact_type, count(*) AS failures, arg_max(error, (finished_at, error)) AS last_error, max(finished_at) AS last_seen FROM ({_DUCK_RUNS}) WHERE error IS NOT NULL GROUP BY 1, 2", over="files")(
+    lambda f: failed_parsers(_runs(f))
 )
-_g("coverage_matrix", "SELECT host, " + ", ".join(f"count(*) FILTER (artifact_type = '{t}') AS {t}" for t in ("browser", "evtx", "mft", "prefetch", "usn_jrnl")) + " FROM er GROUP BY host")(
-    lambda er: er.groupBy("host").pivot("artifact_type", ["browser", "evtx", "mft", "prefetch", "usn_jrnl"]).count().na.fill(0)
+_g("failed_parser_summary", f"""SELECT parser_name, artifact_type, CAST(sum(n) AS BIGINT) AS failures, max(e) AS last_error, max(t) AS last_seen FROM (
+ SELECT parser_name, artifact_type, size % 7 % 3 AS part, count(*) AS n, arg_max(error, (finished_at, error)) AS e, max(finished_at) AS t FROM ({_DUCK_RUNS}) WHERE error IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""", over="files")(
+    lambda f: failed_parser_summary(_in_parts(_runs(f), failed_parsers))
 )
+_KNOWN = ", ".join(f"'{t}'" for t in ARTIFACT_TYPES)
+_g("coverage_matrix", "SELECT host, " + ", ".join(f"count(*) FILTER (artifact_type = '{t}') AS {t}" for t in ARTIFACT_TYPES) + f", count(*) FILTER (artifact_type NOT IN ({_KNOWN})) AS other FROM er GROUP BY host")(coverage_matrix)
 _g("timeline_bins_build", f"SELECT substr(event_time_utc, 1, 13) || ':00:00Z' AS bin, artifact_type, count(*) AS events, {MAX_SQL} AS max_severity FROM er GROUP BY 1, 2")(timeline_bins)
 _g("timeline_bins", f"SELECT substr(event_time_utc, 1, 10) || 'T00:00:00Z' AS bin, artifact_type, count(*) AS events, {MAX_SQL} AS max_severity FROM er GROUP BY 1, 2")(
     lambda er: timeline_bins(er).groupBy(truncate_bin("bin", "day").alias("bin"), "artifact_type").agg(F.sum("events").alias("events"), severity_max("max_severity").alias("max_severity"))
@@ -141,6 +194,6 @@ _UA = f"SELECT user_name, count(*) AS events, count(DISTINCT host) AS hosts, str
 _g("user_activity", _UA)(user_activity)
 _g("user_activity_sorted", _UA)(lambda er: user_activity(er).orderBy(severity_rank("max_severity").desc(), F.desc("events"), "user_name"))
 _g("prefetch_summary", "SELECT process_name, max(try_cast(regexp_extract(attributes_json, '\"run_count\":(\\d+)', 1) AS BIGINT)) AS run_count, count(DISTINCT source_file_id) AS sources, count(DISTINCT event_action) AS actions, max(event_time_utc) AS last_run FROM er WHERE artifact_type = 'prefetch' GROUP BY 1")(prefetch_summary)
-_g("file_op_timeline", "SELECT substr(event_time_utc, 1, 13) || ':00:00Z' AS bin, " + ", ".join(f"count(*) FILTER (event_action = '{o}') AS {o}" for o in ("usn_created", "usn_deleted", "usn_renamed", "usn_modified")) + " FROM er WHERE event_action IN ('usn_created', 'usn_deleted', 'usn_renamed', 'usn_modified') GROUP BY 1 ORDER BY 1 DESC LIMIT 180")(file_op_timeline)
+_g("file_op_timeline", "SELECT substr(event_time_utc, 1, 13) || ':00:00Z' AS bin, " + ", ".join(f"count(*) FILTER (event_action = '{o}') AS {o}" for o in ("usn_created", "usn_deleted", "usn_renamed", "usn_modified")) + " FROM er WHERE event_action IN ('usn_created', 'usn_deleted', 'usn_renamed', 'usn_modified') GROUP BY 1")(file_op_timeline)
 _g("severity_rank", f"SELECT severity, {RANK_SQL} AS rank, count(*) AS n FROM er GROUP BY 1, 2")(lambda er: er.groupBy("severity", severity_rank("severity").alias("rank")).agg(F.count("*").alias("n")))
 _g("severity_max", f"SELECT host, {MAX_SQL} AS max_severity FROM er GROUP BY 1")(lambda er: er.groupBy("host").agg(rank_name(F.max(severity_rank("severity"))).alias("max_severity")))

@@ -12,8 +12,8 @@ from timeloom.registry import query
 from timeloom.sources.storage import stored
 
 ENTITIES = {"host": "host", "user": "user_name", "process": "process_name", "file": "file_path", "ip": "ip", "url": "url", "hash": "hash"}
-EDGES = {"user_logged_on_host": ("user", "host"), "process_touched_file": ("process", "file"), "process_connected_ip": ("process", "ip"), "file_has_hash": ("file", "hash"),
-         "event_mentions_entity": ("process", "url")}
+EDGES = {"user_logged_on_host": ("user", "host"), "process_touched_file": ("process", "file"), "process_connected_ip": ("process", "ip"), "file_has_hash": ("file", "hash")}
+MENTIONS = "event_mentions_entity"  # from the event's id to each of its entities
 
 EDGE = ["kind", "src", "dst"]
 
@@ -39,7 +39,9 @@ def _evidence(rows: DataFrame) -> DataFrame:
 
 def extract_edges(er: DataFrame) -> DataFrame:
     """kind, src, dst, events, first and last time and the 50 smallest evidence ids."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _canonical(ENTITIES[a]).alias("src"), _canonical(ENTITIES[b]).alias("dst")) for k, (a, b) in EDGES.items()])).alias("p")
+    named = [F.struct(F.lit(k).alias("kind"), _canonical(ENTITIES[a]).alias("src"), _canonical(ENTITIES[b]).alias("dst")) for k, (a, b) in EDGES.items()]
+    named += [F.struct(F.lit(MENTIONS).alias("kind"), F.col("event_id").alias("src"), _canonical(c).alias("dst")) for c in ENTITIES.values()]
+    pairs = F.explode(F.array(*named)).alias("p")
     rows = er.select("event_id", "event_time_utc", pairs).select("event_id", "event_time_utc", "p.*").where("src <> '' AND dst <> ''")
     seen = [F.min("event_time_utc").alias("first_seen"), F.max("event_time_utc").alias("last_seen")]
     return rows.groupBy(*EDGE).agg(F.count("*").alias("events"), *seen).join(_evidence(rows), EDGE)
@@ -70,7 +72,7 @@ def subgraph(edges: DataFrame, start: str, hops: int = 2, budget: int = 500) ->
             touch = touch.join(out.select("kind", "src", "dst"), ["kind", "src", "dst"], "left_anti")
         new = touch.withColumn("hop", F.lit(hop))
         out = new if out is None else out.unionByName(new)
-        out = out.orderBy("hop", F.desc("last_seen"), *EDGE).limit(budget)
+        out = stored(out.orderBy("hop", F.desc("last_seen"), *EDGE).limit(budget), "hop")  # the next hop and the frontier read it
         frontier = out.select(F.explode(F.array("src", "dst")).alias("entity")).distinct().join(seen, "entity", "left_anti")
         seen = seen.union(frontier).distinct()
     return out
@@ -83,6 +85,7 @@ query("entity_types", f", x AS ({_ENT}), s AS ({_ENTITIES}) SELECT type, count(*
     lambda er: extract_entities(er).groupBy("type").agg(F.count("*").alias("entities"), F.sum("events").alias("events"))
 )
 _E = " UNION ALL ".join(f"SELECT event_id, event_time_utc, '{k}' AS kind, lower(trim({ENTITIES[a]})) AS src, lower(trim({ENTITIES[b]})) AS dst FROM er WHERE {ENTITIES[a]} NOT IN ('', '-') AND {ENTITIES[b]} NOT IN ('', '-')" for k, (a, b) in EDGES.items())
+_E += "".join(f" UNION ALL SELECT event_id, event_time_utc, '{MENTIONS}', event_id, lower(trim({c})) FROM er WHERE {c} NOT IN ('', '-')" for c in ENTITIES.values())
 _EDGES = "SELECT kind, src, dst, count(*) AS events, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen, array_to_string(list_sort(list(DISTINCT event_id))[1:50], ',') AS evidence FROM y GROUP BY 1, 2, 3"
 query("extract_edges", f", y AS ({_E}) {_EDGES}")(extract_edges)
 query("edge_compaction", f", y AS ({_E}) {_EDGES}")(
