@@ -41,10 +41,27 @@ def answer_priority(text: Column) -> Column:
     return reduce(lambda out, p: F.when(F.contains(text, F.lit(p[0])), p[1]).otherwise(out), reversed(ANSWER_ORDER), F.lit(100))
 
 
+def overlay(rows: DataFrame, full: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows of both tables by key: where both have one, the fuller table's filled columns lie over the other's; what only one has is appended.
+
+    Columns are those of rows, then those that only full has; blank text (null, empty, `-`) of full covers nothing. Keys are distinct in each.
+    """
+    left, right = rows.alias("r"), full.alias("f")
+    both = left.join(right, F.col(f"r.{key}") == F.col(f"f.{key}"), "full")
+    over = lambda c: F.coalesce(F.when(~F.coalesce(F.col(f"f.{c}").cast("string"), F.lit("")).isin("", "-"), F.col(f"f.{c}")), F.col(f"r.{c}"))
+    shared, more = [c for c in rows.columns if c in full.columns], [c for c in full.columns if c not in rows.columns]
+    columns = [(over(c) if c in shared else F.col(f"r.{c}")).alias(c) for c in rows.columns] + [F.col(f"f.{c}").alias(c) for c in more]
+    source = F.when(F.col(f"r.{key}").isNull(), "full").when(F.col(f"f.{key}").isNull(), "rows").otherwise("both")
+    return both.select(*columns, source.alias("found_in"))
+
+
 def answer_candidate_filter(er: DataFrame, ef: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows that may hold an answer, first by what they hold, then by time; the full events' confidence laid over them."""
-    rows = er.where(F.col("search_text").rlike(_PATTERN)).withColumn("priority", answer_priority(F.col("search_text")))
-    out = rows.join(ef.select("event_id", "time_kind", "time_confidence"), "event_id", "left").orderBy("priority", "event_time_utc", "event_id")
+    """Events that may hold an answer by the text of their compact row or of their full record, the full ones laid over the rows; first by what
+    they hold, then by time."""
+    rows = er.where(F.col("search_text").rlike(_PATTERN)).select("event_id", "event_time_utc", "severity", "message_short", F.col("search_text").alias("text"))
+    text = F.lower(F.concat_ws(" ", "message_full", "attributes_json"))
+    full = ef.withColumn("text", text).where(F.col("text").rlike(_PATTERN)).select("event_id", "event_time_utc", "message_short", "text", "time_kind", "time_confidence")
+    out = overlay(rows, full).withColumn("priority", answer_priority(F.col("text"))).drop("text").orderBy("priority", "event_time_utc", "event_id")
     return out if limit is None else out.limit(limit)
 
 
@@ -157,8 +174,12 @@ def _sql_text(words) -> str:
     return " OR ".join(f"contains(search_text, '{w}')" for w in words)
 
 
-query("answer_candidate_filter", f", p AS (SELECT event_id, event_time_utc, CASE {' '.join(f'''WHEN contains(search_text, '{t}') THEN {n}''' for t, n in ANSWER_ORDER)} ELSE 100 END AS priority FROM er WHERE {_sql_text(ANSWER_TERMS)}) SELECT p.event_id, p.priority, ef.time_kind, ef.time_confidence FROM p JOIN ef USING (event_id)", over="session")(
-    lambda at: answer_candidate_filter(fixture.event_rows(*at), fixture.events_full(*at)).select("event_id", "priority", "time_kind", "time_confidence")
+_ORDERED = "CASE " + " ".join(f"WHEN contains(text, '{t}') THEN {n}" for t, n in ANSWER_ORDER) + " ELSE 100 END"
+query("answer_candidate_filter", f""", c AS (SELECT event_id, lower(concat_ws(' ', message_full, attributes_json)) AS text FROM ef), f AS (SELECT * FROM c WHERE {_sql_text(ANSWER_TERMS).replace('search_text', 'text')}),
+ r AS (SELECT event_id, severity, search_text AS text FROM er WHERE severity <> 'info' AND ({_sql_text(ANSWER_TERMS)})),
+ o AS (SELECT coalesce(f.event_id, r.event_id) AS event_id, r.severity, coalesce(f.text, r.text) AS text, f.event_id AS in_full, CASE WHEN r.event_id IS NULL THEN 'full' WHEN f.event_id IS NULL THEN 'rows' ELSE 'both' END AS found_in FROM r FULL JOIN f ON r.event_id = f.event_id)
+ SELECT o.event_id, o.severity, o.found_in, {_ORDERED} AS priority, CASE WHEN in_full IS NOT NULL THEN time_kind END AS time_kind, CASE WHEN in_full IS NOT NULL THEN time_confidence END AS time_confidence FROM o JOIN ef ON ef.event_id = o.event_id""", over="session")(
+    lambda at: answer_candidate_filter(fixture.event_rows(*at).where("severity <> 'info'"), fixture.events_full(*at)).select("event_id", "severity", "found_in", "priority", "time_kind", "time_confidence")
 )
 _RANK = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
 _A = ", a0 AS (" + " UNION ALL ".join(

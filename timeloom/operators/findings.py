@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.columns import blank, severity_max, severity_rank
 from timeloom.operators.aggregates import MAX_SQL
 from timeloom.plans.read_models import with_finding_flag
 from timeloom.registry import query
+from timeloom.sources.storage import rename_part, table_path
 
 DASHES = "–—―/"
 #: channels of a log source's services
@@ -61,18 +64,26 @@ RULES = [
 ]
 
 
-def load_rules(path: str) -> list[dict]:
-    """Rules of a JSON list, or of the documents of a YAML file where the library for it is there; conditions are nested lists."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            return json.load(f)
+def load_rules(spark: SparkSession, folder: str) -> list[dict]:
+    """Rules of all files of a folder of the store, in the order of their names: JSON lists, and the documents of YAML files where the library for
+    it is there. Conditions are nested lists. Rules are written by people, so their number is small; files over a megabyte are refused."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = files.where(F.lower("path").rlike(r"\.(json|ya?ml)$")).select("path", "length", F.when(F.col("length") <= 1 << 20, F.col("content")).alias("content")).orderBy("path")
+    rules = []
+    for path, size, content in files.collect():
+        if content is None:
+            raise UnsupportedRule(f"{path} has {size} bytes")
+        text = bytes(content).decode()
+        if path.lower().endswith(".json"):
+            found = json.loads(text)
+            rules += found if isinstance(found, list) else [found]
+            continue
         try:
             import yaml
         except ImportError as e:
             raise UnsupportedRule("no YAML library") from e
-        return [r for r in yaml.safe_load_all(f) if r]
+        rules += [r for r in yaml.safe_load_all(text) if r]
+    return rules
 
 
 class UnsupportedRule(ValueError):
@@ -138,7 +149,7 @@ def selection(tests: dict | list) -> Column:
 
 
 def compile_rule(rule: dict) -> Column:
-    """condition: True, a selection's name, (and | or, ...), (not, x), (n of, n, prefix), (all of, prefix)."""
+    """condition: True, a selection's name, (and | or, ...), (not, x), (n of, n, names), (all of, names)."""
     named = {k: selection(v) for k, v in rule["selections"].items()}
 
     def walk(c) -> Column:
@@ -153,8 +164,9 @@ def compile_rule(rule: dict) -> Column:
             return ~walk(rest[0])
         if op in ("and", "or"):
             return reduce((lambda a, b: a & b) if op == "and" else (lambda a, b: a | b), map(walk, rest))
-        if op in ("n of", "all of"):
-            own = [v for k, v in named.items() if k.startswith(rest[-1])]
+        if op in ("n of", "all of"):  # the last is a name with `*`, the beginning of names, or `them`
+            pattern = "*" if rest[-1] == "them" else rest[-1] if "*" in rest[-1] else rest[-1] + "*"
+            own = [v for k, v in named.items() if fnmatch.fnmatchcase(k, pattern)]
             if op == "all of":
                 return reduce(lambda a, b: a & b, own, F.lit(True))
             return sum((F.coalesce(v, F.lit(False)).cast("int") for v in own), F.lit(0)) >= rest[0]
@@ -189,23 +201,29 @@ def sigma_eval(er: DataFrame, rules: list[dict] = RULES) -> DataFrame:
         values = {"rule_id": F.lit(r["id"]), "title": F.lit(r["title"]), "severity": F.lit(r["level"]), "techniques": F.array(*map(F.lit, techniques)), "tactics": F.array(*map(F.lit, tactics))}
         hits.append(F.when(c, F.struct(*[v.alias(k) for k, v in values.items()])))
     logs = er.where(F.col("artifact_type").isin("evtx", "hayabusa")).withColumn("rule_text", rule_text())
-    rows = logs.select("event_id", "event_time_utc", "host", "user_name", "process_name", F.explode(F.array_compact(F.array(*hits))).alias("f"))
-    return rows.select(F.sha2(F.concat_ws("|", F.lit("sigma"), "f.rule_id", "event_id"), 256).alias("finding_id"), "event_id", "event_time_utc", "host", "user_name", "process_name", "f.*")
+    kept = ["event_id", "event_time_utc", "host", "user_name", "process_name"]
+    rows = logs.select("case_id", "message_short", *kept, F.explode(F.array_compact(F.array(*hits))).alias("f"))
+    return rows.select(
+        F.sha2(F.concat_ws("|", F.lit("sigma"), "f.rule_id", "event_id"), 256).alias("finding_id"), *kept, "f.*", "case_id", F.lit("sigma").alias("engine"),
+        F.concat("f.title", F.lit(": "), "message_short").alias("description"))
 
 
 ENTITIES = {"host": "host", "user": "user_name", "process": "process_name"}
 
 
+GROUP = ["case_id", "title", "severity", "engine", "rule_id"]
+
+
 def finding_summary(findings: DataFrame, entities: int = 24) -> DataFrame:
-    """A row per rule with its affected entities, the first of them in order; highest level first."""
-    groups = findings.groupBy("rule_id", "title").agg(
-        severity_max("severity").alias("severity"), F.count("*").alias("findings"), F.countDistinct("event_id").alias("events"), F.min("event_time_utc").alias("first_seen"),
-        F.max("event_time_utc").alias("last_seen"), F.min("event_id").alias("sample"), F.first("techniques").alias("techniques"), F.lit("sigma").alias("engine"))
+    """A row per case, title, severity, engine and rule with its affected entities, the first of them in order; highest level first."""
+    groups = findings.groupBy(*GROUP).agg(
+        F.count("*").alias("findings"), F.countDistinct("event_id").alias("events"), F.min("event_time_utc").alias("first_seen"),
+        F.max("event_time_utc").alias("last_seen"), F.min("event_id").alias("sample"), F.min_by("description", "event_id").alias("description"), F.first("techniques").alias("techniques"))
     named = F.explode(F.array_compact(F.array(*[F.when(~blank(c), F.concat(F.lit(f"{k}:"), c)) for k, c in ENTITIES.items()]))).alias("entity")
-    each = findings.select("rule_id", named).distinct().withColumn("k", F.row_number().over(Window.partitionBy("rule_id").orderBy("entity"))).where(F.col("k") <= entities)
-    listed = each.groupBy("rule_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    out = groups.join(listed, "rule_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
-    return out.orderBy(severity_rank("severity").desc(), F.desc("findings"), F.desc("last_seen"), "rule_id")
+    each = findings.select(*GROUP, named).distinct().withColumn("k", F.row_number().over(Window.partitionBy(*GROUP).orderBy("entity"))).where(F.col("k") <= entities)
+    listed = each.groupBy(*GROUP).agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    out = groups.join(listed, GROUP, "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    return out.orderBy(severity_rank("severity").desc(), F.desc("findings"), F.desc("last_seen"), "rule_id", "case_id")
 
 
 def related_findings(groups: DataFrame, most: int = 6) -> DataFrame:
@@ -332,21 +350,33 @@ def _rule_sql(rule: dict) -> str:
 _RULE_SQL = {r["id"]: _rule_sql(r) for r in RULES}
 _TECH = {r["id"]: tags(r) for r in RULES}
 FINDINGS = ", fr AS (SELECT *, lower(concat_ws(' ', message_full, array_to_string(json_extract_string(attributes_json, '$.data.*'), ' '))) AS rule_text FROM er WHERE artifact_type IN ('evtx', 'hayabusa')), findings AS (" + " UNION ALL ".join(
-    f"SELECT sha256('sigma|{r['id']}|' || event_id) AS finding_id, event_id, event_time_utc, host, user_name, process_name, '{r['id']}' AS rule_id, '{r['title']}' AS title, '{r['level']}' AS severity, {_TECH[r['id']][0]} AS techniques, {_TECH[r['id']][1]} AS tactics FROM fr WHERE {_RULE_SQL[r['id']]}"
+    f"SELECT sha256('sigma|{r['id']}|' || event_id) AS finding_id, event_id, event_time_utc, host, user_name, process_name, '{r['id']}' AS rule_id, '{r['title']}' AS title, '{r['level']}' AS severity, {_TECH[r['id']][0]} AS techniques, {_TECH[r['id']][1]} AS tactics, case_id, 'sigma' AS engine, '{r['title']}: ' || message_short AS description FROM fr WHERE {_RULE_SQL[r['id']]}"
     for r in RULES
 ) + ")"
 _F = lambda name, sql: query(name, FINDINGS + sql)
 _F("sigma_eval", " SELECT finding_id, event_id, rule_id, title, severity FROM findings")(lambda er: sigma_eval(er).select("finding_id", "event_id", "rule_id", "title", "severity"))
-_F("sigma_modifiers", " SELECT rule_id, count(*) AS n FROM findings GROUP BY 1")(lambda er: sigma_eval(er).groupBy("rule_id").agg(F.count("*").alias("n")))
+_one = lambda i, tests: {"id": i, "title": i, "level": "low", "tags": [], "logsource": {}, "selections": {"s": tests}, "condition": "s"}
+#: a rule for each modifier, and its test in the oracle's SQL
+_MODIFIERS = [
+    (_one("equals", {"EventID": ["4688", "1102"]}), "event_code IN ('4688', '1102')"), (_one("contains", {"CommandLine|contains": ["URLCACHE", "lsadump"]}), "contains(c, 'urlcache')"),
+    (_one("contains_all", {"CommandLine|contains|all": ["certutil", "http"]}), "contains(c, 'certutil') AND contains(c, 'http')"), (_one("startswith", {"CommandLine|startswith": ["PowerShell", "mshta"]}), "starts_with(c, 'powershell') OR starts_with(c, 'mshta')"),
+    (_one("endswith", {"CommandLine|endswith": ["/ALL", ".txt"]}), "ends_with(c, '/all') OR ends_with(c, '.txt')"), (_one("re", {"CommandLine|re": [r"^(cmd|net)\s", r"dump\s+\d{3}"]}), r"regexp_matches(c, '^(cmd|net)\s') OR regexp_matches(c, 'dump\s+\d{3}')"),
+    (_one("windash", {"CommandLine|windash|contains": ["-urlcache", "-enc"]}), "contains(c, '-urlcache') OR contains(c, '-enc') OR contains(c, '/urlcache')"), (_one("null", {"MemberName": [None]}), "coalesce(json_extract_string(attributes_json, '$.data.MemberName'), '') = ''"),
+    (_one("cased", {"TargetUserName|cased": ["USER3"]}), "lower(json_extract_string(attributes_json, '$.data.TargetUserName')) = 'user3'"),
+    (_one("two_fields", {"EventID": ["4625"], "TargetUserName|endswith": ["1"]}), "event_code = '4625' AND ends_with(json_extract_string(attributes_json, '$.data.TargetUserName'), '1')"),
+]
+_F("sigma_modifiers", ", m AS (SELECT *, lower(coalesce(json_extract_string(attributes_json, '$.data.CommandLine'), command_line, '')) AS c FROM fr) " + " UNION ALL ".join(f"SELECT event_id, '{r['id']}' AS rule_id FROM m WHERE {test}" for r, test in _MODIFIERS))(
+    lambda er: sigma_eval(er, [r for r, _ in _MODIFIERS]).select("event_id", "rule_id")
+)
 _F("sigma_tags", " SELECT DISTINCT rule_id, array_to_string(techniques, ',') AS techniques, array_to_string(tactics, ',') AS tactics FROM findings")(lambda er: sigma_eval(er).select("rule_id", F.array_join("techniques", ",").alias("techniques"), F.array_join("tactics", ",").alias("tactics")).distinct())
 SUMMARY = FINDINGS + f""", en AS (SELECT DISTINCT rule_id, unnest([{', '.join(f"CASE WHEN {c} NOT IN ('', '-') THEN '{k}:' || {c} END" for k, c in ENTITIES.items())}]) AS entity FROM findings),
  el AS (SELECT rule_id, list(entity ORDER BY entity)[1:24] AS entities FROM en WHERE entity IS NOT NULL GROUP BY 1),
- groups AS (SELECT rule_id, title, {MAX_SQL} AS severity, count(*) AS findings, count(DISTINCT event_id) AS events, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen, min(event_id) AS sample, first(techniques) AS techniques,
-  'sigma' AS engine, coalesce(first(entities), []) AS entities FROM findings LEFT JOIN el USING (rule_id) GROUP BY 1, 2)"""
+ groups AS (SELECT case_id, title, severity, engine, rule_id, count(*) AS findings, count(DISTINCT event_id) AS events, min(event_time_utc) AS first_seen, max(event_time_utc) AS last_seen, min(event_id) AS sample,
+  arg_min(description, event_id) AS description, first(techniques) AS techniques, coalesce(first(entities), []) AS entities FROM findings LEFT JOIN el USING (rule_id) GROUP BY 1, 2, 3, 4, 5)"""
 _groups = lambda er: finding_summary(sigma_eval(er))
 _flat = lambda: [F.array_join("techniques", ",").alias("techniques"), F.array_join("entities", ",").alias("entities")]
 _S = lambda name, sql: query(name, SUMMARY + sql)
-_S("finding_summary", " SELECT * REPLACE (array_to_string(techniques, ',') AS techniques, array_to_string(entities, ',') AS entities) FROM groups")(lambda er: _groups(er).select("rule_id", "title", "severity", "findings", "events", "first_seen", "last_seen", "sample", "engine", *_flat()))
+_S("finding_summary", " SELECT * REPLACE (array_to_string(techniques, ',') AS techniques, array_to_string(entities, ',') AS entities) FROM groups")(lambda er: _groups(er).select("case_id", "rule_id", "title", "severity", "findings", "events", "first_seen", "last_seen", "sample", "description", "engine", *_flat()))
 _S("related_findings", """, k AS (SELECT DISTINCT rule_id, severity, findings, unnest(list_concat(techniques, list_filter(entities, lambda e: starts_with(e, 'host:')))) AS shared FROM groups),
  p AS (SELECT DISTINCT a.rule_id, b.rule_id AS related, CASE b.severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank, b.findings FROM k a JOIN k b ON a.shared = b.shared AND a.rule_id <> b.rule_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY rank DESC, findings DESC, related) AS n FROM p) SELECT rule_id, related FROM r WHERE n <= 6""")(lambda er: related_findings(_groups(er)))
@@ -371,10 +401,26 @@ _CUSTOM = [
     {"id": "bad_modifier", "title": "t", "level": "low", "tags": [], "logsource": {}, "selections": {"s": {"CommandLine|base64": ["x"]}}, "condition": "s"},
     {"id": "bad_selection", "title": "t", "level": "low", "tags": [], "logsource": {}, "selections": {"s": ["x"]}, "condition": "z"},
 ]
+_THEM = {"id": "one_of_them", "title": "t", "level": "low", "tags": [], "logsource": {}, "selections": {"x": ["vssadmin"], "y": ["notepad"]}, "condition": ["n of", 1, "them"]}
 _TWO = "(CAST(contains(rule_text, 'powershell') AS INTEGER) + CAST(contains(rule_text, '-enc') AS INTEGER) + CAST(contains(rule_text, 'whoami') AS INTEGER)) >= 2"
 _ALL = "event_code IN ('4688', '1') AND contains(rule_text, 'cmd') AND contains(rule_text, 'whoami') AND NOT ends_with(lower(command_line), 'x')"
-for _n in ("sigma_condition", "sigma_custom_rules"):
-    _F(_n, f" SELECT event_id, 'any_two' AS rule_id FROM fr WHERE {_TWO} UNION ALL SELECT event_id, 'all_but' FROM fr WHERE {_ALL}")(lambda er: sigma_eval(er, _CUSTOM).select("event_id", "rule_id"))
+_F("sigma_condition", f" SELECT event_id, 'any_two' AS rule_id FROM fr WHERE {_TWO} UNION ALL SELECT event_id, 'all_but' FROM fr WHERE {_ALL} UNION ALL SELECT event_id, 'one_of_them' FROM fr WHERE contains(rule_text, 'vssadmin') OR contains(rule_text, 'notepad')")(
+    lambda er: sigma_eval(er, [*_CUSTOM, _THEM]).select("event_id", "rule_id")
+)
+
+
+def _from_folder(er: DataFrame) -> DataFrame:
+    """Rules written as two files and read again."""
+    spark = er.sparkSession
+    folder = table_path(spark, "rules")
+    for name, rules in (("a", _CUSTOM[:1]), ("b", _CUSTOM[1:])):
+        spark.createDataFrame([(json.dumps(rules),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    for name in ("a", "b"):
+        rename_part(spark, f"{folder}/{name}", f"{folder}/{name}.json")
+    return sigma_eval(er, load_rules(spark, folder))
+
+
+_F("sigma_custom_rules", f" SELECT event_id, rule_id, severity FROM (SELECT event_id, 'any_two' AS rule_id, 'low' AS severity FROM fr WHERE {_TWO} UNION ALL SELECT event_id, 'all_but', 'low' FROM fr WHERE {_ALL})")(lambda er: _from_folder(er).select("event_id", "rule_id", "severity"))
 _F("sigma_skip_unsupported", " SELECT r.id AS rule_id, r.reason, count(*) AS rows_kept_from FROM fr, (VALUES ('bad_modifier', 'modifier [''base64'']'), ('bad_selection', 'no selection z')) r(id, reason) GROUP BY 1, 2")(
     lambda er: er.where("artifact_type IN ('evtx', 'hayabusa')").agg(F.count("*").alias("rows_kept_from")).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(r).alias("reason")) for i, r in compile_rules(_CUSTOM)[1]])), "rows_kept_from")
 )
@@ -389,7 +435,7 @@ _F("finding_overrides", f""", o(override_id, engine, rule_id, title, action, lev
  m AS (SELECT f.*, o.action, o.level, row_number() OVER (PARTITION BY f.finding_id ORDER BY o.created_at DESC, o.override_id DESC) AS n
   FROM findings f LEFT JOIN o ON o.enabled AND coalesce(o.engine, 'sigma') = 'sigma' AND coalesce(o.rule_id, f.rule_id) = f.rule_id AND coalesce(o.title, f.title) = f.title)
  SELECT finding_id, rule_id, CASE WHEN action = 'set_severity' THEN coalesce(level, severity) ELSE severity END AS severity FROM m WHERE n = 1 AND coalesce(action, '') <> 'suppress'""")(
-    lambda er: with_overrides(sigma_eval(er).withColumn("engine", F.lit("sigma")), er.sparkSession.createDataFrame(_OVERRIDES, "override_id string, engine string, rule_id string, title string, action string, severity string, enabled boolean, created_at string")).select("finding_id", "rule_id", "severity")
+    lambda er: with_overrides(sigma_eval(er), er.sparkSession.createDataFrame(_OVERRIDES, "override_id string, engine string, rule_id string, title string, action string, severity string, enabled boolean, created_at string")).select("finding_id", "rule_id", "severity")
 )
 _F("rebuild_with_findings", " SELECT event_id, event_time_utc, artifact_type, event_action, severity, event_id IN (SELECT event_id FROM findings) AS has_finding FROM er")(
     lambda er: with_finding_flag(er, sigma_eval(er)).orderBy("event_time_utc", "event_id").select("event_id", "event_time_utc", "artifact_type", "event_action", "severity", "has_finding")

@@ -59,7 +59,7 @@ SELECT concat('ev', lpad(cast(n AS {str}), 8, '0')) AS event_id, 'case_demo' AS
     WHEN 'evtx' THEN concat('{{"event_id":"', event_code, '","channel":"Security"',
       CASE WHEN event_action = 'process_created' THEN concat(',"process_id":"', k, '","process_guid":"g', u, '-', k, '"',
         CASE WHEN k >= 4 THEN concat(',"parent_process_guid":"g', u, '-', k - 4, '","parent_process":"C:/Windows/explorer.exe"') ELSE '' END,
-        ',"command_line":"', cmd, '"') ELSE '' END,
+        ',"command_line":"', cmd, '"') WHEN event_code IN ('3', '4624', '4625') THEN concat(',"process_guid":"g', u, '-', k - k % 4, '"') ELSE '' END,
       ',"data":{{"TargetUserName":"user', u, CASE event_code WHEN '4624' THEN concat('","LogonType":"', CASE k % 3 WHEN 0 THEN '3' WHEN 1 THEN '10' ELSE '2' END, '","AuthenticationPackageName":"', CASE WHEN u % 2 = 0 THEN 'NTLM' ELSE 'Kerberos' END)
         WHEN '4732' THEN concat('","MemberName":"user', u - 3) WHEN '4768' THEN concat('","PreAuthType":"', CASE WHEN k % 8 = 3 THEN '0' ELSE '2' END) ELSE '' END, '","TicketEncryptionType":"', CASE WHEN u % 8 = 3 THEN '0x17' ELSE '0x12' END, '","ServiceName":"svc', u, '","CommandLine":"', cmd, '"}}', CASE event_code
         WHEN '4769' THEN concat(',"semantics":{{"event_kind":"kerberos_tgs_request","service_name":"svc', u, '","ticket_encryption_name":"', CASE WHEN u % 8 = 3 THEN 'RC4' ELSE 'AES' END, '","labels":[', CASE WHEN u % 8 = 3 THEN '"kerberoast_candidate"' ELSE '' END, ']}}')

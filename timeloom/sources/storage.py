@@ -59,6 +59,14 @@ def stored(df: DataFrame, name: str, ids: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+def rename_part(spark: SparkSession, folder: str, path: str) -> None:
+    """Gives the only part of a folder a name of its own and removes the folder."""
+    fs, source = _hadoop(spark, folder)
+    part = next(s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    fs.delete(source, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes stored tables that no frame still to be computed reads."""
     for df in frames:
