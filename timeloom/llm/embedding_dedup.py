@@ -238,7 +238,7 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     ordered = rotated.select("*", *order)
     by = [f"c{k}" for k in range(CELL)] + lead[-1:]
     folder = S.table_path(spark, "tiles")
-    ranged = ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("rep", "n", "vector", "y")
+    ranged = ordered.repartitionByRange(*by).sortWithinPartitions(*by, "rep").select("rep", "n", "vector", "y")
     boxes = S.stored(ranged.mapInArrow(_tiles(folder), "tile long, lo array<double>, hi array<double>"), "boxes")
 
     def cells(more: float, s: str):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.sources.storage import discard, shared_dir, spread, stored, table_path  # noqa: F401
+from timeloom.sources.storage import discard, scope, shared_dir, spread, stored, table_path  # noqa: F401
 
 U64 = np.uint64
 
