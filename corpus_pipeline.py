@@ -62,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents; each one's result is written to the shared folder and read again, and what it and its predecessor left there goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = shared.stored(stage(spark, docs, sf_dir), name)
+        path = shared.table_path(spark, name)
+        with shared.scope(spark):
+            docs = shared.stored(stage(spark, docs, sf_dir), name, path=path)
+        if before is not None:
+            shared.discard(before)
+        before = docs
     return docs

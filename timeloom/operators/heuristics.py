@@ -47,12 +47,23 @@ def mass_exe_delete(er: DataFrame, n: int = 3) -> DataFrame:
     return gone.groupBy("host", day).agg(F.count("*").alias("deleted")).where(F.col("deleted") >= n)
 
 
-def account_created_then_used(er: DataFrame, seconds: int = 7 * 86_400) -> DataFrame:
-    """Accounts created and then, within the time, logged on: equi-join on the user, range on the time."""
+def account_created_then_used(er: DataFrame, seconds: int = 7 * 86_400, bucket: int = 7_200) -> DataFrame:
+    """Accounts created and then, within the time, logged on: the pairs of a creation and a logon are counted, not made.
+
+    Logons between two times are a difference of prefix sums, as in `bruteforce_success`.
+    """
     t = F.unix_timestamp(timestamp("event_time_utc"))
-    made = er.where("event_action = 'account_created'").where(filled("user_name").isNotNull()).select("user_name", F.col("event_id").alias("created"), t.alias("t0"))
-    used = er.where("event_action = 'logon_success'").select("user_name", F.col("event_id").alias("used"), t.alias("t1"))
-    return made.join(used, "user_name").where((F.col("t1") > F.col("t0")) & (F.col("t1") - F.col("t0") <= seconds)).groupBy("user_name").agg(F.count("*").alias("pairs"), F.min("created").alias("created"))
+    made = er.where("event_action = 'account_created'").where(filled("user_name").isNotNull()).select("user_name", F.col("event_id").alias("created"), t.alias("t")).where("t IS NOT NULL")
+    used = er.where("event_action = 'logon_success' AND user_name IS NOT NULL").select("user_name", t.alias("x")).where("x IS NOT NULL")
+    ends = F.explode(F.array(F.struct((F.col("t") + seconds).alias("x"), F.lit(1).alias("sign")), F.struct(F.col("t").alias("x"), F.lit(-1).alias("sign")))).alias("e")
+    asked = made.select("user_name", "created", ends).select("user_name", "created", "e.x", "e.sign", F.lit(0).alias("hit"))
+    both = used.select("user_name", F.lit(None).cast("string").alias("created"), "x", F.lit(0).alias("sign"), F.lit(1).alias("hit")).unionByName(asked).withColumn("bucket", F.floor(F.col("x") / bucket))
+    inside = F.sum("hit").over(Window.partitionBy("user_name", "bucket").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = both.groupBy("user_name", "bucket").agg(F.sum("hit").alias("n"))
+    sums = sums.select("user_name", "bucket", (F.sum("n").over(Window.partitionBy("user_name").orderBy("bucket")) - F.col("n")).alias("before"))
+    counted = both.withColumn("inside", inside).where("created IS NOT NULL").join(sums, ["user_name", "bucket"])
+    each = counted.groupBy("user_name", "created").agg(F.sum(F.col("sign") * (F.col("before") + F.col("inside"))).alias("pairs")).where("pairs > 0")
+    return each.groupBy("user_name").agg(F.sum("pairs").alias("pairs"), F.min("created").alias("created"))
 
 
 def _data(*keys: str):

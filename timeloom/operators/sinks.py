@@ -36,7 +36,7 @@ def scan_table(spark: SparkSession, folder: str, schema: StructType) -> DataFram
     """All parts of a folder by column names; columns that a part lacks are null, a missing folder is an empty table. Of a lake, filters on its folders' column list only their files."""
     if not exists(spark, folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
 
 
 def rebuild_skip_check(full: DataFrame, rows: DataFrame, findings: DataFrame, version: int) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_here = threading.local()  # the scopes that this thread is in
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables and folders made inside go when it ends. A result must be written before: under a path taken outside, or elsewhere."""
+    open_ = _here.__dict__.setdefault("scopes", [])
+    open_.append([])
+    try:
+        yield
+    finally:
+        for path in open_.pop():
+            fs, found = _hadoop(spark, path)
+            fs.delete(found, True)
+
+
+@contextmanager
+def _no_scope() -> Iterator[None]:
+    """For tables that a session keeps."""
+    held, _here.scopes = _here.__dict__.get("scopes", []), []
+    try:
+        yield
+    finally:
+        _here.scopes = held
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _here.__dict__.get("scopes"):
+        _here.scopes[-1].append(path)
+    return path
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -41,19 +72,35 @@ def clustered(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def stored(df: DataFrame, name: str, ids: tuple[str, ...] = ()) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back. ids: columns that are looked up by value get bloom filters."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the shuffle files of this job go when its table is written
+_writing: dict[int, list] = {}  # session -> [writes under way, its own setting]
+_lock = threading.Lock()
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when its table is written; the session's setting returns after the last of the writes under way."""
+    with _lock:
+        state = _writing.setdefault(id(spark), [0, spark.conf.get(_CLEAN, "false")])
+        state[0] += 1
+        spark.conf.set(_CLEAN, "true")
     try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(_CLEAN, _writing.pop(id(spark))[1])
+
+
+def stored(df: DataFrame, name: str, ids: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder (or to path) and reads it back. ids: columns that are looked up by value get bloom filters."""
+    spark = df.sparkSession
+    path = path or table_path(spark, name)
+    with _cleaned(spark):
         writer = df.write.option("compression", "zstd")
         for c in ids:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.option("parquet.page.row.count.limit", 5000).parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -92,8 +139,9 @@ def derived(spark: SparkSession, source: str, name: str, make: Callable[[], Data
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, source, name, status.getModificationTime(), fs.getContentSummary(path).getLength())
     if key not in _derived or not exists(spark, _derived[key]):
-        rows = spread(make())
-        _derived[key] = stored(clustered(rows, order) if order else rows, name, ids).stored_at
+        with _no_scope():
+            rows = spread(make())
+            _derived[key] = stored(clustered(rows, order) if order else rows, name, ids).stored_at
     return spark.read.parquet(_derived[key])
 
 
@@ -103,7 +151,8 @@ def derived_folder(spark: SparkSession, source: str, name: str, make: Callable[[
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, source, name, status.getModificationTime(), fs.getContentSummary(path).getLength())
     if key not in _derived or not exists(spark, _derived[key]):
-        folder = table_path(spark, name)
-        make(folder)
+        with _no_scope():
+            folder = table_path(spark, name)
+            make(folder)
         _derived[key] = folder
     return _derived[key]
