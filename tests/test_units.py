@@ -178,7 +178,7 @@ def test_evidence_and_fingerprint(spark, tmp_path):
     ledger = spark.createDataFrame([("a", hashlib.sha256(b"1").hexdigest()), ("b", "0"), ("c", "0")], "name string, sha256 string")
     got = integrity.evidence_verify(spark, str(tmp_path), ledger)
     assert sorted(map(tuple, got.collect())) == [("a", "ok"), ("b", "mismatch"), ("c", "missing")]
-    assert tuple(integrity.custody_counts(got).first()) == (3, 2)
+    assert tuple(integrity.verified_counts(got).first()) == (3, 2)
     first = integrity.table_fingerprint(spark, str(tmp_path)).first()["fingerprint"]
     (tmp_path / "d").write_bytes(b"3")
     assert first != integrity.table_fingerprint(spark, str(tmp_path)).first()["fingerprint"]
@@ -207,7 +207,11 @@ def test_edges_of_parts_are_united(spark):
     assert graph.compact_edges(parts.limit(0)).count() == 0
     columns = ["event_id", "event_time_utc", *graph.ENTITIES.values()]
     er = spark.createDataFrame([("e1", "t1", "H", None, "P.exe", None, " ", "http://U", None), ("e2", None, None, None, "p.exe", None, None, "http://u ", None)], ", ".join(f"{c} string" for c in columns))
-    assert [tuple(r) for r in graph.extract_edges(er).select(*graph.EDGE, "events", "first_seen", "evidence").collect()] == [("event_mentions_entity", "p.exe", "http://u", 2, "t1", "e1,e2")]
+    er = er.withColumn("ip", F.lit("1.2.3.4"))
+    got = sorted(tuple(r) for r in graph.extract_edges(er).select(*graph.EDGE, "events", "first_seen", "evidence").collect())
+    mentions = [("e1", "h", "t1"), ("e1", "p.exe", "t1"), ("e1", "http://u", "t1"), ("e1", "1.2.3.4", "t1"), ("e2", "p.exe", None), ("e2", "http://u", None), ("e2", "1.2.3.4", None)]
+    want = [("event_mentions_entity", a, b, 1, t, a) for a, b, t in mentions] + [("process_connected_ip", "p.exe", "1.2.3.4", 2, "t1", "e1,e2")]
+    assert got == sorted(want)
 
 
 def test_streams_equal_batch(spark, tmp_path):
