@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.columns import RANKS, filled, rank_name, severity_max, severity_rank, timestamp, truncate_bin
 from timeloom.registry import query
+from timeloom.sources import fixture
 
 RANK_SQL = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
 
@@ -185,7 +186,18 @@ _g("dow_hour_heatmap", "SELECT CAST(dayofweek(CAST(event_time_utc AS TIMESTAMP))
 )
 _FS = " UNION ALL ".join(f"SELECT '{f}' AS field, coalesce({f}, '-') AS value FROM er" for f in FACETS)
 _g("event_facets", f", f AS ({_FS}), c AS (SELECT field, value, count(*) AS n FROM f GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS k FROM c) SELECT field, value, n FROM r WHERE k <= 8")(facets)
-_g("artifact_options", "SELECT artifact_type, count(*) AS n FROM er WHERE artifact_type <> '' GROUP BY 1 ORDER BY 2 DESC, 1")(lambda er: er.where("artifact_type <> ''").groupBy("artifact_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "artifact_type"))
+
+
+def artifact_options(coverage_rows: DataFrame, er: DataFrame) -> DataFrame:
+    """artifact_type, n: each type with the larger of its files in the coverage and its events, blank ones left out, the most first."""
+    both = coverage_rows.select("artifact_type", F.col("files").alias("n")).unionByName(er.groupBy("artifact_type").agg(F.count("*").alias("n")))
+    return both.where(filled("artifact_type").isNotNull()).groupBy("artifact_type").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "artifact_type")
+
+
+_g("artifact_options", """, c AS (SELECT CASE source WHEN 'web' THEN 'browser' WHEN 'books' THEN 'mft' ELSE source END AS artifact_type, count(*) AS n FROM documents GROUP BY 1),
+ b AS (SELECT * FROM c UNION ALL SELECT artifact_type, count(*) FROM er GROUP BY 1) SELECT artifact_type, max(n) AS n FROM b WHERE artifact_type NOT IN ('', '-') GROUP BY 1""", over="session")(
+    lambda at: artifact_options(coverage(fixture.files(*at).replace({"web": "browser", "books": "mft"}, subset=["artifact_type"])), fixture.event_rows(*at))
+)
 _g("login_outcomes", "SELECT count(*) FILTER (event_code = '4624') AS success, count(*) FILTER (event_code = '4625') AS failure FROM er")(lambda er: er.agg(F.count_if(F.col("event_code") == "4624").alias("success"), F.count_if(F.col("event_code") == "4625").alias("failure")))
 _g("artifact_stats", "SELECT artifact_type, count(*) AS events, count(*) FILTER (severity IN ('critical', 'high')) AS high, count(DISTINCT host) AS hosts, count(DISTINCT user_name) FILTER (user_name NOT IN ('', '-')) AS users FROM er GROUP BY 1")(
     lambda er: er.groupBy("artifact_type").agg(F.count("*").alias("events"), F.count_if(F.col("severity").isin("critical", "high")).alias("high"), F.countDistinct("host").alias("hosts"), F.countDistinct(filled("user_name")).alias("users"))

@@ -10,10 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeloom.functions.columns import blank, severity_max, severity_rank
+from timeloom.functions.columns import ACCOUNTS, blank, severity_max, severity_rank
 from timeloom.operators.aggregates import MAX_SQL
-from timeloom.plans.read_models import with_finding_flag
+from timeloom.plans.read_models import rebuild_event_rows, with_finding_flag
 from timeloom.registry import query
+from timeloom.sources import fixture
 from timeloom.sources.storage import rename_part, table_path
 
 DASHES = "–—―/"
@@ -461,3 +462,17 @@ _F("tactic_hours", " SELECT tactic, substr(event_time_utc, 12, 2) AS hour, count
     lambda er: sigma_eval(er).select(F.explode("tactics").alias("tactic"), F.substring("event_time_utc", 12, 2).alias("hour")).groupBy("tactic", "hour").agg(F.count("*").alias("findings"))
 )
 _F("suspicious_actions", f" SELECT event_action, {MAX_SQL} AS severity, count(*) AS events FROM er WHERE severity IN ('critical', 'high') GROUP BY 1")(lambda er: er.where("severity IN ('critical', 'high')").groupBy("event_action").agg(severity_max("severity").alias("severity"), F.count("*").alias("events")))
+
+
+#: events with accounts that need cleaning, for Spark and the oracle
+_JUNK = "CASE WHEN length(message_short) % 3 = 0 THEN concat(message_short, ' user=', host, 'BUILTIN{b}', event_action) ELSE message_short END"
+_JUNK_USER = "CASE WHEN length(message_short) % 3 = 1 THEN concat(host, 'nt service{b}', event_action) ELSE user_name END"
+
+
+def _rebuilt(at) -> DataFrame:
+    ef = fixture.events_full(*at).withColumn("user_name", F.expr(_JUNK_USER.format(b="\\\\"))).withColumn("message_short", F.expr(_JUNK.format(b="\\\\")))
+    return rebuild_event_rows(ef, sigma_eval(fixture.event_rows(*at)).select("event_id")).drop("search_text", "command_line")
+
+
+_SANE = f"regexp_replace({_JUNK_USER.format(b=chr(92))}, '(?i)^.*?{ACCOUNTS}\\\\', '\\1\\\\') AS user_name, regexp_replace({_JUNK.format(b=chr(92))}, '(?i)^((?s:.*?)user=)[^ ]*?{ACCOUNTS}\\\\', '\\1\\2\\\\') AS message_short"
+query("rebuild_event_rows", FINDINGS + f" SELECT * EXCLUDE (attributes_json, message_full, search_text, command_line) REPLACE ({_SANE}), event_id IN (SELECT event_id FROM findings) AS has_finding FROM er", over="session")(_rebuilt)

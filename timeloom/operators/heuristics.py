@@ -115,7 +115,18 @@ query("heur_lolbin_inventory", f", l AS (SELECT nullif(regexp_extract(lower(comm
 query("heur_has_finding", f"SELECT event_id FROM er WHERE regexp_matches(lower(coalesce(command_line, '')), '{_LOL}| -enc |urlcache') OR (url IS NOT NULL AND regexp_matches(url, '\\.(exe|ps1|js)$'))")(
     lambda er: er.where(F.lower(F.coalesce("command_line", F.lit(""))).rlike(f"{_LOL}| -enc |urlcache") | (F.col("url").isNotNull() & F.col("url").rlike(r"\.(exe|ps1|js)$"))).select("event_id")
 )
-query("heur_service_install", "SELECT host, count(*) AS installs FROM er WHERE event_code IN ('7045', '4697') GROUP BY 1")(lambda er: er.where("event_code IN ('7045', '4697')").groupBy("host").agg(F.count("*").alias("installs")))
+
+
+def service_installs(er: DataFrame) -> DataFrame:
+    """event_id, event_time_utc, host, user_name, service, image of services that were installed (7045, 4697)."""
+    name = attr_string("attributes_json", "data.ServiceName", "data.service_name", "service_name")
+    image = attr_string("attributes_json", "data.ImagePath", "data.ServiceFileName", "data.CommandLine")
+    return er.where("event_code IN ('7045', '4697')").select("event_id", "event_time_utc", "host", filled("user_name").alias("user_name"), name.alias("service"), image.alias("image"))
+
+
+query("heur_service_install", """ SELECT event_id, event_time_utc, host, nullif(nullif(user_name, ''), '-') AS user_name, json_extract_string(attributes_json, '$.data.ServiceName') AS service,
+ json_extract_string(attributes_json, '$.data.CommandLine') AS image FROM er WHERE event_code IN ('7045', '4697')""")(service_installs)
+query("service_installs_by_host", "SELECT host, count(*) AS installs FROM er WHERE event_code IN ('7045', '4697') GROUP BY 1")(lambda er: service_installs(er).groupBy("host").agg(F.count("*").alias("installs")))
 query("heur_off_hours_logon", "SELECT event_id FROM er WHERE event_action = 'logon_success' AND (hour(CAST(event_time_utc AS TIMESTAMP)) < 7 OR hour(CAST(event_time_utc AS TIMESTAMP)) >= 19)")(
     lambda er: er.where("event_action = 'logon_success'").where((F.hour(timestamp("event_time_utc")) < 7) | (F.hour(timestamp("event_time_utc")) >= 19)).select("event_id")
 )

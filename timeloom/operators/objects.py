@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.columns import attr_i64, filled
 from timeloom.registry import query
+from timeloom.sources.storage import stored
 
 REFERENCES = {"file": "file_path", "process": "process_name", "hash": "hash", "ip": "ip", "url": "url", "user": "user_name"}
 
@@ -251,6 +252,15 @@ def _duck(groups: list[str], spots: bool = False) -> str:
     return " UNION ALL ".join(out)
 
 
+def event_objects(kept: DataFrame, ef: DataFrame, event_ids: list[str], limit: int | None = 100) -> DataFrame:
+    """Objects of some events, the surest first: those of the stored table kept; events of which it has none get theirs derived."""
+    stored_rows = kept.where(F.col("event_id").isin(event_ids))
+    missing = ef.where(F.col("event_id").isin(event_ids)).join(stored_rows.select("event_id").distinct(), "event_id", "left_anti")
+    columns = ["event_id", "kind", "key", "name", "confidence"]
+    out = stored_rows.select(*columns).unionByName(artifact_objects(missing.select(*ef.columns)).select(*columns)).orderBy(F.desc("confidence"), "event_id", "kind", "key", "name")
+    return out if limit is None else out.limit(limit)
+
+
 # fixed values
 #: kinds of objects that make chains
 CHAINED = [
@@ -309,9 +319,16 @@ query("derive_offsets", _OFFSETS, over="ef")(offsets)
 for _name in ("mft", "prefetch", "link", "ese"):
     query(f"derive_{_name}_offsets", f", o AS ({_duck([_name], spots=True)}) SELECT * FROM o", over="ef")(lambda ef, g=_name: derive_spots(ef, g))
 _ALL = f"SELECT event_id, artifact_type, event_time_utc, kind, lower(kind || ':' || name) AS key, name, CAST(NULL AS BIGINT) AS \"offset\", CAST(NULL AS BIGINT) AS length, CAST(0.6 AS DOUBLE) AS confidence FROM ({_REF}) JOIN ef USING (event_id) UNION ALL {_duck(list(TYPES))}"
-query("event_artifact_objects", f", r AS ({_ALL}) SELECT kind, key, name, confidence FROM r WHERE event_id = 'ev00000042' ORDER BY confidence DESC, kind, key LIMIT 100", over="ef")(
-    lambda ef: artifact_objects(ef.where("event_id = 'ev00000042'")).select("kind", "key", "name", "confidence").orderBy(F.desc("confidence"), "kind", "key").limit(100)
-)
+
+
+def _kept_objects(ef: DataFrame) -> DataFrame:
+    """A stored table that has objects of some events only, under names of its own, and not of event 42."""
+    some = artifact_objects(ef.where("event_id IN ('ev00000040', 'ev00000041', 'ev00000043')")).withColumn("name", F.concat(F.lit("kept "), "name"))
+    return event_objects(stored(some, "objects"), ef, ["ev00000040", "ev00000042", "ev00000043", "absent"])
+
+
+query("event_artifact_objects", f""", r AS ({_ALL}) SELECT event_id, kind, key, CASE WHEN event_id = 'ev00000042' THEN name ELSE 'kept ' || name END AS name, confidence FROM r
+ WHERE event_id IN ('ev00000040', 'ev00000042', 'ev00000043') ORDER BY confidence DESC, event_id, kind, key, name LIMIT 100""", over="ef")(_kept_objects)
 query("event_evidence_offsets", f"SELECT \"offset\", length FROM ({_OFFSETS}) WHERE event_id IN ('ev00000042', 'ev00000043', 'ev00000045')", over="ef")(
     lambda ef: offsets(ef.where("event_id IN ('ev00000042', 'ev00000043', 'ev00000045')")).select("offset", "length").orderBy("offset").limit(50)
 )

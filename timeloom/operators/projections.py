@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
 from timeloom.registry import query
-from timeloom.plans.read_models import ATTRIBUTES, PLAIN
+from timeloom.plans.read_models import ATTRIBUTES, PLAIN, SEARCHED, legacy_text
 
-query("rebuild_event_rows", "SELECT * EXCLUDE (attributes_json, message_full) FROM er")(lambda er: er.drop("attributes_json", "message_full"))
 query("project_event_rows", "SELECT " + ", ".join(PLAIN) + " FROM ef", over="ef")(lambda ef: ef.select(*PLAIN))
 query("attr_string", "SELECT event_id, coalesce(json_extract_string(attributes_json, '$.process_guid'), json_extract_string(attributes_json, '$.prefetch_hash')) AS value FROM ef", over="ef")(
     lambda ef: ef.select("event_id", C.attr_string("attributes_json", "process_guid", "prefetch_hash").alias("value"))
@@ -18,8 +17,8 @@ query("attr_i64", "SELECT event_id, coalesce(try_cast(json_extract_string(attrib
 )
 query("json_regex_attr", "SELECT event_id, " + ", ".join(ATTRIBUTES) + " FROM er")(lambda er: er.select("event_id", *ATTRIBUTES))
 query("search_text", "SELECT event_id, search_text FROM er")(lambda er: er.select("event_id", "search_text"))
-query("haystack_legacy", "SELECT event_id, coalesce(CASE WHEN artifact_type = 'mft' THEN NULL ELSE search_text END, lower(concat_ws(' ', event_id, event_action, message_short))) AS haystack FROM er")(
-    lambda er: er.select("event_id", F.coalesce(F.when(F.col("artifact_type") != "mft", F.col("search_text")), F.lower(F.concat_ws(" ", "event_id", "event_action", "message_short"))).alias("haystack"))
+query("haystack_legacy", "SELECT event_id, coalesce(CASE WHEN artifact_type = 'mft' THEN NULL ELSE search_text END, lower(concat_ws(' ', " + ", ".join(SEARCHED) + "))) AS haystack FROM er")(
+    lambda er: er.withColumn("search_text", F.when(F.col("artifact_type") != "mft", F.col("search_text"))).select("event_id", legacy_text().alias("haystack"))
 )
 query("basename", "SELECT event_id, regexp_replace(lower(file_path), '^.*[\\\\/]', '') AS name FROM er")(lambda er: er.select("event_id", C.basename("file_path").alias("name")))
 #: names as they stand in logs, for Spark and the oracle: quoted, with arguments, of several extensions, without one

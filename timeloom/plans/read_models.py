@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeloom.functions.columns import sanitize_account, sanitize_account_in_message
+from timeloom.sources.storage import clustered, stored
+
 #: columns that event rows take over from the full events
 PLAIN = [
     "event_id", "case_id", "event_time_utc", "artifact_type", "event_action", "severity", "host", "user_name", "process_name", "file_path", "ip", "url", "hash",
@@ -43,3 +46,18 @@ def with_finding_flag(er: DataFrame, finding_events: DataFrame) -> DataFrame:
     """has_finding: whether the event's id is among finding_events (event_id)."""
     hit = finding_events.select("event_id").distinct().withColumn("has_finding", F.lit(True))
     return er.join(hit, "event_id", "left").withColumn("has_finding", F.coalesce("has_finding", F.lit(False)))
+
+
+def rebuild_event_rows(ef: DataFrame, finding_events: DataFrame) -> DataFrame:
+    """The stored read model: compact rows with cleaned accounts and messages and the finding flag, clustered by time and id in the shared folder.
+
+    finding_events (event_id) are the events of findings. Full texts stay in the full table; the search text has them.
+    """
+    rows = compact_rows(ef).drop("attributes_json", "message_full")
+    rows = rows.withColumn("user_name", sanitize_account("user_name")).withColumn("message_short", sanitize_account_in_message("message_short"))
+    return stored(clustered(with_finding_flag(rows, finding_events), ["event_time_utc", "event_id"]), "event-rows", ("event_id", "ip", "hash"))
+
+
+def legacy_text() -> Column:
+    """The search text of rows of parts that were written without one: their columns alone."""
+    return F.coalesce("search_text", F.lower(F.concat_ws(" ", *SEARCHED)))
