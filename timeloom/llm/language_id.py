@@ -23,6 +23,8 @@ SAMPLE = 400
 BITS = 15
 GRAMS = (1, 2, 3, 4)
 EVIDENCE = 60  # so many independent grams at most does a text count for: grams of one text depend on each other
+PIECE = 1 << 19  # bytes of text whose grams are taken at once: some 150 bytes of arrays a byte
+ROWS = 500  # pages that are read at once
 STRENGTH = 4.0  # pages' worth of the wider prior in a narrower one
 
 MOST_LANGUAGES = 200  # languages that are modelled, those with the most labelled documents: a model of one takes 256 kB of the driver
@@ -93,7 +95,7 @@ def _gram_counter(batches):
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for lo, hi, buf, off in S.pieces(batch.column("text")):
+        for lo, hi, buf, off in S.pieces(batch.column("text"), PIECE):
             bucket, row = _grams(buf, off)
             for name in sorted(set(langs[lo:hi])):
                 own = (langs[lo:hi] == name)[row]
@@ -118,7 +120,7 @@ def fit(texts: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def text_posteriors(column: pa.Array, model: np.ndarray) -> np.ndarray:
     out = np.full((len(column), model.shape[1]), 1 / model.shape[1])
-    for lo, hi, buf, off in S.pieces(column):
+    for lo, hi, buf, off in S.pieces(column, PIECE):
         bucket, row = _grams(buf, off)
         n = np.bincount(row, minlength=hi - lo)
         ll = np.stack([np.bincount(row, model[bucket, k], hi - lo) for k in range(model.shape[1])], 1)
@@ -131,7 +133,7 @@ def text_posteriors(column: pa.Array, model: np.ndarray) -> np.ndarray:
 def _reader(shared):
     def read(batches):
         model, names = shared.value
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             html = batch.column("html").to_pylist()
             said = [declared(h or "") for h in html]
             p = text_posteriors(pa.array([plain(h or "") for h in html], pa.string()), model)
