@@ -75,7 +75,7 @@ def process_instances(er: DataFrame) -> DataFrame:
     """The earliest row of each process, keyed by guid, else pid, else event."""
     key = F.coalesce(F.concat(F.lit("guid:"), "process_guid"), F.concat(F.lit("pid:"), "process_id"), F.concat(F.lit("evt:"), "event_id"))
     parent = F.concat(F.lit("guid:"), "parent_process_guid")
-    first = F.min(F.struct("event_time_utc", "event_id", "process_name", "command_line", "severity", parent.alias("parent_key"), "host", "user_name")).alias("e")
+    first = F.min(F.struct("event_time_utc", "event_id", "process_name", "command_line", "severity", parent.alias("parent_key"), "host", "user_name", "hash")).alias("e")
     return er.where("event_action = 'process_created'").groupBy(key.alias("key")).agg(first).select("key", "e.*")
 
 
@@ -117,7 +117,7 @@ query("timestomp_sample", f""", p AS ({_STOMP}), q AS (SELECT file_path, si - fn
 _EDGE = "SELECT regexp_replace(lower(parent_process), '^.*[\\\\/]', '') AS parent, process_name AS child, count(*) AS n FROM er WHERE event_action = 'process_created' AND parent_process IS NOT NULL GROUP BY 1, 2"
 query("process_tree_edges", _EDGE)(process_tree_edges)
 query("process_icicle", f", e AS ({_EDGE}), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY parent) AS BIGINT) AS total FROM e), d AS (SELECT *, dense_rank() OVER (ORDER BY total DESC, parent) AS k FROM t) SELECT parent, child, n, total FROM d WHERE k <= 8")(process_icicle)
-_INST = """SELECT 'guid:' || process_guid AS key, event_time_utc, event_id, process_name, command_line, severity, 'guid:' || parent_process_guid AS parent_key, host, user_name FROM
+_INST = """SELECT 'guid:' || process_guid AS key, event_time_utc, event_id, process_name, command_line, severity, 'guid:' || parent_process_guid AS parent_key, host, user_name, hash FROM
  (SELECT *, row_number() OVER (PARTITION BY process_guid ORDER BY event_time_utc, event_id) AS k FROM er WHERE event_action = 'process_created') WHERE k = 1"""
 query("process_nodes", _INST)(process_instances)
 query("process_forest", f""", n AS ({_INST}), t AS (SELECT key, parent_key FROM n),

@@ -50,7 +50,7 @@ SELECT concat('ev', lpad(cast(n AS {str}), 8, '0')) AS event_id, 'case_demo' AS
   CASE WHEN artifact_type <> 'evtx' THEN concat('C:/Users/u', u % 3, '/Downloads/', base) END AS file_path,
   CASE WHEN event_action IN ('network_connection', 'logon_success', 'logon_failure') THEN concat('10.0.0.', u % 20) END AS ip,
   CASE WHEN artifact_type = 'browser' THEN concat('http://dl.example.com/', base) END AS url,
-  CASE WHEN artifact_type = 'prefetch' THEN md5(base) END AS hash,
+  CASE WHEN artifact_type = 'prefetch' THEN md5(base) WHEN event_action = 'process_created' THEN md5(concat('p', k % 17)) END AS hash,
   concat(event_action, ' ', base) AS message_short,
   CASE WHEN event_action = 'process_created' THEN concat(event_action, ' ', base, ' ', cmd) ELSE concat(event_action, ' ', base) END AS message_full,
   concat('file_', u % 7) AS source_file_id, concat('run_file_', u % 7) AS parse_run_id, concat('parser_', artifact_type) AS parser_name, '1' AS parser_version,
