@@ -152,3 +152,14 @@ def test_stages_of_sessions(spark):
 
 def test_fixture_lookups(spark):
     assert fixture.events_full(spark, SF).where("event_id = 'ev00000042'").count() == 1
+
+
+def test_a_streamed_session_ends_at_a_gap_of_a_second_more(spark, tmp_path):
+    from timeloom.streaming import streams
+
+    at = lambda second: f"2024-01-01T{second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}Z"
+    rows = [("a.exe", at(0), "prefetch"), ("a.exe", at(3600), "evtx"), ("a.exe", at(7201), "prefetch"), ("a.exe", at(7202), "evtx"), ("z.exe", "2024-01-05T00:00:00Z", "evtx")]
+    er = spark.createDataFrame([(f"ev{k}", n, t, a, None, None, None, None, None) for k, (n, t, a) in enumerate(rows)], "event_id string, process_name string, event_time_utc string, artifact_type string, file_path string, ip string, hash string, url string, user_name string")
+    er.coalesce(1).write.parquet(str(tmp_path / "er"))
+    got = streams.run(streams.stream_sessions(spark.readStream.schema(er.schema).parquet(str(tmp_path / "er"))), "stream-gaps")
+    assert sorted((r.start.isoformat(), r.events) for r in got.collect()) == [("2024-01-01T00:00:00", 2), ("2024-01-01T02:00:01", 2)]

@@ -52,9 +52,11 @@ def stream_password_spray(er: DataFrame, users: int = 3, window: str = "1 day",
 
 def stream_sessions(er: DataFrame, seconds: int = 3600, late: str = "1 day") -> DataFrame:
     """Sessions of a chain key with events of several types, as `chain_sessions` has them: a gap of more than so many whole seconds begins a
-    new one. The state of a session has its types (some twenty at most), not its events."""
+    new one. The state of a session has its types (some twenty at most), not its events.
+
+    Spark also joins sessions that only touch, so the window ends a microsecond behind the gap: an event a second later stands alone."""
     rows = _timed(keyed(er), late)
-    out = rows.groupBy("kind", "key", F.session_window("t", f"{seconds + 1} seconds")).agg(F.count("*").alias("events"), F.size(F.collect_set("artifact_type")).alias("types"))
+    out = rows.groupBy("kind", "key", F.session_window("t", f"{seconds} seconds 1 microsecond")).agg(F.count("*").alias("events"), F.size(F.collect_set("artifact_type")).alias("types"))
     return out.where("types >= 2").select("kind", "key", F.col("session_window.start").alias("start"), "events", "types")
 
 
