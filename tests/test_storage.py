@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from timeloom import registry
 from timeloom.operators import correlation, integrity, sinks
 from timeloom.sources import fixture, storage
 
@@ -163,3 +164,15 @@ def test_a_streamed_session_ends_at_a_gap_of_a_second_more(spark, tmp_path):
     er.coalesce(1).write.parquet(str(tmp_path / "er"))
     got = streams.run(streams.stream_sessions(spark.readStream.schema(er.schema).parquet(str(tmp_path / "er"))), "stream-gaps")
     assert sorted((r.start.isoformat(), r.events) for r in got.collect()) == [("2024-01-01T00:00:00", 2), ("2024-01-01T02:00:01", 2)]
+
+
+def test_postings_by_versions_in_any_order_without_state(spark, tmp_path):
+    from timeloom.streaming import streams
+
+    rows = [("a", 1, "x y x"), ("a", 3, "Y-y z"), ("a", 2, "late x"), ("b", 2, None), ("b", 1, "x"), ("c", 1, ""), ("d", 1, None), ("d", 2, "z z")]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "doc string, version long, body string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"v/k={k}"))
+    stream = spark.readStream.schema("doc string, version long, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "v"))
+    out = streams.stream_postings(stream)
+    assert "State" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(tuple(r) for r in streams.current_postings(streams.run(out, "stream-versions")).collect()) == [("y", "a", 2), ("z", "a", 1), ("z", "d", 2)]

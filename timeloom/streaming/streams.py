@@ -124,39 +124,22 @@ def stream_chains(er: DataFrame, seconds: int = 3600, late: str = "1 day", least
     return rows.groupBy("kind", "key").applyInPandasWithState(update, STAGED, _HELD, "append", "EventTimeTimeout")
 
 
-CHANGES = "term string, doc string, tf long, version long"
-
-
 def stream_postings(rows: DataFrame) -> DataFrame:
-    """term, doc, tf, version of rows (doc, version, body; body null: deleted): what each version of a document changes in the index.
+    """doc, version, postings (an array of term, tf; null: deleted) of rows (doc, version, body; body null: deleted).
 
-    Keyed state holds a document's version and terms. A newer version gives its terms' counts and a tombstone (tf 0) for each term that it
-    no longer has; one that comes late, after a newer one, gives nothing.
+    What a version writes makes all lower ones of its document void, its absence of a term and a deletion too, whatever the order they come in.
+    So no state of documents is held, a batch costs what its rows cost, and a version that comes late changes nothing.
     """
+    words = rows.select("doc", "version", F.array_sort(words_of("body")).alias("w"))
+    first = F.filter(F.sequence(F.lit(0), F.size("w")), lambda k: (k < F.size("w")) & ((k == 0) | (F.get("w", k) != F.get("w", k - 1))))
+    words = words.withColumn("at", F.when(F.col("w").isNotNull(), first))
+    return words.select("doc", "version", F.transform("at", lambda k, n: F.struct(F.get("w", k).alias("term"), (F.coalesce(F.get("at", n + 1), F.size("w")) - k).cast("long").alias("tf"))).alias("postings"))
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        version, terms, counts = group.get if group.exists else (None, [], [])
-        known, out = dict(zip(terms, counts, strict=True)), []
-        arrived = sorted((row for frame in frames for row in zip(frame["version"].tolist(), frame["terms"].tolist(), frame["counts"].tolist(), strict=True)), key=lambda r: r[0])
-        for number, words, n in arrived:
-            if version is not None and number <= version:
-                continue
-            now = dict(zip(words, (int(x) for x in n), strict=True)) if words is not None else {}
-            out += [(t, key[0], now.get(t, 0), number) for t in {**known, **now} if known.get(t) != now.get(t)]
-            known, version = now, number
-        group.update((version, list(known), list(known.values())))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    split = rows.select("doc", "version", words_of("body").alias("w"))
-    terms = F.array_distinct("w")
-    counted = split.select("doc", "version", terms.alias("terms"), F.transform(terms, lambda t: F.size(F.filter("w", lambda x: x == t)).cast("long")).alias("counts"))
-    return counted.groupBy("doc").applyInPandasWithState(update, CHANGES, "version long, terms array<string>, counts array<long>", "append", "NoTimeout")
-
-
-def current_postings(changes: DataFrame) -> DataFrame:
+
+def current_postings(versions: DataFrame) -> DataFrame:
     """term, doc, tf as the last versions have them."""
-    last = changes.groupBy("term", "doc").agg(F.max_by("tf", "version").alias("tf"))
-    return last.where("tf > 0")
+    last = versions.groupBy("doc").agg(F.max_by("postings", "version").alias("postings"))
+    return last.select("doc", F.inline("postings")).select("term", "doc", "tf")
 
 
 def run(stream: DataFrame, name: str) -> DataFrame:
@@ -168,7 +151,7 @@ def run(stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_of(table: DataFrame) -> DataFrame:
-    """A stored table as a stream of its parts, a few at a time. A clustered table's parts arrive in the order of their names, which is that of time."""
+    """A stored table as a stream of its parts, as many at a time as there are cores. A clustered table's parts arrive in the order of their names, which is that of time."""
     spark = table.sparkSession
     parts = sorted(table.inputFiles())
     folder = parts[0].rsplit("/", 1)[0]
@@ -177,7 +160,7 @@ def stream_of(table: DataFrame) -> DataFrame:
     first = min(fs.getFileStatus(hadoop(p)).getModificationTime() for p in parts)
     for k, p in enumerate(parts):
         fs.setTimes(hadoop(p), first - 1000 * (len(parts) - k), -1)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(4, spark.sparkContext.defaultParallelism)).parquet(folder)
 
 
 def _events(at) -> DataFrame:
@@ -192,8 +175,9 @@ def _indexed(at) -> DataFrame:
     versions = versions.unionByName(base.where("doc LIKE '%3'").select("doc", F.concat("body", F.lit(" edited twice twice")).alias("body"), F.lit(3).cast("long").alias("version")))
     versions = versions.unionByName(base.where("doc LIKE '%3'").select("doc", F.lit("stale words").alias("body"), F.lit(2).cast("long").alias("version")))
     versions = versions.unionByName(base.where("doc LIKE '%7'").select("doc", F.lit(None).cast("string").alias("body"), F.lit(2).cast("long").alias("version")))
-    changes = run(stream_postings(stream_of(stored(versions.repartition(16), "versions"))), "stream-postings")
-    return current_postings(changes).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    parts = 3 * max(4, spark.sparkContext.defaultParallelism)
+    written = run(stream_postings(stream_of(stored(versions.repartition(parts, "doc", "version"), "versions"))), "stream-postings")
+    return current_postings(written).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
 _T = "CAST(event_time_utc AS TIMESTAMP)"
