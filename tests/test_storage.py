@@ -166,6 +166,14 @@ def test_a_streamed_session_ends_at_a_gap_of_a_second_more(spark, tmp_path):
     assert sorted((r.start.isoformat(), r.events) for r in got.collect()) == [("2024-01-01T00:00:00", 2), ("2024-01-01T02:00:01", 2)]
 
 
+def test_custody_of_a_ledger_of_more_than_two_levels(spark, monkeypatch):
+    from compare import connect, differ
+
+    monkeypatch.setattr(integrity, "SEGMENT", 4)
+    sql = registry.ORACLES["custody_counts"].replace(f"// {sinks.SEGMENT}", "// 4")
+    assert not differ(spark, connect("/root/testdata/sf0.001"), "/root/testdata/sf0.001", lambda spark, sf_dir: sinks._custody((spark, sf_dir)), sql)
+
+
 def test_postings_by_versions_in_any_order_without_state(spark, tmp_path):
     from timeloom.streaming import streams
 
