@@ -184,3 +184,12 @@ def test_postings_by_versions_in_any_order_without_state(spark, tmp_path):
     out = streams.stream_postings(stream)
     assert "State" not in out._jdf.queryExecution().analyzed().toString()
     assert sorted(tuple(r) for r in streams.current_postings(streams.run(out, "stream-versions")).collect()) == [("y", "a", 2), ("z", "a", 1), ("z", "d", 2)]
+
+
+def test_events_are_projected_behind_the_shuffle(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(fixture, "derived", lambda spark, source, name, make, **_: made.append(make()) or make())
+    fixture.event_rows(spark, "/root/testdata/sf0.001")
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "Project [" in above and "Project [" not in below and "event_action" not in below
