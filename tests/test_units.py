@@ -256,3 +256,14 @@ def test_summaries_of_parts_and_of_groups(spark):
         "lsass_read (mft)": ('event_row:["medium","mft","lsass_read"]', '["T1003 Credential Access","T1070 Indicator Removal"]'),
         "suspicious_event (evtx)": ('event_row:["info","evtx","  "]', '["event_rows:fallback"]'), "plain (evtx)": ('event_row:["high","evtx","plain"]', '["event_rows:fallback"]'),
     }
+
+
+def test_edges_are_counted_without_evidence(spark):
+    from timeloom import queries as library
+    from timeloom.sources import fixture
+
+    er = fixture.event_rows(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, graph.count_edges(er).collect())) == sorted(map(tuple, graph.extract_edges(er).drop("evidence").collect()))
+    for name in ("edge_pairs", "entity_degree"):
+        plan = library.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan

@@ -37,14 +37,34 @@ def _evidence(rows: DataFrame) -> DataFrame:
     return some.groupBy(*EDGE).agg(F.array_join(F.sort_array(F.collect_list("event_id")), ",").alias("evidence"))
 
 
-def extract_edges(er: DataFrame) -> DataFrame:
-    """kind, src, dst, events, first and last time and the 50 smallest evidence ids."""
+def _mentioned(er: DataFrame) -> DataFrame:
+    """event_id, event_time_utc, kind, src, dst: a row for each event of an edge."""
     named = [F.struct(F.lit(k).alias("kind"), _canonical(ENTITIES[a]).alias("src"), _canonical(ENTITIES[b]).alias("dst")) for k, (a, b) in EDGES.items()]
     named += [F.struct(F.lit(MENTIONS).alias("kind"), F.col("event_id").alias("src"), _canonical(c).alias("dst")) for c in ENTITIES.values()]
     pairs = F.explode(F.array(*named)).alias("p")
-    rows = er.select("event_id", "event_time_utc", pairs).select("event_id", "event_time_utc", "p.*").where("src <> '' AND dst <> ''")
+    return er.select("event_id", "event_time_utc", pairs).select("event_id", "event_time_utc", "p.*").where("src <> '' AND dst <> ''")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
     seen = [F.min("event_time_utc").alias("first_seen"), F.max("event_time_utc").alias("last_seen")]
-    return rows.groupBy(*EDGE).agg(F.count("*").alias("events"), *seen).join(_evidence(rows), EDGE)
+    return rows.groupBy(*EDGE).agg(F.count("*").alias("events"), *seen)
+
+
+def count_edges(er: DataFrame) -> DataFrame:
+    """kind, src, dst, events, first and last time: for what needs no evidence, which takes two sorts of all rows and a join."""
+    return _counted(_mentioned(er))
+
+
+def extract_edges(er: DataFrame) -> DataFrame:
+    """kind, src, dst, events, first and last time and the 50 smallest evidence ids."""
+    rows = _mentioned(er)
+    return _counted(rows).join(_evidence(rows), EDGE)
+
+
+def edge_pairs(er: DataFrame) -> DataFrame:
+    """src, dst, kinds, events: by how many kinds of edges two entities are linked, in one grouping; the kinds are few, so they are bits."""
+    bit = reduce(lambda out, k: F.when(F.col("kind") == k[1], 1 << k[0]).otherwise(out), enumerate([*EDGES, MENTIONS]), F.lit(0))
+    return _mentioned(er).groupBy("src", "dst").agg(F.bit_count(F.bit_or(bit)).cast("long").alias("kinds"), F.count("*").alias("events"))
 
 
 def compact_edges(parts: DataFrame) -> DataFrame:
@@ -92,12 +112,12 @@ query("edge_compaction", f", y AS ({_E}) {_EDGES}")(
     lambda er: compact_edges(reduce(DataFrame.unionByName, [extract_edges(er.where(F.pmod(F.crc32("event_id"), F.lit(3)) == k)) for k in range(3)]))
 )
 query("edge_pairs", f", y AS ({_E}) SELECT src, dst, count(DISTINCT kind) AS kinds, count(*) AS events FROM y GROUP BY 1, 2")(
-    lambda er: extract_edges(er).groupBy("src", "dst").agg(F.countDistinct("kind").alias("kinds"), F.sum("events").alias("events"))
+    edge_pairs
 )
-query("entity_degree", f", y AS ({_E}), e AS ({_EDGES}), z AS (SELECT kind, src AS entity FROM e UNION ALL SELECT kind, dst FROM e) SELECT entity, kind, count(*) AS degree FROM z GROUP BY 1, 2")(lambda er: entity_degree(extract_edges(er)))
+query("entity_degree", f", y AS ({_E}), e AS ({_EDGES}), z AS (SELECT kind, src AS entity FROM e UNION ALL SELECT kind, dst FROM e) SELECT entity, kind, count(*) AS degree FROM z GROUP BY 1, 2")(lambda er: entity_degree(count_edges(er)))
 query("subgraph", f""", y AS ({_E}), e AS ({_EDGES}), h1 AS (SELECT *, 1 AS hop FROM e WHERE src = 'host1' OR dst = 'host1' ORDER BY last_seen DESC, kind, src, dst LIMIT 500),
  f AS (SELECT src AS n FROM h1 UNION SELECT dst FROM h1),
  h2 AS (SELECT *, 2 AS hop FROM e WHERE (src IN (SELECT n FROM f) OR dst IN (SELECT n FROM f)) AND (kind, src, dst) NOT IN (SELECT (kind, src, dst) FROM h1))
  SELECT kind, src, dst, events, last_seen, hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) ORDER BY hop, last_seen DESC, kind, src, dst LIMIT 500""")(
-    lambda er: subgraph(extract_edges(er).select("kind", "src", "dst", "events", "last_seen"), "host1")
+    lambda er: subgraph(count_edges(er).select("kind", "src", "dst", "events", "last_seen"), "host1")
 )
