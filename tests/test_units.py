@@ -258,6 +258,18 @@ def test_summaries_of_parts_and_of_groups(spark):
     }
 
 
+def test_quick_filters_shuffle_ids_only(spark):
+    from timeloom.plans import read_models
+    from timeloom.sources import fixture
+
+    er = fixture.event_rows(spark, "/root/testdata/sf0.001")
+    found = findings.sigma_eval(er)
+    got = summaries.quick_filter_counts(er, found)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, summaries.quick_filter_counts(read_models.with_finding_flag(er, found)).collect()))
+    assert "search_text" not in plan.split("Join LeftSemi")[1].split("Aggregate")[0]
+
+
 def test_edges_are_counted_without_evidence(spark):
     from timeloom import queries as library
     from timeloom.sources import fixture
