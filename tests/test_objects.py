@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from timeloom.operators import objects as O
 
@@ -104,3 +105,24 @@ def test_every_chained_kind_is_in_the_fixture(spark):
 
     kinds = {r.kind for r in O.artifact_objects(fixture.events_full(spark, "/root/testdata/sf0.01")).select("kind").distinct().collect()}
     assert set(O.CHAINED) <= kinds
+
+
+def test_chains_hold_no_sets_and_multiply_no_rows(spark):
+    """Seventy types, an event id that comes under two types, one that comes twice under one: the chain is that of a plain count."""
+    rows = [(f"t{k:02}", "{}", {"process_name": "a.exe"}) for k in range(70)] + [("t00", "{}", {"process_name": "a.exe", "event_id": "e1"}), ("t01", "{}", {"process_name": "a.exe", "event_id": "e1"}), (None, "{}", {"process_name": "a.exe"})]
+    chains = O.object_chains(events(spark, *rows, ("mft", MFT, {}), ("mft", MFT, {})))
+    one = {r.kind + " " + r.key: r for r in chains.collect()}
+    got = one["artifact_object:process_reference process_reference:a.exe"]
+    assert (got.events, got.step_count, got.artifact_types) == (73, 71, ",".join(f"t{k:02}" for k in range(70)))
+    assert {"artifact_object:ntfs_file_record mft:51:4", "artifact_object:ntfs_data_run mft_run:51:4:5:1"} <= set(one)
+    plan = chains._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_links_are_the_chained_part_of_all_objects(spark):
+    from timeloom.sources import fixture
+
+    ef = fixture.events_full(spark, "/root/testdata/sf0.001")
+    columns = ["event_id", "artifact_type", "event_time_utc", "kind", "key", "confidence"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(O.chained_objects(ef)) == rows(O.artifact_objects(ef).where(F.col("kind").isin(O.CHAINED)))
