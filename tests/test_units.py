@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
-from timeloom.operators import defender, filters, findings, graph, integrity, ioc, sequences, summaries, textindex
+from timeloom.operators import defender, filters, findings, graph, integrity, ioc, lineage, sequences, summaries, textindex
 
 
 def one(spark, value, column):
@@ -279,3 +279,12 @@ def test_edges_are_counted_without_evidence(spark):
     for name in ("edge_pairs", "entity_degree"):
         plan = library.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan
+
+
+def test_danger_lineage_gathers_its_nodes_once(spark):
+    rows = [("a", None, "e1", "a.exe", "low"), ("b", "a", "e2", "b.exe", "low"), ("c", "b", "e3", "c.exe", "critical"), ("d", "b", "e4", "d.exe", "critical"), ("x", None, "e5", "x.exe", "high")]
+    made = spark.createDataFrame(rows, "key string, parent_key string, event_id string, process_name string, severity string")
+    found = lineage.danger_lineage(made, spark.createDataFrame([("e3",), ("e3",), ("e1",)], "event_id string"))
+    assert sorted(r.key for r in found.collect()) == ["a", "b", "c"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
