@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
-from timeloom.operators import defender, filters, findings, graph, integrity, ioc, lineage, sequences, summaries, textindex
+from timeloom.operators import correlation, defender, filters, findings, graph, integrity, ioc, lineage, sequences, summaries, textindex
 
 
 def one(spark, value, column):
@@ -288,3 +288,12 @@ def test_danger_lineage_gathers_its_nodes_once(spark):
     assert sorted(r.key for r in found.collect()) == ["a", "b", "c"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
+def test_chains_of_keys_multiply_no_rows(spark):
+    from timeloom.sources import fixture
+
+    er = fixture.event_rows(spark, "/root/testdata/sf0.001")
+    for chains in (correlation.correlation_chains(er), correlation.correlation_summary(er)):
+        plan = chains._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "ObjectHashAggregate" not in plan and not [c for c in chains.columns if c[5:].isdigit()]
