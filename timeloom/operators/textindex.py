@@ -59,9 +59,11 @@ def build_index(docs: DataFrame, folder: str, doc: str = "doc_id", body: str = "
 
 
 def _pruned(spark: SparkSession, folder: str, table: str, terms: list[str]) -> DataFrame:
-    """Rows of the terms; only their buckets' files are listed and read."""
+    """Rows of the terms; only their buckets' files are listed and read. An index of no words has no file that a schema could come from."""
     buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-    return spark.read.parquet(f"{folder}/{table}").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    doc = spark.read.parquet(f"{folder}/lengths").schema["doc"].dataType.simpleString()
+    schema = {"terms": "term string, df long, cf long, top double", "postings": f"term string, part long, best double, n int, postings array<struct<doc:{doc},tf:long,len:int>>"}[table]
+    return spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{table}").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
 
 def search_plan(spark: SparkSession, folder: str, terms: list[str], k: int | None) -> DataFrame:
