@@ -193,3 +193,32 @@ def test_events_are_projected_behind_the_shuffle(spark, monkeypatch):
     plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("RepartitionByExpression")
     assert "Project [" in above and "Project [" not in below and "event_action" not in below
+
+
+def test_chains_stream_by_buckets_of_keys(spark, tmp_path):
+    from timeloom.streaming import streams
+
+    actions = {1: ("browser", "browser_download"), 2: ("usn_jrnl", "usn_created"), 3: ("prefetch", "prefetch_execution"), 4: ("registry_hive", "registry_run_key"), 5: ("usn_jrnl", "usn_deleted"), 0: ("lnk", "lnk_target_reference")}
+    r, rows, names = random.Random(5), [], list(correlation.STAGES)
+    for k in range(600):
+        t, s = k * 1200 + r.randrange(7200), r.randint(0, 5)  # nine days, some hours out of order
+        rows.append((f"e{k:03}", *actions[s], f"C:/a/key{r.randrange(40)}.exe", f"2024-01-{1 + t // 86400:02}T{t // 3600 % 24:02}:{t // 60 % 60:02}:{t % 60:02}Z", t, s))
+    end, want, seen = max(x[5] for x in rows) - 86400, {}, {}
+    for ident, _, _, path, _, t, s in sorted(rows, key=lambda x: (x[5], x[0])):
+        session = seen.get(path)
+        if session is None or t - session[-1][0] > 21_600:
+            session = seen[path] = want.setdefault((path[5:], t), [])
+        session.append((t, s))
+    ways = {k: (v[-1][0], len(v), *brute_way([s for _, s in v])) for k, v in want.items()}
+    want = {(key, t): (last, size, ">".join(n for j, n in enumerate(names) if mask >> j & 1)) for (key, t), (last, size, n_, mask) in ways.items() if n_ >= 2 and last + 21_600 < end}
+    er = spark.createDataFrame([x[:5] for x in rows], "event_id string, artifact_type string, event_action string, file_path string, event_time_utc string")
+    for c in ("process_name", "ip", "hash", "url", "user_name"):
+        er = er.withColumn(c, F.lit(None).cast("string"))
+    table = storage.stored(storage.clustered(er, ["event_time_utc"]), "chain-events")
+    out = streams.stream_chains(streams.stream_of(table).repartition(2), seconds=21_600, buckets=4)
+    asked = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    asked.awaitTermination()
+    base = 1704067200
+    got = {(x.key, x.start - base): (x["last"] - base, x.events, x.stages) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want and len(got) > 20
+    assert max(o.numRowsTotal for p in asked.recentProgress for o in p.stateOperators) <= 4  # a state a bucket, not one a key

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -61,67 +64,87 @@ def stream_sessions(er: DataFrame, seconds: int = 3600, late: str = "1 day") ->
 
 
 STAGED = "kind string, key string, start long, last long, events long, stages string"
-_HELD = "last long, start long, events long, ways array<long>, ids array<string>, times array<long>, steps array<int>"
+BUCKETS = 512  # groups of chain keys that share a state
+_ROWS = ["kind", "key", "at", "event_id", "stage", "start", "events", *[f"way{k}" for k in range(len(STAGES))]]
 
 
-def stream_chains(er: DataFrame, seconds: int = 3600, late: str = "1 day", least: int = 2) -> DataFrame:
+def chain_step(seconds: int, least: int) -> Callable[[pa.Table, int], tuple[pd.DataFrame, pa.Table]]:
+    """A function of rows and a mark, nested so that it travels to executors by value. It gives sessions that end before the mark and go through enough stages, and the rows to
+    hold: events from the mark on, and a row a session that is still open.
+
+    A row (see `_ROWS`) is an event of whole second `at`, or all events of an open session up to `at` with the best way to each stage: such a row has stage 0
+    and comes before the other rows of its key.
+    """
+
+    def step(rows: pa.Table, mark: int) -> tuple[pd.DataFrame, pa.Table]:
+        due = pc.less(rows["at"], mark)
+        later, rows = rows.filter(pc.invert(due)), rows.filter(due).sort_by([(c, "ascending") for c in ("kind", "key", "at", "event_id")])
+        wide, n = 1 << len(STAGES), rows.num_rows
+        at, stage = rows["at"].to_numpy(), rows["stage"].to_numpy()
+        other = np.zeros(max(n - 1, 0), bool)
+        for c in ("kind", "key"):
+            other |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, max(n - 1, 0))).to_numpy()
+        new = np.append(np.ones(min(n, 1), bool), other | (np.diff(at) > seconds))
+        first = np.flatnonzero(new)
+        ways, session = np.array([rows[f"way{k}"].to_numpy() for k in range(len(STAGES))]).reshape(len(STAGES), n), 2 * len(STAGES) * wide * np.cumsum(new)
+        best = np.zeros(n, "int64")  # of the lower stages, up to each row of its session
+        for k in range(len(STAGES)):
+            ways[k] = np.where(stage == k + 1, best + wide + (1 << k), ways[k])
+            best = np.maximum(best, np.maximum.accumulate(ways[k] + session) - session)
+        if n:
+            ways = np.maximum.reduceat(ways, first, axis=1)
+            last, events = at[np.append(first[1:], n) - 1], np.add.reduceat(rows["events"].to_numpy(), first)
+        else:
+            last, events = at, at
+        start, way = rows["start"].to_numpy()[first], ways.max(axis=0)
+        over = last + seconds < mark
+        ready = np.flatnonzero(over & (way >= least * wide))
+        out = rows.select(["kind", "key"]).take(first[ready]).to_pandas()
+        names = [">".join(name for j, name in enumerate(STAGES) if p >> j & 1) for p in (way[ready] % wide).tolist()]
+        out = out.assign(start=start[ready], last=last[ready], events=events[ready], stages=pd.Series(names, dtype="object"))
+        left = np.flatnonzero(~over)
+        heads = rows.select(["kind", "key"]).take(first[left])
+        opened = [*heads.columns, pa.array(last[left]), pa.array([""] * len(left), pa.string()), pa.array(np.zeros(len(left), "int64")), pa.array(start[left]), pa.array(events[left]), *[pa.array(w[left]) for w in ways]]
+        return out, pa.concat_tables([pa.table(opened, schema=rows.schema), later])
+
+    return step
+
+
+def stream_chains(er: DataFrame, seconds: int = 3600, late: str = "1 day", least: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """kind, key, start, last, events, stages of sessions that go through at least so many stages in their order, as `chain_windowed` has them.
 
     Keyed state with timers in event time: events are held until the watermark has passed them, then taken in their order by the
     automaton, whose state is the best way to each stage. A timer at the session's end (its last event and the gap) emits it. Held
-    events are those of the time of lateness, so the state of a key doesn't grow with its history.
+    events are those of the time of lateness, so the state of a key doesn't grow with its history. Keys are dealt to buckets by their hash,
+    so a call of Python takes the events of many keys at once.
     """
-    rows = _timed(keyed(er), late).withColumn("stage", F.coalesce(stage_of(), F.lit(0)))
-    rows = rows.select("kind", "key", "t", "event_id", "stage")
-    wide = 1 << len(STAGES)
-
-    def taken(state: list, t: int, stage: int) -> None:
-        """One event in its order: state is [last, start, events, ways]."""
-        state[0], state[2] = t, state[2] + 1
-        if stage:
-            state[3][stage - 1] = max(state[3][stage - 1], max([0, *state[3][: stage - 1]]) + wide + (1 << (stage - 1)))
+    rows = _timed(keyed(er), late).select(
+        F.pmod(F.xxhash64("kind", "key"), F.lit(buckets)).alias("bucket"), "t", "kind", "key", F.unix_seconds("t").alias("at"), "event_id", F.coalesce(stage_of(), F.lit(0)).cast("long").alias("stage")
+    )
+    schema = pa.schema([(c, pa.string() if c in ("kind", "key", "event_id") else pa.int64()) for c in _ROWS])
+    step = chain_step(seconds, least)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        last, start, events, ways, ids, times, steps = group.get if group.exists else (None, None, 0, [0] * len(STAGES), [], [], [])
-        session = None if last is None else [last, start, events, list(ways)]
-        held = list(zip(times, ids, steps, strict=True))
+        parts = [pa.ipc.open_stream(pa.py_buffer(bytes(group.get[0]))).read_all()] if group.exists else [schema.empty_table()]
         if not group.hasTimedOut:
             for frame in frames:
-                seconds_of = (frame["t"].astype("int64") // 10**9 if str(frame["t"].dtype).endswith("[ns]") else frame["t"].astype("datetime64[s]").astype("int64")).tolist()
-                held += zip(seconds_of, frame["event_id"].tolist(), frame["stage"].tolist(), strict=True)
+                fresh = frame[_ROWS[:5]].assign(start=frame["at"], events=1, **dict.fromkeys(_ROWS[7:], 0))
+                parts.append(pa.Table.from_pandas(fresh, schema=schema, preserve_index=False))
         mark = group.getCurrentWatermarkMs() // 1000
-        held.sort()
-        out, k = [], 0
-
-        def close() -> None:
-            if max(session[3]) >= least * wide:
-                path = max(session[3]) % wide
-                names = ">".join(n for j, n in enumerate(STAGES) if path >> j & 1)
-                out.append((*key, session[1], session[0], session[2], names))
-
-        while k < len(held) and held[k][0] < mark:
-            t, _, stage = held[k]
-            if session is not None and t - session[0] > seconds:
-                close()
-                session = None
-            session = session or [t, t, 0, [0] * len(STAGES)]
-            taken(session, t, stage)
-            k += 1
-        held = held[k:]
-        if session is not None and session[0] + seconds < mark and not (held and held[0][0] - session[0] <= seconds):
-            close()
-            session = None
-        if session is None and not held:
+        out, held = step(pa.concat_tables(parts), mark)
+        if held.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema) as writer:
+                writer.write_table(held.combine_chunks())
+            group.update((sink.getvalue().to_pybytes(),))
+            at = held["at"].to_numpy()
+            ends = np.where(at < mark, at + seconds + 1, at + 1)  # sessions end behind the gap
+            group.setTimeoutTimestamp(max(1000 * int(ends.min()), group.getCurrentWatermarkMs() + 1))
+        elif group.exists:
             group.remove()
-        else:
-            columns = [list(c) for c in zip(*held, strict=True)] or [[], [], []]
-            group.update((session[0] if session else None, session[1] if session else None, session[2] if session else 0, session[3] if session else [0] * len(STAGES), columns[1], columns[0], columns[2]))
-            ends = [held[0][0] + 1] if held else []
-            ends += [session[0] + seconds + 1] if session else []
-            group.setTimeoutTimestamp(max(1000 * min(ends), group.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STAGED.split(", ")])
-
-    return rows.groupBy("kind", "key").applyInPandasWithState(update, STAGED, _HELD, "append", "EventTimeTimeout")
+        yield out
+
+    return rows.groupBy("bucket").applyInPandasWithState(update, STAGED, "held binary", "append", "EventTimeTimeout")
 
 
 def stream_postings(rows: DataFrame) -> DataFrame:
