@@ -2,8 +2,10 @@
 
 import math
 import re
+import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,53 @@ def test_sync_modes(spark):
 def test_empty_index(spark, tmp_path):
     T.build_index(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "i"))
     assert not T.search_ranked(spark, str(tmp_path / "i"), ["x"]).count() and not T.search_ranked(spark, str(tmp_path / "i"), []).count()
+
+
+def test_words_are_those_of_the_sql(spark, tmp_path):
+    texts = ["", None, "Ab, aB!ab", "İx Ky été z9", "-- ", "end", "end", "9" * 300, "a\u0000b"]
+    T.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "i"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT term, count(DISTINCT doc), count(*) FROM (SELECT doc_id AS doc, unnest({T._TOK}) AS term FROM documents) GROUP BY 1 ORDER BY 1").fetchall()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "i" / "terms")).select("term", "df", "cf").orderBy("term").collect()] == want
+    again = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(F.explode(T.words_of("text")).alias("term")).groupBy("term").count()
+    assert sorted(tuple(r) for r in again.collect()) == [(t, n) for t, _, n in want]
+
+
+def shuffled(spark, run) -> int:
+    """Rows that the stages of a run shuffle."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages() -> dict[int, int]:
+        time.sleep(1)  # the store follows the run
+        found = store.stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(k) for k in range(found.size()))}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > last)
+
+
+def test_build_shuffles_a_row_a_term_of_a_chunk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "PART", 1 << 16)  # the module's index has small parts
+    docs = spark.range(2000).repartition(4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % 2) for k in range(20)]).alias("text")).localCheckpoint()
+    assert shuffled(spark, lambda: T.build_index(docs, str(tmp_path / "i"))) < 2000  # 40 000 pairs of a term and a document
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).agg(F.sum("n")).collect()[0][0] == 40_000
+
+
+@pytest.mark.parametrize(("chunk", "part"), [(1, 8), (300, 40), (1 << 24, 1 << 16)])
+def test_chunks_change_nothing(spark, tmp_path, monkeypatch, chunk, part):
+    monkeypatch.setattr(T, "CHUNK", chunk)
+    monkeypatch.setattr(T, "PART", part)
+    docs = spark.createDataFrame([(f"d{d}", t) for d, t in corpus()[:150]], "doc_id string, text string").withColumn("kind", F.when(F.col("doc_id") != "d9", "Kä"))
+    T.build_index(docs, str(tmp_path / "i"), exact=("kind",))
+    blocks = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    got = {(r.term, r.doc): (r.tf, r.len) for r in blocks.select("term", F.explode("postings").alias("p")).select("term", "p.*").collect()}
+    split = {f"d{d}": [w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for d, t in corpus()[:150]}
+    want = {(w, d): (n, len(words)) for d, words in split.items() for w, n in Counter(words).items()} | {("kind=kä", d): (1, len(words)) for d, words in split.items() if d != "d9"}
+    assert got == want
+    heads = blocks.select("n", "best", "total", F.expr("aggregate(postings.tf, 0L, (a, x) -> a + x)"), F.size("postings")).collect()
+    assert all(r[0] == r[4] <= T.BLOCK and r[2] == r[3] for r in heads)
+    parts = blocks.select("part", F.explode("postings.doc").alias("doc")).groupBy("doc").agg(F.countDistinct("part").alias("n"))
+    assert parts.where("n > 1").isEmpty()

@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.registry import query
 from timeloom.sources import fixture
-from timeloom.sources.storage import derived_folder, discard, stored
+from timeloom.sources.storage import derived_folder
 
 K1, B = 1.2, 0.75
 BUCKETS = 64  # folders of terms
 BLOCK = 128  # postings of a block
 PART = 1 << 16  # documents of a part, about
+CHUNK = 1 << 24  # bytes of text whose words are counted at once
 
 
 def words_of(body: str) -> Column:
-    return F.filter(F.split(F.lower(body), r"[^\p{Alnum}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.replace(body, F.lit("İ"), F.lit("i"))), r"[^\p{Alnum}]+"), lambda t: t != "")  # Java's lower case of the one letter has a second character
 
 
 def _impact(tf: Column, length: Column, avg: float) -> Column:
@@ -28,34 +34,141 @@ def _impact(tf: Column, length: Column, avg: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
 
 
+def _word_reader() -> Callable[[pa.Array], tuple[np.ndarray, pa.Array]]:
+    """A function of texts that gives the row and the text of each of their words, as `words_of` has them. This and what follows is nested, so that it travels to executors by value."""
+    fold = np.zeros(256, "uint8")  # letters and digits, lower-cased; all other bytes separate
+    for c in b"0123456789abcdefghijklmnopqrstuvwxyz":
+        fold[c] = fold[ord(chr(c).upper())] = c
+
+    def read(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        for letter, plain in (("\u0130", "i"), ("\u212a", "k")):  # what else is lower-cased to a letter of ASCII
+            texts = pc.replace_substring(texts, letter, plain) if pc.any(pc.match_substring(texts, letter)).as_py() else texts
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.frombuffer(texts.buffers()[1], "int32", len(texts) + 1, 4 * texts.offset).astype("int64")
+        data = texts.buffers()[2]
+        low = fold[np.frombuffer(data, "uint8", ends[-1] - ends[0], ends[0])] if data and ends[-1] > ends[0] else np.zeros(0, "uint8")
+        ends -= ends[0]
+        inside = low != 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        heads = ends[:-1][ends[:-1] < len(low)]
+        begins[heads] = inside[heads]
+        at = np.flatnonzero(begins)
+        offsets = np.append(np.cumsum(inside, dtype="int32")[at] - 1, np.int32(inside.sum())).astype("int32")
+        return np.searchsorted(ends, at, "right") - 1, pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(low[inside]))
+
+    return read
+
+
+def _measurer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc, body to doc, len: how many words a document has."""
+    read = _word_reader()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, len(batch) * CHUNK // max(batch.nbytes, 1))
+            for k in range(0, len(batch), step):
+                some = batch.slice(k, step)
+                n = np.bincount(read(some.column(1))[0], minlength=len(some))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n.astype("int32"))], ["doc", "len"])
+
+    return measure
+
+
+def _counter(parts: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc, body and exact terms to term, part, docs, tfs, lens: a row a term of up to `most` documents, which are one part's."""
+    read = _word_reader()
+
+    def count(docs: pa.Table, part: int) -> pa.RecordBatch:
+        docs = docs.combine_chunks().to_batches()[0]
+        row, words = read(docs.column(1))
+        lens = np.bincount(row, minlength=len(docs)).astype("int32")
+        exact = [x.cast(pa.string()) for x in docs.columns[2:]]
+        row = np.concatenate([row, *[np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in exact]])
+        coded = pa.concat_arrays([words, *[x.drop_null() for x in exact]]).dictionary_encode()
+        found, tf = np.unique(coded.indices.to_numpy().astype("int64") * len(docs) + row, return_counts=True)  # by term, then by document
+        term, row = found // len(docs), found % len(docs)
+        first = pa.array(np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype("int32"))
+        lists = [pa.ListArray.from_arrays(first, x) for x in (docs.column(0).take(pa.array(row)), pa.array(tf.astype("int32")), pa.array(lens[row]))]
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(coded.dictionary), part, "int64")), *lists], ["term", "part", "docs", "tfs", "lens"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            step = max(1, min(most, len(batch) * CHUNK // max(batch.nbytes, 1)))
+            for k in range(0, len(batch), step):
+                some = batch.slice(k, step)
+                if held and (rows + len(some) > most or size + some.nbytes > CHUNK):
+                    yield count(pa.Table.from_batches(held), part % parts)
+                    held, rows, size, part = [], 0, 0, part + 1
+                held, rows, size = [*held, some], rows + len(some), size + some.nbytes
+        if rows:
+            yield count(pa.Table.from_batches(held), part % parts)
+
+    return counted
+
+
+def _cutter(avg: float, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of `_counter`, sorted by term and part, to term, part, best, n, total, postings: blocks of a term and part by impact. Holds the rows of one term and part, and a batch."""
+
+    def cut(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        rows = rows.combine_chunks().to_batches()[0]
+        docs, tf, length = rows.column(2).flatten(), rows.column(3).flatten().to_numpy().astype("int64"), rows.column(4).flatten().to_numpy()
+        run = np.repeat(np.cumsum(first) - 1, pc.list_value_length(rows.column(2)).to_numpy())
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))  # as `_impact` has it
+        order = np.lexsort((docs.to_numpy() if pa.types.is_integer(docs.type) else pc.rank(docs).to_numpy(), -impact, run))
+        tf, length, impact = tf[order], length[order], impact[order]
+        starts = np.flatnonzero((np.arange(len(run)) - np.searchsorted(run, run)) % block == 0)
+        head = pa.array(np.flatnonzero(first)[run[starts]])
+        postings = pa.StructArray.from_arrays([docs.take(pa.array(order)), pa.array(tf), pa.array(length)], ["doc", "tf", "len"])
+        n = np.diff(np.append(starts, len(run)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(run)).astype("int32")), postings)
+        return pa.RecordBatch.from_arrays(
+            [rows.column(0).take(head), rows.column(1).take(head), pa.array(impact[starts]), pa.array(n.astype("int32")), pa.array(np.add.reduceat(tf, starts)), lists], ["term", "part", "best", "n", "total", "postings"]
+        )
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            term, part = (rows[c].combine_chunks() for c in ("term", "part"))
+            first = np.append(True, pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(part[1:], part[:-1])).to_numpy(zero_copy_only=False))
+            last = int(np.flatnonzero(first)[-1])
+            held = rows.slice(last)
+            if last:
+                yield cut(rows.slice(0, last), first[:last])
+        if held is not None:
+            yield cut(held, np.append(True, np.zeros(len(held) - 1, bool)))
+
+    return blocks
+
+
 def build_index(docs: DataFrame, folder: str, doc: str = "doc_id", body: str = "text", exact: tuple[str, ...] = ()) -> None:
-    """Writes an index of docs into a folder of the store; texts are split once.
+    """Writes an index of docs into a folder of the store; texts are read once for their lengths and once for their words.
 
-    `lengths` (doc, len), `stats` (n, avg), `terms` (bucket, term, df, cf, top) and `postings` (bucket, term, part, best, n, postings): blocks of up to `BLOCK` postings of
-    a term, those with the highest impact first, with the best impact of each block. Terms are dealt to folders by their CRC-32; within
-    one they are sorted by term and best impact, so a reader's filters on both skip row groups and pages. A term's postings are
-    gathered by parts of `PART` documents at most, so a word of all documents fills no group. exact: columns whose whole value is a
+    `lengths` (doc, len), `stats` (n, avg), `terms` (bucket, term, df, cf, top) and `postings` (bucket, term, part, best, n, total, postings): blocks of up to `BLOCK` postings of
+    a term, those with the highest impact first, with the best impact and the summed counts of each block. Terms are dealt to folders by their CRC-32; within
+    one they are sorted by term and best impact, so a reader's filters on both skip row groups and pages. Words are counted in chunks of texts, and only
+    a row a term of a chunk is shuffled. Chunks are dealt to parts of about `PART` documents and a term's postings are
+    gathered by part, so a word of all documents fills no group. exact: columns whose whole value is a
     term of its own, `column=value`, which has no share in the length. Null bodies are empty; documents must have distinct ids.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(words_of(body), F.array().cast("array<string>")).alias("w"), *[F.concat(F.lit(f"{c}="), F.lower(c)).alias(f"x{k}") for k, c in enumerate(exact)])
-    rows = rows.select("doc", F.size("w").alias("len"), F.concat("w", F.array_compact(F.array(*[f"x{k}" for k in range(len(exact))]).cast("array<string>"))).alias("w"))
-    held = stored(rows, "tokens")
-    held.select("doc", "len").write.parquet(f"{folder}/lengths")
-    held.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg")).write.parquet(f"{folder}/stats")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(body).alias("body"), *[F.concat(F.lit(f"{c}="), F.lower(c)).alias(f"x{k}") for k, c in enumerate(exact)])
+    kind = rows.schema["doc"].dataType.simpleString()
+    rows.select("doc", "body").mapInArrow(_measurer(), f"doc {kind}, len int").write.parquet(f"{folder}/lengths")
+    spark.read.schema(f"doc {kind}, len int").parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg")).write.parquet(f"{folder}/stats")
     n, avg = spark.read.parquet(f"{folder}/stats").collect()[0]
-    counted = stored(held.select("doc", "len", F.explode("w").alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf")), "counted")
-    discard(held)
-    impact = _impact(F.col("tf"), F.col("len"), avg or 1.0)
     bucket = (F.crc32("term") % BUCKETS).cast("int").alias("bucket")
-    counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(impact).alias("top")).select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/terms")
-    parts = counted.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(-(-n // PART) or 1)))
-    lists = parts.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct((-impact).alias("low"), "doc", "tf", "len"))).alias("p"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda k: F.slice("p", k * BLOCK + 1, BLOCK))
-    blocks = lists.select("term", "part", bucket, F.explode(cut).alias("p"))
-    blocks = blocks.select("bucket", "term", "part", (-F.col("p")[0]["low"]).alias("best"), F.size("p").alias("n"), F.transform("p", lambda x: F.struct(x["doc"].alias("doc"), x["tf"].alias("tf"), x["len"].alias("len"))).alias("postings"))
-    blocks.repartition("bucket", F.pmod(F.xxhash64("term", "best"), F.lit(4))).sortWithinPartitions("bucket", "term", F.desc("best")).write.option("parquet.block.size", 1 << 22).partitionBy("bucket").parquet(f"{folder}/postings")
-    discard(counted)
+    counted = rows.mapInArrow(_counter(-(-n // PART) or 1, max(1, PART // 8)), f"term string, part long, docs array<{kind}>, tfs array<int>, lens array<int>")
+    dealt = counted.repartition(bucket, F.col("part") % 4).sortWithinPartitions(bucket, "term", "part")
+    blocks = dealt.mapInArrow(_cutter(avg or 1.0, BLOCK), f"term string, part long, best double, n int, total long, postings array<struct<doc:{kind},tf:long,len:int>>")
+    blocks.select(bucket, "*").sortWithinPartitions("bucket", "term", F.desc("best")).write.option("parquet.block.size", 1 << 22).partitionBy("bucket").parquet(f"{folder}/postings")
+    held = spark.read.schema("bucket int, term string, best double, n int, total long").parquet(f"{folder}/postings")
+    held.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("cf"), F.max("best").alias("top")).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/terms")
 
 
 def _pruned(spark: SparkSession, folder: str, table: str, terms: list[str]) -> DataFrame:
