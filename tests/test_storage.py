@@ -222,3 +222,11 @@ def test_chains_stream_by_buckets_of_keys(spark, tmp_path):
     got = {(x.key, x.start - base): (x["last"] - base, x.events, x.stages) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == want and len(got) > 20
     assert max(o.numRowsTotal for p in asked.recentProgress for o in p.stateOperators) <= 4  # a state a bucket, not one a key
+
+
+def test_events_are_made_in_whole_rounds_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fixture, "_SIZE", storage.size_of(spark, f"{SF}/events.parquet") // 5)
+    made = []
+    monkeypatch.setattr(fixture, "derived", lambda spark, source, name, make, **_: made.append(make()) or made[0])
+    fixture.event_rows(spark, SF)
+    assert made[0].rdd.getNumPartitions() % spark.sparkContext.defaultParallelism == 0
