@@ -4,14 +4,19 @@ Every 50-byte window belongs to the smallest hash of a 16-byte gram inside it (i
 equal minimizers, so consecutive windows of one minimizer are cut out together as one string, and all strings of a
 minimizer meet in one shard. A first pass finds the minimizers that two documents share, as sorted hash arrays in
 the shared folder that workers memory-map; only their strings are sent on. A string that a task has sent is named by
-its digest from then on. A minimizer with more than `HOT` runs is split further: its windows by where the gram stands
+its digest from then on, and a text that several documents have whole enters once, with the smallest of them: in the others
+every window is an earlier one. A minimizer with more than `HOT` runs is split further: its windows by where the gram stands
 in them and by the bytes that windows with such a place have in common, so that equal windows still meet.
 
 A shard's suffix arrays hold each of its different strings once, with the smallest document that has it, and decide
 for every window: Larsson-Sadakane refinement (groups of equal prefixes are split by the ranks of what follows, sorted
 ones are left alone), Kasai's common prefixes (compared only where the preceding bytes differ, counted down
-elsewhere), classes of suffixes whose common prefix has 50 bytes. A shard larger than `SHARD` bytes is cut into
-several arrays, and their classes are merged by binary search of each one's windows in the others' sorted windows.
+elsewhere), classes of suffixes whose common prefix has 50 bytes. Arrays have about `PART` bytes, which stay in a core's
+cache, and are cut between minimizers. Strings of one minimizer beyond `SHARD` bytes are cut into several arrays, and their
+classes are merged by binary search of each one's windows in the others' sorted windows.
+
+Tasks hold a bounded number of minimizers and strings whatever the size of their part of the input, and no step sorts
+again what a task has sorted before.
 """
 
 from __future__ import annotations
@@ -28,11 +33,14 @@ from timeloom.llm import shared as S
 
 U64 = np.uint64
 GRAM = 16
-SHARD = 2 << 20  # bytes of one suffix array
+SHARD = 2 << 20  # bytes of one suffix array at most; those that a group of strings has while there are few groups
+PART = 200_000  # bytes of one suffix array where minimizers allow it
 HOT = 50_000  # runs of one minimizer that a shard takes without splitting them
 RANGES = 7  # parts of the places that a gram may have in a window
-PIECE = 1 << 20  # bytes of text that a task hashes at once
+PIECE = 1 << 17  # bytes of text that a task hashes at once, so few that their arrays stay in a core's cache
+LOOKED_UP = 1 << 20  # bytes of text whose minimizers are looked up at once
 FLUSH = 12 << 20  # bytes of strings that a task holds before it sends them
+HELD = 3_000_000  # minimizers that a task holds before it sends them
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -198,14 +206,74 @@ def _sums(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind) -> tuple
     return (k[first], np.add.reduceat(x[order], first), np.add.reduceat(y[order], first)) if len(k) else (k, x, y)
 
 
-def _finder(length: int, shards: int):
+def _halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Both 64-bit halves of 16-byte digests."""
+    both = np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _texts(folder: str):
+    def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digests of a shard's texts that several documents have, with the smallest of these; the bytes of all its texts."""
+        size, parts = 0, []
+        for batch in batches:
+            size += int(np.array(batch.column("n")).sum())
+            many = np.array(batch.column("first")) < np.array(batch.column("last"))
+            own = batch.filter(pa.array(many))
+            parts.append((*_halves(own.column("digest")), np.array(own.column("first")).astype(np.int64)))
+        a, b, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(a)
+        a, b, first = a[order], b[order], first[order]
+        alone = np.r_[True, a[1:] != a[:-1]] & np.r_[a[1:] != a[:-1], True][: len(a)] if len(a) else np.zeros(0, bool)  # others are taken for different texts
+        S.write_array(folder, f"same-{key[0].as_py()}", np.concatenate([a[alone], b[alone], first[alone].view(np.uint64)]))
+        yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int64())})
+
+    return write
+
+
+def _copies(arrays: S.Arrays, same: int, digest: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """Which documents have the whole text of a smaller one."""
+    a, b = _halves(digest)
+    order = np.argsort(a)
+    shard = (a[order] >> U64(65 - same.bit_length())).astype(np.int64)
+    hit = np.zeros(len(a), bool)
+    edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(a)]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if lo < hi and (n := len(own := arrays.get(f"same-{int(shard[lo])}", np.uint64)) // 3):
+            k = order[lo:hi]
+            at = np.minimum(np.searchsorted(own[:n], a[k]), n - 1)
+            hit[k] = (own[:n][at] == a[k]) & (own[n : 2 * n][at] == b[k]) & (own[2 * n :][at].view(np.int64) < ids[k])
+    return hit
+
+
+def _first_ones(batch: pa.RecordBatch, arrays: S.Arrays, same: int) -> pa.RecordBatch:
+    """Without documents that have the whole text of a smaller one."""
+    gone = _copies(arrays, same, batch.column("digest"), np.array(batch.column("doc_id")).astype(np.int64))
+    return batch.filter(pa.array(~gone)) if gone.any() else batch
+
+
+def _finder(length: int, shards: int, folder: str, same: int):
     bits = shards.bit_length() - 1
 
+    def sent(x: np.ndarray, docs: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+        """A row per shard."""
+        cut = np.searchsorted(x, np.arange(shards, dtype=np.uint64) << U64(64 - bits)) if bits else np.array([0])
+        cut = np.r_[cut, len(x)]
+        low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
+        once = (docs == 1) & (runs == 1)
+        rows = []
+        for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            own, one = slice(cut[k], cut[k + 1]), once[cut[k] : cut[k + 1]]
+            rows.append((k, low[own][one].tobytes(), low[own][~one].tobytes(), np.minimum(docs[own][~one], 2).astype(np.uint8).tobytes(), np.minimum(runs[own][~one], 2**32 - 1).astype(np.uint32).tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "once", "more", "docs", "runs"])
+
     def find(batches):
-        """Minimizers with the documents that have them (2: or more) and their runs; a row per shard."""
+        """Minimizers with the documents that have them (2: or more) and their runs; a row per shard, again when HELD minimizers are there."""
+        arrays = S.Arrays(folder)
         found, held = [], 0
         for batch in batches:
-            for _, _, buf, off in S.pieces(batch.column("text"), PIECE):
+            for _, _, buf, off in S.pieces(_first_ones(batch, arrays, same).column("text"), PIECE):
                 _, _, row, f, _ = _runs(buf, off, length)
                 order = np.argsort(f, kind="stable")
                 f, d = f[order], row[order]
@@ -213,20 +281,13 @@ def _finder(length: int, shards: int):
                 last = np.r_[first[1:], len(f)] - 1 if len(f) else first
                 found.append((f[first], 1 + (d[last] != d[first]).astype(np.int64), last - first + 1))
                 held += len(first)
-                if held > 3_000_000:
+                if held > HELD:
                     found = [_sums(found, np.uint64)]
                     held = len(found[0][0])
-        x, docs, runs = _sums(found, np.uint64)
-        cut = np.searchsorted(x, np.arange(shards, dtype=np.uint64) << U64(64 - bits)) if bits else np.array([0])
-        cut = np.r_[cut, len(x)]
-        low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
-        once = (docs == 1) & (runs == 1)
-        rows = []
-        for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            own, one = slice(cut[k], cut[k + 1]), once[cut[k] : cut[k + 1]]
-            rows.append((k, low[own][one].tobytes(), low[own][~one].tobytes(), np.minimum(docs[own][~one], 2).astype(np.uint8).tobytes(), np.minimum(runs[own][~one], 2**32 - 1).astype(np.uint32).tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "once", "more", "docs", "runs"])
+                    if held > HELD // 2:  # else as many come in before the next sum as are kept here
+                        yield sent(*found[0])
+                        found, held = [], 0
+        yield sent(*_sums(found, np.uint64))
 
     return find
 
@@ -234,20 +295,21 @@ def _finder(length: int, shards: int):
 def _sharer(folder: str, hot: int):
     def share(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
-        held = 0
+        held, most = 0, 6_000_000
         for batch in batches:
             for once, more, docs, runs in zip(*(batch.column(c).to_pylist() for c in ("once", "more", "docs", "runs")), strict=True):
                 a, b = np.frombuffer(once, np.uint32), np.frombuffer(more, np.uint32)
                 parts += [(a, *[np.ones(len(a), np.int64)] * 2), (b, np.frombuffer(docs, np.uint8).astype(np.int64), np.frombuffer(runs, np.uint32).astype(np.int64))]
                 held += len(a) + len(b)
-                if held > 6_000_000:
+                if held > most:
                     parts = [_sums(parts, np.uint32)]
                     held = len(parts[0][0])
+                    most = max(6_000_000, 2 * held)
         x, docs, runs = _sums(parts, np.uint32)
         k, twice = key[0].as_py(), docs > 1
         S.write_array(folder, f"shard-{k}", x[twice])
-        S.write_array(folder, f"hot-{k}", x[twice & (runs > hot)])
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "runs": pa.array([int(runs[twice].sum())], pa.int64())})
+        much = (x[twice & (runs > hot)].astype(np.uint64) | U64(k << 32)).tobytes()
+        yield pa.RecordBatch.from_pydict({"runs": pa.array([int(runs[twice].sum())], pa.int64()), "hot": pa.array([much], pa.binary())})
 
     return share
 
@@ -284,21 +346,43 @@ _SENT = ("keys", "digests", "docs", "begins", "lengths", "fresh", "strings")
 _SENT_SCHEMA = "shard int, " + ", ".join(f"{c} binary" for c in _SENT)
 
 
-def _cutter(length: int, shards: int, folder: str, targets: int):
+class _Seen:
+    """Numbers in a few sorted arrays, each at least twice as long as the next, so none is sorted often."""
+
+    def __init__(self):
+        self.levels: list[np.ndarray] = []
+
+    def new(self, u: np.ndarray) -> np.ndarray:
+        """Which of the sorted, different u were not here; now they are."""
+        out = np.ones(len(u), bool)
+        for own in self.levels:
+            out &= own[np.minimum(np.searchsorted(own, u), len(own) - 1)] != u
+        if out.any():
+            self.levels.append(u[out])
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            self.levels[-2:] = [np.sort(np.concatenate(self.levels[-2:]))]
+        return out
+
+
+def _cutter(length: int, shards: int, folder: str, same: int, targets: int):
     bits = shards.bit_length() - 1
 
-    def looked_up(arrays: S.Arrays, name: str, x: np.ndarray) -> np.ndarray:
-        """Which of the sorted minimizers x the folder's arrays hold."""
+    def shared(arrays: S.Arrays, x: np.ndarray) -> np.ndarray:
+        """Which of the sorted minimizers x several documents have."""
         shard = (x >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
         low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
         hit = np.zeros(len(x), bool)
         edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(x)]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if a < b and len(own := arrays.get(f"{name}-{int(shard[a])}", np.uint32)):
+            if a < b and len(own := arrays.get(f"shard-{int(shard[a])}", np.uint32)):
                 at = np.minimum(np.searchsorted(own, low[a:b]), len(own) - 1)
                 hit[a:b] = own[at] == low[a:b]
         return hit
 
+    def is_hot(arrays: S.Arrays, x: np.ndarray) -> np.ndarray:
+        own, x = arrays.get("hot", np.uint64), x >> U64(32 - bits)
+        return own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x if len(own) else np.zeros(len(x), bool)
+
     def sent(held: list[tuple]):
         """A row per shard."""
         key, digest, doc, at, size, fresh = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
@@ -317,7 +401,7 @@ def _cutter(length: int, shards: int, folder: str, targets: int):
 
     def cut(batches):
         arrays = S.Arrays(folder)
-        seen = np.zeros(0, np.uint64)
+        seen = _Seen()
         held: list[tuple] = []
         weight = 0
 
@@ -327,43 +411,54 @@ def _cutter(length: int, shards: int, folder: str, targets: int):
                 cols = list(zip(*rows[lo : lo + 256], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", *_SENT])
 
-        for batch in batches:
-            ids = np.array(batch.column("doc_id"))
-            for lo, _, buf, off in S.pieces(batch.column("text"), PIECE):
-                begin, end, row, f, grams = _runs(buf, off, length)
-                if not len(f):
+        def some(wide: list[tuple]) -> Iterator[tuple]:
+            """Strings of these pieces that several documents may have."""
+            f = np.concatenate([x[-2] for x in wide])
+            order = np.argsort(f)
+            there = np.zeros(len(f), bool)
+            there[order] = shared(arrays, f[order])
+            hot = np.zeros(len(f), bool)
+            hot[there] = is_hot(arrays, f[there])
+            at = 0
+            for ids, buf, off, begin, end, row, f, grams in wide:
+                pick, much = there[at : at + len(f)], hot[at : at + len(f)]
+                at += len(f)
+                if not pick.any():
                     continue
-                order = np.argsort(f)
-                hit = looked_up(arrays, "shard", f[order])
-                hot = np.zeros(len(f), bool)
-                hot[order[hit]] = looked_up(arrays, "hot", f[order[hit]])
-                pick = np.sort(order[hit])
                 power, inverse = S.powers(len(buf))
                 total = np.zeros(len(grams) + 1, np.uint64)
                 np.cumsum(grams * power[: len(grams)], out=total[1:])
                 digest = lambda a, b, t=total, p=power, i=inverse: _digests(t, p, i, a, b)
-                plain, much = pick[~hot[pick]], pick[hot[pick]]
+                plain, much = np.flatnonzero(pick & ~much), np.flatnonzero(much)
                 a, b, r, key = begin[plain], end[plain], row[plain], f[plain]
                 if len(much):
                     run, c, d, k = _split(begin[much], end[much], f[much], grams, length, digest)
                     a, b, r, key = np.r_[a, c], np.r_[b, d], np.r_[r, row[much][run]], np.r_[key, k]
-                if not len(a):
-                    continue
                 z = b + length - 1
                 name = digest(a, z) ^ S.mix(key)
                 u, first = np.unique(name, return_index=True)
-                at = np.minimum(np.searchsorted(seen, u), max(len(seen) - 1, 0))
-                new = seen[at] != u if len(seen) else np.ones(len(u), bool)
                 fresh = np.zeros(len(a), bool)
-                fresh[first[new]] = True
-                seen = np.sort(np.r_[seen, u[new]])
+                fresh[first[seen.new(u)]] = True
                 n = (z - a)[fresh]
                 text = buf[np.repeat(a[fresh] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
-                held.append((key, name, ids[lo + r].astype(np.int64), a - off[r], z - a, fresh, text))
-                weight += len(text) + 37 * len(a)
-                if weight > FLUSH:
-                    yield from flush()
-                    held, weight = [], 0
+                yield key, name, ids[r].astype(np.int64), a - off[r], z - a, fresh, text
+
+        for batch in batches:
+            batch = _first_ones(batch, arrays, same)
+            ids = np.array(batch.column("doc_id"))
+            wide: list[tuple] = []
+            many = 0
+            for lo, hi, buf, off in S.pieces(batch.column("text"), PIECE):
+                wide.append((ids[lo:hi], buf, off, *_runs(buf, off, length)))
+                many += len(buf)
+                if many > LOOKED_UP or hi == batch.num_rows:
+                    for x in some(wide):
+                        held.append(x)
+                        weight += len(x[-1]) + 37 * len(x[0])
+                    wide, many = [], 0
+                    if weight > FLUSH:
+                        yield from flush()
+                        held, weight = [], 0
         yield from flush()
 
     return cut
@@ -373,66 +468,94 @@ def _marker(length: int):
     def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = dict(zip(_SENT, (np.uint64, np.uint64, np.int64, np.int64, np.uint32, bool), strict=False))
         parts: dict[str, list] = {c: [] for c in kinds}
-        strings: dict[int, bytes] = {}
+        texts: list[bytes] = []
         # keys come with the first string of a digest only
         for batch in batches:
             for r in range(batch.num_rows):
-                own = {c: np.frombuffer(batch.column(c)[r].as_py(), kind) for c, kind in kinds.items()}
-                fresh = own["fresh"]
-                end = np.cumsum(own["lengths"][fresh], dtype=np.int64)
-                text = pa.decompress(batch.column("strings")[r].as_py(), int(end[-1]), "zstd", asbytes=True) if len(end) else b""
-                for name, a, b in zip(own["digests"][fresh].tolist(), (end - own["lengths"][fresh]).tolist(), end.tolist(), strict=True):
-                    s = text[a:b]
-                    if strings.setdefault(name, s) != s:
-                        raise RuntimeError("two strings have one 64-bit digest")
-                for c in kinds:
-                    parts[c].append(own[c])
-        keys, name, doc, at = (np.concatenate(parts[c]) for c in ("keys", "digests", "docs", "begins"))
-        first = np.concatenate(parts["fresh"])
+                for c, kind in kinds.items():
+                    parts[c].append(np.frombuffer(batch.column(c)[r].as_py(), kind))
+                if n := int(parts["lengths"][-1][parts["fresh"][-1]].sum(dtype=np.int64)):
+                    texts.append(pa.decompress(batch.column("strings")[r].as_py(), n, "zstd", asbytes=True))
+        keys, name, doc, at, size, fresh = (np.concatenate(parts.pop(c)) for c in kinds)
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        del texts
+        size = size[fresh].astype(np.int64)
+        begin = np.cumsum(size) - size
         name, back = np.unique(name, return_inverse=True)
-        least = np.full(len(name), np.iinfo(np.int64).max)
-        np.minimum.at(least, back, doc)
-        by = np.empty(len(name), np.uint64)
-        by[back[first]] = keys
-        order = np.argsort(by, kind="stable")  # strings of a minimizer next to each other
-        windows = earliest([strings[k] for k in name[order].tolist()], least[order], length)
-        size = np.array([len(w) for w in windows])
-        flat = np.concatenate(windows)
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        edge = np.zeros(len(flat), bool)
-        edge[start] = True
-        edge[1:] |= flat[1:] != flat[:-1]
-        seg = np.flatnonzero(edge)  # stretches of a string whose windows have one earliest document
-        until = np.r_[seg[1:], len(flat)]
-        of = np.searchsorted(start, seg, "right") - 1
+        sender = np.empty(len(name), np.int64)  # of each string, the first that came
+        sender[back[fresh][::-1]] = np.arange(len(size))[::-1]
+        mate = sender[back[fresh]]
+        _equal(text, size, begin, np.flatnonzero(mate != np.arange(len(size))), mate)
+        order = np.argsort(keys[sender], kind="stable")  # strings of a minimizer next to each other
         place = np.empty(len(name), np.int64)
         place[order] = np.arange(len(name))
-        own = place[back]
-        lo, hi = np.searchsorted(of, own), np.searchsorted(of, own, "right")
-        n = hi - lo
-        who = np.repeat(np.arange(len(own)), n)
-        k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        gone = flat[seg[k]] < doc[who]
-        who, k = who[gone], k[gone]
-        shift = at[who] - start[of[k]]
-        begin, end = shift + seg[k], shift + until[k] - 1 + length
-        for lo in range(0, len(who), 200_000):
-            cut = slice(lo, lo + 200_000)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[who[cut]]), "begin": pa.array(begin[cut]), "end": pa.array(end[cut])})
+        rows = np.argsort(place[back], kind="stable")
+        own, doc, at = place[back][rows], doc[rows], at[rows]
+        del back, rows, mate
+        least = np.minimum.reduceat(doc, np.searchsorted(own, np.arange(len(name))))
+        sender = sender[order]
+        begin, size, keys = begin[sender], size[sender], keys[sender]
+        weight, first = np.cumsum(size), 0
+        ends = np.r_[np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]  # where a minimizer's strings end
+        while first < len(keys):
+            until = int(ends[min(np.searchsorted(weight[ends - 1], weight[first] - size[first] + PART), len(ends) - 1)])
+            raw = [text[a : a + n].tobytes() for a, n in zip(begin[first:until].tolist(), size[first:until].tolist(), strict=True)]
+            lo, hi = np.searchsorted(own, [first, until])
+            yield from _spans(earliest(raw, least[first:until], length), own[lo:hi] - first, doc[lo:hi], at[lo:hi], length)
+            first = until
 
     return mark
 
 
-def _remover(columns: list[str]):
+def _equal(text: np.ndarray, size: np.ndarray, begin: np.ndarray, these: np.ndarray, mate: np.ndarray) -> None:
+    """Compares the bytes of strings with those of the strings that have the same digest."""
+    for lo in range(0, len(these), 20_000):
+        a = these[lo : lo + 20_000]
+        b, n = mate[a], size[a]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (n != size[b]).any() or (text[np.repeat(begin[a], n) + at] != text[np.repeat(begin[b], n) + at]).any():
+            raise RuntimeError("two strings have one 64-bit digest")
+
+
+def _spans(windows: list[np.ndarray], own: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """What goes of runs of documents: own is the string of each run, windows the earliest documents of a string's windows."""
+    size = np.array([len(w) for w in windows])
+    flat = np.concatenate(windows)
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    edge = np.zeros(len(flat), bool)
+    edge[start] = True
+    edge[1:] |= flat[1:] != flat[:-1]
+    seg = np.flatnonzero(edge)  # stretches of a string whose windows have one earliest document
+    until = np.r_[seg[1:], len(flat)]
+    of = np.searchsorted(start, seg, "right") - 1
+    lo, hi = np.searchsorted(of, own), np.searchsorted(of, own, "right")
+    n = hi - lo
+    who = np.repeat(np.arange(len(own)), n)
+    k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    gone = flat[seg[k]] < doc[who]
+    who, k = who[gone], k[gone]
+    shift = at[who] - start[of[k]]
+    begin, end = shift + seg[k], shift + until[k] - 1 + length
+    for lo in range(0, len(who), 200_000):
+        cut = slice(lo, lo + 200_000)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[who[cut]]), "begin": pa.array(begin[cut]), "end": pa.array(end[cut])})
+
+
+def _remover(columns: list[str], length: int, folder: str, same: int):
     def remove(batches):
+        arrays = S.Arrays(folder)
         for batch in batches:
             spans = batch.column("spans")
+            begins, ends = (spans.flatten().field(k).to_numpy().tolist() for k in range(2))
+            of = np.r_[0, np.cumsum(np.array(spans.value_lengths().fill_null(0)))].tolist()
+            copy = _copies(arrays, same, batch.column("digest").fill_null(bytes(16)), np.array(batch.column("key").fill_null(np.iinfo(np.int64).min)))
             kept, n_bytes, n_removed, n_spans, digest = [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = (text or "").encode()
                 n_bytes.append(len(raw))
                 parts, to, runs, removed = [], 0, 0, 0
-                for begin, end in sorted((x["begin"], x["end"]) for x in spans[k].as_py() or ()):
+                mine = [(0, len(raw))] if copy[k] and len(raw) >= length else sorted(zip(begins[of[k] : of[k + 1]], ends[of[k] : of[k + 1]], strict=True))
+                for begin, end in mine:
                     if begin > to or not runs:
                         runs += 1
                         parts.append(raw[to:begin])
@@ -456,17 +579,30 @@ def _remover(columns: list[str]):
     return remove
 
 
-def removed_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
-    """doc_id, begin, end (bytes of the whole text; several rows may overlap or touch)."""
+def _digest(text: str):
+    """Half of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32))
+
+
+def _parts_removed(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, str, int]:
+    """doc_id, begin, end (bytes of the whole text; several rows may overlap or touch) of documents whose text no smaller one has whole; where these texts are listed."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0 and doc_id is not null")
-    shards = 1 << max(4, (2 * docs.rdd.getNumPartitions()).bit_length())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0 and doc_id is not null").withColumn("digest", _digest("text"))
     folder = S.table_path(spark, "minimizers")
-    found = docs.mapInArrow(_finder(length, shards), "shard int, once binary, more binary, docs binary, runs binary")
-    runs = found.groupBy("shard").applyInArrow(_sharer(folder, hot), "shard int, runs long").agg(F.coalesce(F.sum("runs"), F.lit(0))).collect()[0][0]
-    targets = 1 << max(4, (40 * runs // SHARD).bit_length())  # a run's string has about 68 bytes, and half of them differ
-    sent = docs.mapInArrow(_cutter(length, shards, folder, targets), _SENT_SCHEMA)
-    return sent.groupBy("shard").applyInArrow(_marker(length), "doc_id long, begin long, end long")
+    same = 1 << max(4, (docs.rdd.getNumPartitions() // 8).bit_length())
+    texts = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.octet_length("text")).cast("long").alias("n"))
+    top = F.conv(F.substring(F.hex("digest"), 1, 4), 16, 10).cast("int")
+    listed = texts.groupBy(F.shiftright(top, 17 - same.bit_length()).alias("shard")).applyInArrow(_texts(folder), "size long")
+    size = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
+    shards = 1 << max(4, (size // (35 << 20)).bit_length())  # about two million minimizers in each
+    found = docs.mapInArrow(_finder(length, shards, folder, same), "shard int, once binary, more binary, docs binary, runs binary")
+    shared = found.groupBy("shard").applyInArrow(_sharer(folder, hot), "runs long, hot binary").collect()
+    runs = sum(r.runs for r in shared)
+    S.write_array(folder, "hot", np.sort(np.frombuffer(b"".join(r.hot for r in shared), np.uint64)))  # one for `hot` runs at most
+    groups = (40 * runs // SHARD).bit_length()  # a run's string has about 68 bytes, and half of them differ
+    targets = 1 << max(4, groups - min(4, max(0, groups - 9)))  # beyond 512 groups they grow first, so that tasks send no crumbs
+    sent = docs.mapInArrow(_cutter(length, shards, folder, same, targets), _SENT_SCHEMA)
+    return sent.groupBy("shard").applyInArrow(_marker(length), "doc_id long, begin long, end long"), folder, same
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
@@ -477,11 +613,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame
     text; none of them is earlier than the others. Rows without doc_id keep their text and make nobody else's go. kept_text drops bytes of a character that was cut in part;
     kept_sha256 is of the kept bytes themselves. An empty table gives an empty result.
     """
-    spans = removed_spans(docs, length, hot).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    parts, folder, same = _parts_removed(docs, length, hot)
+    spans = parts.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rest = [c for c in docs.columns if c != "text"]
     own = [f"c{k}" for k in range(len(rest))]  # whatever the columns are called
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, own, strict=True)], F.col("doc_id").cast("long").alias("__key"), F.col("text").cast("string").alias("text"))
-    joined = inner.join(spans, F.col("__key") == F.col("__id"), "left").select(*own, "text", "spans")
+    joined = inner.join(spans, F.col("__key") == F.col("__id"), "left").select(*own, F.col("__key").alias("key"), "text", _digest("text").alias("digest"), "spans")
     kind = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(rest, own, strict=True))
-    made = joined.mapInArrow(_remover(own), kind + "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    made = joined.mapInArrow(_remover(own, length, folder, same), kind + "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return made.select(*[F.col(n).alias(c) for c, n in zip(rest, own, strict=True)], "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
