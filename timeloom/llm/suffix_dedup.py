@@ -198,12 +198,16 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int):
 
 
 def _sums(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of their two counts."""
-    k, x, y = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, kind), *[np.zeros(0, np.int64)] * 2)
+    """Distinct keys, whether several documents have them (marked so or there twice, as a document comes once), and the sums of their runs."""
+    k, two, runs = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, kind), np.zeros(0, bool), np.zeros(0, np.uint32))
     order = np.argsort(k)
-    k = k[order]
+    k, two, runs = k[order], two[order], runs[order]
+    del order, parts
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return (k[first], np.add.reduceat(x[order], first), np.add.reduceat(y[order], first)) if len(k) else (k, x, y)
+    if not len(k):
+        return k, two, runs
+    two = np.logical_or.reduceat(two, first) | (np.diff(np.r_[first, len(k)]) > 1)
+    return k[first], two, np.minimum(np.add.reduceat(runs, first, dtype=np.int64), 2**32 - 1).astype(np.uint32)
 
 
 def _halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -255,31 +259,32 @@ def _first_ones(batch: pa.RecordBatch, arrays: S.Arrays, same: int) -> pa.Record
 def _finder(length: int, shards: int, folder: str, same: int):
     bits = shards.bit_length() - 1
 
-    def sent(x: np.ndarray, docs: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+    def sent(x: np.ndarray, two: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
         """A row per shard."""
         cut = np.searchsorted(x, np.arange(shards, dtype=np.uint64) << U64(64 - bits)) if bits else np.array([0])
         cut = np.r_[cut, len(x)]
         low = ((x << U64(bits)) >> U64(32)).astype(np.uint32)
-        once = (docs == 1) & (runs == 1)
+        once = ~two & (runs == 1)
         rows = []
         for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
             own, one = slice(cut[k], cut[k + 1]), once[cut[k] : cut[k + 1]]
-            rows.append((k, low[own][one].tobytes(), low[own][~one].tobytes(), np.minimum(docs[own][~one], 2).astype(np.uint8).tobytes(), np.minimum(runs[own][~one], 2**32 - 1).astype(np.uint32).tobytes()))
+            rows.append((k, low[own][one].tobytes(), low[own][~one].tobytes(), two[own][~one].tobytes(), runs[own][~one].tobytes()))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "once", "more", "docs", "runs"])
 
     def find(batches):
-        """Minimizers with the documents that have them (2: or more) and their runs; a row per shard, again when HELD minimizers are there."""
+        """Minimizers, whether several documents have them, and their runs; a row per shard, again when HELD minimizers are there."""
         arrays = S.Arrays(folder)
         found, held = [], 0
         for batch in batches:
             for _, _, buf, off in S.pieces(_first_ones(batch, arrays, same).column("text"), PIECE):
                 _, _, row, f, _ = _runs(buf, off, length)
+                f = S.mix(f)  # minima lie near zero; shards are ranges of mixed ones
                 order = np.argsort(f, kind="stable")
                 f, d = f[order], row[order]
                 first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
                 last = np.r_[first[1:], len(f)] - 1 if len(f) else first
-                found.append((f[first], 1 + (d[last] != d[first]).astype(np.int64), last - first + 1))
+                found.append((f[first], d[last] != d[first], (last - first + 1).astype(np.uint32)))
                 held += len(first)
                 if held > HELD:
                     found = [_sums(found, np.uint64)]
@@ -299,17 +304,17 @@ def _sharer(folder: str, hot: int):
         for batch in batches:
             for once, more, docs, runs in zip(*(batch.column(c).to_pylist() for c in ("once", "more", "docs", "runs")), strict=True):
                 a, b = np.frombuffer(once, np.uint32), np.frombuffer(more, np.uint32)
-                parts += [(a, *[np.ones(len(a), np.int64)] * 2), (b, np.frombuffer(docs, np.uint8).astype(np.int64), np.frombuffer(runs, np.uint32).astype(np.int64))]
+                parts += [(a, np.zeros(len(a), bool), np.ones(len(a), np.uint32)), (b, np.frombuffer(docs, bool), np.frombuffer(runs, np.uint32))]
                 held += len(a) + len(b)
                 if held > most:
                     parts = [_sums(parts, np.uint32)]
                     held = len(parts[0][0])
                     most = max(6_000_000, 2 * held)
-        x, docs, runs = _sums(parts, np.uint32)
-        k, twice = key[0].as_py(), docs > 1
+        x, twice, runs = _sums(parts, np.uint32)
+        k = key[0].as_py()
         S.write_array(folder, f"shard-{k}", x[twice])
         much = (x[twice & (runs > hot)].astype(np.uint64) | U64(k << 32)).tobytes()
-        yield pa.RecordBatch.from_pydict({"runs": pa.array([int(runs[twice].sum())], pa.int64()), "hot": pa.array([much], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"runs": pa.array([int(runs[twice].sum(dtype=np.int64))], pa.int64()), "hot": pa.array([much], pa.binary())})
 
     return share
 
@@ -400,7 +405,7 @@ def _cutter(length: int, shards: int, folder: str, same: int, targets: int):
             yield (k, *(x.tobytes() for x in (key[new], digest[own], doc[own], at[own], size[own].astype(np.uint32), fresh[own])), pa.compress(bytes_, "zstd", asbytes=True))
 
     def cut(batches):
-        arrays = S.Arrays(folder)
+        arrays = S.Arrays(folder, 1 << 14)
         seen = _Seen()
         held: list[tuple] = []
         weight = 0
@@ -413,7 +418,7 @@ def _cutter(length: int, shards: int, folder: str, same: int, targets: int):
 
         def some(wide: list[tuple]) -> Iterator[tuple]:
             """Strings of these pieces that several documents may have."""
-            f = np.concatenate([x[-2] for x in wide])
+            f = S.mix(np.concatenate([x[-2] for x in wide]))
             order = np.argsort(f)
             there = np.zeros(len(f), bool)
             there[order] = shared(arrays, f[order])
@@ -594,7 +599,7 @@ def _parts_removed(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, s
     top = F.conv(F.substring(F.hex("digest"), 1, 4), 16, 10).cast("int")
     listed = texts.groupBy(F.shiftright(top, 17 - same.bit_length()).alias("shard")).applyInArrow(_texts(folder), "size long")
     size = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
-    shards = 1 << max(4, (size // (35 << 20)).bit_length())  # about two million minimizers in each
+    shards = 1 << max(4, (size // (18 << 20)).bit_length())  # about a million minimizers in each
     found = docs.mapInArrow(_finder(length, shards, folder, same), "shard int, once binary, more binary, docs binary, runs binary")
     shared = found.groupBy("shard").applyInArrow(_sharer(folder, hot), "runs long, hot binary").collect()
     runs = sum(r.runs for r in shared)
